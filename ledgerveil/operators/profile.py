@@ -24,9 +24,6 @@ MATCH_SCHEMA = T.StructType(
     ]
 )
 
-# expressions per aggregate, so that generated code stays below the JVM method limit
-_EXPRESSIONS_PER_SCAN = 184
-
 
 def string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
@@ -60,43 +57,33 @@ def name_matches(spark: SparkSession, columns: Sequence[str], strict_words: bool
 
 
 def value_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """How many values of each text column contain each value pattern.
+    """How many values of each text column contain each value pattern, over the whole table.
 
-    Whole-table counts in one aggregate per batch of columns; each batch reads only
-    its own columns, so the table is read once in total.
+    The columns are stacked as (column_name, value) rows, so every pattern is compiled
+    once however many columns there are, the table is read once, and counts are
+    combined on the map side to one row per column.
     """
     columns = list(columns if columns is not None else string_columns(df))
-    patterns = pii.value_pattern_list()
-    per_scan = max(1, _EXPRESSIONS_PER_SCAN // len(patterns))
-    out: DataFrame | None = None
-    for at in range(0, len(columns), per_scan):
-        batch = columns[at : at + per_scan]
-        aggs = [F.count(F.col(c)).alias(f"n_{k}") for k, c in enumerate(batch)]
-        aggs += [
-            F.count_if(F.col(c).rlike(p)).alias(f"m_{k}_{i}")
-            for k, c in enumerate(batch)
-            for i, _, p in patterns
-        ]
-        wide = df.agg(*aggs)
-        cells = [
-            F.struct(
-                F.lit(c).alias("column_name"),
-                F.lit(i).alias("ord"),
-                F.lit(t).alias("pii_type"),
-                F.lit(p).alias("pattern"),
-                F.col(f"n_{k}").alias("n_values"),
-                F.col(f"m_{k}_{i}").alias("n_match"),
-            )
-            for k, c in enumerate(batch)
-            for i, t, p in patterns
-        ]
-        long = wide.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
-        out = long if out is None else out.unionByName(long)
-    if out is None:
+    if not columns:
         return df.sparkSession.createDataFrame(
             [], "column_name string, ord int, pii_type string, pattern string, n_values bigint, n_match bigint"
         )
-    return out
+    patterns = pii.value_pattern_list()
+    counts = (
+        _stacked(df, columns)
+        .groupBy("column_name")
+        .agg(
+            F.count("value").alias("n_values"),
+            *[F.count_if(F.col("value").rlike(p)).alias(f"m{i}") for i, _, p in patterns],
+        )
+    )
+    cells = [
+        F.struct(F.lit(i).alias("ord"), F.lit(t).alias("pii_type"), F.lit(p).alias("pattern"), F.col(f"m{i}").alias("n_match"))
+        for i, t, p in patterns
+    ]
+    return counts.select("column_name", "n_values", F.explode(F.array(*cells)).alias("r")).select(
+        "column_name", "r.ord", "r.pii_type", "r.pattern", "n_values", "r.n_match"
+    )
 
 
 def _lookup(key: Column, table: dict[str, str], default: str) -> Column:

@@ -82,7 +82,7 @@ def ordered_prefix(
     if largest_group(df, [] if added else keys) <= hot_rows:
         run = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
         out = df.select("*", *[F.sum(m).over(run).alias(f"cum_{m}") for m in measures])
-        return out.drop(ALL)
+        return out.drop(ALL) if added else out
 
     coarse = [i / _FINE for i in range(1, _FINE)]
     fine = [i / (_FINE * _FINE) for i in range(1, _FINE * _FINE)]
@@ -111,7 +111,7 @@ def ordered_prefix(
         *[c for c in df.columns],
         *[(F.col(f"_l_{m}") + F.col(f"_o_{m}")).alias(f"cum_{m}") for m in measures],
     )
-    return out.drop(ALL)
+    return out.drop(ALL) if added else out
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
