@@ -134,18 +134,17 @@ KN = f"WITH {TX}, {IMP}, {MET}"
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """events with a deterministic score (amount and type) against the error label."""
     e = table(spark, sf, "events")
-    s = F.round(
-        F.lit(0.6) * F.least(F.col("value") / 100, F.lit(1.0))
-        + F.when(F.col("event_type").isin("error", "click"), F.lit(0.3)).otherwise(F.lit(0.0)),
-        3,
-    )
+    # whole thousandths, so that both engines see the same ties
+    s = F.floor(F.least(F.col("value"), F.lit(100.0)) * 6) / 1000 + F.when(
+        F.col("event_type").isin("error", "click"), F.lit(0.3)
+    ).otherwise(F.lit(0.0))
     return e.select("event_id", "user_id", "ts", "value", "event_type", (F.col("event_type") == "error").alias("is_fraud"), s.alias("score"))
 
 
 SCORED = """scored AS (
   SELECT event_id, user_id, ts, value, event_type, event_type = 'error' AS is_fraud,
-         round(0.6::DOUBLE * least(value / 100, 1.0::DOUBLE)
-               + CASE WHEN event_type IN ('error', 'click') THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END, 3) AS score
+         floor(least(value, 100.0::DOUBLE) * 6) / 1000
+         + CASE WHEN event_type IN ('error', 'click') THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END AS score
   FROM events)"""
 
 
