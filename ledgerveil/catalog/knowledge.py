@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerveil.catalog.base import KN, importances, metrics, query, rounded
 from ledgerveil.operators import alerts, central, library, mining, reports
-from ledgerveil.session import durable_dir
+from ledgerveil.session import durable_dir, materialize
 from ledgerveil.sources import tables
 
 _NB = "nb AS (SELECT round, count(DISTINCT bank_id) AS n_banks FROM imp GROUP BY 1)"
@@ -160,7 +160,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _alerts(spark: SparkSession, sf: str) -> DataFrame:
-    return alerts.analyze(importances(spark, sf), metrics(spark, sf))
+    return materialize(alerts.analyze(importances(spark, sf), metrics(spark, sf)), "alerts")
 
 
 @query("alert_filter", f"{_ALERTS} SELECT {_AC} FROM aa WHERE severity = 'critical' ORDER BY round DESC, alert_id LIMIT 20")
@@ -266,13 +266,14 @@ def _store(spark: SparkSession, sf: str) -> DataFrame:
     found = mining.mine(importances(spark, sf), metrics(spark, sf))
     dated = mining.to_entries(found).withColumn("r", F.regexp_extract("pattern_id", r"-R(\d+)-", 1).cast("int"))
     age = F.lit(2001 * 12 + 12) - F.col("r")
-    return library.as_entries(
+    entries = library.as_entries(
         dated.withColumns(
             {"last_seen": F.timestamp_seconds(F.unix_timestamp(_when()) - age * 86400), "updated_at": F.timestamp_seconds(F.unix_timestamp(_when()) - age * 3600),
              "frequency_per_day": F.col("source_bank_count") / 10}
         ).drop("r"),
         _when(),
     )
+    return materialize(entries, "library")
 
 
 _LIB = f"""{_MINE}, lb AS (SELECT pattern_id, name, pattern_type, severity, confidence, observation_count, source_bank_count, feature, signature, round, (2001 * 12 + 12) - round AS age FROM mi),
@@ -382,7 +383,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     i, m = importances(spark, sf), metrics(spark, sf)
     profiles, rounds = central.bank_profiles(m), central.round_history(m)
     return reports.global_report(
-        central.global_statistics(profiles, rounds), central.trend(rounds), central.feature_ranking(i), _store(spark, sf), alerts.analyze(i, m), central.risk_scores(profiles), _when()
+        central.global_statistics(profiles, rounds), central.trend(rounds), central.feature_ranking(i), _store(spark, sf), _alerts(spark, sf), central.risk_scores(profiles), _when()
     )
 
 

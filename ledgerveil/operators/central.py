@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerveil.operators import alerts, library, mining
 from ledgerveil.plans.ranking import ordered_prefix, with_totals
+from ledgerveil.session import materialize
 
 EMA_NEW = 0.3
 IMPORTANCE_WINDOW = 50
@@ -160,9 +161,12 @@ def ingest(
     importances: DataFrame, metrics: DataFrame, store: DataFrame, as_of: Column, dp_noise_scale: float = 0.1,
     seed: int | None = None,
 ) -> dict[str, DataFrame]:
-    """All results of new rounds: profiles, mined patterns, alerts and the next library snapshot."""
+    """All results of new rounds: profiles, mined patterns, alerts and the next library snapshot.
+
+    The mined patterns are written once; both the result and the snapshot read them.
+    """
     noised = mining.divergence_patterns(importances, dp_noise_scale, seed).unionByName(mining.fraud_rate_anomalies(metrics))
-    mined = mining.mine(importances, metrics)
+    mined = materialize(mining.mine(importances, metrics), "mined")
     # several rounds may rediscover one id only across batches: ids carry the round number
     entries = library.as_entries(mining.to_entries(noised.unionByName(mined, allowMissingColumns=True)), as_of)
     entries = entries.dropDuplicates(["pattern_id"])

@@ -3,7 +3,8 @@
 Inputs are long tables: importances (round, bank_id, feature, importance) and metrics
 (round, bank_id, fraud_rate, ...). Every function handles all rounds of the input at once.
 A feature an institution does not report counts as 0, which is arithmetic on sums and
-institution counts; the dense institution x feature table is never built.
+institution counts; the dense institution x feature table is never built. The miners read
+their inputs several times: pass stored tables, not long uncached plans.
 """
 
 from __future__ import annotations
