@@ -1 +1,129 @@
-"""placeholder"""
+"""Streaming jobs run over the tables until the present input is consumed."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerveil.catalog.base import query, rounded
+from ledgerveil.operators import ledger
+from ledgerveil.session import durable_dir
+from ledgerveil.sources.tables import table
+from ledgerveil.streaming import jobs
+
+
+def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return jobs.read_parquet_stream(spark, sf, table(spark, sf, name).schema, f"{name}.parquet")
+
+
+_WINDOWS = """wn AS (SELECT make_timestamp(({step} * (epoch_us(ts) // {step}) - {step} * unnest(range(0, {k})))::BIGINT) AS window_start, {actor} AS actor FROM events {where}),
+  wc AS (SELECT window_start, window_start + INTERVAL {length} AS window_end, actor, count(*) AS n FROM wn GROUP BY 1, 2, 3)"""
+
+
+def _windows(length: str, length_us: int, step_us: int, actor: str, where: str = "") -> str:
+    return _WINDOWS.format(step=step_us, k=length_us // step_us, actor=actor, length=length, where=where)
+
+
+_MIN = 60_000_000
+_SHOW = "strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(window_end, '%Y-%m-%d %H:%M:%S') AS window_end, actor, n"
+
+
+def _show(df: DataFrame) -> DataFrame:
+    return df.select(*[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("window_start", "window_end")], "actor", "n")
+
+
+@query("rule_windows_batch", f"WITH {_windows('6 HOUR', 360 * _MIN, 60 * _MIN, 'user_id % 10', chr(10) + chr(32) + 'WHERE event_type = ' + repr('error'))} SELECT {_SHOW} FROM wc WHERE n > 5")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The batch twin of the streaming rule."""
+    e = table(spark, sf, "events").withColumn("actor", F.col("user_id") % 10)
+    return _show(jobs.threshold_rule(e, "ts", "actor", F.col("event_type") == "error", "6 hours", "1 hour", 5))
+
+
+@query(
+    "rule_windows_stream",
+    f"""WITH {_windows('6 HOUR', 360 * _MIN, 60 * _MIN, 'user_id % 10', chr(10) + chr(32) + 'WHERE event_type = ' + repr('error'))}
+      SELECT {_SHOW} FROM wc WHERE n > 5 AND window_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events WHERE event_type = 'error')""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Append mode: a window is written once the watermark has passed its end."""
+    e = _stream(spark, sf, "events").withColumn("actor", F.col("user_id") % 10)
+    rule = jobs.threshold_rule(e, "ts", "actor", F.col("event_type") == "error", "6 hours", "1 hour", 5, watermark="1 hour")
+    out, cp = durable_dir(spark, "rule"), durable_dir(spark, "rule-checkpoint")
+    jobs.to_parquet(rule, out, cp).awaitTermination()
+    return _show(spark.read.schema(rule.schema).parquet(out))
+
+
+@query(
+    "velocity_stream",
+    f"""WITH {_windows('1 HOUR', 60 * _MIN, 10 * _MIN, 'user_id')} SELECT {_SHOW} FROM wc WHERE window_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = jobs.velocity_stream(_stream(spark, sf, "events").withColumnRenamed("user_id", "actor"), "ts", "actor")
+    out, cp = durable_dir(spark, "velocity"), durable_dir(spark, "velocity-checkpoint")
+    jobs.to_parquet(v, out, cp).awaitTermination()
+    return _show(spark.read.schema(v.schema).parquet(out))
+
+
+@query("unusual_hours", "SELECT event_id, user_id FROM events WHERE event_type = 'signup' AND hour(ts) >= 2 AND hour(ts) < 5")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.unusual_hours(table(spark, sf, "events"), "ts", F.col("event_type") == "signup").select("event_id", "user_id")
+
+
+@query("upload_stream", "SELECT l_suppkey AS bank_id, count(*) AS n_rows, sum((l_returnflag = 'R')::INT)::BIGINT AS n_fraud, round(avg((l_returnflag = 'R')::INT), 8) AS fraud_rate FROM lineitem GROUP BY 1")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Each micro-batch is ingested by the batch operator and written under its id."""
+    s = _stream(spark, sf, "lineitem").select(F.col("l_suppkey").alias("bank_id"), (F.col("l_returnflag") == "R").alias("is_fraud"))
+    out, cp = durable_dir(spark, "uploads"), durable_dir(spark, "uploads-checkpoint")
+    jobs.each_batch(s, jobs.batch_writer(jobs.ingest_uploads, out), cp).awaitTermination()
+    return rounded(spark.read.parquet(out).select("bank_id", "n_rows", "n_fraud", "fraud_rate"), 8)
+
+
+@query("monitoring_stream", "SELECT event_id, value > 80 AS flagged FROM events")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Scoring per micro-batch with a batch operator."""
+
+    def flag(batch: DataFrame) -> DataFrame:
+        return batch.select("event_id", (F.col("value") > 80).alias("flagged"))
+
+    out, cp = durable_dir(spark, "monitor"), durable_dir(spark, "monitor-checkpoint")
+    jobs.each_batch(_stream(spark, sf, "events"), jobs.batch_writer(flag, out), cp).awaitTermination()
+    return spark.read.parquet(out).select("event_id", "flagged")
+
+
+@query(
+    "compliance_alerts",
+    """SELECT CASE WHEN c_acctbal <= 0 THEN 'privacy_budget_exhausted' ELSE 'privacy_budget_low' END AS rule, CASE WHEN c_acctbal <= 0 THEN 'critical' ELSE 'warning' END AS severity, c_custkey::VARCHAR AS subject
+        FROM customer WHERE c_acctbal / 1000 < 0.2
+      UNION ALL SELECT 'consent_expiring', 'info', o_orderkey::VARCHAR FROM orders WHERE o_orderdate > TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1998-01-31'
+      UNION ALL SELECT 'k_anonymity_violation', 'critical', l_suppkey::VARCHAR FROM (SELECT l_suppkey, l_returnflag, l_linestatus, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL) WHERE n < 5""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    budget = table(spark, sf, "customer").select(F.col("c_custkey").alias("account"), (F.col("c_acctbal") / 1000).alias("remaining_epsilon"))
+    consents = table(spark, sf, "orders").select(F.col("o_orderkey").alias("subject"), F.col("o_orderdate").cast("timestamp").alias("expires_at"))
+    classes = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_returnflag", "l_linestatus", "l_linenumber").agg(F.count(F.lit(1)).alias("k_anonymity"))
+    return jobs.compliance_alerts(budget, classes.withColumnRenamed("l_suppkey", "table_name"), None, consents, as_of=F.lit("1998-01-01 00:00:00").cast("timestamp"))
+
+
+@query("compliance_indicators")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Budget, class size, detections, consent coverage and audit volume."""
+    from ledgerveil.catalog.privacy import _ledger
+    from ledgerveil.catalog.quality import _contact_table, _events
+    from ledgerveil.operators import profile, reports
+
+    consents = table(spark, sf, "customer").select(
+        (F.col("c_acctbal") > 0).alias("consent_given"), F.lit("1996-01-01 00:00:00").cast("timestamp").alias("consent_timestamp"), (F.col("c_custkey") % 900).alias("retention_period_days")
+    )
+    return reports.compliance_indicators(
+        ledger.summary(_ledger(spark, sf), 10.0), profile.equivalence_classes(table(spark, sf, "customer"), ["c_nationkey", "c_mktsegment"]),
+        profile.detect(_contact_table(spark, sf)), consents, _events(spark, sf), F.lit("1997-01-01 00:00:00").cast("timestamp"),
+    )
+
+
+@query("client_vector_stream", "SELECT (vec_id // 50)::BIGINT AS round, count(*) AS n_clients FROM embeddings GROUP BY 1")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Client updates arriving as files, counted per round in each micro-batch."""
+    out, cp = durable_dir(spark, "vectors"), durable_dir(spark, "vectors-checkpoint")
+    s = _stream(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 50).alias("round"), "vec_id")
+    jobs.each_batch(s, jobs.batch_writer(lambda b: b.groupBy("round").agg(F.count(F.lit(1)).alias("n_clients")), out), cp).awaitTermination()
+    return spark.read.parquet(out).groupBy("round").agg(F.sum("n_clients").alias("n_clients"))
