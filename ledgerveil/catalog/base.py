@@ -78,23 +78,37 @@ TX = """tx AS (
   JOIN part ON l_partkey = p_partkey)"""
 
 
-def importances(spark: SparkSession, sf: str) -> DataFrame:
-    """(round, bank_id, feature, importance): shares of fraud value by part type, and scaled means.
+def round_base(spark: SparkSession, sf: str) -> DataFrame:
+    """Sums per (round, institution, part type, fraud), written once.
 
-    Written once as a table, as institutions' reports are: the miners read it several
-    times and must not repeat the join behind it.
+    The join behind it runs a single time; importances and metrics are small
+    aggregations of this table, as they would be of the institutions' own reports.
     """
-    fraud = transactions(spark, sf).where("is_fraud")
     v = F.col("l_extendedprice") * (F.col("l_discount") + 0.01)
-    by_type = fraud.groupBy("round", "bank_id", "p_type").agg(F.sum(v).alias("v"))
-    total = by_type.groupBy("round", "bank_id").agg(F.sum("v").alias("t"))
-    shares = by_type.join(total, ["round", "bank_id"]).select(
-        "round", "bank_id", F.col("p_type").alias("feature"), (F.lit(0.5) * F.col("v") / F.col("t")).alias("importance")
+    hit = (F.col("l_discount") >= 0.05) == F.col("is_fraud")
+    base = transactions(spark, sf).groupBy("round", "bank_id", "p_type", "is_fraud").agg(
+        F.sum(v).alias("v"),
+        F.sum("l_quantity").alias("quantity"),
+        F.sum("l_discount").alias("discount"),
+        F.sum("l_tax").alias("tax"),
+        F.sum(hit.cast("int")).alias("hits"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    return materialize(base, "rounds")
+
+
+def importances(spark: SparkSession, sf: str, base: DataFrame | None = None) -> DataFrame:
+    """(round, bank_id, feature, importance): shares of fraud value by part type, and scaled means."""
+    fraud = (round_base(spark, sf) if base is None else base).where("is_fraud")
+    total = fraud.groupBy("round", "bank_id").agg(*[F.sum(c).alias(c) for c in ("v", "quantity", "discount", "tax", "n")])
+    shares = fraud.select("round", "bank_id", "p_type", F.col("v").alias("x")).join(total, ["round", "bank_id"]).select(
+        "round", "bank_id", F.col("p_type").alias("feature"), (F.lit(0.5) * F.col("x") / F.col("v")).alias("importance")
     )
-    means = fraud.groupBy("round", "bank_id").agg(
-        (F.avg("l_quantity") / 50 * 0.2).alias("quantity"),
-        (F.avg("l_discount") * 2).alias("discount"),
-        (F.avg("l_tax") * 2.5).alias("tax"),
+    means = total.select(
+        "round", "bank_id",
+        (F.col("quantity") / F.col("n") / 50 * 0.2).alias("quantity"),
+        (F.col("discount") / F.col("n") * 2).alias("discount"),
+        (F.col("tax") / F.col("n") * 2.5).alias("tax"),
     )
     long = means.unpivot(["round", "bank_id"], ["quantity", "discount", "tax"], "feature", "importance")
     return materialize(shares.unionByName(long), "importances")
@@ -113,19 +127,24 @@ imp AS (
   UNION ALL SELECT round, bank_id, 'tax', tax FROM mn)"""
 
 
-def metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """(round, bank_id, fraud_rate, accuracy, loss, num_samples, num_fraud), written once."""
-    hit = (F.col("l_discount") >= 0.05) == F.col("is_fraud")
-    out = transactions(spark, sf).groupBy("round", "bank_id").agg(
-        F.avg(F.col("is_fraud").cast("int")).alias("fraud_rate"),
-        F.avg(hit.cast("int")).alias("accuracy"),
-        (F.avg("l_tax") * 10).alias("loss"),
-        F.count(F.lit(1)).alias("num_samples"),
-        F.sum(F.col("is_fraud").cast("int")).alias("num_fraud"),
+def metrics(spark: SparkSession, sf: str, base: DataFrame | None = None) -> DataFrame:
+    """(round, bank_id, fraud_rate, accuracy, loss, num_samples, num_fraud)."""
+    out = (round_base(spark, sf) if base is None else base).groupBy("round", "bank_id").agg(
+        (F.sum(F.when(F.col("is_fraud"), F.col("n")).otherwise(0)) / F.sum("n")).alias("fraud_rate"),
+        (F.sum("hits") / F.sum("n")).alias("accuracy"),
+        (F.sum("tax") / F.sum("n") * 10).alias("loss"),
+        F.sum("n").alias("num_samples"),
+        F.sum(F.when(F.col("is_fraud"), F.col("n")).otherwise(0)).alias("num_fraud"),
     )
     return materialize(out, "metrics")
 
 
+def both(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(importances, metrics) from one pass over the transactions."""
+    base = round_base(spark, sf)
+    return importances(spark, sf, base), metrics(spark, sf, base)
+
+
 MET = """met AS (
   SELECT round, bank_id, avg(is_fraud::INT) AS fraud_rate,
          avg(((l_discount >= 0.05::DOUBLE) = is_fraud)::INT) AS accuracy, avg(l_tax) * 10 AS loss,

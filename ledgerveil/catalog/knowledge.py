@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerveil.catalog.base import KN, importances, metrics, query, rounded
+from ledgerveil.catalog.base import KN, both, importances, metrics, query, rounded
 from ledgerveil.operators import alerts, central, library, mining, reports
 from ledgerveil.session import durable_dir, materialize
 from ledgerveil.sources import tables
@@ -81,7 +81,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("mine_combined", f"{KN}, {_COMB} SELECT {_COLS} FROM p4")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(mining.combined_indicators(importances(spark, sf), metrics(spark, sf)).select(*_SHOW))
+    return rounded(mining.combined_indicators(*both(spark, sf)).select(*_SHOW))
 
 
 _MINE = f"""{KN}, {_DELTA}, {_OUT}, {_CONS}, {_COMB}, al AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4),
@@ -91,7 +91,7 @@ _MINE = f"""{KN}, {_DELTA}, {_OUT}, {_CONS}, {_COMB}, al AS (SELECT * FROM p1 UN
 
 @query("mining_run", f"{_MINE} SELECT {_COLS} FROM mi")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(mining.mine(importances(spark, sf), metrics(spark, sf)).select(*_SHOW))
+    return rounded(mining.mine(*both(spark, sf)).select(*_SHOW))
 
 
 @query(
@@ -100,7 +100,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
       LEFT JOIN (SELECT round, count(*) AS n FROM met GROUP BY 1) b ON a.round = b.round LEFT JOIN (SELECT round, count(*) AS n FROM mi GROUP BY 1) c ON a.round = c.round""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    i, m = importances(spark, sf), metrics(spark, sf)
+    i, m = both(spark, sf)
     return mining.run_summary(mining.mine(i, m), i, m)
 
 
@@ -159,8 +159,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(alerts.cross_bank_correlation(metrics(spark, sf)).select(*_ASHOW))
 
 
-def _alerts(spark: SparkSession, sf: str) -> DataFrame:
-    return materialize(alerts.analyze(importances(spark, sf), metrics(spark, sf)), "alerts")
+def _alerts(spark: SparkSession, sf: str, rounds: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    return materialize(alerts.analyze(*(rounds or both(spark, sf))), "alerts")
 
 
 @query("alert_filter", f"{_ALERTS} SELECT {_AC} FROM aa WHERE severity = 'critical' ORDER BY round DESC, alert_id LIMIT 20")
@@ -261,9 +261,9 @@ def _when() -> Column:
     return F.lit(_AS_OF).cast("timestamp")
 
 
-def _store(spark: SparkSession, sf: str) -> DataFrame:
+def _store(spark: SparkSession, sf: str, rounds: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Patterns mined from all rounds, last seen as many days ago as their round is old."""
-    found = mining.mine(importances(spark, sf), metrics(spark, sf))
+    found = mining.mine(*(rounds or both(spark, sf)))
     dated = mining.to_entries(found).withColumn("r", F.regexp_extract("pattern_id", r"-R(\d+)-", 1).cast("int"))
     age = F.lit(2001 * 12 + 12) - F.col("r")
     entries = library.as_entries(
@@ -350,14 +350,14 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """Central profiles, mining and alerts of all rounds in one job."""
-    out = central.ingest(importances(spark, sf), metrics(spark, sf), library.baseline(spark, _AS_OF), _when(), 0.0)
+    out = central.ingest(*both(spark, sf), library.baseline(spark, _AS_OF), _when(), 0.0)
     n = lambda k: out[k].agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("part"), "n")
     return n("patterns").unionByName(n("profiles"))
 
 
 @query("library_after_ingest")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    out = central.ingest(importances(spark, sf), metrics(spark, sf), library.baseline(spark, _AS_OF), _when(), 0.0)
+    out = central.ingest(*both(spark, sf), library.baseline(spark, _AS_OF), _when(), 0.0)
     return library.statistics(out["library"])
 
 
@@ -372,35 +372,37 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("knowledge_snapshot")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    i, m = importances(spark, sf), metrics(spark, sf)
+    i, m = both(spark, sf)
     rounds = central.round_history(m)
     stats = central.global_statistics(central.bank_profiles(m), rounds)
-    return central.snapshot(1, _AS_OF, library.statistics(_store(spark, sf)), stats, central.feature_ranking(i), rounds)
+    return central.snapshot(1, _AS_OF, library.statistics(_store(spark, sf, (i, m))), stats, central.feature_ranking(i), rounds)
 
 
 @query("global_report")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    i, m = importances(spark, sf), metrics(spark, sf)
+    i, m = both(spark, sf)
     profiles, rounds = central.bank_profiles(m), central.round_history(m)
     return reports.global_report(
-        central.global_statistics(profiles, rounds), central.trend(rounds), central.feature_ranking(i), _store(spark, sf), _alerts(spark, sf), central.risk_scores(profiles), _when()
+        central.global_statistics(profiles, rounds), central.trend(rounds), central.feature_ranking(i), _store(spark, sf, (i, m)), _alerts(spark, sf, (i, m)), central.risk_scores(profiles), _when()
     )
 
 
 @query("bank_report")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.bank_report("7", central.bank_profiles(metrics(spark, sf)), _store(spark, sf), _alerts(spark, sf), _when())
+    i, m = both(spark, sf)
+    return reports.bank_report("7", central.bank_profiles(m), _store(spark, sf, (i, m)), _alerts(spark, sf, (i, m)), _when())
 
 
 @query("emergent_briefing")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.emergent_briefing(_store(spark, sf), _alerts(spark, sf))
+    i, m = both(spark, sf)
+    return reports.emergent_briefing(_store(spark, sf, (i, m)), _alerts(spark, sf, (i, m)))
 
 
 @query("compliance_report")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    m = metrics(spark, sf)
-    return reports.compliance_report(central.global_statistics(central.bank_profiles(m), central.round_history(m)), _store(spark, sf))
+    i, m = both(spark, sf)
+    return reports.compliance_report(central.global_statistics(central.bank_profiles(m), central.round_history(m)), _store(spark, sf, (i, m)))
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerveil.catalog.base import SCORED, query, rounded, scored
 from ledgerveil.operators import evaluate, forest, models, split
+from ledgerveil.plans.ranking import with_totals
 from ledgerveil.session import durable_dir
 from ledgerveil.sources.tables import table
 
@@ -45,7 +46,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     """Cross-validation on the training part, then metrics on the test part (logistic model)."""
     df = split.kfold(_split(spark, sf), "is_fraud", ["event_id"], 3)
     _, test, cv = models.train_and_evaluate(df, "is_fraud", "split", lambda: models.logistic(_FEATURES), _FEATURES, fold="fold", folds=3)
-    return test.join(cv)
+    return with_totals(test, cv, [])
 
 
 @query("batch_scoring")

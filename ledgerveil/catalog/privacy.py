@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerveil.catalog.base import SCORED, query, rounded, scored
 from ledgerveil.operators import ledger, privacy
+from ledgerveil.plans.ranking import with_totals
 from ledgerveil.sources.tables import table
 
 _D = math.log(1e5)
@@ -163,4 +164,4 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     led = _ledger(spark, sf)
     answer, after = ledger.query_with_debit(table(spark, sf, "customer"), led, 0, 50.0, "count", 0.5, by=["c_mktsegment"], seed=5)
     last = after.agg(F.max("seq").alias("seq"), F.count(F.lit(1)).alias("ledger_rows"))
-    return answer.join(last)
+    return with_totals(answer, last, [])

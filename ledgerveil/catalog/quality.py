@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerveil.catalog.base import query, rounded
 from ledgerveil.functions import binning, hashing, masking, pii
 from ledgerveil.operators import audit, certify, profile, transform
+from ledgerveil.plans.ranking import with_totals
 from ledgerveil.session import durable_dir
 from ledgerveil.sources.tables import table
 
@@ -331,9 +332,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("certify_full_run")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     _, certificate, events = certify.full_run(_contact_table(spark, sf), "contacts", _KEY, "2026-01-01T00:00:00")
-    return certificate.select("certification_level", "certification_score", "total_columns", "transformed_columns").join(
-        events.agg(F.count(F.lit(1)).alias("audit_events"))
-    )
+    shown = certificate.select("certification_level", "certification_score", "total_columns", "transformed_columns")
+    return with_totals(shown, events.agg(F.count(F.lit(1)).alias("audit_events")), [])
 
 
 @query("certificate_text")

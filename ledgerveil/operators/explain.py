@@ -1,4 +1,4 @@
-"""Batch explanation of predictions: one projection per row, no shuffle."""
+"""Batch explanation of predictions: one projection per row, no joins or groups."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerveil.functions import scoring
+from ledgerveil.plans.sizing import spread
 
 
 def explain(
@@ -21,7 +22,8 @@ def explain(
     guess = scoring.estimated_importance(v)
     s = guess if scores is None else F.when(F.size(F.coalesce(F.col(scores), F.create_map().cast("map<string,double>"))) > 0, F.col(scores)).otherwise(guess)
     tags, tag_conf = scoring.tag_predictions(v)
-    base = df.select(
+    needed = [transaction_id, prediction, values] + ([scores] if scores else [])
+    base = spread(df.select(*needed)).select(
         F.col(transaction_id).alias("transaction_id"), p.alias("prediction"), scoring.risk_level(p).alias("risk_level"),
         scoring.ranked_features(v, s, top_k).alias("top_features"), tags.alias("patterns"), tag_conf.alias("_tc"),
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerveil.operators import evaluate
 from ledgerveil.operators.models import clean_value
-from ledgerveil.plans.sizing import bounded_rows
+from ledgerveil.plans.sizing import bounded_rows, spread
 
 SAMPLE = 256
 TREES = 200
@@ -114,7 +114,7 @@ def anomaly_scores(df: DataFrame, forest: DataFrame, features: Sequence[str], sa
             total += depth + extra[np.minimum(size[at], sample)]
         return pd.Series(np.power(2.0, -(total / max(len(shared.value), 1)) / norm))
 
-    return df.withColumn(out, depth_score(F.struct(*[clean_value(f) for f in feats])))
+    return spread(df).withColumn(out, depth_score(F.struct(*[clean_value(f) for f in feats])))
 
 
 def scaled(df: DataFrame, raw: str = "raw_score", out: str = "score") -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ledgerveil.functions import noise
 from ledgerveil.functions.hashing import feature_tag
 from ledgerveil.plans.ranking import with_totals
+from ledgerveil.session import materialize
 
 PER_ROUND_LIMIT = 50
 BASELINE_LENGTH = 100
@@ -47,12 +48,16 @@ def feature_stats(importances: DataFrame) -> DataFrame:
     )
 
 
-def round_over_round(importances: DataFrame) -> DataFrame:
-    """(round, feature, n_banks, curr_mean, prev_mean) for rounds that have a predecessor."""
-    stats = feature_stats(importances).select("round", "feature", "mean")
+def round_over_round(importances: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """(round, feature, n_banks, curr_mean, prev_mean) for rounds that have a predecessor.
+
+    ``stats``: the result of feature_stats, when the caller already has it.
+    """
+    known = feature_stats(importances) if stats is None else stats
+    stats = known.select("round", "feature", "mean")
     prev = stats.select((F.col("round") + 1).alias("round"), "feature", F.col("mean").alias("prev_mean"))
     both = stats.withColumnRenamed("mean", "curr_mean").join(prev, ["round", "feature"], "full")
-    banks = banks_per_round(importances)
+    banks = known.groupBy("round").agg(F.max("n_banks").alias("n_banks"))
     has_prev = banks.select((F.col("round") + 1).alias("round"))
     rounds = banks.join(has_prev, "round", "left_semi")
     return with_totals(both, rounds, ["round"]).select(
@@ -66,9 +71,11 @@ def _text(c: Column) -> Column:
     return c.cast("string")
 
 
-def feature_deltas(importances: DataFrame, threshold: float = 0.3, minimum: float = 0.01) -> DataFrame:
+def feature_deltas(
+    importances: DataFrame, threshold: float = 0.3, minimum: float = 0.01, stats: DataFrame | None = None
+) -> DataFrame:
     """Importance that moved by at least the threshold relative to max(previous, minimum)."""
-    j = round_over_round(importances)
+    j = round_over_round(importances, stats)
     cur, prev = F.col("curr_mean"), F.col("prev_mean")
     delta = F.abs(cur - prev) / F.greatest(prev, F.lit(minimum))
     direction = F.when(cur > prev, F.lit("increased")).otherwise(F.lit("decreased"))
@@ -95,9 +102,9 @@ def feature_deltas(importances: DataFrame, threshold: float = 0.3, minimum: floa
     )
 
 
-def cross_bank_outliers(importances: DataFrame, z: float = 2.0) -> DataFrame:
+def cross_bank_outliers(importances: DataFrame, z: float = 2.0, stats: DataFrame | None = None) -> DataFrame:
     """Features some institution weighs more than z deviations away from the mean (>= 3 institutions)."""
-    stats = feature_stats(importances).where((F.col("n_banks") >= 3) & (F.col("std") >= 1e-6))
+    stats = (feature_stats(importances) if stats is None else stats).where((F.col("n_banks") >= 3) & (F.col("std") >= 1e-6))
     away = F.abs(F.col("importance") - F.col("mean")) > F.lit(z) * F.col("std")
     present = (
         importances.join(stats.select("round", "feature", "mean", "std"), ["round", "feature"])
@@ -148,9 +155,11 @@ def baselines(importances: DataFrame, length: int = BASELINE_LENGTH) -> DataFram
     )
 
 
-def feature_consensus(importances: DataFrame, minimum: float = 0.05, max_cv: float = 0.3) -> DataFrame:
+def feature_consensus(
+    importances: DataFrame, minimum: float = 0.05, max_cv: float = 0.3, stats: DataFrame | None = None
+) -> DataFrame:
     """Features all institutions agree on, unless the baseline already knows that level (>= 2 institutions)."""
-    stats = feature_stats(importances).where(F.col("n_banks") >= 2)
+    stats = (feature_stats(importances) if stats is None else stats).where(F.col("n_banks") >= 2)
     cv = F.col("std") / (F.col("mean") + F.lit(1e-9))
     cand = stats.withColumn("cv", cv).where((F.col("mean") > minimum) & (F.col("cv") < max_cv))
     known = F.col("baseline").isNotNull() & (F.abs(F.col("mean") - F.col("baseline")) < F.lit(0.1) * F.col("mean"))
@@ -242,11 +251,15 @@ def deduplicate(found: DataFrame) -> DataFrame:
 
 
 def mine(importances: DataFrame, metrics: DataFrame, limit: int = PER_ROUND_LIMIT) -> DataFrame:
-    """All four strategies, deduplicated; each round's report keeps its first ``limit`` patterns."""
+    """All four strategies, deduplicated; each round's report keeps its first ``limit`` patterns.
+
+    The statistics per (round, feature) are written once for the three miners that use them.
+    """
+    stats = materialize(feature_stats(importances), "feature-stats")
     found = (
-        feature_deltas(importances)
-        .unionByName(cross_bank_outliers(importances))
-        .unionByName(feature_consensus(importances))
+        feature_deltas(importances, stats=stats)
+        .unionByName(cross_bank_outliers(importances, stats=stats))
+        .unionByName(feature_consensus(importances, stats=stats))
         .unionByName(combined_indicators(importances, metrics))
     )
     w = Window.partitionBy("round").orderBy("strategy", "pattern_id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerveil.functions import pii
+from ledgerveil.plans.sizing import spread
 
 MATCH_SCHEMA = T.StructType(
     [
@@ -69,12 +70,19 @@ def value_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
             [], "column_name string, ord int, pii_type string, pattern string, n_values bigint, n_match bigint"
         )
     patterns = pii.value_pattern_list()
+    # every pattern needs a digit, an @ or a separator: one cheap look decides which ones to try
+    marks = {
+        "_digit": F.col("value").rlike("[0-9]"),
+        "_at": F.col("value").contains("@"),
+        "_sep": F.col("value").rlike("[:-]"),
+    }
     counts = (
-        _stacked(df, columns)
+        _stacked(spread(df.select(*columns)), columns)
+        .withColumns(marks)
         .groupBy("column_name")
         .agg(
             F.count("value").alias("n_values"),
-            *[F.count_if(F.col("value").rlike(p)).alias(f"m{i}") for i, _, p in patterns],
+            *[F.count_if(F.col(_mark(t, p)) & F.col("value").rlike(p)).alias(f"m{i}") for i, t, p in patterns],
         )
     )
     cells = [
@@ -86,6 +94,15 @@ def value_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     )
 
 
+def _mark(pii_type: str, pattern: str) -> str:
+    """The character class without which a value pattern cannot match."""
+    if pii_type == "email":
+        return "_at"
+    if pii_type == "mac_address" or "a-fA-F" in pattern:
+        return "_sep"
+    return "_digit"
+
+
 def _lookup(key: Column, table: dict[str, str], default: str) -> Column:
     out = None
     for k, v in table.items():
@@ -253,7 +270,7 @@ def character_entropy(
 ) -> DataFrame:
     """Gate 4: Shannon entropy of the characters of every text column, over the whole table."""
     columns = list(columns if columns is not None else string_columns(df))
-    values = _stacked(df, columns).where(F.col("value").isNotNull())
+    values = _stacked(spread(df.select(*columns)), columns).where(F.col("value").isNotNull())
     distinct = values.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("m"))
     ratio = distinct.groupBy("column_name").agg(
         (F.count(F.lit(1)) / F.sum("m")).alias("unique_ratio"), F.sum("m").alias("n_values")

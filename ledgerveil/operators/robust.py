@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerveil.functions import noise, vectors
 from ledgerveil.plans.ranking import exact_quantiles, ordered_prefix, value_counts, with_totals
+from ledgerveil.session import materialize
 
 BLOCK_ROWS = 512
 
@@ -156,15 +157,17 @@ def coordinate_median(df: DataFrame) -> DataFrame:
 
 
 def bulyan(df: DataFrame, byzantine: int = 0, ratio: float = 0.25) -> DataFrame:
-    """Distance-based selection of 2(n - 2f - 2) clients, then the trimmed mean; small rounds use Multi-Krum."""
-    f = byzantine
-    sizes = round_sizes(df)
-    big = sizes.where(F.col("n_clients") >= 4 * f + 3).select("round")
-    large = df.join(big, "round", "left_semi")
-    small = df.join(big, "round", "left_anti")
-    m = F.least(2 * (F.col("n_clients") - 2 * f - 2), F.col("n_clients"))
-    chosen = large.join(krum_select(large, f, m, 0), ["round", "client_id"], "left_semi")
-    return trimmed_mean(chosen, ratio).unionByName(multi_krum(small, f))
+    """Distance-based selection of 2(n - 2f - 2) clients, then the trimmed mean; small rounds use Multi-Krum.
+
+    One selection pass serves both kinds of round; its (round, client_id) rows are
+    written once because three aggregations read them.
+    """
+    f, n = byzantine, F.col("n_clients")
+    m = F.when(n >= 4 * f + 3, 2 * (n - 2 * f - 2)).when(n >= 2 * f + 3, n - f - 1).otherwise(n)
+    chosen = materialize(krum_select(df, f, m, 0), "selection")
+    kept = df.join(chosen, ["round", "client_id"], "left_semi")
+    big = round_sizes(df).where(n >= 4 * f + 3).select("round")
+    return trimmed_mean(kept.join(big, "round", "left_semi"), ratio).unionByName(fedavg(kept.join(big, "round", "left_anti")))
 
 
 # --- private aggregation, dispatch, fault injection ----------------------------------------

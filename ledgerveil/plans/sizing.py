@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+SPREAD_BYTES = 4 << 30
 
 
 class SizeExceeded(ValueError):
@@ -26,3 +27,16 @@ def join_small(
     """Broadcast ``small`` after counting it; a larger one is left to a shuffled join (AQE splits skew)."""
     n = small.limit(max_rows + 1).count()
     return big.join(F.broadcast(small) if n <= max_rows else small, on, how)
+
+
+def spread(df: DataFrame, limit: int = SPREAD_BYTES) -> DataFrame:
+    """Redistribute a small input over all cores before CPU-heavy row work.
+
+    A small table often sits in one file and row group, hence in one task. Only inputs
+    whose estimated size is within ``limit`` are shuffled; a large one already has
+    enough splits and is returned as it is.
+    """
+    if df.isStreaming:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= limit else df
