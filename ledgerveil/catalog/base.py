@@ -106,9 +106,9 @@ def importances(spark: SparkSession, sf: str, base: DataFrame | None = None) ->
     )
     means = total.select(
         "round", "bank_id",
-        (F.col("quantity") / F.col("n") / 50 * 0.2).alias("quantity"),
-        (F.col("discount") / F.col("n") * 2).alias("discount"),
-        (F.col("tax") / F.col("n") * 2.5).alias("tax"),
+        (F.col("quantity") / F.col("n") / 50 * 0.19871313).alias("quantity"),
+        (F.col("discount") / F.col("n") * 1.97834567).alias("discount"),
+        (F.col("tax") / F.col("n") * 2.48712357).alias("tax"),
     )
     long = means.unpivot(["round", "bank_id"], ["quantity", "discount", "tax"], "feature", "importance")
     return materialize(shares.unionByName(long), "importances")
@@ -118,8 +118,8 @@ IMP = """ty AS (
   SELECT round, bank_id, p_type AS feature, sum(l_extendedprice * (l_discount + 0.01::DOUBLE)) AS v
   FROM tx WHERE is_fraud GROUP BY ALL),
 mn AS (
-  SELECT round, bank_id, avg(l_quantity) / 50 * 0.2::DOUBLE AS quantity, avg(l_discount) * 2 AS discount,
-         avg(l_tax) * 2.5::DOUBLE AS tax FROM tx WHERE is_fraud GROUP BY ALL),
+  SELECT round, bank_id, avg(l_quantity) / 50 * 0.19871313::DOUBLE AS quantity, avg(l_discount) * 1.97834567::DOUBLE AS discount,
+         avg(l_tax) * 2.48712357::DOUBLE AS tax FROM tx WHERE is_fraud GROUP BY ALL),
 imp AS (
   SELECT round, bank_id, feature, 0.5::DOUBLE * v / sum(v) OVER (PARTITION BY round, bank_id) AS importance FROM ty
   UNION ALL SELECT round, bank_id, 'quantity', quantity FROM mn

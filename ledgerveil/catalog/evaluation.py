@@ -10,14 +10,14 @@ from ledgerveil.operators import evaluate, reports
 
 _CM = """count(*) FILTER (score >= {t} AND is_fraud) AS tp, count(*) FILTER (score >= {t} AND NOT is_fraud) AS fp,
   count(*) FILTER (score < {t} AND NOT is_fraud) AS tn, count(*) FILTER (score < {t} AND is_fraud) AS fn"""
-_RATES = """round((tp + tn) / (tp + fp + tn + fn), 8) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 8) AS "precision", round(coalesce(tp / nullif(tp + fn, 0), 0), 8) AS recall,
-  round(coalesce(tn / nullif(tn + fp, 0), 0), 8) AS specificity, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 8) AS f1,
-  round(coalesce(5 * tp / nullif(5 * tp + 4 * fn + fp, 0), 0), 8) AS f2, round(coalesce(fp / nullif(fp + tn, 0), 0), 8) AS fpr, round(coalesce(fn / nullif(fn + tp, 0), 0), 8) AS fnr"""
+_RATES = """round((tp + tn) / (tp + fp + tn + fn), 10) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 10) AS "precision", round(coalesce(tp / nullif(tp + fn, 0), 0), 10) AS recall,
+  round(coalesce(tn / nullif(tn + fp, 0), 0), 10) AS specificity, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 10) AS f1,
+  round(coalesce(5 * tp / nullif(5 * tp + 4 * fn + fp, 0), 0), 10) AS f2, round(coalesce(fp / nullif(fp + tn, 0), 0), 10) AS fpr, round(coalesce(fn / nullif(fn + tp, 0), 0), 10) AS fnr"""
 
 
 @query("confusion_matrix", f"WITH {SCORED}, c AS (SELECT {_CM.format(t=0.5)} FROM scored) SELECT *, {_RATES} FROM c")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(evaluate.confusion(scored(spark, sf), "is_fraud", "score"), 8)
+    return rounded(evaluate.confusion(scored(spark, sf), "is_fraud", "score"), 10)
 
 
 _CURVE = """g AS (SELECT score AS threshold, count(*) FILTER (is_fraud) AS pos, count(*) FILTER (NOT is_fraud) AS neg FROM scored GROUP BY 1),
@@ -25,23 +25,23 @@ _CURVE = """g AS (SELECT score AS threshold, count(*) FILTER (is_fraud) AS pos,
   k AS (SELECT *, tp / p AS recall, tp / (tp + fp) AS prec, 2 * tp / (p + tp + fp) AS f1 FROM r)"""
 
 
-@query("score_curve", f"""WITH {SCORED}, {_CURVE} SELECT threshold, pos, neg, tp::BIGINT AS tp, fp::BIGINT AS fp, round(recall, 8) AS tpr, round(fp / n, 8) AS fpr,
-  round(prec, 8) AS "precision", round(recall, 8) AS recall, round(f1, 8) AS f1 FROM k""")
+@query("score_curve", f"""WITH {SCORED}, {_CURVE} SELECT threshold, pos, neg, tp::BIGINT AS tp, fp::BIGINT AS fp, round(recall, 10) AS tpr, round(fp / n, 10) AS fpr,
+  round(prec, 10) AS "precision", round(recall, 10) AS recall, round(f1, 10) AS f1 FROM k""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(evaluate.curve(scored(spark, sf), "is_fraud", "score"), 8)
+    return rounded(evaluate.curve(scored(spark, sf), "is_fraud", "score"), 10)
 
 
-_AREAS = """round(sum(neg * (tp - pos + pos / 2)) / (max(p) * max(n)), 8) AS roc_auc, round(sum(pos * prec) / max(p), 8) AS average_precision"""
+_AREAS = """round(sum(neg * (tp - pos + pos / 2)) / (max(p) * max(n)), 10) AS roc_auc, round(sum(pos * prec) / max(p), 10) AS average_precision"""
 
 
 @query(
     "ranking_metrics",
     f"""WITH {SCORED}, {_CURVE} SELECT max(p)::BIGINT AS positives, max(n)::BIGINT AS negatives, {_AREAS},
-      (SELECT threshold FROM k ORDER BY f1 DESC, threshold LIMIT 1) AS best_threshold, round(max(f1), 8) AS best_f1,
-      round(coalesce(max(recall) FILTER (prec >= 0.9), 0), 8) AS recall_at_p90 FROM k""",
+      (SELECT threshold FROM k ORDER BY f1 DESC, threshold LIMIT 1) AS best_threshold, round(max(f1), 10) AS best_f1,
+      round(coalesce(max(recall) FILTER (prec >= 0.9), 0), 10) AS recall_at_p90 FROM k""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(evaluate.ranking_metrics(scored(spark, sf), "is_fraud", "score"), 8)
+    return rounded(evaluate.ranking_metrics(scored(spark, sf), "is_fraud", "score"), 10)
 
 
 def _tx_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,16 +56,16 @@ def _tx_scores(spark: SparkSession, sf: str) -> DataFrame:
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     m = evaluate.ranking_metrics(_tx_scores(spark, sf), "is_fraud", "score")
-    return rounded(m.select("positives", "negatives", "roc_auc", "average_precision"), 8)
+    return rounded(m.select("positives", "negatives", "roc_auc", "average_precision"), 10)
 
 
 @query(
     "cost_metrics",
     f"""WITH {SCORED}, c AS (SELECT {_CM.format(t=0.5)}, count(*) AS n FROM scored) SELECT fp * 1.0::DOUBLE + fn * 10.0::DOUBLE AS total_cost, fp * 1.0::DOUBLE AS fp_cost,
-      fn * 10.0::DOUBLE AS fn_cost, round((fp + fn * 10) / n, 8) AS cost_per_sample, round((fp + fn * 10) / (n * 10), 8) AS normalized_cost FROM c""",
+      fn * 10.0::DOUBLE AS fn_cost, round((fp + fn * 10) / n, 10) AS cost_per_sample, round((fp + fn * 10) / (n * 10), 10) AS normalized_cost FROM c""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(evaluate.cost_metrics(scored(spark, sf), "is_fraud", "score"), 8)
+    return rounded(evaluate.cost_metrics(scored(spark, sf), "is_fraud", "score"), 10)
 
 
 def _models(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,7 +91,7 @@ mm AS (SELECT rt.model, accuracy, "precision", recall, f1, roc_auc, average_prec
 
 @query("model_comparison", f"WITH {_MODELS} SELECT * FROM mm")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.rank_models(rounded(evaluate.model_metrics(_models(spark, sf), "model", "is_fraud", "score"), 8), "model")
+    return evaluate.rank_models(rounded(evaluate.model_metrics(_models(spark, sf), "model", "is_fraud", "score"), 10), "model")
 
 
 @query(
@@ -100,7 +100,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
       SELECT metric, max(value) AS best_value, min(model) FILTER (value = mx) AS best_model FROM (SELECT *, max(value) OVER (PARTITION BY metric) AS mx FROM lg) GROUP BY metric""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    m = rounded(evaluate.model_metrics(_models(spark, sf), "model", "is_fraud", "score"), 8)
+    m = rounded(evaluate.model_metrics(_models(spark, sf), "model", "is_fraud", "score"), 10)
     return evaluate.best_per_metric(m, "model")
 
 
@@ -111,16 +111,16 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
       r AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY fold) AS p, sum(neg) OVER (PARTITION BY fold) AS n FROM g
         WINDOW w AS (PARTITION BY fold ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)),
       a AS (SELECT fold, sum(neg * (tp - pos + pos / 2)) / (max(p) * max(n)) AS auc, sum(pos * tp / (tp + fp)) / max(p) AS ap FROM r GROUP BY 1)
-      SELECT round(avg(auc), 8) AS auc_roc_mean, round(stddev_pop(auc), 8) AS auc_roc_std, round(avg(ap), 8) AS auc_pr_mean, round(stddev_pop(ap), 8) AS auc_pr_std FROM a""",
+      SELECT round(avg(auc), 10) AS auc_roc_mean, round(stddev_pop(auc), 10) AS auc_roc_std, round(avg(ap), 10) AS auc_pr_mean, round(stddev_pop(ap), 10) AS auc_pr_std FROM a""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     s = scored(spark, sf).withColumn("fold", (F.col("event_id") % 5).cast("int"))
-    return rounded(evaluate.cross_validation(s, "fold", "is_fraud", "score"), 8)
+    return rounded(evaluate.cross_validation(s, "fold", "is_fraud", "score"), 10)
 
 
-@query("prediction_summary", f"WITH {SCORED} SELECT count(*) AS n_samples, count(*) FILTER (score >= 0.5) AS n_fraud, round(count(*) FILTER (score >= 0.5) / count(*), 8) AS fraud_rate FROM scored")
+@query("prediction_summary", f"WITH {SCORED} SELECT count(*) AS n_samples, count(*) FILTER (score >= 0.5) AS n_fraud, round(count(*) FILTER (score >= 0.5) / count(*), 10) AS fraud_rate FROM scored")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(evaluate.prediction_summary(scored(spark, sf), "score"), 8)
+    return rounded(evaluate.prediction_summary(scored(spark, sf), "score"), 10)
 
 
 @query(
@@ -144,12 +144,12 @@ _EDGES = [10, 20, 30, 40, 50, 75, 100, 200]
     f"""WITH {SCORED}, b AS (SELECT ts < TIMESTAMP '2024-01-16' AS base, len(list_filter({_EDGES}, lambda e: value > e)) AS bin FROM scored),
       s AS (SELECT bin, count(*) FILTER (base) / (SELECT count(*) FROM b WHERE base) AS p, count(*) FILTER (NOT base) / (SELECT count(*) FROM b WHERE NOT base) AS q FROM b GROUP BY 1),
       c AS (SELECT *, sum(p - q) OVER (ORDER BY bin) AS gap FROM s)
-      SELECT round(sum((greatest(p, 0.000001::DOUBLE) - greatest(q, 0.000001::DOUBLE)) * ln(greatest(p, 0.000001::DOUBLE) / greatest(q, 0.000001::DOUBLE))), 8) AS psi, round(max(abs(gap)), 8) AS ks FROM c""",
+      SELECT round(sum((greatest(p, 0.000001::DOUBLE) - greatest(q, 0.000001::DOUBLE)) * ln(greatest(p, 0.000001::DOUBLE) / greatest(q, 0.000001::DOUBLE))), 10) AS psi, round(max(abs(gap)), 10) AS ks FROM c""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     s = scored(spark, sf)
     cut = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
-    return rounded(evaluate.drift(s.where(F.col("ts") < cut), s.where(F.col("ts") >= cut), "value", _EDGES), 8)
+    return rounded(evaluate.drift(s.where(F.col("ts") < cut), s.where(F.col("ts") >= cut), "value", _EDGES), 10)
 
 
 @query(

@@ -37,7 +37,7 @@ _DELTA = f"""{_RR}, dl AS (SELECT *, abs(curr_mean - prev_mean) / greatest(prev_
     CASE WHEN d > 0.7 THEN 'emergent' ELSE 'variant' END AS pattern_type, CASE WHEN d > 0.7 THEN 'high' ELSE 'medium' END AS severity,
     round(least(0.9::DOUBLE, 0.5::DOUBLE + d * 0.3::DOUBLE), 3) AS confidence, n_banks AS observation_count, n_banks AS source_bank_count, feature, round(curr_mean, 6) AS signature,
     'feature_delta' AS attack_vector FROM dl WHERE d >= 0.3)"""
-_OUT = """ou AS (SELECT fs.round, fs.feature, any_value(fs.n_banks) AS n_banks, any_value(mean) AS mean, count(*) FILTER (abs(importance - mean) > 2 * std) + any_value(CASE WHEN mean > 2 * std THEN fs.n_banks - n_present ELSE 0 END) AS k
+_OUT = """ou AS (SELECT fs.round, fs.feature, any_value(fs.n_banks) AS n_banks, any_value(mean) AS mean, count(*) FILTER (abs(importance - mean) > 2 * std * 1.000000001::DOUBLE) + any_value(CASE WHEN mean > 2 * std * 1.000000001::DOUBLE THEN fs.n_banks - n_present ELSE 0 END) AS k
     FROM fs JOIN imp ON fs.round = imp.round AND fs.feature = imp.feature WHERE fs.n_banks >= 3 AND std >= 0.000001 GROUP BY 1, 2),
   p2 AS (SELECT round, 2 AS strategy, 'OUTLIER-R' || round || '-' || feature AS pattern_id, 'Cross-Bank Outlier: ' || feature AS name, 'variant' AS pattern_type, 'medium' AS severity,
     round(least(0.8::DOUBLE, 0.4::DOUBLE + k * 0.1::DOUBLE), 3) AS confidence, n_banks AS observation_count, k::BIGINT AS source_bank_count, feature, round(mean, 6) AS signature, 'cross_bank_outlier' AS attack_vector
@@ -47,15 +47,15 @@ _BASE = """bs AS (SELECT a.round, a.feature, avg(importance) FILTER (rk <= 100)
 _CONS = f"""{_BASE}, cn AS (SELECT fs.*, std / (mean + 0.000000001::DOUBLE) AS cv, baseline FROM fs LEFT JOIN bs ON fs.round = bs.round AND fs.feature = bs.feature WHERE n_banks >= 2),
   p3 AS (SELECT round, 3 AS strategy, 'CONSENSUS-R' || round || '-' || feature AS pattern_id, 'Consensus Feature: ' || feature AS name, 'fact' AS pattern_type, 'low' AS severity,
     round(least(0.95::DOUBLE, 0.7::DOUBLE + (1 - cv) * 0.2::DOUBLE), 3) AS confidence, n_banks AS observation_count, n_banks AS source_bank_count, feature, round(mean, 6) AS signature, 'consensus' AS attack_vector
-    FROM cn WHERE mean > 0.05 AND cv < 0.3 AND NOT (baseline IS NOT NULL AND abs(mean - baseline) < 0.1::DOUBLE * mean))"""
-_COMB = f"""{_MS}, hb AS (SELECT met.round, bank_id, fraud_rate > mean_fr * 1.5::DOUBLE AS hi FROM met JOIN ms ON met.round = ms.round WHERE k >= 3),
+    FROM cn WHERE mean > 0.05 * 1.000000001::DOUBLE AND cv < 0.3 AND NOT (baseline IS NOT NULL AND abs(mean - baseline) < 0.1::DOUBLE * mean))"""
+_COMB = f"""{_MS}, hb AS (SELECT met.round, bank_id, fraud_rate > mean_fr * 1.5::DOUBLE * 1.000000001::DOUBLE AS hi FROM met JOIN ms ON met.round = ms.round WHERE k >= 3),
   ib AS (SELECT i.round, i.bank_id, coalesce(hi, false) AS hi FROM (SELECT DISTINCT round, bank_id FROM imp) i LEFT JOIN hb ON i.round = hb.round AND i.bank_id = hb.bank_id),
   sd AS (SELECT round, count(*) FILTER (hi) AS hb, count(*) FILTER (NOT hi) AS lb FROM ib GROUP BY 1),
   cs AS (SELECT imp.round, feature, coalesce(sum(importance) FILTER (hi), 0) AS hs, coalesce(sum(importance) FILTER (NOT hi), 0) AS ls FROM imp JOIN ib ON imp.round = ib.round AND imp.bank_id = ib.bank_id GROUP BY 1, 2),
   cb AS (SELECT cs.round, feature, hs / hb AS hm, (hs / hb) / (ls / lb + 0.000000001::DOUBLE) AS r, ms.k AS nm, (SELECT count(*) FROM hb h WHERE h.round = cs.round AND h.hi) AS nh
     FROM cs JOIN sd ON cs.round = sd.round JOIN ms ON cs.round = ms.round WHERE hb > 0 AND lb > 0 AND ms.k >= 3),
   p4 AS (SELECT round, 4 AS strategy, 'COMBINED-R' || round || '-' || feature AS pattern_id, 'Fraud-Correlated Feature: ' || feature AS name, 'emergent' AS pattern_type, 'high' AS severity,
-    round(least(0.9::DOUBLE, 0.5::DOUBLE + (r - 2) * 0.1::DOUBLE), 3) AS confidence, nm AS observation_count, nh AS source_bank_count, feature, round(hm, 6) AS signature, 'combined' AS attack_vector FROM cb WHERE r > 2)"""
+    round(least(0.9::DOUBLE, 0.5::DOUBLE + (r - 2) * 0.1::DOUBLE), 3) AS confidence, nm AS observation_count, nh AS source_bank_count, feature, round(hm, 6) AS signature, 'combined' AS attack_vector FROM cb WHERE r > 2 * 1.000000001::DOUBLE)"""
 _COLS = ", ".join(_SHOW)
 
 
@@ -106,8 +106,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 _DIV = f"""{_NB}, dv AS (SELECT imp.round, feature, any_value(n_banks) AS n_banks, avg(importance) AS mean, stddev_pop(importance) AS std FROM imp JOIN nb ON imp.round = nb.round GROUP BY 1, 2),
   p0 AS (SELECT round, 'PAT-FL-R' || round || '-' || upper(substr(md5(feature), 1, 6)) AS pattern_id, 'FL Round ' || round || ': ' || feature || ' divergence' AS name, 'emergent' AS pattern_type,
-    CASE WHEN mean > 0.1 THEN 'high' ELSE 'medium' END AS severity, round(least(0.95::DOUBLE, mean * 5), 3) AS confidence, n_banks AS observation_count, n_banks AS source_bank_count, feature,
-    round(mean, 6) AS signature, 'feature_divergence_' || feature AS attack_vector FROM dv WHERE mean > 0.05 AND std / (mean + 0.000000001::DOUBLE) > 0.3)"""
+    CASE WHEN mean > 0.1 * 1.000000001::DOUBLE THEN 'high' ELSE 'medium' END AS severity, round(least(0.95::DOUBLE, mean * 5), 3) AS confidence, n_banks AS observation_count, n_banks AS source_bank_count, feature,
+    round(mean, 6) AS signature, 'feature_divergence_' || feature AS attack_vector FROM dv WHERE mean > 0.05 * 1.000000001::DOUBLE AND std / (mean + 0.000000001::DOUBLE) > 0.3 * 1.000000001::DOUBLE)"""
 
 
 @query("divergence_patterns", f"{KN}, {_DIV} SELECT {_COLS} FROM p0")
@@ -123,7 +123,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "fraud_rate_anomalies",
     f"""{KN}, {_MS} SELECT met.round, 'PAT-ANOM-R' || met.round || '-' || upper(substr(bank_id, 1, 6)) AS pattern_id, 'Anomalous fraud rate: Round ' || met.round AS name, 'critical' AS severity,
-      round(least(0.95::DOUBLE, abs(fraud_rate - mean_fr) / (std_fr + 0.000000001::DOUBLE) * 0.3::DOUBLE), 3) AS confidence FROM met JOIN ms ON met.round = ms.round WHERE std_fr > 0 AND abs(fraud_rate - mean_fr) > 2 * std_fr""",
+      round(least(0.95::DOUBLE, abs(fraud_rate - mean_fr) / (std_fr + 0.000000001::DOUBLE) * 0.3::DOUBLE), 3) AS confidence FROM met JOIN ms ON met.round = ms.round WHERE std_fr > 1e-12 AND abs(fraud_rate - mean_fr) > 2 * std_fr * 1.000000001::DOUBLE""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(mining.fraud_rate_anomalies(metrics(spark, sf)).select("round", "pattern_id", "name", "severity", "confidence"))
@@ -135,12 +135,12 @@ _ASHOW = ["round", "alert_id", "alert_type", "severity", "title", "confidence",
 _AC = ", ".join(_ASHOW)
 _SHIFT = f"""{_RR}, a1 AS (SELECT round, 'ALERT-SHIFT-R' || round || '-' || upper(feature) AS alert_id, CASE WHEN s < 1 THEN 'variant' ELSE 'zero_day' END AS alert_type,
     CASE WHEN s > 1 THEN 'critical' ELSE 'high' END AS severity, 'Feature Shift Detected: ' || feature AS title, round(least(0.95::DOUBLE, s * 0.5::DOUBLE), 3) AS confidence, n_banks AS affected_banks
-    FROM (SELECT *, abs(curr_mean - prev_mean) / (prev_mean + 0.000000001::DOUBLE) AS s FROM rr) WHERE s > 0.5)"""
+    FROM (SELECT *, abs(curr_mean - prev_mean) / (prev_mean + 0.000000001::DOUBLE) AS s FROM rr) WHERE s > 0.5 * 1.000000001::DOUBLE)"""
 _SPIKE = f"""{_MS}, a2 AS (SELECT met.round, 'ALERT-SPIKE-R' || met.round || '-' || upper(substr(md5(bank_id), 1, 6)) AS alert_id, 'spike' AS alert_type, 'critical' AS severity,
     'Fraud Rate Spike Detected (Round ' || met.round || ')' AS title, round(least(0.95::DOUBLE, (fraud_rate - mean_fr) / (std_fr + 0.000000001::DOUBLE) * 0.25::DOUBLE), 3) AS confidence, 1::BIGINT AS affected_banks
-    FROM met JOIN ms ON met.round = ms.round WHERE k >= 2 AND std_fr > 0 AND fraud_rate > mean_fr + 2.5::DOUBLE * std_fr),
+    FROM met JOIN ms ON met.round = ms.round WHERE k >= 2 AND std_fr > 1e-12 AND fraud_rate > (mean_fr + 2.5::DOUBLE * std_fr) * 1.000000001::DOUBLE),
   a3 AS (SELECT round, 'ALERT-CORR-R' || round AS alert_id, 'correlation' AS alert_type, 'critical' AS severity, 'Coordinated Attack Pattern (Round ' || round || ')' AS title, round(least(0.95::DOUBLE, e / n), 3) AS confidence, e AS affected_banks
-    FROM (SELECT met.round, count(*) FILTER (fraud_rate > mean_fr * 1.5::DOUBLE) AS e, count(*) AS n FROM met JOIN ms ON met.round = ms.round GROUP BY 1) WHERE n >= 3 AND e >= 2)"""
+    FROM (SELECT met.round, count(*) FILTER (fraud_rate > mean_fr * 1.5::DOUBLE * 1.000000001::DOUBLE) AS e, count(*) AS n FROM met JOIN ms ON met.round = ms.round GROUP BY 1) WHERE n >= 3 AND e >= 2)"""
 _ALERTS = f"{KN}, {_SHIFT}, {_SPIKE}, aa AS (SELECT * FROM a1 UNION ALL SELECT * FROM a2 UNION ALL SELECT * FROM a3)"
 
 

@@ -207,6 +207,13 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("location_roll_up", "SELECT c_custkey, r_name AS c_nationkey FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Nation of a customer replaced by its region."""
+    places = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return transform.roll_up(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", places.withColumnRenamed("n_nationkey", "c_nationkey"), "r_name")
+
+
 @query(
     "quantile_buckets",
     """WITH q AS (SELECT quantile_cont(l_extendedprice, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS b FROM lineitem),
@@ -365,7 +372,7 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
         kinds.alias("event_type"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.lit("system").alias("actor"),
         F.concat(F.lit("dataset-"), (F.col("event_id") % 9).cast("string")).alias("resource"), F.col("event_type").alias("action"), F.col("props").alias("details"),
     )
-    return audit.number_within_session(e, ["event_id"]).drop("event_id")
+    return audit.number_within_session(e, "event_id").drop("event_id")
 
 
 _AUD = """a AS (SELECT 'S' || user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq,

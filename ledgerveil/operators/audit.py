@@ -6,10 +6,12 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerveil.plans.ranking import ordered_prefix
+
 # --- fixed values: event types ---------------------------------------------------
 EVENT_TYPES = [
     "pii_scan_started", "pii_scan_completed", "pii_detected", "transformation_started",
@@ -132,7 +134,7 @@ def latest_heads(events: DataFrame) -> DataFrame:
     return events.groupBy("session_id").agg(F.max_by("event_hash", "seq").alias("event_hash"))
 
 
-def number_within_session(events: DataFrame, order: list[str]) -> DataFrame:
-    """Add ``seq`` = 1..n per session in the given order."""
-    w = Window.partitionBy("session_id").orderBy(*order)
-    return events.withColumn("seq", F.row_number().over(w).cast("bigint"))
+def number_within_session(events: DataFrame, order: str) -> DataFrame:
+    """Add ``seq`` = 1..n per session along a numeric column that is unique in the session."""
+    run = ordered_prefix(events.withColumn("_one", F.lit(1)), ["session_id"], order, ["_one"])
+    return run.withColumn("seq", F.col("cum__one").cast("bigint")).drop("_one", "cum__one")

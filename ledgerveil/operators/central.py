@@ -21,7 +21,7 @@ def smoothed_rates(metrics: DataFrame) -> DataFrame:
     """
     seen = metrics.where(F.col("fraud_rate").isNotNull()).select("bank_id", "round", "fraud_rate", F.lit(1).alias("one"))
     placed = ordered_prefix(seen, ["bank_id"], "round", ["one"])
-    sizes = seen.groupBy("bank_id").agg(F.count(F.lit(1)).alias("n"))
+    sizes = placed.groupBy("bank_id").agg(F.count(F.lit(1)).alias("n"))
     weight = F.lit(EMA_NEW) * F.pow(F.lit(1.0 - EMA_NEW), F.col("n") - F.col("cum_one"))
     return with_totals(placed, sizes, ["bank_id"]).groupBy("bank_id").agg(
         F.sum(weight * F.col("fraud_rate")).alias("avg_fraud_rate")
@@ -167,9 +167,10 @@ def ingest(
     """
     noised = mining.divergence_patterns(importances, dp_noise_scale, seed).unionByName(mining.fraud_rate_anomalies(metrics))
     mined = materialize(mining.mine(importances, metrics), "mined")
-    # several rounds may rediscover one id only across batches: ids carry the round number
+    # ids carry the round; institutions sharing a name prefix keep their strongest anomaly
     entries = library.as_entries(mining.to_entries(noised.unionByName(mined, allowMissingColumns=True)), as_of)
-    entries = entries.dropDuplicates(["pattern_id"])
+    first = Window.partitionBy("pattern_id").orderBy(F.col("confidence").desc(), "name")
+    entries = entries.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
     nxt = library.promote(library.upsert(store, entries, as_of), as_of)
     return {
         "profiles": bank_profiles(metrics),

@@ -62,7 +62,7 @@ def curve(df: DataFrame, label: str, score: str, by: Sequence[str] = (), digits:
     table = score_table(df, label, score, by, digits)
     run = ordered_prefix(table.withColumn("_d", -F.col("threshold")), by, "_d", ["pos", "neg"])
     sums = [F.sum("pos").alias("_p"), F.sum("neg").alias("_n")]
-    totals = table.groupBy(*by).agg(*sums) if by else table.agg(*sums)
+    totals = run.groupBy(*by).agg(*sums) if by else run.agg(*sums)
     joined = with_totals(run, totals, by)
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
     precision, recall = _ratio(tp, tp + fp), _ratio(tp, F.col("_p"))

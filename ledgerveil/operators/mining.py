@@ -18,6 +18,8 @@ from ledgerveil.plans.ranking import with_totals
 from ledgerveil.session import materialize
 
 PER_ROUND_LIMIT = 50
+# thresholds are strict; a hair's breadth keeps exact ties out however sums were ordered
+_EPS = 1e-9
 BASELINE_LENGTH = 100
 
 FOUND = [
@@ -67,6 +69,11 @@ def round_over_round(importances: DataFrame, stats: DataFrame | None = None) ->
     )
 
 
+def above(value: Column, bound: Column | float) -> Column:
+    """value > bound, with equality up to rounding error counted as not above."""
+    return value > bound * F.lit(1.0 + _EPS) if isinstance(bound, Column) else value > F.lit(bound * (1.0 + _EPS))
+
+
 def _text(c: Column) -> Column:
     return c.cast("string")
 
@@ -105,13 +112,13 @@ def feature_deltas(
 def cross_bank_outliers(importances: DataFrame, z: float = 2.0, stats: DataFrame | None = None) -> DataFrame:
     """Features some institution weighs more than z deviations away from the mean (>= 3 institutions)."""
     stats = (feature_stats(importances) if stats is None else stats).where((F.col("n_banks") >= 3) & (F.col("std") >= 1e-6))
-    away = F.abs(F.col("importance") - F.col("mean")) > F.lit(z) * F.col("std")
+    away = above(F.abs(F.col("importance") - F.col("mean")), F.lit(z) * F.col("std"))
     present = (
         importances.join(stats.select("round", "feature", "mean", "std"), ["round", "feature"])
         .groupBy("round", "feature")
         .agg(F.count_if(away).alias("n_out"))
     )
-    absent = F.when(F.col("mean") > F.lit(z) * F.col("std"), F.col("n_banks") - F.col("n_present")).otherwise(F.lit(0))
+    absent = F.when(above(F.col("mean"), F.lit(z) * F.col("std")), F.col("n_banks") - F.col("n_present")).otherwise(F.lit(0))
     found = (
         stats.join(present, ["round", "feature"]).withColumn("n_outliers", F.col("n_out") + absent).where("n_outliers > 0")
     )
@@ -161,7 +168,7 @@ def feature_consensus(
     """Features all institutions agree on, unless the baseline already knows that level (>= 2 institutions)."""
     stats = (feature_stats(importances) if stats is None else stats).where(F.col("n_banks") >= 2)
     cv = F.col("std") / (F.col("mean") + F.lit(1e-9))
-    cand = stats.withColumn("cv", cv).where((F.col("mean") > minimum) & (F.col("cv") < max_cv))
+    cand = stats.withColumn("cv", cv).where(above(F.col("mean"), minimum) & (F.col("cv") < max_cv))
     known = F.col("baseline").isNotNull() & (F.abs(F.col("mean") - F.col("baseline")) < F.lit(0.1) * F.col("mean"))
     found = cand.join(baselines(importances), ["round", "feature"], "left").where(~known)
     return found.select(
@@ -196,7 +203,7 @@ def combined_indicators(importances: DataFrame, metrics: DataFrame, high: float
     """Features weighing more than twice as much where fraud is elevated (>= 3 institutions)."""
     stats = metric_stats(metrics).where(F.col("n_metric_banks") >= 3)
     flagged = with_totals(metrics.select("round", "bank_id", "fraud_rate"), stats, ["round"]).select(
-        "round", "bank_id", (F.coalesce("fraud_rate", F.lit(0.0)) > F.col("mean_fr") * F.lit(high)).alias("is_high")
+        "round", "bank_id", above(F.coalesce("fraud_rate", F.lit(0.0)), F.col("mean_fr") * F.lit(high)).alias("is_high")
     )
     n_high = flagged.groupBy("round").agg(F.count_if("is_high").alias("n_high"))
     bank_rounds = importances.groupBy("round", "bank_id").agg(F.count(F.lit(1)).alias("_c")).drop("_c")
@@ -222,7 +229,7 @@ def combined_indicators(importances: DataFrame, metrics: DataFrame, high: float
     found = (
         j.where((F.col("high_banks") > 0) & (F.col("low_banks") > 0))
         .withColumns({"hm": hm, "r": hm / (lm + F.lit(1e-9))})
-        .where(F.col("r") > ratio)
+        .where(above(F.col("r"), ratio))
     )
     return found.select(
         "round",
@@ -303,8 +310,8 @@ def divergence_patterns(importances: DataFrame, dp_noise_scale: float = 0.1, see
     stats = base.groupBy("round", "feature").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
     found = (
         with_totals(stats, banks_per_round(importances), ["round"])
-        .where(F.col("mean") > 0.05)
-        .where(F.col("std") / (F.col("mean") + F.lit(1e-9)) > 0.3)
+        .where(above(F.col("mean"), 0.05))
+        .where(above(F.col("std") / (F.col("mean") + F.lit(1e-9)), 0.3))
     )
     rnd = _text(F.col("round"))
     return found.select(
@@ -313,7 +320,7 @@ def divergence_patterns(importances: DataFrame, dp_noise_scale: float = 0.1, see
         F.concat(F.lit("PAT-FL-R"), rnd, F.lit("-"), feature_tag(F.col("feature"))).alias("pattern_id"),
         F.concat(F.lit("FL Round "), rnd, F.lit(": "), "feature", F.lit(" divergence")).alias("name"),
         F.lit("emergent").alias("pattern_type"),
-        F.when(F.col("mean") > 0.1, "high").otherwise("medium").alias("severity"),
+        F.when(above(F.col("mean"), 0.1), "high").otherwise("medium").alias("severity"),
         F.round(F.least(F.lit(0.95), F.col("mean") * 5), 3).alias("confidence"),
         F.col("n_banks").alias("observation_count"),
         F.col("n_banks").alias("source_bank_count"),
@@ -332,7 +339,7 @@ def fraud_rate_anomalies(metrics: DataFrame) -> DataFrame:
     j = with_totals(metrics, metric_stats(metrics), ["round"])
     fr = F.coalesce("fraud_rate", F.lit(0.0))
     gap = F.abs(fr - F.col("mean_fr"))
-    found = j.where((F.col("std_fr") > 0) & (gap > 2 * F.col("std_fr")))
+    found = j.where((F.col("std_fr") > 1e-12) & above(gap, 2 * F.col("std_fr")))
     rnd = _text(F.col("round"))
     return found.select(
         "round",

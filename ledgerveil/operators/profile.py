@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -196,21 +198,31 @@ def _stacked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def uniqueness(
-    df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 0.95, k_min: int = 5
+    df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 0.95, k_min: int = 5, approximate: bool = False
 ) -> DataFrame:
     """Gate 3: distinct values (null counts as one), their ratio and the k estimate per column.
 
     Distinct values are counted with multiplicity first (map-side combined), then
-    folded to one row per column.
+    folded to one row per column. ``approximate`` estimates distinct counts with
+    HyperLogLog++ instead, which shuffles one sketch per column and task; the k
+    estimate is then rows / distinct values for text columns too.
     """
     columns = list(columns if columns is not None else df.columns)
-    texts = [c for c in string_columns(df) if c in columns]
-    sizes = _stacked(df, columns).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("m"))
-    stats = sizes.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("unique_count"),
-        F.sum("m").alias("total_count"),
-        F.min("m").alias("min_group"),
-    )
+    texts = [] if approximate else [c for c in string_columns(df) if c in columns]
+    if approximate:
+        has_null = F.max(F.col("value").isNull().cast("int"))
+        stats = _stacked(df, columns).groupBy("column_name").agg(
+            (F.approx_count_distinct("value", 0.01) + has_null).cast("bigint").alias("unique_count"),
+            F.count(F.lit(1)).alias("total_count"),
+            F.lit(None).cast("bigint").alias("min_group"),
+        )
+    else:
+        sizes = _stacked(df, columns).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("m"))
+        stats = sizes.groupBy("column_name").agg(
+            F.count(F.lit(1)).alias("unique_count"),
+            F.sum("m").alias("total_count"),
+            F.min("m").alias("min_group"),
+        )
     k = F.when(F.col("column_name").isin(texts), F.col("min_group")) if texts else F.when(F.lit(False), F.col("min_group"))
     k = k.otherwise(F.greatest(F.lit(1), F.floor(F.col("total_count") / F.col("unique_count")))).cast("bigint")
     ratio = F.col("unique_count") / F.col("total_count")
@@ -265,10 +277,29 @@ def reidentification_risk(
     )
 
 
+def _count_characters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(column, code point, count) of each batch; whole values, a few hundred at a time."""
+    for pdf in batches:
+        for column, values in pdf.groupby("column_name")["value"]:
+            total = np.zeros(0, dtype=np.int64)
+            for at in range(0, len(values), 256):
+                text = "".join(values.iloc[at : at + 256])
+                points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                counts = np.bincount(points, minlength=len(total))
+                counts[: len(total)] += total
+                total = counts
+            present = np.flatnonzero(total)
+            yield pd.DataFrame({"column_name": column, "ch": present.astype(np.int32), "m": total[present]})
+
+
 def character_entropy(
     df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 4.0, unique_min: float = 0.5
 ) -> DataFrame:
-    """Gate 4: Shannon entropy of the characters of every text column, over the whole table."""
+    """Gate 4: Shannon entropy of the characters of every text column, over the whole table.
+
+    Characters are counted on Arrow batches; a batch hands on one row per column and
+    distinct character, never one row per character.
+    """
     columns = list(columns if columns is not None else string_columns(df))
     values = _stacked(spread(df.select(*columns)), columns).where(F.col("value").isNotNull())
     distinct = values.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("m"))
@@ -276,10 +307,9 @@ def character_entropy(
         (F.count(F.lit(1)) / F.sum("m")).alias("unique_ratio"), F.sum("m").alias("n_values")
     )
     chars = (
-        values.select("column_name", F.explode(F.split("value", "")).alias("ch"))
-        .where(F.col("ch") != "")
+        values.mapInPandas(_count_characters, "column_name string, ch int, m bigint")
         .groupBy("column_name", "ch")
-        .agg(F.count(F.lit(1)).alias("m"))
+        .agg(F.sum("m").alias("m"))
     )
     # H = log2(N) - sum(m log2 m) / N needs one pass over the character counts
     h = chars.groupBy("column_name").agg(

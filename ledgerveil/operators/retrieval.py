@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ledgerveil.plans.sizing import bounded_rows
 
-# queries handled in one pass over the corpus; more are answered in further passes
+# queries (and their bytes) handled in one pass over the corpus; more are answered in further passes
 QUERY_BLOCK = 20_000
+QUERY_BYTES = 64 << 20
 # queries scored against one Arrow batch at a time
 _SLICE = 512
 
@@ -69,12 +70,13 @@ def nearest(
     """
     query_type = queries.schema["query_id"].dataType.simpleString()
     q = queries.select("query_id", "vector")
-    total = q.count()
+    total, width = q.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    query_block = max(1, min(query_block, QUERY_BYTES // (8 * max(width or 1, 1))))
     blocks = max(1, -(-total // query_block))
     out: DataFrame | None = None
     for b in range(blocks):
         part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        rows = bounded_rows(part, query_block * 2, "query block")
+        rows = bounded_rows(part, query_block * 2 + 100, "query block")
         if not rows:
             continue
         found = _block(corpus, rows, doc_id, vector, n, query_type)

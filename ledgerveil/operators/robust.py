@@ -17,7 +17,9 @@ from ledgerveil.functions import noise, vectors
 from ledgerveil.plans.ranking import exact_quantiles, ordered_prefix, value_counts, with_totals
 from ledgerveil.session import materialize
 
+# clients per block, and the bytes a block's vectors may take in a task
 BLOCK_ROWS = 512
+BLOCK_BYTES = 256 << 20
 
 
 def coordinates(df: DataFrame) -> DataFrame:
@@ -72,7 +74,7 @@ def _block_scores(drop: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def krum_scores(df: DataFrame, byzantine: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def krum_scores(df: DataFrame, byzantine: int, block_rows: int | None = None) -> DataFrame:
     """(round, client_id, n_clients, score, nearest_distance).
 
     score = sum of squared distances to the n - f - 2 nearest peers, i.e. to all peers
@@ -81,6 +83,9 @@ def krum_scores(df: DataFrame, byzantine: int, block_rows: int = BLOCK_ROWS) ->
     client, never the distances themselves. Merging drops the overall f + 1 farthest.
     """
     drop = byzantine + 1
+    if block_rows is None:
+        width = df.agg(F.max(F.size("weights"))).first()[0] or 1
+        block_rows = max(2, min(BLOCK_ROWS, BLOCK_BYTES // (8 * width)))
     sized = with_totals(df.select("round", "client_id", "weights"), round_sizes(df), ["round"])
     nb = F.greatest(F.lit(1), F.ceil(F.col("n_clients") / F.lit(block_rows)))
     placed = sized.withColumn("nb", nb.cast("int")).withColumn(

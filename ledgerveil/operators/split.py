@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerveil.plans.ranking import exact_quantiles, hash_rank, with_totals
+from ledgerveil.plans.ranking import exact_quantiles, hash_rank, seeded_order, with_totals
 
 
 def _check(train: float, val: float, test: float) -> None:
@@ -82,6 +82,11 @@ def undersample(df: DataFrame, label: str, ids: Sequence[str], ratio: float = 1.
     return ranked.where(keep).drop("rn", "n_group", "_minority")
 
 
+def shuffled(df: DataFrame, ids: Sequence[str], seed: int = 42) -> DataFrame:
+    """Rows in reproducible random order; a full sort, so only where the order is wanted."""
+    return df.orderBy(seeded_order(seed, *ids))
+
+
 def stratified_sample(df: DataFrame, label: str, ids: Sequence[str], size: int, seed: int = 42) -> DataFrame:
     """Development sample of about ``size`` rows with exact per-label shares (rounded down, at least one)."""
     total = df.agg(F.count(F.lit(1)).alias("_n"))

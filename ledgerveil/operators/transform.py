@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ledgerveil.functions import binning, hashing, masking, noise, pii
 from ledgerveil.operators.profile import treatment_of
 from ledgerveil.plans.ranking import hash_rank
+from ledgerveil.plans.sizing import join_small
 
 _AGE_WORD = re.compile(r"(^|[^a-z])age($|[^a-z])", re.IGNORECASE)
 _DECILES = [i / 10 for i in range(1, 10)]
@@ -158,6 +159,13 @@ def transformation_log(df: DataFrame, entries: list[tuple]) -> DataFrame:
     return counts.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
 
 
+def roll_up(df: DataFrame, column: str, hierarchy: DataFrame, level: str) -> DataFrame:
+    """Replace a value by its ancestor (city -> state -> country): ``hierarchy`` has the
+    column itself and one column per level. Unknown values become null."""
+    side = hierarchy.select(column, F.col(level).alias("_up"))
+    return join_small(df, side, [column], "left").withColumn(column, F.col("_up")).drop("_up").select(*df.columns)
+
+
 # --- pseudonyms ------------------------------------------------------------------
 
 

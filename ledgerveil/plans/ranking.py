@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerveil.session import materialize
+
 ALL = "_all"
 HOT_ROWS = 2_000_000
 _FINE = 64
@@ -73,8 +75,10 @@ def ordered_prefix(
     ``value`` must be numeric and occur once per group: aggregate to distinct values
     first, which also folds ties on the map side. Groups up to ``hot_rows`` use an
     ordinary window; beyond it each group is cut at approximate quantiles (4,096
-    ordered buckets) and bucket totals are carried forward.
+    ordered buckets) and bucket totals are carried forward. The input is written once
+    first: sizing it and summing it must not repeat the aggregation behind it.
     """
+    df = materialize(df, "prefix")
     keys = list(keys)
     added = not keys
     if added:
@@ -130,9 +134,8 @@ def exact_quantiles(
     keys = list(keys)
     if not keys:
         return exact_quantiles(df.withColumn(ALL, F.lit(0)), [ALL], value, probs, hot_rows).drop(ALL)
-    counts = value_counts(df, keys, value)
-    run = ordered_prefix(counts, keys, value, ["m"], hot_rows)
-    totals = counts.groupBy(*keys).agg(F.sum("m").alias("_n"))
+    run = ordered_prefix(value_counts(df, keys, value), keys, value, ["m"], hot_rows)
+    totals = run.groupBy(*keys).agg(F.sum("m").alias("_n"))
     run = _join_keys(run, totals, keys)
     picks = []
     for name, p in probs.items():
