@@ -126,7 +126,7 @@ def model_metrics(df: DataFrame, model: str, label: str, score: str, threshold:
     """One row per model with the six compared metrics; ``df`` is long (model, label, score)."""
     at = confusion(df, label, score, threshold, by=[model])
     ranked = ranking_metrics(df, label, score, by=[model])
-    return at.join(ranked, model).select(model, *COMPARED)
+    return with_totals(at, ranked.select(model, "roc_auc", "average_precision"), [model]).select(model, *COMPARED)
 
 
 def best_per_metric(metrics: DataFrame, model: str) -> DataFrame:
@@ -174,7 +174,7 @@ def local_validation(df: DataFrame, client: str, label: str, score: str) -> Data
     )
     f1 = _ratio(2 * F.col("_tp"), 2 * F.col("_tp") + F.col("_fp") + F.col("_fn"))
     auc = ranking_metrics(df, label, score, by=[client]).select(client, F.col("roc_auc").alias("auc"))
-    return base.select(client, "loss", f1.alias("f1")).join(auc, client)
+    return with_totals(base.select(client, "loss", f1.alias("f1")), auc, [client])
 
 
 def drift(

@@ -149,6 +149,5 @@ def velocity_features(
     mean = F.col("cum__s") / F.col("cum__n")
     var = F.greatest(F.lit(0.0), F.col("cum__q") / F.col("cum__n") - mean * mean)
     z = F.when(var > 1e-9, (F.col(amount) - mean) / F.sqrt(var)).otherwise(F.lit(0.0))
-    return (
-        counted.join(run, [account, "_t"]).withColumn("amount_zscore", z).drop("_t", "cum__s", "cum__q", "cum__n")
-    )
+    joined = with_totals(counted, run, [account, "_t"])  # null accounts are an account of their own
+    return joined.withColumn("amount_zscore", z).drop("_t", "cum__s", "cum__q", "cum__n")

@@ -53,14 +53,17 @@ def _block_scores(drop: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     """Distances of one block of clients to another: per client the summed squared
     distances without its ``drop`` farthest peers there, and those farthest ones."""
 
+    columns = ["round", "client_id", "n_clients", "kept", "nearest", "far"]
+
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rnd, i, j = key
         left = pdf[pdf["side"] == "L"]
         right = left if i == j else pdf[pdf["side"] == "R"]
         if left.empty or right.empty:
-            return pd.DataFrame(columns=["round", "client_id", "kept", "nearest", "far"])
+            return pd.DataFrame(columns=columns)
         other = np.vstack([np.asarray(v, dtype=np.float64) for v in right["weights"]])
         ids = right["client_id"].to_numpy()
+        n = int(left["n_clients"].iloc[0])
         rows = []
         for cid, vec in zip(left["client_id"], left["weights"]):
             diff = other - np.asarray(vec, dtype=np.float64)
@@ -68,8 +71,8 @@ def _block_scores(drop: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
             d2.sort()
             cut = max(0, len(d2) - drop)
             near = float(d2[0]) if len(d2) else float("inf")
-            rows.append((rnd, cid, float(d2[:cut].sum()), near, d2[cut:].tolist()))
-        return pd.DataFrame(rows, columns=["round", "client_id", "kept", "nearest", "far"])
+            rows.append((rnd, cid, n, float(d2[:cut].sum()), near, d2[cut:].tolist()))
+        return pd.DataFrame(rows, columns=columns)
 
     return run
 
@@ -84,37 +87,42 @@ def krum_scores(df: DataFrame, byzantine: int, block_rows: int | None = None) ->
     """
     drop = byzantine + 1
     if block_rows is None:
-        width = df.agg(F.max(F.size("weights"))).first()[0] or 1
-        block_rows = max(2, min(BLOCK_ROWS, BLOCK_BYTES // (8 * width)))
+        one = df.select(F.size("weights")).first()  # all vectors are equally long
+        block_rows = max(2, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(one[0] if one else 1, 1))))
     sized = with_totals(df.select("round", "client_id", "weights"), round_sizes(df), ["round"])
-    nb = F.greatest(F.lit(1), F.ceil(F.col("n_clients") / F.lit(block_rows)))
-    placed = sized.withColumn("nb", nb.cast("int")).withColumn(
-        "b", F.pmod(F.xxhash64("client_id"), F.col("nb")).cast("int")
+    nb = F.greatest(F.lit(1), F.ceil(F.col("n_clients") / F.lit(block_rows))).cast("int")
+    placed = sized.withColumn("nb", nb).withColumn("b", F.pmod(F.xxhash64("client_id"), F.col("nb")).cast("int"))
+    blocks = F.sequence(F.lit(0), F.col("nb") - 1)
+
+    def cell(side: str, i: Column, j: Column) -> Column:
+        return F.struct(F.lit(side).alias("side"), i.alias("i"), j.alias("j"))
+
+    b = F.col("b")
+    cells = F.concat(
+        F.transform(blocks, lambda j: cell("L", b, j)),
+        F.transform(F.filter(blocks, lambda i: i != b), lambda i: cell("R", i, b)),
     )
-    others = F.sequence(F.lit(0), F.col("nb") - 1)
-    left = placed.select("round", "client_id", "weights", F.lit("L").alias("side"), F.col("b").alias("i"), F.explode(others).alias("j"))
-    right = placed.select(
-        "round", "client_id", "weights", F.lit("R").alias("side"), F.explode(others).alias("i"), F.col("b").alias("j")
-    ).where(F.col("i") != F.col("j"))
-    id_type = df.schema["client_id"].dataType.simpleString()
-    round_type = df.schema["round"].dataType.simpleString()
     parts = (
-        left.unionByName(right)
+        placed.select("round", "client_id", "weights", "n_clients", F.explode(cells).alias("c"))
+        .select("round", "client_id", "weights", "n_clients", "c.side", "c.i", "c.j")
         .groupBy("round", "i", "j")
         .applyInPandas(
             _block_scores(drop),
-            f"round {round_type}, client_id {id_type}, kept double, nearest double, far array<double>",
+            f"round {df.schema['round'].dataType.simpleString()}, client_id {df.schema['client_id'].dataType.simpleString()}, "
+            "n_clients bigint, kept double, nearest double, far array<double>",
         )
     )
     merged = parts.groupBy("round", "client_id").agg(
+        F.first("n_clients").alias("n_clients"),
         F.sum("kept").alias("kept"),
         F.min("nearest").alias("nearest"),
         F.array_sort(F.flatten(F.collect_list("far"))).alias("far"),
     )
     keep = F.greatest(F.lit(0), F.size("far") - drop)
     rest = F.aggregate(F.slice("far", F.lit(1), keep), F.lit(0.0), lambda s, v: s + v)
-    scored = merged.select("round", "client_id", (F.col("kept") + rest).alias("score"), F.sqrt("nearest").alias("nearest_distance"))
-    return with_totals(scored, round_sizes(df), ["round"])
+    return merged.select(
+        "round", "client_id", "n_clients", (F.col("kept") + rest).alias("score"), F.sqrt("nearest").alias("nearest_distance")
+    )
 
 
 def krum_select(df: DataFrame, byzantine: int, select: Column | int | None = None, min_clients: int | None = None) -> DataFrame:
