@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 from ledgerveil.operators import evaluate
 from ledgerveil.operators.split import weight_column
+from ledgerveil.plans.ranking import with_totals
+from ledgerveil.plans.sizing import spread
 
 
 def feature_columns(df: DataFrame, target: str, exclude: Sequence[str] = ()) -> list[str]:
@@ -62,7 +64,7 @@ def logistic(features: Sequence[str], weight: str | None = "weight", reg: float
 def train(df: DataFrame, estimator: Estimator | Callable[[], Estimator], label: str = "label") -> PipelineModel:
     """Fit an estimator (or one from a factory) on rows weighted by class balance."""
     est = estimator() if callable(estimator) and not isinstance(estimator, Estimator) else estimator
-    weighted = weight_column(df, label).persist()
+    weighted = spread(weight_column(df, label)).persist()
     try:
         return est.fit(weighted)
     finally:
@@ -161,8 +163,6 @@ def combined_importance(long: DataFrame, weights: DataFrame) -> DataFrame:
     """Importance over models: long (model, feature, score) x weights (model, weight), normalised."""
     s = long.join(weights, "model").groupBy("feature").agg(F.sum(F.col("score") * F.col("weight")).alias("s"))
     total = s.agg(F.sum("s").alias("t"))
-    from ledgerveil.plans.ranking import with_totals
-
     share = F.coalesce(F.try_divide(F.col("s"), F.col("t")), F.lit(0.0))
     return with_totals(s, total, []).select("feature", share.alias("importance"))
 

@@ -197,6 +197,11 @@ def _stacked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.explode(pairs).alias("p")).select("p.*")
 
 
+def _identity(value: Column) -> Column:
+    """What tells values apart: long texts travel as a 128-bit digest, not as themselves."""
+    return F.when(F.length(value) > 48, F.concat(F.lit("md5:"), F.md5(value))).otherwise(value)
+
+
 def uniqueness(
     df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 0.95, k_min: int = 5, approximate: bool = False
 ) -> DataFrame:
@@ -217,7 +222,8 @@ def uniqueness(
             F.lit(None).cast("bigint").alias("min_group"),
         )
     else:
-        sizes = _stacked(df, columns).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("m"))
+        stacked = _stacked(df, columns).select("column_name", _identity(F.col("value")).alias("value"))
+        sizes = stacked.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("m"))
         stats = sizes.groupBy("column_name").agg(
             F.count(F.lit(1)).alias("unique_count"),
             F.sum("m").alias("total_count"),
@@ -302,7 +308,7 @@ def character_entropy(
     """
     columns = list(columns if columns is not None else string_columns(df))
     values = _stacked(spread(df.select(*columns)), columns).where(F.col("value").isNotNull())
-    distinct = values.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("m"))
+    distinct = values.groupBy("column_name", _identity(F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("m"))
     ratio = distinct.groupBy("column_name").agg(
         (F.count(F.lit(1)) / F.sum("m")).alias("unique_ratio"), F.sum("m").alias("n_values")
     )
