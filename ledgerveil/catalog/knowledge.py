@@ -136,12 +136,12 @@ _AC = ", ".join(_ASHOW)
 _SHIFT = f"""{_RR}, a1 AS (SELECT round, 'ALERT-SHIFT-R' || round || '-' || upper(feature) AS alert_id, CASE WHEN s < 1 THEN 'variant' ELSE 'zero_day' END AS alert_type,
     CASE WHEN s > 1 THEN 'critical' ELSE 'high' END AS severity, 'Feature Shift Detected: ' || feature AS title, round(least(0.95::DOUBLE, s * 0.5::DOUBLE), 3) AS confidence, n_banks AS affected_banks
     FROM (SELECT *, abs(curr_mean - prev_mean) / (prev_mean + 0.000000001::DOUBLE) AS s FROM rr) WHERE s > 0.5 * 1.000000001::DOUBLE)"""
-_SPIKE = f"""{_MS}, a2 AS (SELECT met.round, 'ALERT-SPIKE-R' || met.round || '-' || upper(substr(md5(bank_id), 1, 6)) AS alert_id, 'spike' AS alert_type, 'critical' AS severity,
+SPIKE_SQL = f"""{_MS}, a2 AS (SELECT met.round, 'ALERT-SPIKE-R' || met.round || '-' || upper(substr(md5(bank_id), 1, 6)) AS alert_id, 'spike' AS alert_type, 'critical' AS severity,
     'Fraud Rate Spike Detected (Round ' || met.round || ')' AS title, round(least(0.95::DOUBLE, (fraud_rate - mean_fr) / (std_fr + 0.000000001::DOUBLE) * 0.25::DOUBLE), 3) AS confidence, 1::BIGINT AS affected_banks
     FROM met JOIN ms ON met.round = ms.round WHERE k >= 2 AND std_fr > 1e-12 AND fraud_rate > (mean_fr + 2.5::DOUBLE * std_fr) * 1.000000001::DOUBLE),
   a3 AS (SELECT round, 'ALERT-CORR-R' || round AS alert_id, 'correlation' AS alert_type, 'critical' AS severity, 'Coordinated Attack Pattern (Round ' || round || ')' AS title, round(least(0.95::DOUBLE, e / n), 3) AS confidence, e AS affected_banks
     FROM (SELECT met.round, count(*) FILTER (fraud_rate > mean_fr * 1.5::DOUBLE * 1.000000001::DOUBLE) AS e, count(*) AS n FROM met JOIN ms ON met.round = ms.round GROUP BY 1) WHERE n >= 3 AND e >= 2)"""
-_ALERTS = f"{KN}, {_SHIFT}, {_SPIKE}, aa AS (SELECT * FROM a1 UNION ALL SELECT * FROM a2 UNION ALL SELECT * FROM a3)"
+_ALERTS = f"{KN}, {_SHIFT}, {SPIKE_SQL}, aa AS (SELECT * FROM a1 UNION ALL SELECT * FROM a2 UNION ALL SELECT * FROM a3)"
 
 
 @query("alert_feature_shifts", f"{KN}, {_SHIFT} SELECT {_AC} FROM a1")
@@ -149,12 +149,12 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(alerts.feature_shifts(importances(spark, sf)).select(*_ASHOW))
 
 
-@query("alert_spikes", f"{KN}, {_SPIKE} SELECT {_AC} FROM a2")
+@query("alert_spikes", f"{KN}, {SPIKE_SQL} SELECT {_AC} FROM a2")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(alerts.fraud_rate_spikes(metrics(spark, sf)).select(*_ASHOW))
 
 
-@query("alert_correlation", f"{KN}, {_SPIKE} SELECT {_AC} FROM a3")
+@query("alert_correlation", f"{KN}, {SPIKE_SQL} SELECT {_AC} FROM a3")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(alerts.cross_bank_correlation(metrics(spark, sf)).select(*_ASHOW))
 

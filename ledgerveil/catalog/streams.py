@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerveil.catalog.base import query, rounded
-from ledgerveil.operators import ledger
+from ledgerveil.catalog.base import KN, metrics, query, rounded
+from ledgerveil.catalog.knowledge import SPIKE_SQL
+from ledgerveil.operators import alerts, ledger
 from ledgerveil.session import durable_dir
 from ledgerveil.sources.tables import table
 from ledgerveil.streaming import jobs
@@ -120,6 +121,17 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("alert_stream", f"{KN}, {SPIKE_SQL} SELECT round, alert_id, severity, confidence FROM a2")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Institutions' round metrics arrive as files; spikes are detected per micro-batch of whole rounds."""
+    src, out, cp = (durable_dir(spark, f"spikes-{x}") for x in ("in", "out", "checkpoint"))
+    m = metrics(spark, sf)
+    m.write.parquet(src)
+    stream = jobs.read_parquet_stream(spark, src, m.schema)
+    jobs.each_batch(stream, jobs.batch_writer(alerts.fraud_rate_spikes, out), cp).awaitTermination()
+    return rounded(spark.read.parquet(out).select("round", "alert_id", "severity", "confidence"))
+
+
 @query("client_vector_stream", "SELECT (vec_id // 50)::BIGINT AS round, count(*) AS n_clients FROM embeddings GROUP BY 1")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """Client updates arriving as files, counted per round in each micro-batch."""

@@ -20,6 +20,7 @@ from ledgerveil.operators import evaluate
 from ledgerveil.operators.split import weight_column
 from ledgerveil.plans.ranking import with_totals
 from ledgerveil.plans.sizing import spread
+from ledgerveil.session import materialize
 
 
 def feature_columns(df: DataFrame, target: str, exclude: Sequence[str] = ()) -> list[str]:
@@ -176,10 +177,11 @@ def train_and_evaluate(
 ) -> tuple[PipelineModel, DataFrame, DataFrame | None]:
     """Optional cross-validation on train, fit on train + val, metrics on test.
 
-    Returns (model, one-row test metrics, cross-validation row or None).
+    Returns (model, one-row test metrics, cross-validation row or None). The prepared
+    table is written once; every fit and score reads it.
     """
     keep = [split] + ([fold] if fold else [])
-    ready = prepare(df, label, features, keep=keep).persist()
+    ready = materialize(prepare(df, label, features, keep=keep), "prepared")
     cv = None
     if fold and folds:
         parts: DataFrame | None = None

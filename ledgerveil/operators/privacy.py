@@ -128,13 +128,19 @@ def train_private(
     df: DataFrame, features: Sequence[str], label: str, steps: int = 10, sampling_rate: float = 0.1,
     clip: float = 1.0, noise_multiplier: float = 1.0, learning_rate: float = 0.5, seed: int = 42,
 ) -> tuple[list[float], dict[str, float]]:
-    """Logistic model by noisy steps over Poisson samples; returns weights and the ledger entry."""
+    """Logistic model by noisy steps over Poisson samples; returns weights and the ledger entry.
+
+    The needed columns are kept in memory and on disk while the steps run.
+    """
     rng = np.random.default_rng(seed)
     weights = [0.0] * len(features)
-    slim = df.select(*features, label)
-    for i in range(steps):
-        batch = slim if sampling_rate >= 1 else slim.sample(sampling_rate, seed + i)
-        weights = private_step(batch, features, label, weights, clip, noise_multiplier, learning_rate, rng)
+    slim = df.select(*features, label).persist()
+    try:
+        for i in range(steps):
+            batch = slim if sampling_rate >= 1 else slim.sample(sampling_rate, seed + i)
+            weights = private_step(batch, features, label, weights, clip, noise_multiplier, learning_rate, rng)
+    finally:
+        slim.unpersist()
     return weights, {"sigma": noise_multiplier, "sampling_rate": sampling_rate, "n_steps": steps, "sensitivity": 1.0}
 
 

@@ -1,11 +1,13 @@
 """The paths taken by hot groups give the same rows as the plain ones."""
 
+import functools
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerveil.operators import audit, features, mining, retrieval, robust
+from ledgerveil.operators import audit, evaluate, features, ledger, mining, retrieval, robust
 from ledgerveil.plans import ranking, sizing
 
 
@@ -58,6 +60,32 @@ def test_exact_quantiles(skewed, hot):
     assert np.allclose(got["b"].sort_index(), want[0.95].sort_index())
 
 
+def test_operators_take_the_hot_path_unchanged(spark, skewed, monkeypatch):
+    """Curves, areas, trimmed means and ledgers with every group treated as hot."""
+    _, df = skewed
+    scored = df.select((F.col("w") > 2).alias("y"), F.round(F.col("v") / 50, 3).alias("s"))
+    _, clients = _clients(spark, 40, 3, rounds=2)
+    ops = spark.range(300).select(
+        (F.col("id") % 3).alias("account"), F.col("id").alias("seq"), (F.lit(3.0) + F.col("id") % 7).alias("sigma"),
+        F.lit(1.0).alias("sensitivity"), F.lit(1.0).alias("sampling_rate"), F.lit(1).alias("n_steps"),
+    )
+
+    def results():
+        return [
+            evaluate.ranking_metrics(scored, "y", "s").collect()[0].asDict(),
+            {(r["round"], r["coord"]): r["value"] for r in robust.trimmed_mean(clients, 0.2).collect()},
+            {(r["account"], r["seq"]): r["epsilon"] for r in ledger.running_epsilon(ops).collect()},
+        ]
+
+    plain = results()
+    hot = functools.partial(ranking.ordered_prefix, hot_rows=5)
+    for module in (evaluate, robust, ledger):
+        monkeypatch.setattr(module, "ordered_prefix", hot)
+    for a, b in zip(plain, results()):
+        assert a.keys() == b.keys()
+        assert all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
 def _clients(spark, n, d, rounds=1, seed=3):
     rng = np.random.default_rng(seed)
     rows = [(r, i, 1 + i % 4, [float(x) for x in rng.normal(size=d)]) for r in range(rounds) for i in range(n)]
