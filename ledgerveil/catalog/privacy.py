@@ -90,7 +90,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _ledger(spark: SparkSession, sf: str) -> DataFrame:
+def release_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """events as release operations of their users."""
     e = table(spark, sf, "events")
     return e.select(
@@ -110,18 +110,18 @@ _LEDGER = f"""op AS (SELECT user_id AS account, event_id AS seq, 5.0::DOUBLE + v
     f"""WITH {_LEDGER}, r AS (SELECT account, seq, sum(cost) OVER (PARTITION BY account, a ORDER BY seq) + {_D!r}::DOUBLE / (a - 1) AS e FROM lc) SELECT account, seq, round(min(e), 6) AS epsilon FROM r GROUP BY 1, 2""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(ledger.running_epsilon(_ledger(spark, sf)))
+    return rounded(ledger.running_epsilon(release_ledger(spark, sf)))
 
 
-_SPENT = f"""{_LEDGER}, sp AS (SELECT account, min(e) AS spent, max(n) AS n FROM (SELECT account, a, sum(cost) + {_D!r}::DOUBLE / (a - 1) AS e, count(*) AS n FROM lc GROUP BY 1, 2) GROUP BY 1)"""
+SPENT_SQL = f"""{_LEDGER}, sp AS (SELECT account, min(e) AS spent, max(n) AS n FROM (SELECT account, a, sum(cost) + {_D!r}::DOUBLE / (a - 1) AS e, count(*) AS n FROM lc GROUP BY 1, 2) GROUP BY 1)"""
 
 
 @query(
     "ledger_summary",
-    f"""WITH {_SPENT} SELECT account, n AS n_operations, 4.0::DOUBLE AS budget_epsilon, round(spent, 6) AS spent_epsilon, round(greatest(0, 4.0::DOUBLE - spent), 6) AS remaining_epsilon, spent >= 4 AS budget_exhausted FROM sp""",
+    f"""WITH {SPENT_SQL} SELECT account, n AS n_operations, 4.0::DOUBLE AS budget_epsilon, round(spent, 6) AS spent_epsilon, round(greatest(0, 4.0::DOUBLE - spent), 6) AS remaining_epsilon, spent >= 4 AS budget_exhausted FROM sp""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(ledger.summary(_ledger(spark, sf), 4.0))
+    return rounded(ledger.summary(release_ledger(spark, sf), 4.0))
 
 
 _GRID = ", ".join(str(round(0.3 + 0.05 * i, 2)) for i in range(95))
@@ -161,7 +161,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("dp_query_with_debit")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """A guarded release per segment; the appended ledger row is shown next to the answer."""
-    led = _ledger(spark, sf)
+    led = release_ledger(spark, sf)
     answer, after = ledger.query_with_debit(table(spark, sf, "customer"), led, 0, 50.0, "count", 0.5, by=["c_mktsegment"], seed=5)
     last = after.agg(F.max("seq").alias("seq"), F.count(F.lit(1)).alias("ledger_rows"))
     return with_totals(answer, last, [])

@@ -47,7 +47,7 @@ _MATCHES = f"""SELECT column_name, pii_type, {_SENS} AS sensitivity, 'regex' AS
   CASE WHEN {_SENS} = 'critical' THEN 'remove' ELSE 'transform' END AS recommendation, ord FROM p WHERE n_values > 0 AND n_match / n_values > 0.1"""
 
 
-def _contact_table(spark: SparkSession, sf: str) -> DataFrame:
+def contact_table(spark: SparkSession, sf: str) -> DataFrame:
     """customer with contact columns derived from its own values."""
     k = F.col("c_custkey")
     return table(spark, sf, "customer").select(
@@ -81,7 +81,7 @@ def _profile_ctes() -> str:
 
 @query("value_matches", f"WITH {_profile_ctes()} {_MATCHES}")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(profile.value_matches(_contact_table(spark, sf)))
+    return rounded(profile.value_matches(contact_table(spark, sf)))
 
 
 def _detect_sql() -> str:
@@ -96,32 +96,39 @@ def _detect_sql() -> str:
       r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY confidence DESC, ord) AS rn FROM m)"""
 
 
-@query("detect_contacts", f"{_detect_sql()} SELECT column_name, pii_type, sensitivity, detection_method, confidence, pattern_matched, recommendation FROM r WHERE rn = 1")
+DETECT_SQL = _detect_sql()
+
+
+@query("detect_contacts", f"{DETECT_SQL} SELECT column_name, pii_type, sensitivity, detection_method, confidence, pattern_matched, recommendation FROM r WHERE rn = 1")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(profile.detect(_contact_table(spark, sf)).drop("ord"))
+    return rounded(profile.detect(contact_table(spark, sf)).drop("ord"))
 
 
 @query(
     "detection_summary",
-    f"""{_detect_sql()} SELECT 10::BIGINT AS total_columns, count(*) AS columns_with_pii, bool_or(sensitivity = 'critical') AS critical_pii_found,
+    f"""{DETECT_SQL} SELECT 10::BIGINT AS total_columns, count(*) AS columns_with_pii, bool_or(sensitivity = 'critical') AS critical_pii_found,
       bool_or(sensitivity IN ('critical', 'high')) AS high_pii_found, NOT bool_or(sensitivity IN ('critical', 'high')) AS passed FROM r WHERE rn = 1""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    c = _contact_table(spark, sf)
+    c = contact_table(spark, sf)
     return profile.detection_summary(c, profile.detect(c))
 
 
-@query("detection_report")
+@query(
+    "detection_report",
+    f"""{DETECT_SQL} SELECT sensitivity, column_name, '[' || rpad(upper(sensitivity), 8, ' ') || '] ' || rpad(column_name, 30, ' ') || ' | ' || rpad(pii_type, 15, ' ')
+      || ' | conf=' || printf('%.2f', confidence) || ' | ' || recommendation AS line FROM r WHERE rn = 1""",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return profile.detection_report(profile.detect(_contact_table(spark, sf)))
+    return profile.detection_report(profile.detect(contact_table(spark, sf)))
 
 
 @query(
     "transformation_plan",
-    f"{_detect_sql()} SELECT column_name, pii_type, {_sql_case('pii_type', pii.DEFAULT_TREATMENT, 'hash')} AS transformation FROM r WHERE rn = 1",
+    f"{DETECT_SQL} SELECT column_name, pii_type, {_sql_case('pii_type', pii.DEFAULT_TREATMENT, 'hash')} AS transformation FROM r WHERE rn = 1",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return transform.plan_table(profile.detect(_contact_table(spark, sf)))
+    return transform.plan_table(profile.detect(contact_table(spark, sf)))
 
 
 def _mask_sql(c: str) -> str:
@@ -153,7 +160,7 @@ def _hmac_sql(c: str) -> str:
       substr(zip, 1, 3) || 'XX' AS zip, {_DECADE} AS birth_date, gps, NULL::VARCHAR AS c_mktsegment FROM ct""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return transform.apply_plan(_contact_table(spark, sf), _PLAN, _KEY, as_of_year=2026)[0]
+    return transform.apply_plan(contact_table(spark, sf), _PLAN, _KEY, as_of_year=2026)[0]
 
 
 @query(
@@ -165,7 +172,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     plan = {"customer_name": ("name", "hash"), "contact": ("age", "generalize"), "income": ("income", "noise")}
-    return transform.apply_plan(_contact_table(spark, sf), plan, _KEY)[1].drop("error_message")
+    return transform.apply_plan(contact_table(spark, sf), plan, _KEY)[1].drop("error_message")
 
 
 @query("noise_column")
@@ -338,7 +345,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("certify_full_run")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    _, certificate, events = certify.full_run(_contact_table(spark, sf), "contacts", _KEY, "2026-01-01T00:00:00")
+    _, certificate, events = certify.full_run(contact_table(spark, sf), "contacts", _KEY, "2026-01-01T00:00:00")
     shown = certificate.select("certification_level", "certification_score", "total_columns", "transformed_columns")
     return with_totals(shown, events.agg(F.count(F.lit(1)).alias("audit_events")), [])
 
@@ -364,7 +371,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 # --- audit ---------------------------------------------------------------------------------------------
 
 
-def _events(spark: SparkSession, sf: str) -> DataFrame:
+def audit_events(spark: SparkSession, sf: str) -> DataFrame:
     """events as audit events: one session per user."""
     kinds = F.element_at(F.array(*[F.lit(k) for k in audit.EVENT_TYPES]), (F.col("event_id") % 12 + 1).cast("int"))
     e = table(spark, sf, "events").select(
@@ -386,7 +393,7 @@ h AS (SELECT session_id, seq, NULL::VARCHAR AS previous_hash, substr(sha256(body
 
 @query("audit_chain", f"WITH RECURSIVE {_AUD} SELECT session_id, seq, previous_hash, event_hash FROM h")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.link(_events(spark, sf)).select("session_id", "seq", "previous_hash", "event_hash")
+    return audit.link(audit_events(spark, sf)).select("session_id", "seq", "previous_hash", "event_hash")
 
 
 @query(
@@ -397,21 +404,21 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """After linking, some actions are edited and some events lose their predecessor."""
-    linked = audit.link(_events(spark, sf)).where(~((F.col("seq") % 70 == 1) & (F.col("seq") > 1)))
+    linked = audit.link(audit_events(spark, sf)).where(~((F.col("seq") % 70 == 1) & (F.col("seq") > 1)))
     edited = F.when(F.col("seq") % 50 == 0, F.lit("edited")).otherwise(F.col("action"))
     return audit.verify(linked.withColumn("action", edited)).select("event_id", "issue")
 
 
 @query("audit_counts", f"WITH {_AUD.split('h AS (')[0].rstrip().rstrip(',')} SELECT event_type, count(*) AS n FROM c GROUP BY 1")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.counts_by_type(_events(spark, sf))
+    return audit.counts_by_type(audit_events(spark, sf))
 
 
 @query("audit_filter", f"WITH {_AUD.split('h AS (')[0].rstrip().rstrip(',')} SELECT session_id, seq, action FROM c WHERE event_type = 'data_export' AND resource = 'dataset-3'")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.events_on(audit.events_of_type(_events(spark, sf), "data_export"), "dataset-3").select("session_id", "seq", "action")
+    return audit.events_on(audit.events_of_type(audit_events(spark, sf), "data_export"), "dataset-3").select("session_id", "seq", "action")
 
 
 @query("audit_report")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.compliance_lines(audit.link(_events(spark, sf)))
+    return audit.compliance_lines(audit.link(audit_events(spark, sf)))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ledgerveil.catalog.base import KN, metrics, query, rounded
 from ledgerveil.catalog.knowledge import SPIKE_SQL
-from ledgerveil.operators import alerts, ledger
+from ledgerveil.catalog.privacy import SPENT_SQL, release_ledger
+from ledgerveil.catalog.quality import DETECT_SQL, audit_events, contact_table
+from ledgerveil.operators import alerts, ledger, profile, reports
 from ledgerveil.session import durable_dir
 from ledgerveil.sources.tables import table
 from ledgerveil.streaming import jobs
@@ -105,20 +107,25 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.compliance_alerts(budget, classes.withColumnRenamed("l_suppkey", "table_name"), None, consents, as_of=F.lit("1998-01-01 00:00:00").cast("timestamp"))
 
 
-@query("compliance_indicators")
+@query(
+    "compliance_indicators",
+    f"""{DETECT_SQL}, {SPENT_SQL}, cv AS (SELECT avg((c_acctbal > 0 AND TIMESTAMP '1996-01-01' + to_days((c_custkey % 900)::INT) > TIMESTAMP '1997-01-01')::INT) * 100 AS v FROM customer)
+      SELECT 'remaining_epsilon' AS indicator, round(min(greatest(0, 10 - spent)), 6) AS value FROM sp
+      UNION ALL SELECT 'min_class_size', min(n)::DOUBLE FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey, c_mktsegment)
+      UNION ALL SELECT 'pii_blocks_direct', (count(*) FILTER (sensitivity IN ('critical', 'high')))::DOUBLE FROM r WHERE rn = 1
+      UNION ALL SELECT 'pii_blocks_quasi', (count(*) FILTER (sensitivity NOT IN ('critical', 'high')))::DOUBLE FROM r WHERE rn = 1
+      UNION ALL SELECT 'consent_coverage_pct', round(v, 6) FROM cv UNION ALL SELECT 'audit_entries', count(*)::DOUBLE FROM events""",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """Budget, class size, detections, consent coverage and audit volume."""
-    from ledgerveil.catalog.privacy import _ledger
-    from ledgerveil.catalog.quality import _contact_table, _events
-    from ledgerveil.operators import profile, reports
-
     consents = table(spark, sf, "customer").select(
         (F.col("c_acctbal") > 0).alias("consent_given"), F.lit("1996-01-01 00:00:00").cast("timestamp").alias("consent_timestamp"), (F.col("c_custkey") % 900).alias("retention_period_days")
     )
-    return reports.compliance_indicators(
-        ledger.summary(_ledger(spark, sf), 10.0), profile.equivalence_classes(table(spark, sf, "customer"), ["c_nationkey", "c_mktsegment"]),
-        profile.detect(_contact_table(spark, sf)), consents, _events(spark, sf), F.lit("1997-01-01 00:00:00").cast("timestamp"),
+    out = reports.compliance_indicators(
+        ledger.summary(release_ledger(spark, sf), 10.0), profile.equivalence_classes(table(spark, sf, "customer"), ["c_nationkey", "c_mktsegment"]),
+        profile.detect(contact_table(spark, sf)), consents, audit_events(spark, sf), F.lit("1997-01-01 00:00:00").cast("timestamp"),
     )
+    return rounded(out)
 
 
 @query("alert_stream", f"{KN}, {SPIKE_SQL} SELECT round, alert_id, severity, confidence FROM a2")
