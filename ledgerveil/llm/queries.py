@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerveil.llm import ngram_join, pfair, toxicity, wumanber
+from ledgerveil.llm import fuzzy_lines, ngram_join, pfair, toxicity, wumanber
 from ledgerveil.llm.text import bucket_of
 from ledgerveil.sources.tables import table
 
@@ -28,7 +28,8 @@ def op1_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
 
 ORACLES["op1_ngram_join"] = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w
   FROM documents),
 s AS (
   SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS t
@@ -41,6 +42,15 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(reach) A
 FROM d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id"""
 
 
+@query
+def op4_fuzzy_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with its repeated and near-repeated lines taken out, as counts and a digest of what is left."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return fuzzy_lines.dedup(docs).select(
+        "doc_id", "n_removed", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
+    )
+
+
 @query
 def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     """Toxicity score of every document; labels are learned outside the held-out fold only."""
