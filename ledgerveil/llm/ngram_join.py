@@ -4,8 +4,9 @@
 2. Classes that share a pair of minhashes are compared to one pivot; verified ones form groups of similar documents.
 3. The matrix holds (token, group): each group's token union, restricted to the prefix tokens that every similar
    pair must share. A class meets only groups other than its own, and a group is one row per token however large it is.
-4. A candidate group is opened in blocks: the token union of a block bounds the overlap of the query with every
-   member; only blocks whose bound reaches the threshold are compared member by member.
+   How many tokens they share bounds the overlap of the query with every member; groups below the bound stay shut.
+4. A qualifying group is opened in blocks: the whole token union of a block bounds the overlap again; only blocks whose
+   bound reaches the threshold are compared member by member.
 5. All verified links go through a distributed union-find.
 """
 
@@ -17,7 +18,7 @@ from itertools import count
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerveil.llm.components import components
@@ -29,9 +30,9 @@ PERCENT = 75
 KEYS = 6
 BLOCK = 32
 CHUNK = 256
-HOT_SHARE = 32
-HOT_SEEN = 4
-HOT_TOKENS = 1 << 17
+HOT_SHARE = 16
+HOT_SEEN = 3
+HOT_TOKENS = 1 << 19
 FILTER_BITS = 1 << 24
 _WORDS_HELD = 1_000_000
 
@@ -211,6 +212,22 @@ def opened(pairs: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
     return map_arrow(runs, rows, "a long, b long")
 
 
+def least_met(n: Column, low: Column, high: Column) -> Column:
+    """Prefix tokens that a set of ``n`` shares at least with a similar set of ``low`` to ``high`` tokens.
+
+    Similar sets of a and b tokens share o = ceil(75 (a + b) / 175). Whichever prefix ends first, the common tokens
+    behind it lie in that set's own rest of ceil(0.75 size) - 1. Below a the bound grows with b, above it falls, so the
+    ends of the range are enough.
+    """
+    def bound(b: Column) -> Column:
+        o = F.ceil((n + b) * PERCENT / (100 + PERCENT) - 1e-6)
+        return o - F.ceil(F.greatest(n, b) * PERCENT / 100 - 1e-6) + 1
+
+    small = F.least(F.greatest(low, F.ceil(n * PERCENT / 100 - 1e-6)), high)
+    large = F.greatest(F.least(high, F.floor(n * 100 / PERCENT + 1e-6)), low)
+    return F.greatest(F.lit(1), F.least(bound(small), bound(large)))
+
+
 def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: ``key``, n_shingles, component_id (smallest key reachable by links, itself included).
 
@@ -231,7 +248,8 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
     # groups of similar classes: one pivot for each minhash pair
     keyed = base.where("n > 0 AND id IS NOT NULL").select("c", F.explode("keys").alias("key"))
     pivot = keyed.groupBy("key").agg(F.min("c").alias("block"), F.max("c").alias("z")).where("block <> z").drop("z")
-    pairs = materialize(keyed.join(pivot, "key").where("c <> block").select(F.col("c").alias("q"), "block").distinct(), "join-stars")
+    near = keyed.join(pivot, "key").where("c <> block").groupBy(F.col("c").alias("q"), "block").agg(F.countDistinct("key").alias("k")).where("k > 1")
+    pairs = materialize(near.groupBy("q").agg(F.max_by("block", F.struct("k", "block")).alias("block")), "join-stars")
     ends = pairs.select(F.col("q").alias("c")).unionAll(pairs.select("block")).distinct()
     members = pairs.select("block", F.col("block").alias("c")).distinct()
     first = materialize(opened(pairs, members, texts_of(docs, ends.join(named, "c"), salt)), "join-links")
@@ -239,11 +257,14 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
 
     # token-group matrix on prefix tokens
     grouped = materialize(classes.select("c", "id", "n").join(roots.withColumnRenamed("node", "c"), "c", "left").select("c", "id", F.coalesce("root", "c").alias("g")), "join-groups")
-    one = base.select("c", "id", "prefix").join(grouped, ["c", "id"])
-    cells = one.select("c", "g", F.explode("prefix").alias("token")).repartition("token")
-    matrix = cells.select("token", F.col("g").alias("h")).distinct()
-    met = cells.join(matrix, "token").where("g <> h").select(F.col("c").alias("q"), "h").distinct()
-    met = materialize(met, "join-met")
+    one = base.select("c", "id", "n", "prefix").join(grouped, ["c", "id"])
+    cells = one.select("c", "g", "n", F.explode("prefix").alias("token")).repartition("token")
+    matrix = cells.groupBy("token", F.col("g").alias("h")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    close = (F.col("g") != F.col("h")) & (100 * F.col("high") >= PERCENT * F.col("n")) & (100 * F.col("n") >= PERCENT * F.col("low"))
+    met = cells.join(matrix, "token").where(close).groupBy(F.col("c").alias("q"), "h").agg(
+        F.count("*").alias("m"), F.first("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")
+    )
+    met = materialize(met.where(F.col("m") >= least_met(F.col("n"), F.col("low"), F.col("high"))).select("q", "h"), "join-met")
 
     count_g = grouped.groupBy("g").agg(F.count("*").alias("_n"))
     blocks = grouped.join(count_g, "g").select("c", F.col("g").alias("h"), F.xxhash64("g", F.pmod(F.xxhash64("c"), F.ceil(F.col("_n") / BLOCK))).alias("block"))
