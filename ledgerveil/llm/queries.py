@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerveil.llm import fuzzy_lines, ngram_join, pfair, toxicity, wumanber
+from ledgerveil.llm import chat, fuzzy_lines, ngram_join, pfair, toxicity, wumanber
 from ledgerveil.llm.text import bucket_of
 from ledgerveil.sources.tables import table
 
@@ -51,6 +51,36 @@ def op4_fuzzy_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+PROBE = r"\### Assistant: </turn> ok"
+
+
+@query
+def op7_chat(spark: SparkSession, sf: str) -> DataFrame:
+    """All conversations and the probe conversation -7, formatted and read back."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    return chat.conversations(rows.unionByName(probe))
+
+
+ORACLES["op7_chat"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (
+  SELECT *, length(regexp_replace(role, '([\\#<:])', '\\\1', 'g')) + length(regexp_replace(text, '([\\#<:])', '\\\1', 'g')) + length('### : ')
+    + length(' </turn>') + 1 AS written, lag(role, 1, '') OVER w AS before, row_number() OVER w AS n, count(*) OVER (PARTITION BY conv_id) AS last
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+f AS (
+  SELECT *, CASE before WHEN '' THEN n = 1 AND role IN ('system', 'user') WHEN 'system' THEN role = 'user' WHEN 'user' THEN role = 'assistant'
+    WHEN 'assistant' THEN role = 'user' ELSE false END AS fits FROM e)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(written)::BIGINT AS formatted_chars,
+       coalesce(first('turn ' || n || ': ' || CASE role WHEN '' THEN 'no role' ELSE role END || ' after ' || CASE before WHEN '' THEN 'start' ELSE before END ORDER BY n) FILTER (NOT fits),
+                CASE WHEN last(role ORDER BY n) <> 'assistant' THEN 'ends with ' || CASE last(role ORDER BY n) WHEN '' THEN 'nothing' ELSE last(role ORDER BY n) END END) AS fault
+FROM f GROUP BY conv_id"""
+
+
 @query
 def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     """Toxicity score of every document; labels are learned outside the held-out fold only."""
