@@ -22,8 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerveil.llm.components import components
-from ledgerveil.llm.text import map_arrow, spaced_words
-from ledgerveil.session import materialize
+from ledgerveil.llm.text import map_arrow, spaced_words, written
 
 SHINGLE = 5
 PERCENT = 75
@@ -143,7 +142,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame, salt: int) -> DataFrame:
     A bit set of fixed size is built from the ids in Spark and sent out; rows it rules out are not shuffled.
     """
     spark = docs.sparkSession
-    wanted = materialize(wanted, "join-wanted")
+    wanted = written(wanted, "join-wanted")
     slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
     bits = wanted.select(slot.alias("s")).groupBy(F.expr("bitmap_bucket_number(s + 1)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s + 1))").alias("bits"))
     width = 1 << 15
@@ -170,7 +169,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame, salt: int) -> DataFrame:
             ok = [i for i, (c, t) in enumerate(zip(b["c"], b["text"])) if class_id(spaced_words(t), salt)[0] == c]
             yield {"c": [b["c"][i] for i in ok], "text": [b["text"][i] for i in ok]}
 
-    return materialize(map_arrow(near.select("c", "text"), same, "c long, text string"), "join-texts")
+    return written(map_arrow(near.select("c", "text"), same, "c long, text string"), "join-texts")
 
 
 def opened(pairs: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
@@ -181,7 +180,7 @@ def opened(pairs: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
     """
     size = pairs.groupBy("block").agg(F.count("*").alias("_n"))
     pairs = pairs.join(size, "block").select("q", "block", F.pmod(F.xxhash64("q"), F.ceil(F.col("_n") / CHUNK)).alias("chunk"))
-    pairs = materialize(pairs, "join-pairs")
+    pairs = written(pairs, "join-pairs")
     asked = pairs.join(texts.withColumnRenamed("c", "q"), "q").select("block", "chunk", F.lit(1).alias("part"), F.col("q").alias("c"), "text")
     held = pairs.select("block", "chunk").distinct().join(members, "block").join(texts, "c").select("block", "chunk", F.lit(0).alias("part"), "c", "text")
     runs = held.unionAll(asked).repartition("block", "chunk").sortWithinPartitions("block", "chunk", "part")
@@ -238,9 +237,9 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
     docs = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     hot = hot_tokens(docs)
     for salt in count():
-        base = materialize(profiles(docs, hot, salt), "join-profiles")
+        base = written(profiles(docs, hot, salt), "join-profiles")
         some = base.where("n > 0 AND id IS NOT NULL").groupBy("c").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("c2").alias("x"), F.max("c2").alias("y"))
-        classes = materialize(some, "join-classes")
+        classes = written(some, "join-classes")
         if classes.where("x <> y").isEmpty():  # no two texts share a 64-bit class
             break
     named = classes.select("c", "id")
@@ -249,14 +248,14 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
     keyed = base.where("n > 0 AND id IS NOT NULL").select("c", F.explode("keys").alias("key"))
     pivot = keyed.groupBy("key").agg(F.min("c").alias("block"), F.max("c").alias("z")).where("block <> z").drop("z")
     near = keyed.join(pivot, "key").where("c <> block").groupBy(F.col("c").alias("q"), "block").agg(F.countDistinct("key").alias("k")).where("k > 1")
-    pairs = materialize(near.groupBy("q").agg(F.max_by("block", F.struct("k", "block")).alias("block")), "join-stars")
+    pairs = written(near.groupBy("q").agg(F.max_by("block", F.struct("k", "block")).alias("block")), "join-stars")
     ends = pairs.select(F.col("q").alias("c")).unionAll(pairs.select("block")).distinct()
     members = pairs.select("block", F.col("block").alias("c")).distinct()
-    first = materialize(opened(pairs, members, texts_of(docs, ends.join(named, "c"), salt)), "join-links")
+    first = written(opened(pairs, members, texts_of(docs, ends.join(named, "c"), salt)), "join-links")
     roots = components(first)
 
     # token-group matrix on prefix tokens
-    grouped = materialize(classes.select("c", "id", "n").join(roots.withColumnRenamed("node", "c"), "c", "left").select("c", "id", F.coalesce("root", "c").alias("g")), "join-groups")
+    grouped = written(classes.select("c", "id", "n").join(roots.withColumnRenamed("node", "c"), "c", "left").select("c", "id", F.coalesce("root", "c").alias("g")), "join-groups")
     one = base.select("c", "id", "n", "prefix").join(grouped, ["c", "id"])
     cells = one.select("c", "g", "n", F.explode("prefix").alias("token")).repartition("token")
     matrix = cells.groupBy("token", F.col("g").alias("h")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
@@ -264,12 +263,12 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
     met = cells.join(matrix, "token").where(close).groupBy(F.col("c").alias("q"), "h").agg(
         F.count("*").alias("m"), F.first("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")
     )
-    met = materialize(met.where(F.col("m") >= least_met(F.col("n"), F.col("low"), F.col("high"))).select("q", "h"), "join-met")
+    met = written(met.where(F.col("m") >= least_met(F.col("n"), F.col("low"), F.col("high"))).select("q", "h"), "join-met")
 
     count_g = grouped.groupBy("g").agg(F.count("*").alias("_n"))
     blocks = grouped.join(count_g, "g").select("c", F.col("g").alias("h"), F.xxhash64("g", F.pmod(F.xxhash64("c"), F.ceil(F.col("_n") / BLOCK))).alias("block"))
     wanted = blocks.join(met.select("h").distinct(), "h", "left_semi")
-    wanted = materialize(wanted, "join-blocks")
+    wanted = written(wanted, "join-blocks")
     pairs = met.join(wanted.select("h", "block").distinct(), "h").select("q", "block")
     ends = met.select(F.col("q").alias("c")).unionAll(wanted.select("c")).distinct()
     second = opened(pairs, wanted.select("block", "c"), texts_of(docs, ends.join(named, "c"), salt))
@@ -277,14 +276,14 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
 
     # smallest key of each component; a key with several texts ties its classes together
     ids = base.where("n > 0 AND id IS NOT NULL").select("c", "id").distinct().join(roots.withColumnRenamed("node", "c"), "c", "left").select("id", F.coalesce("root", "c").alias("root"))
-    ids = materialize(ids.distinct(), "join-ids")
+    ids = written(ids.distinct(), "join-ids")
     tied = ids.groupBy("id").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
     if not tied.isEmpty():
         pairs = ids.join(tied.select("id", "a"), "id").select("a", F.col("root").alias("b"))
         up = components(pairs).select(F.col("node").alias("root"), F.col("root").alias("up"))
         ids = ids.join(up, "root", "left").select("id", F.coalesce("up", "root").alias("root")).distinct()
     least = ids.groupBy("root").agg(F.min("id").alias("component_id"))
-    final = materialize(ids.join(least, "root").select("id", "component_id"), "join-final")
+    final = written(ids.join(least, "root").select("id", "component_id"), "join-final")
     out = base.select("id", "n").join(final, "id", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
@@ -292,4 +291,4 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
 def first_of_group(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that are the smallest key of their component."""
     lost = join(docs, key=key, text=text).where(F.col("component_id") < F.col(key)).select(key).distinct()
-    return docs.join(materialize(lost, "join-lost"), key, "left_anti")
+    return docs.join(written(lost, "join-lost"), key, "left_anti")

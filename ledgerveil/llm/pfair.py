@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerveil.session import materialize
+from ledgerveil.llm.text import written
+
 
 RESOLUTION = 1000
 BLOCK_ROWS = 16
@@ -102,7 +103,7 @@ def numbered(docs: DataFrame, group: str, key: Column) -> DataFrame:
     size = docs.groupBy(group).agg(F.count("*").alias("_n"))
     # leading hash digits, as many as the group is large; the row count of a group only sets how finely it is cut
     cut = docs.join(size, group).withColumn("_run", F.floor((F.col("_h") / F.lit(2.0**64) + 0.5) * F.ceil(F.col("_n") / F.lit(RUN_ROWS))))
-    cut = materialize(cut.drop("_n"), "mix-runs")
+    cut = written(cut.drop("_n"), "mix-runs")
     runs = cut.groupBy(group, "_run").agg(F.count("*").alias("_n"))
     before = runs.withColumn("_before", F.sum("_n").over(Window.partitionBy(group).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)))
     place = F.row_number().over(Window.partitionBy(group, "_run").orderBy("_h", key))

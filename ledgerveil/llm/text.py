@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerveil.session import materialize
+
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -33,3 +35,10 @@ def map_arrow(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[dict]], s
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """``materialize``, and let go of the shuffle files behind the table, which the driver's next collection would free."""
+    out = materialize(df, purpose)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
