@@ -33,7 +33,7 @@ HOT_SHARE = 16
 HOT_SEEN = 3
 HOT_TOKENS = 1 << 19
 FILTER_BITS = 1 << 24
-_WORDS_HELD = 1_000_000
+_WORDS_HELD = 100_000
 
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, 32, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 

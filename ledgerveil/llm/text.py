@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerveil.session import materialize
 
+PART_ROWS = 512  # rows held as Python objects at a time
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -24,14 +25,15 @@ def bucket_of(key: str, divisor: int) -> Column:
 
 
 def map_arrow(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
-    """Run ``rows`` over each partition; it takes and yields dicts of column lists, one per Arrow batch."""
+    """Run ``rows`` over each partition; it takes and yields dicts of column lists, for parts of an Arrow batch."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in rows(b.to_pydict() for b in batches if b.num_rows):
+        parts = (b.slice(i, PART_ROWS).to_pydict() for b in batches for i in range(0, b.num_rows, PART_ROWS))
+        for out in rows(parts):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
