@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerveil.llm import chat, fuzzy_lines, ngram_join, pfair, toxicity, wumanber
+from ledgerveil.llm import chat, fuzzy_lines, langid, ngram_join, pfair, toxicity, wumanber
 from ledgerveil.llm.text import bucket_of
 from ledgerveil.sources.tables import table
 
@@ -51,6 +51,15 @@ def op4_fuzzy_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op6_langid(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every document; the fold of remainder 2 is not learned from."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(bucket_of("doc_id", 4) != 2))
+    out = langid.identify(docs, model)
+    return out.select("doc_id", (bucket_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 PROBE = r"\### Assistant: </turn> ok"
 
 
