@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerveil.llm import chat, fuzzy_lines, langid, ngram_join, pfair, toxicity, wumanber
+from ledgerveil.llm import chat, divergence, fuzzy_lines, langid, ngram_join, pfair, toxicity, wumanber
 from ledgerveil.llm.text import bucket_of
 from ledgerveil.sources.tables import table
 
@@ -42,6 +42,12 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(reach) A
 FROM d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id"""
 
 
+@query
+def op2_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of every document and its distance to its language's character classes and common words."""
+    return divergence.judge(table(spark, sf, "documents"))
+
+
 @query
 def op4_fuzzy_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with its repeated and near-repeated lines taken out, as counts and a digest of what is left."""
