@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerveil.llm.components import components
-from ledgerveil.llm.text import map_arrow, spaced_words, written
+from ledgerveil.llm.text import bit_set, map_arrow, spaced_words, with_bit, written
 
 SHINGLE = 5
 PERCENT = 75
@@ -30,9 +30,8 @@ KEYS = 6
 BLOCK = 32
 CHUNK = 256
 HOT_SHARE = 16
-HOT_SEEN = 3
+HOT_SEEN = 2
 HOT_TOKENS = 1 << 19
-FILTER_BITS = 1 << 24
 _WORDS_HELD = 100_000
 
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, 32, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -137,32 +136,11 @@ def profiles(docs: DataFrame, hot: np.ndarray, salt: int) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, salt: int) -> DataFrame:
-    """(c, text) for the classes in ``wanted`` (c, id).
-
-    A bit set of fixed size is built from the ids in Spark and sent out; rows it rules out are not shuffled.
-    """
-    spark = docs.sparkSession
+    """(c, text) for the classes in ``wanted`` (c, id). Rows that a bit set of the ids rules out are not shuffled."""
     wanted = written(wanted, "join-wanted")
-    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    bits = wanted.select(slot.alias("s")).groupBy(F.expr("bitmap_bucket_number(s + 1)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s + 1))").alias("bits"))
-    width = 1 << 15
-    field = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in bits.collect():  # FILTER_BITS / 32768 rows of 4 KB at most
-        at = (r.k - 1) * width // 8
-        part = np.frombuffer(r.bits, np.uint8)[: len(field) - at]
-        field[at : at + len(part)] |= part
-    known = spark.sparkContext.broadcast(field)
-
-    def some(batches):  # noqa: ANN001, ANN202
-        import pyarrow as pa
-
-        field = known.value
-        for b in batches:
-            s = b.column(2).to_numpy()
-            yield b.filter(pa.array((field[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1)).drop_columns(["s"])
-
-    rows = docs.select("id", "text", slot.alias("s")).where("id IS NOT NULL")
-    near = rows.mapInArrow(some, docs.select("id", "text").schema).join(wanted, "id")
+    bits = bit_set(wanted.select(F.xxhash64("id").alias("s")), "s")
+    rows = docs.where("id IS NOT NULL").select("id", "text", F.xxhash64("id").alias("s"))
+    near = with_bit(rows, "s", bits).where("_in").select("id", "text").join(wanted, "id")
 
     def same(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
@@ -238,7 +216,9 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
     hot = hot_tokens(docs)
     for salt in count():
         base = written(profiles(docs, hot, salt), "join-profiles")
-        some = base.where("n > 0 AND id IS NOT NULL").groupBy("c").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("c2").alias("x"), F.max("c2").alias("y"))
+        some = base.where("n > 0 AND id IS NOT NULL").groupBy("c").agg(
+            F.min("id").alias("id"), F.min("n").alias("n"), F.count("*").alias("rows"), F.min("c2").alias("x"), F.max("c2").alias("y")
+        )
         classes = written(some, "join-classes")
         if classes.where("x <> y").isEmpty():  # no two texts share a 64-bit class
             break
@@ -256,7 +236,10 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
 
     # token-group matrix on prefix tokens
     grouped = written(classes.select("c", "id", "n").join(roots.withColumnRenamed("node", "c"), "c", "left").select("c", "id", F.coalesce("root", "c").alias("g")), "join-groups")
-    one = base.select("c", "id", "n", "prefix").join(grouped, ["c", "id"])
+    moved = roots.select(F.col("node").alias("c")).unionAll(classes.where("rows > 1").select("c"))
+    told = with_bit(base.where("n > 0 AND id IS NOT NULL").select("c", "id", "n", "prefix"), "c", bit_set(moved, "c"))
+    alone = told.where("NOT _in").select("c", "n", "prefix", F.col("c").alias("g"))  # one row, a group of its own
+    one = told.where("_in").join(grouped, ["c", "id"]).select("c", "n", "prefix", "g").unionAll(alone)
     cells = one.select("c", "g", "n", F.explode("prefix").alias("token")).repartition("token")
     matrix = cells.groupBy("token", F.col("g").alias("h")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     close = (F.col("g") != F.col("h")) & (100 * F.col("high") >= PERCENT * F.col("n")) & (100 * F.col("n") >= PERCENT * F.col("low"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -42,5 +43,23 @@ def map_arrow(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[dict]], s
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """``materialize``, and let go of the shuffle files behind the table, which the driver's next collection would free."""
     out = materialize(df, purpose)
+    time.sleep(0.2)  # until the listeners have let go of the query
     df.sparkSession.sparkContext._jvm.System.gc()
     return out
+
+
+FILTER_BITS = 1 << 23
+
+
+def bit_set(wanted: DataFrame, key: str) -> DataFrame:
+    """(_word, _bits): a set of hash-like longs as bits, FILTER_BITS / 64 rows at most, built in Spark and small to send out."""
+    slot = F.pmod(key, F.lit(FILTER_BITS))
+    bit = F.expr(f"shiftleft(1L, CAST(pmod(`{key}`, {FILTER_BITS}) & 63 AS INT))")
+    return written(wanted.select(F.shiftright(slot, 6).alias("_word"), bit.alias("b")).groupBy("_word").agg(F.bit_or("b").alias("_bits")), "bits")
+
+
+def with_bit(df: DataFrame, key: str, bits: DataFrame) -> DataFrame:
+    """``df`` with _in: false if ``key`` is certainly not in the set, true if it may be."""
+    slot = F.pmod(key, F.lit(FILTER_BITS))
+    joined = df.withColumn("_word", F.shiftright(slot, 6)).join(F.broadcast(bits), "_word", "left")
+    return joined.withColumn("_in", F.coalesce(F.getbit("_bits", slot.bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))).drop("_word", "_bits")
