@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerveil.llm import chat, divergence, fuzzy_lines, langid, ngram_join, pfair, toxicity, wumanber
+from ledgerveil.llm import chat, cross_entropy, divergence, fuzzy_lines, langid, ngram_join, pfair, toxicity, wumanber
 from ledgerveil.llm.text import bucket_of
 from ledgerveil.sources.tables import table
 
@@ -48,6 +48,13 @@ def op2_divergence(spark: SparkSession, sf: str) -> DataFrame:
     return divergence.judge(table(spark, sf, "documents"))
 
 
+@query
+def op3_cross_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    """Cross-entropy difference of every document; the target corpus is the documents labelled as of good quality."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return cross_entropy.score(docs, table(spark, sf, "labels").where("quality = 1"))
+
+
 @query
 def op4_fuzzy_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with its repeated and near-repeated lines taken out, as counts and a digest of what is left."""
