@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerveil.llm import chat, cross_entropy, divergence, fuzzy_lines, langid, ngram_join, pfair, toxicity, wumanber
+from ledgerveil.llm import chat, cross_entropy, divergence, fuzzy_lines, langid, ngram_join, pfair, toxicity, wrappers, wumanber
 from ledgerveil.llm.text import bucket_of
 from ledgerveil.sources.tables import table
 
@@ -64,6 +64,13 @@ def op4_fuzzy_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op5_wrappers(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of every page."""
+    out = wrappers.texts(table(spark, sf, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op6_langid(spark: SparkSession, sf: str) -> DataFrame:
     """Language of every document; the fold of remainder 2 is not learned from."""
