@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerveil.session import materialize
 
-PART_ROWS = 512  # rows held as Python objects at a time
+PART_ROWS = 512
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -25,19 +25,24 @@ def bucket_of(key: str, divisor: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(divisor)).cast("int"), F.lit(0))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Have the session hand rows to Python in Arrow batches of ``PART_ROWS``: whole texts are long, and two tasks share a worker's memory."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", PART_ROWS)
+    return df
+
+
 def map_arrow(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
-    """Run ``rows`` over each partition; it takes and yields dicts of column lists, for parts of an Arrow batch."""
+    """Run ``rows`` over each partition; it takes and yields dicts of column lists, one per Arrow batch."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = (b.slice(i, PART_ROWS).to_pydict() for b in batches for i in range(0, b.num_rows, PART_ROWS))
-        for out in rows(parts):
+        for out in rows(b.to_pydict() for b in batches if b.num_rows):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:

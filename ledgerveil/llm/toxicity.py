@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerveil.llm.text import map_arrow
+from ledgerveil.llm.text import map_arrow, small_batches
 from ledgerveil.session import materialize
 
 MAX_TRAIN = 20_000
@@ -328,4 +328,4 @@ def reject(docs: DataFrame, model: Model, *, text: str = "text", threshold: floa
             texts = b.column(b.schema.get_field_index(text)).to_pylist()
             yield b.filter(pa.array([model.score(*matches(automaton, t)) < threshold for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return small_batches(docs).mapInArrow(keep, docs.schema)

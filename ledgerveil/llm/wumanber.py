@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerveil.llm.text import LOWER, map_arrow
+from ledgerveil.llm.text import LOWER, map_arrow, small_batches
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
@@ -139,4 +139,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: s
                         m.search(w, bytearray(len(w)), f)
             yield batch.filter(pa.array([not f for f in bad]))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return small_batches(docs).mapInArrow(keep, docs.schema)
