@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerveil.llm.text import map_arrow, spaced_words, written
+from ledgerveil.llm.text import map_arrow, parted, spaced_words, written
 
 VOCABULARY = 1000
 CLASSES = 8
@@ -116,7 +116,10 @@ def score(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", text: str
     """
     docs = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     marks = targets.where(F.col(key).isNotNull()).select(F.col(key).alias("key")).distinct().withColumn("mark", F.lit(True))
-    marked = docs.join(marks, "key", "left").select("text", F.coalesce("mark", F.lit(False)).alias("target"))
+    some, others = parted(docs, F.xxhash64("key"), marks.select(F.xxhash64("key").alias("h")), "h")
+    # the targets grow with the corpus, so the join is a shuffled one at every size
+    told = some.join(marks.hint("merge"), "key", "left").select("text", F.coalesce("mark", F.lit(False)).alias("target"))
+    marked = told.unionAll(others.select("text", F.lit(False).alias("target")))
     words = vocabulary(docs, vocabulary_size)
     side = len(words) + CLASSES + 1
     cells = written(bigrams(marked, words), "bigrams").toPandas()  # two tables of side * side rows at most

@@ -68,3 +68,12 @@ def with_bit(df: DataFrame, key: str, bits: DataFrame) -> DataFrame:
     slot = F.pmod(key, F.lit(FILTER_BITS))
     joined = df.withColumn("_word", F.shiftright(slot, 6)).join(F.broadcast(bits), "_word", "left")
     return joined.withColumn("_in", F.coalesce(F.getbit("_bits", slot.bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))).drop("_word", "_bits")
+
+
+def parted(df: DataFrame, key: Column, wanted: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose hash-like long ``key`` may be in ``wanted``, rows whose key is not), so that only the first need a join.
+
+    ``name`` is the column of ``wanted``. A null key is in neither set of keys and goes with the second.
+    """
+    told = with_bit(df.withColumn("_key", key), "_key", bit_set(wanted, name)).drop("_key")
+    return told.where("_in").drop("_in"), told.where("NOT _in").drop("_in")
