@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,7 +88,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 _MINE = f"""{KN}, {_DELTA}, {_OUT}, {_CONS}, {_COMB}, al AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4),
   dd AS (SELECT *, row_number() OVER (PARTITION BY round, lower(trim(name)) ORDER BY strategy, pattern_id) AS rn FROM al),
-  mi AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY round ORDER BY strategy, pattern_id) AS rk FROM dd WHERE rn = 1) WHERE rk <= 50)"""
+  mi AS (SELECT * FROM dd WHERE rn = 1)"""
 
 
 @query("mining_run", f"{_MINE} SELECT {_COLS} FROM mi")
@@ -105,7 +107,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _DIV = f"""{_NB}, dv AS (SELECT imp.round, feature, any_value(n_banks) AS n_banks, avg(importance) AS mean, stddev_pop(importance) AS std FROM imp JOIN nb ON imp.round = nb.round GROUP BY 1, 2),
-  p0 AS (SELECT round, 'PAT-FL-R' || round || '-' || upper(substr(md5(feature), 1, 6)) AS pattern_id, 'FL Round ' || round || ': ' || feature || ' divergence' AS name, 'emergent' AS pattern_type,
+  p0 AS (SELECT round, 'PAT-FL-R' || round || '-' || feature AS pattern_id, 'FL Round ' || round || ': ' || feature || ' divergence' AS name, 'emergent' AS pattern_type,
     CASE WHEN mean > 0.1 * 1.000000001::DOUBLE THEN 'high' ELSE 'medium' END AS severity, round(least(0.95::DOUBLE, mean * 5), 3) AS confidence, n_banks AS observation_count, n_banks AS source_bank_count, feature,
     round(mean, 6) AS signature, 'feature_divergence_' || feature AS attack_vector FROM dv WHERE mean > 0.05 * 1.000000001::DOUBLE AND std / (mean + 0.000000001::DOUBLE) > 0.3 * 1.000000001::DOUBLE)"""
 
@@ -122,7 +124,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "fraud_rate_anomalies",
-    f"""{KN}, {_MS} SELECT met.round, 'PAT-ANOM-R' || met.round || '-' || upper(substr(bank_id, 1, 6)) AS pattern_id, 'Anomalous fraud rate: Round ' || met.round AS name, 'critical' AS severity,
+    f"""{KN}, {_MS} SELECT met.round, 'PAT-ANOM-R' || met.round || '-' || bank_id AS pattern_id, 'Anomalous fraud rate: Round ' || met.round AS name, 'critical' AS severity,
       round(least(0.95::DOUBLE, abs(fraud_rate - mean_fr) / (std_fr + 0.000000001::DOUBLE) * 0.3::DOUBLE), 3) AS confidence FROM met JOIN ms ON met.round = ms.round WHERE std_fr > 1e-12 AND abs(fraud_rate - mean_fr) > 2 * std_fr * 1.000000001::DOUBLE""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,10 +135,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 _ASHOW = ["round", "alert_id", "alert_type", "severity", "title", "confidence", "affected_banks"]
 _AC = ", ".join(_ASHOW)
-_SHIFT = f"""{_RR}, a1 AS (SELECT round, 'ALERT-SHIFT-R' || round || '-' || upper(feature) AS alert_id, CASE WHEN s < 1 THEN 'variant' ELSE 'zero_day' END AS alert_type,
+_SHIFT = f"""{_RR}, a1 AS (SELECT round, 'ALERT-SHIFT-R' || round || '-' || feature AS alert_id, CASE WHEN s < 1 THEN 'variant' ELSE 'zero_day' END AS alert_type,
     CASE WHEN s > 1 THEN 'critical' ELSE 'high' END AS severity, 'Feature Shift Detected: ' || feature AS title, round(least(0.95::DOUBLE, s * 0.5::DOUBLE), 3) AS confidence, n_banks AS affected_banks
     FROM (SELECT *, abs(curr_mean - prev_mean) / (prev_mean + 0.000000001::DOUBLE) AS s FROM rr) WHERE s > 0.5 * 1.000000001::DOUBLE)"""
-SPIKE_SQL = f"""{_MS}, a2 AS (SELECT met.round, 'ALERT-SPIKE-R' || met.round || '-' || upper(substr(md5(bank_id), 1, 6)) AS alert_id, 'spike' AS alert_type, 'critical' AS severity,
+SPIKE_SQL = f"""{_MS}, a2 AS (SELECT met.round, 'ALERT-SPIKE-R' || met.round || '-' || bank_id AS alert_id, 'spike' AS alert_type, 'critical' AS severity,
     'Fraud Rate Spike Detected (Round ' || met.round || ')' AS title, round(least(0.95::DOUBLE, (fraud_rate - mean_fr) / (std_fr + 0.000000001::DOUBLE) * 0.25::DOUBLE), 3) AS confidence, 1::BIGINT AS affected_banks
     FROM met JOIN ms ON met.round = ms.round WHERE k >= 2 AND std_fr > 1e-12 AND fraud_rate > (mean_fr + 2.5::DOUBLE * std_fr) * 1.000000001::DOUBLE),
   a3 AS (SELECT round, 'ALERT-CORR-R' || round AS alert_id, 'correlation' AS alert_type, 'critical' AS severity, 'Coordinated Attack Pattern (Round ' || round || ')' AS title, round(least(0.95::DOUBLE, e / n), 3) AS confidence, e AS affected_banks
@@ -344,21 +346,48 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return library.promote(_store(spark, sf), _when()).select("pattern_id", "pattern_type", "status", "version")
 
 
+_ANOM = f"""{_MINE}, {_DIV.removeprefix(_NB + ", ")},
+  an AS (SELECT 'PAT-ANOM-R' || met.round || '-' || bank_id AS pattern_id FROM met JOIN ms ON met.round = ms.round WHERE std_fr > 1e-12 AND abs(fraud_rate - mean_fr) > 2 * std_fr * 1.000000001::DOUBLE)"""
+
+
+def _ingested(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    return central.ingest(*both(spark, sf), library.empty(spark), _when(), 0.0)
+
+
 @query(
     "combined_ingest",
-    f"{_MINE} SELECT 'patterns' AS part, count(*) AS n FROM mi UNION ALL SELECT 'profiles', count(DISTINCT bank_id) FROM met",
+    f"""{_ANOM}, {_SHIFT.removeprefix(_RR + ", ")}, {SPIKE_SQL.removeprefix(_MS + ", ")}
+      SELECT 'patterns' AS part, count(*) AS n FROM mi UNION ALL SELECT 'profiles', count(DISTINCT bank_id) FROM met
+      UNION ALL SELECT 'alerts', (SELECT count(*) FROM a1) + (SELECT count(*) FROM a2) + (SELECT count(*) FROM a3)
+      UNION ALL SELECT 'library', (SELECT count(*) FROM mi) + (SELECT count(*) FROM p0) + (SELECT count(*) FROM an)""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    """Central profiles, mining and alerts of all rounds in one job."""
-    out = central.ingest(*both(spark, sf), library.baseline(spark, _AS_OF), _when(), 0.0)
-    n = lambda k: out[k].agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("part"), "n")
-    return n("patterns").unionByName(n("profiles"))
+    """Central profiles, mining, alerts and library of all rounds in one job."""
+    out = _ingested(spark, sf)
+    parts = [out[k].agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("part"), "n") for k in ("patterns", "profiles", "alerts", "library")]
+    return reduce(DataFrame.unionByName, parts)
 
 
-@query("library_after_ingest")
+@query(
+    "anomalies_after_ingest",
+    f"""{KN}, {_MS} SELECT 'PAT-ANOM-R' || met.round || '-INSTITUTION_' || bank_id AS pattern_id FROM met JOIN ms ON met.round = ms.round
+      WHERE std_fr > 1e-12 AND abs(fraud_rate - mean_fr) > 2 * std_fr * 1.000000001::DOUBLE""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Every anomalous institution reaches the library, however alike the names are."""
+    i, m = both(spark, sf)
+    named = F.concat(F.lit("INSTITUTION_"), "bank_id")
+    out = central.ingest(i.withColumn("bank_id", named), m.withColumn("bank_id", named), library.empty(spark), _when(), 0.0)
+    return out["library"].where(F.col("pattern_id").startswith("PAT-ANOM")).select("pattern_id")
+
+
+@query(
+    "library_after_ingest",
+    f"""{_ANOM}, lib AS (SELECT observation_count, confidence, source_bank_count FROM mi UNION ALL SELECT observation_count, confidence, source_bank_count FROM p0)
+      SELECT count(*) + (SELECT count(*) FROM an) AS total, coalesce(max(source_bank_count), 0)::BIGINT AS banks_contributing FROM lib""",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    out = central.ingest(*both(spark, sf), library.baseline(spark, _AS_OF), _when(), 0.0)
-    return library.statistics(out["library"])
+    return library.statistics(_ingested(spark, sf)["library"]).select("total", "banks_contributing")
 
 
 @query("library_json_round_trip", f"{_LIB} SELECT pattern_id, severity, signature FROM lb")

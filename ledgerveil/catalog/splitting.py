@@ -54,7 +54,7 @@ def _cuts_sql() -> str:
 
 @query("dirichlet_partition", f"{_RANK} SELECT event_id, is_fraud, {_cuts_sql()} AS client_id FROM r")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return split.dirichlet_partition(_labelled(spark, sf), "is_fraud", ["event_id"], [False, True], 5)
+    return split.dirichlet_partition(_labelled(spark, sf), "is_fraud", ["event_id"], 5)
 
 
 @query("undersample_majority", f"{_RANK} SELECT event_id, is_fraud FROM r WHERE is_fraud OR rn <= floor((SELECT count(*) FROM scored WHERE is_fraud) * 1.5::DOUBLE)")

@@ -1,8 +1,9 @@
-"""Noise columns. Without a seed every evaluation draws afresh."""
+"""Noise columns. Draws follow seed, partition and row order: write a noised table once before it is used twice."""
 
 from __future__ import annotations
 
 import math
+import zlib
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,11 @@ def _uniform(seed: int | None, stream: int) -> Column:
     return F.rand() if seed is None else F.rand(seed * 7919 + stream)
 
 
+def stream(seed: int | None, name: str) -> int | None:
+    """A seed of its own for each column name, so that columns of one run do not share their draws."""
+    return None if seed is None else seed ^ zlib.crc32(name.encode())
+
+
 def laplace(scale: Column | float, seed: int | None = None) -> Column:
     """Laplace(0, scale) as the difference of two exponentials."""
     b = scale if isinstance(scale, Column) else F.lit(float(scale))
@@ -33,7 +39,3 @@ def gumbel(seed: int | None = None) -> Column:
 def gaussian_sigma(sensitivity: float, epsilon: float, delta: float) -> float:
     """Noise level of the classic Gaussian mechanism."""
     return sensitivity * math.sqrt(2.0 * math.log(1.25 / delta)) / epsilon
-
-
-def laplace_scale(sensitivity: float, epsilon: float) -> float:
-    return sensitivity / epsilon

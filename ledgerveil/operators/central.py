@@ -167,10 +167,7 @@ def ingest(
     """
     noised = mining.divergence_patterns(importances, dp_noise_scale, seed).unionByName(mining.fraud_rate_anomalies(metrics))
     mined = materialize(mining.mine(importances, metrics), "mined")
-    # ids carry the round; institutions sharing a name prefix keep their strongest anomaly
     entries = library.as_entries(mining.to_entries(noised.unionByName(mined, allowMissingColumns=True)), as_of)
-    first = Window.partitionBy("pattern_id").orderBy(F.col("confidence").desc(), "name")
-    entries = entries.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
     nxt = library.promote(library.upsert(store, entries, as_of), as_of)
     return {
         "profiles": bank_profiles(metrics),

@@ -140,14 +140,19 @@ def velocity_features(
         .where(~F.col("_ctx"))
         .drop("_ctx", "_chunk")
     )
+    # amounts are taken relative to the account's own mean, so squares stay as small as the spread
+    centre = base.groupBy(account).agg(F.avg(amount).alias("_c"))
+    base = with_totals(base, centre, [account]).withColumn("_d", F.col(amount) - F.col("_c"))
     instants = base.groupBy(account, "_t").agg(
-        F.sum(amount).alias("_s"), F.sum(F.col(amount) * F.col(amount)).alias("_q"), F.count(F.col(amount)).alias("_n")
+        F.sum("_d").alias("_s"), F.sum(F.col("_d") * F.col("_d")).alias("_q"), F.count("_d").alias("_n"), F.first("_c").alias("_c")
     )
     run = ordered_prefix(instants, [account], "_t", ["_s", "_q", "_n"]).select(
-        account, "_t", "cum__s", "cum__q", "cum__n"
+        account, "_t", "_c", "cum__s", "cum__q", "cum__n"
     )
     mean = F.col("cum__s") / F.col("cum__n")
-    var = F.greatest(F.lit(0.0), F.col("cum__q") / F.col("cum__n") - mean * mean)
-    z = F.when(var > 1e-9, (F.col(amount) - mean) / F.sqrt(var)).otherwise(F.lit(0.0))
+    square = F.col("cum__q") / F.col("cum__n")
+    var = F.greatest(F.lit(0.0), square - mean * mean)
+    spread = var > 1e-12 * square + 1e-24 * F.col("_c") * F.col("_c")  # beyond rounding of what was summed
+    z = F.when(spread, (F.col(amount) - F.col("_c") - mean) / F.sqrt(var)).otherwise(F.lit(0.0))
     joined = with_totals(counted, run, [account, "_t"])  # null accounts are an account of their own
-    return joined.withColumn("amount_zscore", z).drop("_t", "cum__s", "cum__q", "cum__n")
+    return joined.withColumn("amount_zscore", z).drop("_t", "_c", "cum__s", "cum__q", "cum__n")

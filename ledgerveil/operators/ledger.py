@@ -148,6 +148,6 @@ def epochs_within(jobs: DataFrame, job: str, target: float, delta: float = 1e-5,
     one = step_cost(F.col("ord"), F.col("sigma"), F.lit(1.0), F.col("sampling_rate"))
     room = F.lit(float(target)) - F.lit(math.log(1.0 / delta)) / (F.col("ord") - 1)
     steps = F.when(room > 0, F.floor(room / one)).otherwise(F.lit(0))
-    most = cells.groupBy(job, "sampling_rate").agg(F.greatest(F.lit(1), F.least(F.lit(100_000), F.max(steps))).alias("n_steps"))
+    most = cells.groupBy(job, "sampling_rate").agg(F.greatest(F.lit(1), F.max(steps)).alias("n_steps"))
     per_epoch = F.greatest(F.lit(1), F.floor(F.lit(1.0) / F.col("sampling_rate")))
     return most.select(job, "n_steps", F.greatest(F.lit(1), F.floor(F.col("n_steps") / per_epoch)).alias("epochs"))

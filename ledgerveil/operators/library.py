@@ -172,34 +172,7 @@ def statistics(library: DataFrame) -> DataFrame:
     )
 
 
-# --- baseline entries ------------------------------------------------------------------------
-
-# pattern_id, name, type, severity, observations, confidence, banks, per day, signature, vector, tags
-BASELINE = [
-    ("BASE-CARD-TESTING", "Card testing with small amounts", "historical", "high", 5000, 0.92, 8, 45.0,
-     {"amount": 0.35, "velocity_1h": 0.40}, "card_testing", ["card", "velocity"]),
-    ("BASE-TAKEOVER", "Account takeover after credential reuse", "historical", "critical", 3200, 0.89, 7, 22.0,
-     {"device_change": 0.38, "login_velocity": 0.30}, "account_takeover", ["account", "device"]),
-    ("BASE-SYNTHETIC-ID", "Synthetic identity application", "historical", "high", 1800, 0.85, 6, 12.0,
-     {"name_email_similarity": 0.33, "address_months": 0.24}, "synthetic_identity", ["application", "identity"]),
-    ("BASE-MULE", "Mule account forwarding deposits", "historical", "critical", 2400, 0.87, 6, 18.0,
-     {"balance_ratio": 0.36, "transfer_velocity": 0.31}, "mule_account", ["transfer", "mule"]),
-    ("BASE-NOT-PRESENT", "Card-not-present purchase abuse", "historical", "medium", 7600, 0.91, 9, 80.0,
-     {"is_online": 0.30, "distance_from_home": 0.27}, "card_not_present", ["card", "online"]),
-    ("BASE-FULL-DRAIN", "Transfer that empties the account", "historical", "high", 4100, 0.94, 5, 30.0,
-     {"is_full_drain": 0.48, "amount": 0.22}, "full_drain", ["transfer", "drain"]),
-]
-
-
-def baseline(spark: SparkSession, as_of: str) -> DataFrame:
-    """Six well-known patterns to start a library from."""
-    rows = [
-        (i, n, n, t, s, o, c, b, fr, sig, v, tags) for i, n, t, s, o, c, b, fr, sig, v, tags in BASELINE
-    ]
-    df = spark.createDataFrame(
-        rows,
-        "pattern_id string, name string, description string, pattern_type string, severity string, "
-        "observation_count bigint, confidence double, source_bank_count bigint, frequency_per_day double, "
-        "feature_signature map<string,double>, attack_vector string, tags array<string>",
-    )
-    return as_entries(df, F.lit(as_of).cast("timestamp"))
+
+def empty(spark: SparkSession) -> DataFrame:
+    """A library without patterns; a deployment starts from this or from a stored table."""
+    return spark.createDataFrame([], SCHEMA)

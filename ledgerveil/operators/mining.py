@@ -13,11 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerveil.functions import noise
-from ledgerveil.functions.hashing import feature_tag
 from ledgerveil.plans.ranking import with_totals
 from ledgerveil.session import materialize
 
-PER_ROUND_LIMIT = 50
 # thresholds are strict; a hair's breadth keeps exact ties out however sums were ordered
 _EPS = 1e-9
 BASELINE_LENGTH = 100
@@ -39,14 +37,15 @@ def feature_stats(importances: DataFrame) -> DataFrame:
     """(round, feature, n_banks, n_present, mean, std) with absent reports counted as 0."""
     sums = importances.groupBy("round", "feature").agg(
         F.sum("importance").alias("s"),
-        F.sum(F.col("importance") * F.col("importance")).alias("q"),
+        F.var_pop("importance").alias("v"),
         F.count(F.lit(1)).alias("n_present"),
     )
-    n = F.col("n_banks")
-    mean = F.col("s") / n
+    # the reports' own spread, merged with the absent institutions' zeros: no difference of large squares
+    n, k = F.col("n_banks"), F.col("n_present")
+    own = F.col("s") / k
+    spread = F.col("v") * k / n + own * own * k * (n - k) / (n * n)
     return with_totals(sums, banks_per_round(importances), ["round"]).select(
-        "round", "feature", "n_banks", "n_present", mean.alias("mean"),
-        F.sqrt(F.greatest(F.lit(0.0), F.col("q") / n - mean * mean)).alias("std"),
+        "round", "feature", "n_banks", "n_present", (F.col("s") / n).alias("mean"), F.sqrt(spread).alias("std"),
     )
 
 
@@ -257,8 +256,8 @@ def deduplicate(found: DataFrame) -> DataFrame:
     return found.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
-def mine(importances: DataFrame, metrics: DataFrame, limit: int = PER_ROUND_LIMIT) -> DataFrame:
-    """All four strategies, deduplicated; each round's report keeps its first ``limit`` patterns.
+def mine(importances: DataFrame, metrics: DataFrame, limit: int | None = None) -> DataFrame:
+    """All four strategies, deduplicated; with a ``limit``, only each round's first patterns, as for a report.
 
     The statistics per (round, feature) are written once for the three miners that use them.
     """
@@ -269,8 +268,11 @@ def mine(importances: DataFrame, metrics: DataFrame, limit: int = PER_ROUND_LIMI
         .unionByName(feature_consensus(importances, stats=stats))
         .unionByName(combined_indicators(importances, metrics))
     )
+    found = deduplicate(found).select(*FOUND)
+    if limit is None:
+        return found
     w = Window.partitionBy("round").orderBy("strategy", "pattern_id")
-    return deduplicate(found).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).select(*FOUND)
+    return found.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).select(*FOUND)
 
 
 def run_summary(found: DataFrame, importances: DataFrame, metrics: DataFrame) -> DataFrame:
@@ -317,7 +319,7 @@ def divergence_patterns(importances: DataFrame, dp_noise_scale: float = 0.1, see
     return found.select(
         "round",
         F.lit(0).alias("strategy"),
-        F.concat(F.lit("PAT-FL-R"), rnd, F.lit("-"), feature_tag(F.col("feature"))).alias("pattern_id"),
+        F.concat(F.lit("PAT-FL-R"), rnd, F.lit("-"), "feature").alias("pattern_id"),
         F.concat(F.lit("FL Round "), rnd, F.lit(": "), "feature", F.lit(" divergence")).alias("name"),
         F.lit("emergent").alias("pattern_type"),
         F.when(above(F.col("mean"), 0.1), "high").otherwise("medium").alias("severity"),
@@ -344,7 +346,7 @@ def fraud_rate_anomalies(metrics: DataFrame) -> DataFrame:
     return found.select(
         "round",
         F.lit(0).alias("strategy"),
-        F.concat(F.lit("PAT-ANOM-R"), rnd, F.lit("-"), F.upper(F.substring(_text(F.col("bank_id")), 1, 6))).alias("pattern_id"),
+        F.concat(F.lit("PAT-ANOM-R"), rnd, F.lit("-"), _text(F.col("bank_id"))).alias("pattern_id"),
         F.concat(F.lit("Anomalous fraud rate: Round "), rnd).alias("name"),
         F.lit("emergent").alias("pattern_type"),
         F.lit("critical").alias("severity"),

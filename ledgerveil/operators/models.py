@@ -217,6 +217,6 @@ def load_model(root: str, name: str) -> PipelineModel:
     return PipelineModel.load(os.path.join(root, name, "model"))
 
 
-def export_metadata(df: DataFrame) -> list[dict]:
-    """Registry rows as dictionaries (one per model)."""
-    return [json.loads(r) for r in df.toJSON().take(1000)]
+def export_metadata(df: DataFrame) -> DataFrame:
+    """(name, document): every registry row as a JSON document, one per model."""
+    return df.select("name", F.to_json(F.struct(*df.columns)).alias("document"))

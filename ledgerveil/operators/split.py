@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerveil.plans.ranking import exact_quantiles, hash_rank, seeded_order, with_totals
+from ledgerveil.plans.sizing import bounded_rows
 
 
 def _check(train: float, val: float, test: float) -> None:
@@ -57,21 +58,20 @@ def dirichlet_cuts(labels: Sequence[object], clients: int, alpha: float, seed: i
 
 
 def dirichlet_partition(
-    df: DataFrame, label: str, ids: Sequence[str], labels: Sequence[object], clients: int,
-    alpha: float = 0.5, seed: int = 42,
+    df: DataFrame, label: str, ids: Sequence[str], clients: int, alpha: float = 0.5, seed: int = 42, max_labels: int = 10_000,
 ) -> DataFrame:
-    """Add ``client_id`` with label shares drawn from a Dirichlet distribution."""
-    cuts = dirichlet_cuts(labels, clients, alpha, seed)
-    ranked = hash_rank(df, [label], ids, seed)
-    cid: Column | None = None
-    for lab, cum in cuts.items():
-        inner: Column | None = None
-        for i, c in enumerate(cum[:-1]):
-            cond = F.col("rn") <= F.floor(F.col("n_group") * F.lit(c))
-            inner = F.when(cond, F.lit(i)) if inner is None else inner.when(cond, F.lit(i))
-        part = inner.otherwise(F.lit(clients - 1)) if inner is not None else F.lit(0)
-        cid = F.when(F.col(label) == F.lit(lab), part) if cid is None else cid.when(F.col(label) == F.lit(lab), part)
-    return ranked.withColumn("client_id", cid).drop("rn", "n_group")
+    """Add ``client_id`` with label shares drawn from a Dirichlet distribution.
+
+    Labels are read from the data, a null label included; more than ``max_labels`` of them are refused. A row finds its
+    client by the number of its label's cut points at or below its place.
+    """
+    found = bounded_rows(df.select(label).distinct(), max_labels, "labels")
+    cuts = dirichlet_cuts(sorted((r[0] for r in found if r[0] is not None)) + [None] * any(r[0] is None for r in found), clients, alpha, seed)
+    kind = df.schema[label].dataType.simpleString()
+    side = df.sparkSession.createDataFrame([(lab, cum[:-1]) for lab, cum in cuts.items()], f"_label {kind}, _cuts array<double>")
+    placed = hash_rank(df, [label], ids, seed).join(F.broadcast(side), F.col(label).eqNullSafe(F.col("_label")), "left")
+    below = F.size(F.filter("_cuts", lambda c: F.col("rn") > F.floor(F.col("n_group") * c)))
+    return placed.withColumn("client_id", below.cast("int")).drop("rn", "n_group", "_label", "_cuts")
 
 
 def undersample(df: DataFrame, label: str, ids: Sequence[str], ratio: float = 1.0, seed: int = 42) -> DataFrame:

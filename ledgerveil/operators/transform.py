@@ -129,7 +129,7 @@ def _treat(df, c, pii_type, how, key, as_of_year, epsilon, facts, seed) -> Colum
         lo, hi = facts.get(f"lo_{c}"), facts.get(f"hi_{c}")
         if lo is None:
             return F.col(c)
-        return F.col(c) + noise.laplace((hi - lo) / 100.0 / epsilon, seed)
+        return F.col(c) + noise.laplace((hi - lo) / 100.0 / epsilon, noise.stream(seed, c))
     raise ValueError(f"unknown treatment {how}")
 
 
@@ -182,7 +182,9 @@ def pseudonym_map(
     start = 0
     if existing is not None:
         values = values.join(existing.select("value"), "value", "left_anti")
-        start = existing.count()
+        stored = F.regexp_extract("pseudonym", r"(\d+)$", 1)
+        top = existing.agg(F.max(F.when(stored != "", stored.cast("long")))).first()[0]
+        start = 0 if top is None else top + 1
     ranked = hash_rank(values, [], ["value"], seed)
     number = F.format_string("%06d", F.col("rn") - 1 + start)
     fresh = ranked.select("value", F.concat(F.lit(f"{prefix}_{column.upper()}_"), number).alias("pseudonym"))

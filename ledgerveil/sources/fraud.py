@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import glob
 import os
 from collections.abc import Callable, Sequence
 
@@ -129,11 +128,11 @@ def load_card_transactions(spark: SparkSession, folder: str, fraction: float | N
 
 
 def load_mobile_payments(spark: SparkSession, folder: str, fraction: float | None = None, seed: int = 42, salt: str | None = None) -> DataFrame:
-    """First matching file; account names are replaced by their hashes."""
-    path = _first_match(spark, folder, ["PS_*.csv", "paysim*.csv"])
-    if path is None:
+    """All files of the first pattern that matches any; account names are replaced by their hashes."""
+    paths = _matches(spark, folder, ["PS_*.csv", "paysim*.csv"])
+    if not paths:
         raise DatasetMissing(f"no mobile payment file in {folder}")
-    df = _finish(_read_csv(spark, [path], PAYMENT_SCHEMA), "paysim", [], fraction, seed)
+    df = _finish(_read_csv(spark, paths, PAYMENT_SCHEMA), "paysim", [], fraction, seed)
     return df.withColumns(
         {"account_orig_hash": account_hash("account_orig", salt), "account_dest_hash": account_hash("account_dest", salt)}
     ).drop("account_orig", "account_dest")
@@ -162,19 +161,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
 
 
-def _first_match(spark: SparkSession, folder: str, patterns: Sequence[str]) -> str | None:
-    if "://" not in folder:
-        for pattern in patterns:
-            hits = sorted(glob.glob(os.path.join(folder, pattern)))
-            if hits:
-                return hits[0]
-        return None
+def _matches(spark: SparkSession, folder: str, patterns: Sequence[str]) -> list[str]:
+    """Files of the first pattern with a match, by the file system that Spark itself resolves the path to."""
     for pattern in patterns:
         p = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(folder, pattern))
         hits = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
         if hits:
-            return sorted(h.getPath().toString() for h in hits)[0]
-    return None
+            return sorted(h.getPath().toString() for h in hits)
+    return []
 
 
 # --- set operations -------------------------------------------------------------------------------

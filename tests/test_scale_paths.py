@@ -7,7 +7,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerveil.operators import audit, evaluate, features, ledger, mining, retrieval, robust
+from ledgerveil.functions import noise
+from ledgerveil.operators import audit, central, evaluate, features, ledger, library, mining, retrieval, robust, split
+from ledgerveil.operators.features import velocity_features
+from ledgerveil.operators.transform import pseudonym_map
 from ledgerveil.plans import ranking, sizing
 
 
@@ -169,3 +172,44 @@ def test_audit_chain_is_streamed_and_extended(spark):
 def test_bounded_rows_refuses_more(spark):
     with pytest.raises(sizing.SizeExceeded):
         sizing.bounded_rows(spark.range(11), 10, "rows")
+
+
+def test_names_that_differ_late_or_in_case_all_arrive(spark):
+    rows = [(1, f"BANK_{b:02d}", f, v) for b in range(12) for f, v in (("Amount", 0.1 * (b % 3)), ("amount", 0.2 * (b % 2)))]
+    imp = spark.createDataFrame(rows, "round int, bank_id string, feature string, importance double")
+    met = spark.createDataFrame(
+        [(1, f"BANK_{b:02d}", 0.9 if b in (3, 4) else 0.01, 0.9, 0.1, 100, 1) for b in range(30)],
+        "round int, bank_id string, fraud_rate double, accuracy double, loss double, num_samples long, num_fraud long",
+    )
+    out = central.ingest(imp, met, library.empty(spark), F.lit("2026-01-01").cast("timestamp"), 0.0)
+    ids = {r.pattern_id for r in out["library"].collect()}
+    assert {"PAT-ANOM-R1-BANK_03", "PAT-ANOM-R1-BANK_04", "PAT-FL-R1-Amount", "PAT-FL-R1-amount"} <= ids
+    assert mining.mine(imp, met).count() == mining.mine(imp, met, limit=1000).count()
+
+
+def test_spread_of_large_amounts(spark):
+    rows = [(1, f"b{i}", "f", 1e6 + 0.002 * (i % 2)) for i in range(10)]
+    std = mining.feature_stats(spark.createDataFrame(rows, "round int, bank_id string, feature string, importance double")).first()["std"]
+    assert abs(std - 0.001) < 1e-8
+    tx = spark.createDataFrame([("a", i, 1e9 + i % 2) for i in range(6)] + [("b", i, 1e-5 * (1 + i % 2)) for i in range(6)], "account string, s int, amount double")
+    z = velocity_features(tx.withColumn("t", F.timestamp_seconds("s")), "account", "t", "amount")
+    got = {(r.account, r.s): r.amount_zscore for r in z.collect()}
+    for account in "ab":
+        assert abs(got[account, 1] - 1) < 1e-3 and abs(got[account, 5] - 1) < 1e-3 and got[account, 0] == 0
+
+
+def test_noise_of_columns_differs(spark):
+    df = spark.range(200).select(noise.laplace(1.0, noise.stream(7, "a")).alias("a"), noise.laplace(1.0, noise.stream(7, "b")).alias("b"))
+    assert df.where("abs(a - b) < 1e-9").count() == 0
+
+
+def test_pseudonym_numbers_are_not_reused(spark):
+    old = spark.createDataFrame([("x", "PSEUDO_V_000001")], "value string, pseudonym string")
+    got = {r.value: r.pseudonym for r in pseudonym_map(spark.createDataFrame([("x",), ("y",), ("z",)], "v string"), "v", old).collect()}
+    assert got["x"] == "PSEUDO_V_000001" and len(set(got.values())) == 3
+
+
+def test_unlisted_and_null_labels_get_clients(spark):
+    df = spark.range(90).selectExpr("id", "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 'u' ELSE 'v' END AS y")
+    out = split.dirichlet_partition(df, "y", ["id"], 4).where("client_id BETWEEN 0 AND 3")
+    assert out.count() == 90
