@@ -32,26 +32,22 @@ def _stack(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _rows_json(df: DataFrame, limit: int) -> DataFrame:
-    """One row with up to ``limit`` rows of an ordered frame as a JSON array (a bounded top list)."""
-    cols = [c for c in df.columns if c != "_o"]
-    top = df.limit(limit)
-    return top.agg(F.to_json(F.collect_list(F.struct(*cols))).alias("data"))
-
-
-def _counted(df: DataFrame, order: Column, limit: int) -> DataFrame:
-    """(n, data): how many rows, and the first few as JSON."""
-    n = df.agg(F.count(F.lit(1)).alias("n"))
-    return with_totals(n, _rows_json(df.orderBy(order), limit), [])
+def _counted(df: DataFrame, order: Column, top: int | None) -> DataFrame:
+    """(n, data): how many rows, and their JSON array in falling order, cut to ``top`` rows if the caller asks for it."""
+    cols = df.columns
+    rows = F.sort_array(F.collect_list(F.struct(order.alias("_o"), *cols)), asc=False)
+    shown = F.transform(rows if top is None else F.slice(rows, 1, top), lambda r: F.struct(*[r[c].alias(c) for c in cols]))
+    return df.agg(F.count(F.lit(1)).alias("n"), F.to_json(shown).alias("data"))
 
 
 def global_report(
-    stats: DataFrame, trends: DataFrame, ranking: DataFrame, store: DataFrame, alert_rows: DataFrame, risks: DataFrame, as_of: Column
+    stats: DataFrame, trends: DataFrame, ranking: DataFrame, store: DataFrame, alert_rows: DataFrame, risks: DataFrame, as_of: Column,
+    top: int | None = None,
 ) -> DataFrame:
-    """Six sections over all institutions."""
+    """Six sections over all institutions; ``top`` cuts the lists in them."""
     fresh = lib.emergent(store, as_of).select("pattern_id", "name", "severity", "novelty")
     facts = lib.fact_based(store).agg(F.count(F.lit(1)).alias("facts"))
-    threat = with_totals(_counted(fresh, F.col("novelty").desc(), 10), facts, [])
+    threat = with_totals(_counted(fresh, F.col("novelty"), top), facts, [])
     t = "all"
     parts = [
         _section(
@@ -67,7 +63,7 @@ def global_report(
             F.to_json(F.struct(*[F.col(c) for c in trends.columns])), F.lit("info"),
         ),
         _section(
-            _counted(ranking, F.col("mean_importance").desc(), 15), "global", t, 3, "Top attack vectors",
+            _counted(ranking, F.col("mean_importance"), top), "global", t, 3, "Top attack vectors",
             F.format_string("%d features ranked over all institutions.", "n"), F.col("data"), F.lit("info"),
         ),
         _section(
@@ -76,27 +72,27 @@ def global_report(
             F.when(F.col("n") > 5, "critical").when(F.col("n") > 0, "warning").otherwise("info"),
         ),
         _section(
-            _counted(alert_rows.select("alert_id", "alert_type", "severity", "title"), F.col("alert_id").desc(), 5),
+            _counted(alert_rows.select("alert_id", "alert_type", "severity", "title"), F.col("alert_id"), top),
             "global", t, 5, "Active alerts", F.format_string("%d alerts are active.", "n"), F.col("data"),
             F.when(F.col("n") > 0, "critical").otherwise("info"),
         ),
         _section(
-            _counted(risks, F.col("risk_score").desc(), 100), "global", t, 6, "Institution risk",
+            _counted(risks, F.col("risk_score"), top), "global", t, 6, "Institution risk",
             F.format_string("Risk scores of %d institutions.", "n"), F.col("data"), F.lit("info"),
         ),
     ]
     return _stack(parts)
 
 
-def bank_report(bank_id: object, profiles: DataFrame, store: DataFrame, alert_rows: DataFrame, as_of: Column) -> DataFrame:
-    """Sections for one institution; empty if it is unknown."""
+def bank_report(bank_id: object, profiles: DataFrame, store: DataFrame, alert_rows: DataFrame, as_of: Column, top: int | None = None) -> DataFrame:
+    """Sections for one institution; empty if it is unknown. ``top`` cuts the lists in them."""
     t = str(bank_id)
     own = profiles.where(F.col("bank_id") == F.lit(bank_id))
     fresh = lib.emergent(store, as_of).select("name", "description", "severity", "confidence", "first_seen", "novelty")
     facts = lib.fact_based(store).select("pattern_id", "name", "severity", "confidence")
-    known, new = _counted(facts, F.col("confidence").desc(), 20), _counted(fresh, F.col("novelty").desc(), 10)
+    known, new = _counted(facts, F.col("confidence"), top), _counted(fresh, F.col("novelty"), top)
     wide = al.relevant_to_banks(alert_rows).select("alert_id", "alert_type", "severity", "title")
-    network = _counted(wide, F.col("alert_id").desc(), 10)
+    network = _counted(wide, F.col("alert_id"), top)
     tips = with_totals(
         with_totals(own, known.select(F.col("n").alias("k")), []), new.select(F.col("n").alias("e")), []
     )
@@ -132,18 +128,18 @@ def bank_report(bank_id: object, profiles: DataFrame, store: DataFrame, alert_ro
     return _stack(parts).join(known_bank, "report_id", "left_semi").select(*COLUMNS)
 
 
-def emergent_briefing(store: DataFrame, alert_rows: DataFrame) -> DataFrame:
-    """Zero-day patterns and critical alerts, sections only when there is something to say."""
+def emergent_briefing(store: DataFrame, alert_rows: DataFrame, top: int | None = None) -> DataFrame:
+    """Zero-day patterns and critical alerts, sections only when there is something to say. ``top`` cuts the lists."""
     zero = store.where(F.col("pattern_type") == "zero_day").select("pattern_id", "name", "severity", "confidence")
     hot = alert_rows.where(F.col("severity") == "critical").select("alert_id", "alert_type", "title")
     return _stack(
         [
             _section(
-                _counted(zero, F.col("confidence").desc(), 10).where(F.col("n") > 0), "emergent", "all", 1, "Zero-day indicators",
+                _counted(zero, F.col("confidence"), top).where(F.col("n") > 0), "emergent", "all", 1, "Zero-day indicators",
                 F.format_string("%d patterns show characteristics not seen before.", "n"), F.col("data"), F.lit("critical"),
             ),
             _section(
-                _counted(hot, F.col("alert_id").desc(), 50).where(F.col("n") > 0), "emergent", "all", 2, "Critical alerts",
+                _counted(hot, F.col("alert_id"), top).where(F.col("n") > 0), "emergent", "all", 2, "Critical alerts",
                 F.format_string("%d critical alerts need attention.", "n"), F.col("data"), F.lit("critical"),
             ),
         ]

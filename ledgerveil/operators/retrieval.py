@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, BucketedRandomProjectionLSH, HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -88,22 +88,6 @@ def nearest(
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def nearest_approximate(
-    corpus: DataFrame, queries: DataFrame, doc_id: str, vector: str, radius: float = 0.8, tables: int = 4, n: int = 5,
-) -> DataFrame:
-    """Approximate variant on unit vectors through locality-sensitive hashing (vector-typed columns)."""
-    norm = Normalizer(inputCol=vector, outputCol="_u")
-    lsh = BucketedRandomProjectionLSH(inputCol="_u", outputCol="_h", bucketLength=radius, numHashTables=tables, seed=42)
-    c = norm.transform(corpus.select(doc_id, vector))
-    q = norm.transform(queries.select("query_id", F.col("vector").alias(vector)))
-    model = lsh.fit(c)
-    pairs = model.approxSimilarityJoin(q, c, radius, "dist")
-    sim = F.lit(1.0) - F.col("dist") * F.col("dist") / 2
-    flat = pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col(f"datasetB.{doc_id}").alias(doc_id), sim.alias("similarity"))
-    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), doc_id)
-    return flat.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-
-
 def context(hits: DataFrame, documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(query_id, context): '[Source i]: text' blocks in rank order (at most n texts per query)."""
     j = hits.join(documents.select(doc_id, F.col(text).alias("_t")), doc_id)
