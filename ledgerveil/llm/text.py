@@ -46,10 +46,16 @@ def map_arrow(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[dict]], s
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
-    """``materialize``, and let go of the shuffle files behind the table, which the driver's next collection would free."""
+    """``materialize`` for large steps: lets go at once of the shuffle files behind the table.
+
+    Spark frees them when the driver happens to collect its garbage; the second collection sees what the first released.
+    """
     out = materialize(df, purpose)
     time.sleep(0.2)  # until the listeners have let go of the query
-    df.sparkSession.sparkContext._jvm.System.gc()
+    del df
+    for _ in range(2):
+        out.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
     return out
 
 
@@ -60,7 +66,7 @@ def bit_set(wanted: DataFrame, key: str) -> DataFrame:
     """(_word, _bits): a set of hash-like longs as bits, FILTER_BITS / 64 rows at most, built in Spark and small to send out."""
     slot = F.pmod(key, F.lit(FILTER_BITS))
     bit = F.expr(f"shiftleft(1L, CAST(pmod(`{key}`, {FILTER_BITS}) & 63 AS INT))")
-    return written(wanted.select(F.shiftright(slot, 6).alias("_word"), bit.alias("b")).groupBy("_word").agg(F.bit_or("b").alias("_bits")), "bits")
+    return materialize(wanted.select(F.shiftright(slot, 6).alias("_word"), bit.alias("b")).groupBy("_word").agg(F.bit_or("b").alias("_bits")), "bits")
 
 
 def with_bit(df: DataFrame, key: str, bits: DataFrame) -> DataFrame:
