@@ -59,21 +59,26 @@ def _grow(x: np.ndarray, limit: int, rng: np.random.Generator) -> tuple[list, li
     return feature, cut, left, right, size
 
 
+def _coprime(n: int) -> int:
+    """A stride through 0..n-1 that meets every number."""
+    return next(k for k in range(max(1, int(n * 0.618)), n + 2) if math.gcd(k, n) == 1)
+
+
 def fit(df: DataFrame, features: Sequence[str], trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> DataFrame:
-    """One row per tree. Each tree sees at most ``sample`` rows drawn by hash.
+    """One row per tree, grown on at most ``sample`` rows drawn at random for it.
 
-    Large tables: one thinned pass assigns each drawn row to a tree. Small tables (fewer
-    rows than all samples together): every row is offered to every tree.
+    Each row draws how many trees it goes to, at a mean of 1.3 * sample * trees / rows, and where a stride through the
+    trees starts, so no tree gets it twice. The rate alone follows the table's size: small and large tables take one
+    path, and about 1.3 * sample rows reach a tree. With the same seed and the same partitions the draw is the same.
     """
     feats = list(features)
     base = df.select(*[clean_value(f) for f in feats])
-    n = base.count()
-    wanted = trees * sample
-    if n > 2 * wanted:
-        offered = base.sample(min(1.0, 1.3 * wanted / n), seed).withColumn("tree", F.floor(F.rand(seed + 1) * trees).cast("int"))
-    else:
-        keep = min(1.0, 1.3 * sample / max(n, 1))
-        offered = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).where(F.rand(seed + 2) < keep)
+    mean = min(1.0, 1.3 * sample / max(base.count(), 1)) * trees
+    offers = F.floor(F.lit(mean)) + (F.rand(seed) < F.lit(mean - math.floor(mean))).cast("long")
+    drawn = base.select("*", offers.alias("_n"), F.floor(F.rand(seed + 1) * trees).alias("_t")).where("_n > 0")
+    drawn = drawn.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    tree = F.pmod(F.col("_t") + F.col("_k") * F.lit(_coprime(trees)), F.lit(trees)).cast("int")
+    offered = drawn.withColumn("tree", tree).drop("_n", "_t", "_k")
     limit = math.ceil(math.log2(max(sample, 2)))
 
     def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from ledgerveil.session import materialize
 
 ALL = "_all"
-HOT_ROWS = 2_000_000
-_FINE = 64
 
 
 def seeded_order(seed: int, *cols: str) -> Column:
@@ -57,52 +55,22 @@ def hash_rank(
     return joined.withColumn(rank, F.col("_before") + F.col("_r")).drop("_h", "_b", "_r", "_before", ALL)
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the largest group: one number to the driver, after partial counts."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")) if keys else df.agg(F.count(F.lit(1)).alias("_m"))
-    return sizes.agg(F.max("_m")).first()[0] or 0
-
-
-def ordered_prefix(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    measures: Sequence[str],
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def ordered_prefix(df: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str]) -> DataFrame:
     """Running (inclusive) sums ``cum_<m>`` of each measure along ``value`` in each group.
 
     ``value`` must be numeric and occur once per group: aggregate to distinct values
-    first, which also folds ties on the map side. Groups up to ``hot_rows`` use an
-    ordinary window; beyond it each group is cut at approximate quantiles (4,096
-    ordered buckets) and bucket totals are carried forward. The input is written once
-    first: sizing it and summing it must not repeat the aggregation behind it.
+    first, which also folds ties on the map side. Rows are dealt out by ranges of
+    (keys, value), so a group of any size spreads over as many partitions as it needs;
+    sums run inside a partition and the small table of partition totals is carried
+    forward. Every size takes this path. The dealt rows are written once: which range a
+    row fell into must not be decided twice.
     """
-    df = materialize(df, "prefix")
     keys = list(keys)
     added = not keys
     if added:
         df, keys = df.withColumn(ALL, F.lit(0)), [ALL]
-    if largest_group(df, [] if added else keys) <= hot_rows:
-        run = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        out = df.select("*", *[F.sum(m).over(run).alias(f"cum_{m}") for m in measures])
-        return out.drop(ALL) if added else out
-
-    coarse = [i / _FINE for i in range(1, _FINE)]
-    fine = [i / (_FINE * _FINE) for i in range(1, _FINE * _FINE)]
-    breaks = df.groupBy(*keys).agg(
-        F.percentile_approx(value, coarse, 10_000).alias("_coarse"),
-        F.percentile_approx(value, fine, 10_000).alias("_fine"),
-    )
-    placed = _join_keys(df, breaks, keys)
-    # two-level search: which of 64 coarse ranges, then which of the 64 fine cuts inside it
-    c = F.size(F.filter("_coarse", lambda b: b < F.col(value)))
-    placed = placed.withColumn("_c", c)
-    placed = placed.withColumn(
-        "_b",
-        F.col("_c") * _FINE
-        + F.size(F.filter(F.slice("_fine", F.col("_c") * _FINE + 1, F.lit(_FINE)), lambda b: b < F.col(value))),
-    ).drop("_coarse", "_fine", "_c")
+    ranged = df.repartitionByRange(*[F.col(k) for k in keys], F.col(value)).withColumn("_b", F.spark_partition_id())
+    placed = materialize(ranged, "prefix")
     sizes = placed.groupBy(*keys, "_b").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
     run = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     offsets = sizes.select(
@@ -123,9 +91,7 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("m"))
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one column per entry of ``probs``.
 
     Works on distinct values with counts, so neither heavy ties nor a huge group
@@ -133,8 +99,8 @@ def exact_quantiles(
     """
     keys = list(keys)
     if not keys:
-        return exact_quantiles(df.withColumn(ALL, F.lit(0)), [ALL], value, probs, hot_rows).drop(ALL)
-    run = ordered_prefix(value_counts(df, keys, value), keys, value, ["m"], hot_rows)
+        return exact_quantiles(df.withColumn(ALL, F.lit(0)), [ALL], value, probs).drop(ALL)
+    run = ordered_prefix(value_counts(df, keys, value), keys, value, ["m"])
     totals = run.groupBy(*keys).agg(F.sum("m").alias("_n"))
     run = _join_keys(run, totals, keys)
     picks = []

@@ -1,10 +1,9 @@
 """The paths taken by hot groups give the same rows as the plain ones."""
 
-import functools
-
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerveil.functions import noise
@@ -25,19 +24,25 @@ def skewed(spark):
     return pdf, spark.createDataFrame(pdf).withColumn("k", F.when(F.col("k") != "None", F.col("k")))
 
 
-def test_ordered_prefix_hot_equals_plain(skewed):
+def test_ordered_prefix_equals_plain_window(spark, skewed):
     _, df = skewed
     g = df.groupBy("k", "v").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("m"))
     order = ["k", "v"]
-    plain = ranking.ordered_prefix(g, ["k"], "v", ["w", "m"]).orderBy(*order).collect()
-    hot = ranking.ordered_prefix(g, ["k"], "v", ["w", "m"], hot_rows=10).select(*g.columns, "cum_w", "cum_m").orderBy(*order).collect()
-    assert plain == hot
+    run = Window.partitionBy("k").orderBy("v")
+    plain = g.select("*", *[F.sum(m).over(run).alias(f"cum_{m}") for m in ("w", "m")]).orderBy(*order).collect()
+    for parts in (1, 64):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = ranking.ordered_prefix(g, ["k"], "v", ["w", "m"]).select(*g.columns, "cum_w", "cum_m").orderBy(*order).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 8)
+        assert plain == got
 
 
 def test_ordered_prefix_without_keys(skewed):
     pdf, df = skewed
     g = df.groupBy("v").agg(F.sum("w").alias("w"))
-    got = {r["v"]: r["cum_w"] for r in ranking.ordered_prefix(g, [], "v", ["w"], hot_rows=5).collect()}
+    got = {r["v"]: r["cum_w"] for r in ranking.ordered_prefix(g, [], "v", ["w"]).collect()}
     want = pdf.groupby("v")["w"].sum().sort_index().cumsum().to_dict()
     assert got == want
 
@@ -54,17 +59,16 @@ def test_hash_rank_is_a_permutation_in_hash_order(skewed):
     assert len(got) == len(pdf)
 
 
-@pytest.mark.parametrize("hot", [10, 10**9])
-def test_exact_quantiles(skewed, hot):
+def test_exact_quantiles(skewed):
     pdf, df = skewed
-    got = ranking.exact_quantiles(df.where("k is not null"), ["k"], "v", {"a": 0.5, "b": 0.95}, hot).toPandas().set_index("k")
+    got = ranking.exact_quantiles(df.where("k is not null"), ["k"], "v", {"a": 0.5, "b": 0.95}).toPandas().set_index("k")
     want = pdf[pdf["k"].notna()].groupby("k")["v"].quantile([0.5, 0.95]).unstack()
     assert np.allclose(got["a"].sort_index(), want[0.5].sort_index())
     assert np.allclose(got["b"].sort_index(), want[0.95].sort_index())
 
 
-def test_operators_take_the_hot_path_unchanged(spark, skewed, monkeypatch):
-    """Curves, areas, trimmed means and ledgers with every group treated as hot."""
+def test_operators_do_not_depend_on_partitions(spark, skewed):
+    """Curves, areas, trimmed means and ledgers over one and over many ranges."""
     _, df = skewed
     scored = df.select((F.col("w") > 2).alias("y"), F.round(F.col("v") / 50, 3).alias("s"))
     _, clients = _clients(spark, 40, 3, rounds=2)
@@ -80,10 +84,11 @@ def test_operators_take_the_hot_path_unchanged(spark, skewed, monkeypatch):
             {(r["account"], r["seq"]): r["epsilon"] for r in ledger.running_epsilon(ops).collect()},
         ]
 
-    plain = results()
-    hot = functools.partial(ranking.ordered_prefix, hot_rows=5)
-    for module in (evaluate, robust, ledger):
-        monkeypatch.setattr(module, "ordered_prefix", hot)
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        plain = results()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
     for a, b in zip(plain, results()):
         assert a.keys() == b.keys()
         assert all(abs(a[k] - b[k]) < 1e-9 for k in a)
