@@ -27,7 +27,7 @@ from ledgerveil.session import materialize
 
 SHINGLE = 5
 PERCENT = 75
-KEYS = 6
+KEYS = 8
 BLOCK = 32
 CHUNK = 256
 HOT_SHARE = 16
@@ -141,7 +141,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame, salt: int) -> DataFrame:
     wanted = materialize(wanted, "join-wanted")
     bits = bit_set(wanted.select(F.xxhash64("id").alias("s")), "s")
     rows = docs.where("id IS NOT NULL").select("id", "text", F.xxhash64("id").alias("s"))
-    near = with_bit(rows, "s", bits).where("_in").select("id", "text").join(wanted, "id")
+    near = with_bit(rows, "s", bits).where("_in").select("id", "text").join(wanted.hint("merge"), "id")  # what is wanted grows with the corpus
 
     def same(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
@@ -160,6 +160,8 @@ def opened(pairs: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
     size = pairs.groupBy("block").agg(F.count("*").alias("_n"))
     pairs = pairs.join(size, "block").select("q", "block", F.pmod(F.xxhash64("q"), F.ceil(F.col("_n") / CHUNK)).alias("chunk"))
     pairs = materialize(pairs, "join-pairs")
+    # pairs and texts grow with the corpus: shuffled joins at every size
+    texts = texts.hint("merge")
     asked = pairs.join(texts.withColumnRenamed("c", "q"), "q").select("block", "chunk", F.lit(1).alias("part"), F.col("q").alias("c"), "text")
     held = pairs.select("block", "chunk").distinct().join(members, "block").join(texts, "c").select("block", "chunk", F.lit(0).alias("part"), "c", "text")
     runs = held.unionAll(asked).repartition("block", "chunk").sortWithinPartitions("block", "chunk", "part")
@@ -225,10 +227,12 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
             break
     named = classes.select("c", "id")
 
-    # groups of similar classes: one pivot for each minhash pair
-    keyed = base.where("n > 0 AND id IS NOT NULL").select("c", F.explode("keys").alias("key"))
-    pivot = keyed.groupBy("key").agg(F.min("c").alias("block"), F.max("c").alias("z")).where("block <> z").drop("z")
-    near = keyed.join(pivot, "key").where("c <> block").groupBy(F.col("c").alias("q"), "block").agg(F.countDistinct("key").alias("k")).where("k > 1")
+    # groups of similar classes: the smallest set of each minhash pair is its pivot. Sets that share a passage and little
+    # else are all similar to the one with the least else, if they are similar to any.
+    keyed = base.where("n > 0 AND id IS NOT NULL").select("c", "n", F.explode("keys").alias("key"))
+    size = F.struct("n", "c")
+    pivot = keyed.groupBy("key").agg(F.min(size).alias("p"), F.max(size).alias("z")).where("p.c <> z.c").select("key", F.col("p.c").alias("block"))
+    near = keyed.join(pivot, "key").where("c <> block").groupBy(F.col("c").alias("q"), "block").agg(F.countDistinct("key").alias("k"))
     pairs = written(near.groupBy("q").agg(F.max_by("block", F.struct("k", "block")).alias("block")), "join-stars")
     ends = pairs.select(F.col("q").alias("c")).unionAll(pairs.select("block")).distinct()
     members = pairs.select("block", F.col("block").alias("c")).distinct()
