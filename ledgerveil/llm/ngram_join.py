@@ -1,7 +1,7 @@
 """Exact similarity join of documents on word shingles through a token-group matrix.
 
 1. Equal word sequences are one class; everything after works on classes.
-2. Classes that share a pair of minhashes are compared to one pivot; verified ones form groups of similar documents.
+2. Classes that share a pair of minhashes are compared to two pivots; verified ones form groups of similar documents.
 3. The matrix holds (token, group): each group's token union, restricted to the prefix tokens that every similar
    pair must share. A class meets only groups other than its own, and a group is one row per token however large it is.
    How many tokens they share bounds the overlap of the query with every member; groups below the bound stay shut.
@@ -27,7 +27,7 @@ from ledgerveil.session import materialize
 
 SHINGLE = 5
 PERCENT = 75
-KEYS = 8
+KEYS = 6
 BLOCK = 32
 CHUNK = 256
 HOT_SHARE = 16
@@ -227,13 +227,14 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
             break
     named = classes.select("c", "id")
 
-    # groups of similar classes: the smallest set of each minhash pair is its pivot. Sets that share a passage and little
-    # else are all similar to the one with the least else, if they are similar to any.
+    # groups of similar classes, around two pivots of each minhash pair: any one, which suits copies with scattered
+    # edits, and the smallest set, which suits sets that share a passage and little else
     keyed = base.where("n > 0 AND id IS NOT NULL").select("c", "n", F.explode("keys").alias("key"))
-    size = F.struct("n", "c")
-    pivot = keyed.groupBy("key").agg(F.min(size).alias("p"), F.max(size).alias("z")).where("p.c <> z.c").select("key", F.col("p.c").alias("block"))
-    near = keyed.join(pivot, "key").where("c <> block").groupBy(F.col("c").alias("q"), "block").agg(F.countDistinct("key").alias("k"))
-    pairs = written(near.groupBy("q").agg(F.max_by("block", F.struct("k", "block")).alias("block")), "join-stars")
+    ends = keyed.groupBy("key").agg(F.min("c").alias("p"), F.max("c").alias("z"), F.min(F.struct("n", "c")).alias("s")).where("p <> z")
+    pivot = ends.select("key", F.posexplode(F.array("p", "s.c")).alias("kind", "block"))
+    near = keyed.join(pivot, "key").where("c <> block").groupBy(F.col("c").alias("q"), "kind", "block").agg(F.countDistinct("key").alias("k")).where("k > 1")
+    pairs = near.groupBy("q", "kind").agg(F.max_by("block", F.struct("k", "block")).alias("block")).select("q", "block").distinct()
+    pairs = written(pairs, "join-stars")
     ends = pairs.select(F.col("q").alias("c")).unionAll(pairs.select("block")).distinct()
     members = pairs.select("block", F.col("block").alias("c")).distinct()
     first = written(opened(pairs, members, texts_of(docs, ends.join(named, "c"), salt)), "join-links")
