@@ -48,6 +48,45 @@ def op2_divergence(spark: SparkSession, sf: str) -> DataFrame:
     return divergence.judge(table(spark, sf, "documents"))
 
 
+def _divergence_sql() -> str:
+    listed = " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in divergence.COMMON.items())
+    half = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END"
+    without = lambda p: f"length(t) - length(regexp_replace(t, '{p}', '', 'g'))"
+    apart = lambda p, q, n: (
+        f"round(sqrt(least(greatest(list_sum([({half(f'{p}[i]', f'{q}[i]')} + {half(f'{q}[i]', f'{p}[i]')}) / 2 FOR i IN range(1, {n} + 1)]), 0), 1)), 6)"
+    )
+    parts = lambda c: f"[x / greatest(list_sum({c}), 1e-300) FOR x IN {c}]"
+    return rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, CASE lang {listed} ELSE {divergence.POOLED!r} END AS l FROM d),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM w, unnest(range(1, len(w) - 1)) AS u(i)) QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+c AS (SELECT doc_id, count(DISTINCT j) AS n FROM r, unnest([i, i + 1, i + 2]) AS u(j) GROUP BY 1),
+s AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM d, unnest(string_split(t, chr(10))) AS u(x) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY 1),
+m AS (
+  SELECT w.doc_id, lang, len(w) AS n_words, length(t) AS n, {without(r"[\x20\x09-\x0D]+")} AS blank, {without("[#*$%&|<>]+")} AS n_symbols, coalesce(s.n, 0) AS n_dup_lines,
+    coalesce(c.n, 0) AS n_repeat_words, {without("[a-z]+")} AS lower, {without("[A-Z]+")} AS upper, {without("[0-9]+")} AS digit, {without(r"[^\x00-\x7F]+")} AS high,
+    [len(list_filter(w, lambda x: coalesce(list_position(l, x), 0) = v))::DOUBLE FOR v IN list_concat(range(1, {divergence.SIZE} + 1), [0])] AS words
+  FROM w LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)),
+f AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    [lower::DOUBLE, upper, digit, blank, n_symbols, n - lower - upper - digit - blank - n_symbols - high, high] AS chars FROM m),
+rc AS (SELECT lang, list(v ORDER BY i) AS rc FROM (SELECT lang, i, sum(chars[i]) AS v FROM f, unnest(range(1, 8)) AS u(i) WHERE NOT base_failed GROUP BY ALL) GROUP BY lang),
+rw AS (SELECT lang, list(v ORDER BY i) AS rw FROM (SELECT lang, i, sum(words[i]) AS v FROM f, unnest(range(1, {divergence.SIZE + 2})) AS u(i) WHERE NOT base_failed GROUP BY ALL) GROUP BY lang),
+p AS (
+  SELECT f.*, {parts("chars")} AS pc, {parts("words")} AS pw, {parts("rc")} AS qc, {parts("rw")} AS qw
+  FROM f LEFT JOIN rc ON f.lang IS NOT DISTINCT FROM rc.lang LEFT JOIN rw ON f.lang IS NOT DISTINCT FROM rw.lang),
+j AS (
+  SELECT *, CASE WHEN n >= {divergence.CHAR_GUARD} THEN {apart("pc", "qc", 7)} END AS char_distance,
+    CASE WHEN n_words >= {divergence.WORD_GUARD} THEN {apart("pw", "qw", divergence.SIZE + 1)} END AS word_distance FROM p)
+SELECT doc_id, n_words::BIGINT AS n_words, (n - blank)::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+  n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(char_distance, 0) <= {divergence.MAX_CHAR_DISTANCE} AND coalesce(word_distance, 0) <= {divergence.MAX_WORD_DISTANCE} AS kept, char_distance, word_distance
+FROM j"""
+
+
+ORACLES["op2_divergence"] = _divergence_sql()
+
+
 @query
 def op3_cross_entropy(spark: SparkSession, sf: str) -> DataFrame:
     """Cross-entropy difference of every document; the target corpus is the documents labelled as of good quality."""
