@@ -386,7 +386,7 @@ _AUD = """a AS (SELECT 'S' || user_id AS session_id, row_number() OVER (PARTITIO
   ['pii_scan_started','pii_scan_completed','pii_detected','transformation_started','transformation_completed','certification_requested','certification_granted','certification_denied','data_access','data_export','configuration_change','error'][(event_id % 12 + 1)::INT] AS event_type,
   strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, 'system' AS actor, 'dataset-' || (event_id % 9) AS resource, event_type AS action, props AS details FROM events),
 b AS (SELECT *, session_id || '-' || lpad(seq::VARCHAR, 5, '0') AS event_id FROM a),
-c AS (SELECT *, concat_ws('|', event_id, event_type, ts, actor, resource, action, details) AS body FROM b),
+c AS (SELECT *, to_json([event_id, event_type, ts, actor, resource, action, details])::VARCHAR AS body FROM b),
 h AS (SELECT session_id, seq, NULL::VARCHAR AS previous_hash, substr(sha256(body || '|None'), 1, 16) AS event_hash FROM c WHERE seq = 1
   UNION ALL SELECT c.session_id, c.seq, h.event_hash, substr(sha256(c.body || '|' || h.event_hash), 1, 16) FROM h JOIN c ON c.session_id = h.session_id AND c.seq = h.seq + 1)"""
 
