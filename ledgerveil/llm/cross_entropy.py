@@ -1,100 +1,119 @@
 """Language-model scoring by cross-entropy difference.
 
-Two interpolated bigram models, of a target and of the background corpus, share one vocabulary: the most frequent
-words of all documents, every other word standing for itself by its length class. A document's score is the mean over
-its tokens of the target model's loss less the background model's loss; low scores are closest to the target.
+Two interpolated bigram models, of a target and of the background corpus, share the words of all documents. A
+document's score is the mean over its tokens of the target model's loss less the background model's loss; low scores
+are closest to the target. Words and bigrams are tables of the corpus's size: their most frequent part, as far as a
+bound allows, is sent to the tasks, and the rest is joined by shuffles. Both ways give the same losses.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerveil.llm.text import map_arrow, parted, spaced_words, written
 
-VOCABULARY = 1000
-CLASSES = 8
 MIX = 0.7
 ADD = 0.5
-_HELD = 300_000
-
-
-def classed(word: bytes) -> int:
-    """Class of a word outside the vocabulary, by its length."""
-    return min(CLASSES - 1, len(word) // 3)
+HOT_PAIRS = 1 << 20
+HOT_WORDS = 200_000
+START = -(1 << 63)  # stands before a text's first word
+_HELD = 2_000_000
+_SLICE = 1 << 16
 
 
 class Ids(dict):
-    """Word to token number: the vocabulary, then the length classes; one more number marks a text's start."""
+    """Word to its 64-bit number; the words met so far are kept up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        return self["size"] + classed(word)
-
-
-def numbering(words: list[bytes]) -> Ids:
-    out = Ids({w: i for i, w in enumerate(words)})
-    out["size"] = len(words)
-    return out
+        n = xxhash.xxh3_64_intdigest(word) - (1 << 63)
+        if len(self) < _HELD // 4:
+            self[word] = n
+        return n
 
 
 def sequence(text: str | None, ids: Ids) -> np.ndarray:
-    """Token numbers of a whole text, the start mark first."""
+    """Word numbers of a whole text, the start mark first."""
     w = spaced_words(text)
-    return np.fromiter([ids["size"] + CLASSES, *map(ids.__getitem__, w)], np.int64, len(w) + 1)
+    return np.fromiter([START, *map(ids.__getitem__, w)], np.int64, len(w) + 1)
 
 
-def vocabulary(docs: DataFrame, size: int) -> list[bytes]:
-    """The ``size`` most frequent words of all texts, ties in byte order."""
+def keyed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit numbers of word pairs."""
+    return (a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)).view(np.int64)
 
-    def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        n: Counter = Counter()
-        for b in batches:
-            for t in b["text"]:
-                n.update(spaced_words(t))
-            if len(n) > _HELD:
-                yield {"word": list(n), "n": list(n.values())}
-                n = Counter()
-        yield {"word": list(n), "n": list(n.values())}
-
-    counts = map_arrow(docs.select("text"), rows, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
 
-
-def bigrams(docs: DataFrame, words: list[bytes]) -> DataFrame:
-    """(target, a, b, n): counts of token pairs, for target texts and for all texts (target 1 and 0)."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
-    side = len(words) + CLASSES + 1
+def bigrams(docs: DataFrame) -> DataFrame:
+    """(k, a, b, n, t): counts of word pairs over all texts (n) and over target texts (t)."""
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        ids = numbering(shared.value)
-        held: list[list[np.ndarray]] = [[], []]
-        for b in batches:
-            for t, y in zip(b["text"], b["target"]):
+        ids, held, size = Ids(), [], 0
+        for x in batches:
+            for t, y in zip(x["text"], x["target"]):
                 s = sequence(t, ids)
-                pair = s[:-1] * side + s[1:]
-                held[0].append(pair)
-                if y:
-                    held[1].append(pair)
-            if sum(map(len, held[0])) > 4_000_000:
-                yield from counted(held)
-                held = [[], []]
+                held.append((s[:-1], s[1:], y))
+                size += len(s)
+                if size > _HELD:
+                    yield from counted(held)
+                    held, size = [], 0
         yield from counted(held)
 
-    def counted(held: list[list[np.ndarray]]) -> Iterator[dict]:
-        for y, parts in enumerate(held):
-            if parts:
-                at, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield {"target": [y] * len(at), "a": at // side, "b": at % side, "n": n}
+    def counted(held: list[tuple[np.ndarray, np.ndarray, bool]]) -> Iterator[dict]:
+        if not held:
+            return
+        a, b = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        y = np.repeat([float(h[2]) for h in held], [len(h[0]) for h in held])
+        k, at, back, n = np.unique(keyed(a, b), return_index=True, return_inverse=True, return_counts=True)
+        t = np.bincount(back, y, len(k)).astype(np.int64)
+        for i in range(0, len(k), _SLICE):
+            j = slice(i, i + _SLICE)
+            yield {"k": k[j], "a": a[at[j]], "b": b[at[j]], "n": n[j], "t": t[j]}
+
+    found = map_arrow(docs.select("text", "target"), rows, "k long, a long, b long, n long, t long")
+    return found.groupBy("k").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.sum("n").alias("n"), F.sum("t").alias("t"))
+
+
+def least(table: DataFrame, weight: str, bound: int) -> int:
+    """A power of two such that at most ``bound`` rows weigh as much or more; 0 if the whole table is within the bound."""
+    sizes = {r.bits: r["count"] for r in table.groupBy(F.length(F.bin(weight)).alias("bits")).count().collect()}
+    total = 0
+    for bits in sorted(sizes, reverse=True):
+        total += sizes[bits]
+        if total > bound:
+            return 1 << bits
+    return 0
+
+
+def looked_up(pairs: DataFrame, words: DataFrame, side: str, bound: int) -> DataFrame:
+    """``pairs`` with the columns of ``words`` (``side``, rows, ...): words of most pairs sent out, the rest by a shuffle."""
+    cut = least(words, "rows", bound)
+    some = pairs.join(F.broadcast(words.where(F.col("rows") >= cut)), side, "left")
+    if not cut:
+        return some.drop("rows")
+    rest = some.where("rows IS NULL").select(*pairs.columns).join(words.where(F.col("rows") < cut).hint("merge"), side)
+    return some.where("rows IS NOT NULL").unionByName(rest).drop("rows")
+
+
+def bigram_losses(pairs: DataFrame, hot_words: int) -> DataFrame:
+    """(k, n, near, far): -log2 p(b | a) of each pair by the target and by the background model, interpolated with smoothed unigrams."""
+    heads = written(pairs.groupBy("a").agg(F.count("*").alias("rows"), F.sum("n").alias("an"), F.sum("t").alias("at")), "heads")
+    tails = written(pairs.groupBy("b").agg(F.count("*").alias("rows"), F.sum("n").alias("bn"), F.sum("t").alias("bt")), "tails")
+    size, n, t = (x or 0 for x in tails.agg(F.count("*"), F.sum("bn"), F.sum("bt")).first())
+    both = looked_up(looked_up(pairs, heads, "a", hot_words), tails, "b", hot_words)
+
+    def loss(pair: str, head: str, tail: str, total: int):  # noqa: ANN202
+        uni = (F.col(tail) + ADD) / F.lit(max(total + ADD * size, ADD))
+        return -F.log2(F.when(F.col(head) > 0, MIX * F.col(pair) / F.col(head) + (1 - MIX) * uni).otherwise(uni)).cast("float")
 
-    return map_arrow(docs.select("text", "target"), rows, "target int, a int, b int, n long").groupBy("target", "a", "b").agg(F.sum("n").alias("n"))
+    return written(both.select("k", "n", loss("t", "at", "bt", t).alias("near"), loss("n", "an", "bn", n).alias("far")), "bigram-losses")
 
 
 def losses(rows: tuple[np.ndarray, np.ndarray, np.ndarray], side: int) -> np.ndarray:
-    """Matrix of -log2 p(b | a), interpolated with smoothed unigrams."""
+    """Matrix of -log2 p(b | a) over ``side`` tokens, the last the start mark: the formula of ``bigram_losses`` for a few tokens."""
     a, b, n = rows
     m = np.zeros((side, side), np.float32)
     m[a, b] = n
@@ -106,13 +125,14 @@ def losses(rows: tuple[np.ndarray, np.ndarray, np.ndarray], side: int) -> np.nda
     return (-np.log2(np.maximum(p, 1e-300))).astype(np.float32)
 
 
-def score(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", text: str = "text", vocabulary_size: int = VOCABULARY) -> DataFrame:
+def score(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", text: str = "text", hot_pairs: int = HOT_PAIRS, hot_words: int = HOT_WORDS) -> DataFrame:
     """Per row: ``key``, n_tokens, target_loss, background_loss, ce_difference (bits per token).
 
     The target corpus is the rows whose key is in ``targets`` (``key``; null and repeated keys there are harmless), the
     background is all rows. Counts cover all whole texts; repeated rows count and are scored each. Texts without words have null losses. Without target rows
     the target model is uniform over what its smoothing allows, so the ranking follows the background alone. Other
-    columns are ignored. The models have (vocabulary_size + 9)^2 cells, whatever the corpus.
+    columns are ignored. All words and word pairs are in the models; ``hot_pairs`` and ``hot_words`` say how many of
+    them may be sent to the tasks and do not change the result. Words and pairs are told apart by 64-bit hashes.
     """
     docs = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     marks = targets.where(F.col(key).isNotNull()).select(F.col(key).alias("key")).distinct().withColumn("mark", F.lit(True))
@@ -120,27 +140,36 @@ def score(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", text: str
     # the targets grow with the corpus, so the join is a shuffled one at every size
     told = some.join(marks.hint("merge"), "key", "left").select("text", F.coalesce("mark", F.lit(False)).alias("target"))
     marked = told.unionAll(others.select("text", F.lit(False).alias("target")))
-    words = vocabulary(docs, vocabulary_size)
-    side = len(words) + CLASSES + 1
-    cells = written(bigrams(marked, words), "bigrams").toPandas()  # two tables of side * side rows at most
-    models = []
-    for y in (1, 0):
-        c = cells[cells["target"] == y]
-        models.append(losses((c["a"].to_numpy(), c["b"].to_numpy(), c["n"].to_numpy()), side))
-    shared = docs.sparkSession.sparkContext.broadcast((words, models))
+    table = bigram_losses(written(bigrams(marked), "bigrams"), hot_words)
+    cut = least(table, "n", hot_pairs)
+    hot = table.where(F.col("n") >= cut).select("k", "near", "far").toPandas().sort_values("k")  # at most hot_pairs rows
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(hot[c].to_numpy() for c in ("k", "near", "far")))
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        words, (near, far) = shared.value
-        ids = numbering(words)
-        for b in batches:
-            out: dict[str, list] = {k: [] for k in ("n_tokens", "target_loss", "background_loss", "ce_difference")}
-            for t in b["text"]:
+        known, near, far = shared.value
+        ids = Ids()
+        for x in batches:
+            out: dict[str, list] = {c: [] for c in ("n_tokens", "near", "far", "k", "n")}
+            for t in x["text"]:
                 s = sequence(t, ids)
-                n = len(s) - 1
-                loss = [float(m[s[:-1], s[1:]].mean(dtype=np.float64)) if n else None for m in (near, far)]
-                for k, v in zip(out, (n, *loss, loss[0] - loss[1] if n else None)):
-                    out[k].append(v)
-            yield out | {"key": b["key"]}
+                k, n = np.unique(keyed(s[:-1], s[1:]), return_counts=True)
+                at = np.searchsorted(known, k)
+                at[at == len(known)] = 0
+                found = known[at] == k if len(known) else np.zeros(len(k), bool)
+                sums = [float(n[found] @ m[at[found]].astype(np.float64)) for m in (near, far)]
+                for c, v in zip(out, (len(s) - 1, *sums, k[~found], n[~found])):
+                    out[c].append(v)
+            yield out | {"key": x["key"], "rid": x["rid"]}
 
     kind = docs.schema["key"].dataType.simpleString()
-    return map_arrow(docs, rows, f"key {kind}, n_tokens long, target_loss double, background_loss double, ce_difference double").withColumnRenamed("key", key)
+    schema = f"rid long, key {kind}, n_tokens long, near double, far double, k array<long>, n array<int>"
+    summed = map_arrow(docs.withColumn("rid", F.monotonically_increasing_id()), rows, schema)
+    if cut:
+        summed = written(summed, "hot-losses")  # keeps the row numbers
+        left = summed.select("rid", F.explode(F.arrays_zip("k", "n")).alias("p")).select("rid", F.col("p.k").alias("k"), F.col("p.n").alias("m"))
+        met = left.hint("merge").join(table.where(F.col("n") < cut).drop("n"), "k")
+        rest = met.groupBy("rid").agg(F.sum(F.col("m") * F.col("near").cast("double")).alias("x"), F.sum(F.col("m") * F.col("far").cast("double")).alias("y"))
+        summed = summed.drop("k", "n").join(rest.hint("merge"), "rid", "left")
+        summed = summed.withColumn("near", F.col("near") + F.coalesce("x", F.lit(0.0))).withColumn("far", F.col("far") + F.coalesce("y", F.lit(0.0)))
+    near, far = (F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens")) for c in ("near", "far"))
+    return summed.select(F.col("key").alias(key), "n_tokens", near.alias("target_loss"), far.alias("background_loss"), (near - far).alias("ce_difference"))

@@ -70,6 +70,46 @@ def test_cross_entropy_losses_by_hand():
     assert np.allclose(m[1, :2], -np.log2(uni), atol=1e-5)
 
 
+def test_cross_entropy_keeps_every_word(spark):
+    """Against counts of all words, with all, some and none of them sent out; more words than any fixed vocabulary."""
+    import math
+
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    texts = {i: " ".join(r.choices(words[: 1500 + 1500 * (i % 2)], k=200)) for i in range(60)} | {60: "", 61: "once w1 once"}
+    df = spark.createDataFrame([*texts.items(), (1, texts[1])], "doc_id long, text string")
+    models = []
+    for target in (True, False):
+        seqs = [["<s>", *t.split()] for i, t in [*texts.items(), (1, texts[1])] if i % 2 or not target]
+        pair = collections.Counter(p for s in seqs for p in zip(s, s[1:]))
+        head, tail = collections.Counter(), collections.Counter()
+        for (a, b), n in pair.items():
+            head[a] += n
+            tail[b] += n
+        models.append((pair, head, tail))
+    size = len(models[1][2])
+    assert size > 2500
+
+    def loss(model, text):
+        pair, head, tail = model
+        s, out = ["<s>", *text.split()], 0.0
+        for a, b in zip(s, s[1:]):
+            uni = (tail[b] + 0.5) / (sum(tail.values()) + 0.5 * size)
+            out -= math.log2(0.7 * pair[a, b] / head[a] + 0.3 * uni if head[a] else uni)
+        return out / (len(s) - 1)
+
+    want = {i: [loss(m, t) for m in models] for i, t in texts.items() if t}
+    targets = df.where("doc_id % 2 = 1").select("doc_id")
+    for bounds in ({}, {"hot_pairs": 500, "hot_words": 100}, {"hot_pairs": 0, "hot_words": 0}):
+        rows = cross_entropy.score(df, targets, **bounds).collect()
+        assert len(rows) == 63
+        for x in rows:
+            if x.doc_id == 60:
+                assert x.n_tokens == 0 and x.target_loss is x.background_loss is x.ce_difference is None
+            else:
+                assert [x.target_loss, x.background_loss] == pytest.approx(want[x.doc_id], abs=1e-5)
+
+
 def test_language(spark, docs, empty):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = QUERIES["op6_langid"](spark, "/root/testdata/sf0.01").join(df.select("doc_id", "lang"), "doc_id").where("held_out").collect()
