@@ -23,9 +23,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated and near-repeated lines; a document that consists of such lines only goes."""
+    """Texts without repeated and near-repeated lines; a document left with blank lines only goes."""
     out = fuzzy_lines.dedup(docs, removed="_removed")
-    emptied = (F.col("_removed") > 0) & (F.trim("text") == "")
+    emptied = (F.col("_removed") > 0) & ~F.col("text").rlike(r"\S")
     return out.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -37,6 +37,18 @@ def test_stages(spark, sf, tmp_path):
     assert len(set(places)) == len(places)
 
 
+def test_copies_with_blank_lines_go(spark):
+    """Copies whose paragraphs are parted by blank lines leave no blank document; documents blank from the start stay."""
+    parts = ["the first paragraph of it", "a second and other paragraph", "third words to close with"]
+    rows = [(0, "\n\n".join(parts)), (1, "\n\n".join(parts)), (2, "\n \t\n\n".join(parts)), (3, "\r\n\r\n".join(parts) + "\r\n"), (4, "\r\n\r\n".join(parts) + "\r\n")]
+    rows += [(5, "\n\n".join([*parts, "something of its own here"])), (6, "\n\n"), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "length(text) AS n_chars")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, docs, "").collect()}
+    assert 0 in got and not {1, 2, 4} & set(got) and {5, 6, 7, 8} <= set(got)
+    assert got[0] == rows[0][1] and got[5].strip() == "something of its own here"
+    assert all(t is None or t.strip() or i in (6, 8) for i, t in got.items())
+
+
 def grams(text, sizes=None):
     w = wumanber.words(text)
     for n in sizes or ({min(10, len(w))} if w else ()):
