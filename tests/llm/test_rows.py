@@ -286,6 +286,40 @@ def test_mix(docs, empty):
     assert pfair.mix(empty).count() == 0 and pfair.tempered(empty) == {}
 
 
+def test_mix_follows_real_weights(spark):
+    """Within one block of the real weights at every slot until a source ends, however the slots are cut."""
+    import numpy as np
+
+    r = random.Random(2)
+    cases = [([1.0] * 3, [3000] * 3), ([1.0] * 7, [300] * 7), ([0.2] * 40 + [30.0], [20] * 40 + [2500]), ([r.random() + 0.001 for _ in range(60)], [r.randint(1, 90) for _ in range(60)])]
+    for weights, blocks in cases:
+        names = [f"{i:04}" for i in range(len(blocks))]
+        fluid = pfair.Fluid(np.array(blocks), np.array(weights))
+        for size in (1, 1 << 20):
+            rows = pfair.slots(spark.range(0), names, fluid, 0, size).collect()
+            slots = sorted((x.slot, x.source, x.block) for x in rows)
+            assert [s for s, _, _ in slots] == list(range(sum(blocks)))
+            assert size == 1 or slots == before
+            before = slots
+        seen, share = np.zeros(len(blocks), int), np.array(weights) / sum(weights)
+        ends = int(min(b / w for b, w in zip(blocks, share)))
+        for t, s, k in slots:
+            assert k == seen[int(s)]
+            seen[int(s)] += 1
+            assert t >= ends or (abs(seen - share * (t + 1)) < 1 + 1e-6).all()
+            i = np.searchsorted(fluid.slots, t + 1)
+            time = (t + 1 - fluid.done[i]) / fluid.rate[i] if t + 1 < fluid.total else np.inf
+            assert (abs(seen - np.minimum(blocks, fluid.weights * time)) < 1 + 1e-6).all()
+
+
+def test_mix_of_many_sources(spark):
+    df = spark.range(2400).selectExpr("id AS doc_id", "CAST(id % 1200 AS string) AS source")
+    rows = pfair.mix(df, {str(i): 1.0 + i % 2 for i in range(1200)}, block_rows=1).collect()
+    assert len({x.position for x in rows}) == 2400 and max(x.slot for x in rows) == 2399
+    half = [int(x.source) % 2 for x in rows if x.slot < 1200]
+    assert sum(half) > 0.6 * len(half)  # 2/3 by weight
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body class=home><nav><ul><li><a href=/a>A{0}</a></ul></nav>
 <!-- note --><div class="ad">Buy {0}</div><div id="cookie-notice">We use cookies</div><{1}><h1>Head &amp; {0}</h1><p><b>First   line {0}<br><p>Second&nbsp;&lt;{0}&gt;</p><p>Read us daily</p>
 <ul><li>one<li>two {0}</ul><form><p>mail</p></form><div class="comments"><p>nice {0}</p></div></{1}><aside>more {0}</aside><footer>&copy; {0}"""
