@@ -144,11 +144,11 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("text_retrieval")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark passages against the documents by hashed tf-idf vectors, five for each passage."""
+    """Benchmark passages against the documents by sparse hashed tf-idf vectors, five for each passage."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    model = retrieval.text_model(1 << 10).fit(docs)
-    corpus = retrieval.embed(docs, model, as_array=True).select("doc_id", "embedding")
-    asked = retrieval.embed(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), model, as_array=True)
+    model = retrieval.text_model(retrieval.SPARSE_FEATURES).fit(docs)
+    corpus = retrieval.embed_sparse(docs, model).select("doc_id", "embedding")
+    asked = retrieval.embed_sparse(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), model)
     return retrieval.nearest(corpus, asked.select("query_id", F.col("embedding").alias("vector")), "doc_id", "embedding")
 
 

@@ -11,6 +11,7 @@ from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerveil.plans.sizing import bounded_rows
 
@@ -19,6 +20,10 @@ QUERY_BLOCK = 20_000
 QUERY_BYTES = 64 << 20
 # queries scored against one Arrow batch at a time
 _SLICE = 512
+# sparse documents multiplied with a slice of queries at a time
+_ROWS = 32
+# hash buckets of sparse text vectors
+SPARSE_FEATURES = 1 << 20
 
 
 def upsert_documents(corpus: DataFrame, incoming: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -32,19 +37,60 @@ def _unit(rows: list) -> np.ndarray:  # noqa: ANN001
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
+class _Postings:
+    """Sparse unit vectors of some queries, by feature."""
+
+    def __init__(self, indices: list, values: list) -> None:
+        self.n = len(indices)
+        row, at, w = _flat(indices, values)
+        order = np.argsort(at, kind="stable")
+        self.at, self.row, self.w = at[order], row[order], w[order]
+
+    def dot(self, indices: list, values: list) -> np.ndarray:
+        """Similarities (documents x queries) of sparse documents."""
+        out = np.zeros((len(indices), self.n))
+        for i in range(0, len(indices), _ROWS):
+            row, at, w = _flat(indices[i : i + _ROWS], values[i : i + _ROWS])
+            low, high = np.searchsorted(self.at, at), np.searchsorted(self.at, at, "right")
+            size = high - low
+            met = np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)
+            part = np.bincount(np.repeat(row, size) * self.n + self.row[met], np.repeat(w, size) * self.w[met], len(out[i : i + _ROWS]) * self.n)
+            out[i : i + _ROWS] = part.reshape(-1, self.n)
+        return out
+
+
+def _flat(indices: list, values: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, weight) of sparse vectors scaled to unit length."""
+    row = np.repeat(np.arange(len(indices)), [len(x) for x in indices])
+    at = np.concatenate([np.asarray(x, np.int64) for x in indices] or [np.zeros(0, np.int64)])
+    w = np.concatenate([np.asarray(x, np.float64) for x in values] or [np.zeros(0)])
+    norm = np.sqrt(np.bincount(row, w * w, len(indices)))
+    return row, at, np.divide(w, norm[row], out=np.zeros_like(w), where=norm[row] > 0)
+
+
 def _block(corpus: DataFrame, queries: list, doc_id: str, vector: str, n: int, query_type: str) -> DataFrame:  # noqa: ANN001
     """Candidates of one query block: each Arrow batch hands on its own top n per query."""
     qids = [r["query_id"] for r in queries]
-    shared = corpus.sparkSession.sparkContext.broadcast(_unit([r["vector"] for r in queries]))
+    sparse = isinstance(corpus.schema[vector].dataType, StructType)
+    if sparse:
+        asked = [[r["vector"] for r in queries[at : at + _SLICE]] for at in range(0, len(queries), _SLICE)]
+        shared = corpus.sparkSession.sparkContext.broadcast([_Postings([v["indices"] for v in vs], [v["values"] for v in vs]) for vs in asked])
+        corpus = corpus.select(doc_id, F.col(f"{vector}.indices").alias("_at"), F.col(f"{vector}.values").alias("_w"))
+    else:
+        shared = corpus.sparkSession.sparkContext.broadcast(_unit([r["vector"] for r in queries]))
+        corpus = corpus.select(doc_id, vector)
     doc_type = corpus.schema[doc_id].dataType.simpleString()
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if pdf.empty:
                 continue
-            docs, ids, k = _unit(list(pdf[vector])), pdf[doc_id].to_numpy(), min(n, len(pdf))
+            docs, ids, k = None if sparse else _unit(list(pdf[vector])), pdf[doc_id].to_numpy(), min(n, len(pdf))
             for at in range(0, len(qids), _SLICE):
-                sims = docs @ shared.value[at : at + _SLICE].T
+                if sparse:
+                    sims = shared.value[at // _SLICE].dot(list(pdf["_at"]), list(pdf["_w"]))
+                else:
+                    sims = docs @ shared.value[at : at + _SLICE].T
                 order = np.lexsort((np.broadcast_to(ids[:, None], sims.shape), -sims), axis=0)[:k]
                 yield pd.DataFrame(
                     {
@@ -54,7 +100,7 @@ def _block(corpus: DataFrame, queries: list, doc_id: str, vector: str, n: int, q
                     }
                 )
 
-    return corpus.select(doc_id, vector).mapInPandas(
+    return corpus.mapInPandas(
         score, f"query_id {query_type}, {doc_id} {doc_type}, similarity double"
     )
 
@@ -64,13 +110,14 @@ def nearest(
 ) -> DataFrame:
     """Exact top n documents by cosine similarity: (query_id, doc_id, similarity, rank).
 
-    ``queries``: query_id, vector. The corpus is scanned once per block of queries and
+    ``queries``: query_id, vector; vectors are arrays or, on both sides, structs (indices, values). The corpus is scanned once per block of queries and
     never shuffled whole; only per-batch top n rows travel. A metadata filter is a
     ``where`` on the corpus and reaches the scan.
     """
     query_type = queries.schema["query_id"].dataType.simpleString()
     q = queries.select("query_id", "vector")
-    total, width = q.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    sparse = isinstance(corpus.schema[vector].dataType, StructType)
+    total, width = q.agg(F.count(F.lit(1)), F.max(F.size("vector.indices") * 3 if sparse else F.size("vector"))).first()
     query_block = max(1, min(query_block, QUERY_BYTES // (8 * max(width or 1, 1))))
     blocks = max(1, -(-total // query_block))
     out: DataFrame | None = None
@@ -113,6 +160,12 @@ def embed(df: DataFrame, model: PipelineModel, as_array: bool = False) -> DataFr
     return out.withColumn("embedding", vector_to_array("embedding_vector")).drop("embedding_vector") if as_array else out
 
 
+def embed_sparse(df: DataFrame, model: PipelineModel) -> DataFrame:
+    """``df`` with embedding: struct of the indices and values that are not zero."""
+    v = F.unwrap_udt("embedding_vector")
+    return embed(df, model).withColumn("embedding", F.struct(v["indices"].alias("indices"), v["values"].alias("values"))).drop("embedding_vector")
+
+
 # --- starting corpus ----------------------------------------------------------------------------
 
 # doc_id, category, content

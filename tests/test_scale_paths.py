@@ -218,3 +218,37 @@ def test_unlisted_and_null_labels_get_clients(spark):
     df = spark.range(90).selectExpr("id", "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 'u' ELSE 'v' END AS y")
     out = split.dirichlet_partition(df, "y", ["id"], 4).where("client_id BETWEEN 0 AND 3")
     assert out.count() == 90
+
+
+def test_text_retrieval_against_exact_terms(spark):
+    """The five documents of a passage are those of tf-idf cosines over the words themselves."""
+    import collections
+    import math
+    import re
+
+    from ledgerveil.catalog import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    words = lambda t: collections.Counter(w for w in re.split(r"\W+", (t or "").lower(), flags=re.A) if w)
+    docs = {r.doc_id: words(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    df = collections.Counter(w for d in docs.values() for w in d)
+
+    def unit(c):
+        v = {w: n * math.log((len(docs) + 1) / (df[w] + 1)) for w, n in c.items() if w in df}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {w: x / norm for w, x in v.items()}
+
+    units = {i: unit(d) for i, d in docs.items()}
+    got = collections.defaultdict(list)
+    for r in QUERIES["text_retrieval"](spark, sf).collect():
+        got[r.query_id].append((r.rank, r.doc_id, r.similarity))
+    same = total = 0
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        q = unit(words(r.text))
+        sims = {i: sum(x * d.get(w, 0.0) for w, x in q.items()) for i, d in units.items()}
+        want = sorted(sims, key=lambda i: (-sims[i], i))[:5]
+        assert [x[0] for x in sorted(got[r.item_id])] == [1, 2, 3, 4, 5]
+        same += len(set(want) & {i for _, i, _ in got[r.item_id]})
+        total += 5
+    print("text_retrieval", same, total)
+    assert same >= 0.97 * total
