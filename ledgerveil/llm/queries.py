@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerveil.llm import chat, cross_entropy, divergence, fuzzy_lines, langid, ngram_join, pfair, toxicity, wrappers, wumanber
+from ledgerveil.llm import chat, cross_entropy, divergence, fuzzy_lines, hadamard, langid, ngram_join, pfair, toxicity, wrappers, wumanber
 from ledgerveil.llm.text import bucket_of
 from ledgerveil.sources.tables import table
 
@@ -194,3 +194,44 @@ f AS (SELECT doc_id, count(DISTINCT item) AS n_items, sha256(array_to_string(lis
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN f USING (doc_id)"""
+
+
+@query
+def op12_hadamard(spark: SparkSession, sf: str) -> DataFrame:
+    """Codes of all vectors through integer Walsh-Hadamard spectra, with the errors summed by label."""
+    coded, books = hadamard.compress(table(spark, sf, "embeddings"))
+    out = hadamard.with_label_error(coded)
+    return out.select(F.col("key").alias("vec_id"), "code", "error", "label_error", F.lit(hadamard.digest(books)).alias("codebooks_sha256"))
+
+
+def _hadamard_sql() -> str:
+    k, parts, scale = hadamard.ENTRIES, hadamard.PARTS, hadamard.SCALE
+    near = lambda books: f"""
+  SELECT vec_id, part, arg_min(entry, struct_pack(d, entry)) AS entry, min(d) AS d
+  FROM (SELECT x.vec_id, x.part, b.entry, sum((x.v - b.v) * (x.v - b.v)) AS d FROM x JOIN {books} b USING (part, place) GROUP BY ALL) GROUP BY ALL"""
+    steps = []
+    for i in range(hadamard.ROUNDS):
+        steps.append(f"""n{i} AS MATERIALIZED ({near(f"b{i}")}),
+s{i} AS (SELECT part, entry, place, sum(v) AS s, count(*) AS c FROM x JOIN n{i} USING (vec_id, part) GROUP BY ALL),
+b{i + 1} AS MATERIALIZED (
+  SELECT part, entry, place, CASE WHEN c IS NULL THEN v ELSE ((s - ((s % c) + c) % c) // c)::BIGINT END AS v
+  FROM b{i} LEFT JOIN s{i} USING (part, entry, place))""")
+    last = hadamard.ROUNDS
+    return f"""
+WITH e AS (
+  SELECT vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+x AS MATERIALIZED (
+  SELECT vec_id, (i - 1) // (len(embedding) // {parts}) AS part, (i - 1) % (len(embedding) // {parts}) AS place, floor({scale} * embedding[i]::DOUBLE)::BIGINT AS v
+  FROM e, unnest(range(1, len(embedding) + 1)) AS u(i)),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM e QUALIFY entry < {k}),
+b0 AS MATERIALIZED (SELECT part, entry, place, v FROM x JOIN f USING (vec_id)),
+{", ".join(steps)},
+z AS ({near(f"b{last}")}),
+r AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM z GROUP BY vec_id)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, place)) FROM b{last}) AS codebooks_sha256
+FROM r JOIN e USING (vec_id)"""
+
+
+ORACLES["op12_hadamard"] = _hadamard_sql()

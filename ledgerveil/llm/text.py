@@ -83,3 +83,25 @@ def parted(df: DataFrame, key: Column, wanted: DataFrame, name: str) -> tuple[Da
     """
     told = with_bit(df.withColumn("_key", key), "_key", bit_set(wanted, name)).drop("_key")
     return told.where("_in").drop("_in"), told.where("NOT _in").drop("_in")
+
+
+#: A key is hot when it holds over 1 / HOT_SHARE of all rows; there are fewer than HOT_SHARE such keys, whatever the data.
+HOT_SHARE = 1000
+
+
+def join_totals(rows: DataFrame, totals: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``totals`` (one row a key, null included, with the number of rows as n).
+
+    Totals of hot keys, fewer than HOT_SHARE rows, are sent out; rows of all other keys are joined by a shuffle in which no key
+    holds more than 1 / HOT_SHARE of the rows. ``rows`` and ``totals`` are read twice: pass written tables or cheap plans.
+    """
+    others = [c for c in totals.columns if c != key]
+    all_rows = materialize(totals, "totals")
+    whole = all_rows.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT_SHARE > F.lit(whole)
+    few, rest = (all_rows.where(c).withColumnRenamed(key, "_total_key") for c in (hot, ~hot))
+    same = rows[key].eqNullSafe(F.col("_total_key"))
+    sent = rows.join(F.broadcast(few), same, "inner")
+    shuffled = rows.join(F.broadcast(few.select("_total_key")), same, "left_anti")
+    shuffled = shuffled.join(rest, shuffled[key].eqNullSafe(F.col("_total_key")), "inner")
+    return sent.select(*rows.columns, *others).unionByName(shuffled.select(*rows.columns, *others))
