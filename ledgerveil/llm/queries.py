@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerveil.llm import chat, cross_entropy, divergence, fuzzy_lines, hadamard, langid, ngram_join, pfair, toxicity, wrappers, wumanber
+from ledgerveil.llm import alignment, bootstrap_pii, chat, cross_entropy, divergence, fuzzy_lines, hadamard, langid, ngram_join, pfair, toxicity, wrappers, wumanber
 from ledgerveil.llm.text import bucket_of
 from ledgerveil.sources.tables import table
 
@@ -196,6 +196,17 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN f USING (doc_id)"""
 
 
+@query
+def op11_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data in every document: spans of the base patterns and of identifiers learned from their contexts."""
+    out = bootstrap_pii.extract(table(spark, sf, "documents"))
+    count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
+    return out.select(
+        F.col("key").alias("doc_id"), *[count(i).alias(f"n_{k}") for i, k in enumerate(bootstrap_pii.KINDS)], F.sha2(bootstrap_pii.listed(F.col("base")), 256).alias("base_sha256"),
+        bootstrap_pii.listed(F.array_sort(F.concat("base", "added"))).alias("spans"),
+    )
+
+
 @query
 def op12_hadamard(spark: SparkSession, sf: str) -> DataFrame:
     """Codes of all vectors through integer Walsh-Hadamard spectra, with the errors summed by label."""
@@ -235,3 +246,15 @@ FROM r JOIN e USING (vec_id)"""
 
 
 ORACLES["op12_hadamard"] = _hadamard_sql()
+
+
+#: Vocabulary files of public tokenizers; they stay outside the repository.
+TOKENIZERS = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query
+def op13_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Token groups and links of two tokenizers over every document, with the corpus-wide counts of linked id pairs."""
+    aligned = alignment.digests(table(spark, sf, "documents"), *TOKENIZERS)
+    out = alignment.with_counts(aligned, alignment.pair_counts(aligned))
+    return out.select(F.col("key").cast("long").alias("doc_id"), F.col("n_first").alias("n_a"), F.col("n_second").alias("n_b"), "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
