@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerveil.catalog.base import query, rounded
 from ledgerveil.functions import scoring
-from ledgerveil.operators import explain, retrieval
+from ledgerveil.operators import cells, explain, retrieval
 from ledgerveil.sources.tables import table
 
 # --- predictions over orders ----------------------------------------------------------------------
@@ -132,6 +132,35 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(retrieval.nearest(corpus, _centroids(spark, sf), "vec_id", "embedding", 3))
 
 
+_NEAREST_SQL = f"""WITH {_COS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM si) SELECT query_id, vec_id, round(similarity, 6) AS similarity, rank::INT AS rank FROM r WHERE rank <= 5"""
+
+
+@query("indexed_documents", _NEAREST_SQL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The exact nearest documents through an inverted-file index of all vectors."""
+    index = cells.build(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    return rounded(cells.search(index, _centroids(spark, sf), "vec_id", "embedding", 5)[0])
+
+
+@query(
+    "indexed_documents_filtered",
+    f"""WITH {_COS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM si WHERE label = 3) SELECT query_id, vec_id, round(similarity, 6) AS similarity, rank::INT AS rank FROM r WHERE rank <= 3""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """An equality filter on stored metadata, applied to the opened cells."""
+    index = cells.build(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    return rounded(cells.search(index, _centroids(spark, sf), "vec_id", "embedding", 3, F.col("label") == 3)[0])
+
+
+@query("indexed_after_append", _NEAREST_SQL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """An index of the documents with even ids, to which the others are added."""
+    e = table(spark, sf, "embeddings")
+    index = cells.build(e.where("vec_id % 2 = 0"), "vec_id", "embedding")
+    index = cells.append(index, e.where("vec_id % 2 <> 0"), "vec_id", "embedding")
+    return rounded(cells.search(index, _centroids(spark, sf), "vec_id", "embedding", 5)[0])
+
+
 @query(
     "retrieval_context",
     f"""WITH {_COS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM si)
