@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,14 @@ def _split(spark: SparkSession, sf: str) -> DataFrame:
     return split.stratified_split(_matrix(spark, sf), "is_fraud", ["event_id"])
 
 
+def saved_model(spark: SparkSession, sf: str) -> tuple[DataFrame, PipelineModel, list[str]]:
+    """(labelled matrix, a model of it that was saved in a registry and loaded again, its features)."""
+    matrix, root = _matrix(spark, sf), durable_dir(spark, "registry")
+    trained = models.train(models.prepare(matrix, "is_fraud", _FEATURES), models.logistic(_FEATURES))
+    models.save_model(trained, root, "monitor", "logistic", "2026-01-01", dict(models.importance(trained, _FEATURES)), _FEATURES, spark)
+    return matrix, models.load_model(root, "monitor"), _FEATURES
+
+
 @query("train_boosted")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """Test metrics of boosted trees with class weights and a validation split."""

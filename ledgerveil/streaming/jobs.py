@@ -75,9 +75,9 @@ def to_parquet(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -
     )
 
 
-def each_batch(df: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def each_batch(df: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Run a batch operator on every micro-batch (scoring, mining, ingest)."""
-    return df.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return df.writeStream.outputMode(mode).foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def batch_writer(operator: Callable[[DataFrame], DataFrame], out: str) -> Callable[[DataFrame, int], None]:
