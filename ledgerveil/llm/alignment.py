@@ -48,7 +48,7 @@ class ByteLevel:
             self.tokens[k] = bytes(at[c] for c in token) if all(c in at for c in token) else token.encode()
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.coder.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        return [e.ids for e in self.coder.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
 
 class Pieces:
@@ -74,9 +74,9 @@ class Side:
 
     def __init__(self, kind: type, data: bytes) -> None:
         coder = kind(data)
-        self.encode, self.tokens = coder.encode, np.array([*coder.tokens, None], dtype=object)[:-1]
-        self.lengths = np.array([len(t) for t in coder.tokens], dtype=np.int64)
-        self.names = {end: np.array([f"{k}{end}" for k in range(len(self.tokens))], dtype=object) for end in ",|;"}
+        self.encode, self.parts = coder.encode, coder.tokens
+        self.lengths = np.array([len(t) for t in self.parts], dtype=np.int64)
+        self.names = {end: np.array([f"{k}{end}" for k in range(len(self.parts))], dtype=object) for end in ",|;"}
 
     @classmethod
     def of(cls, kind: type, data: bytes) -> Side:
@@ -108,14 +108,12 @@ def layout(first: Side, second: Side, texts: list[str | None]) -> Laid:
     ids, doc = ([], []), ([], [])
     for i, text, *coded in zip(some, plain, first.encode(plain), second.encode(plain), strict=True):
         want = b" " + text.encode()
-        arrays = [np.array(c, dtype=np.int64) for c in coded]
-        if all(b"".join(side.tokens[a].tolist()) == want for side, a in zip((first, second), arrays, strict=True)):
+        if all(b"".join([side.parts[k] for k in c]) == want for side, c in zip((first, second), coded, strict=True)):
             for k in (0, 1):
-                ids[k].append(arrays[k])
-                doc[k].append(np.full(len(arrays[k]), i, dtype=np.int64))
-    none = [np.zeros(0, dtype=np.int64)]
-    ids = tuple(np.concatenate(x or none) for x in ids)
-    doc = tuple(np.concatenate(x or none) for x in doc)
+                ids[k].extend(coded[k])
+                doc[k].append((i, len(coded[k])))
+    ids = tuple(np.array(x, dtype=np.int64) for x in ids)
+    doc = tuple(np.repeat(*(np.array(y, dtype=np.int64) for y in ([i for i, _ in x], [n for _, n in x]))) for x in doc)
     length = tuple(side.lengths[x] for side, x in zip((first, second), ids, strict=True))
     end = tuple(np.cumsum(x) for x in length)
     rows = [pd.DataFrame({"at": end[k] - length[k], "doc": doc[k], "token": np.arange(len(ids[k]))}) for k in (0, 1)]

@@ -112,3 +112,10 @@ def test_empty_table(spark, empty):
     aligned = alignment.digests(empty, *TOKENIZERS)
     assert alignment.with_counts(aligned, alignment.pair_counts(aligned)).collect() == []
     assert alignment.align(empty, *TOKENIZERS).collect() == []
+
+
+def test_texts_without_tokens(spark):
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, "a▁b")], "doc_id long, text string").coalesce(1)
+    aligned = alignment.digests(rows, *TOKENIZERS)
+    got = alignment.with_counts(aligned, alignment.pair_counts(aligned)).collect()
+    assert sorted((r.key, r.n_first, r.n_second, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in got) == [(i, 0, 0, 0, 0, 0, 0, "") for i in (1, 2, 3)]
