@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerveil.catalog.base import SCORED, query, rounded, scored
-from ledgerveil.operators import evaluate, forest, models, split
+from ledgerveil.operators import ensemble, evaluate, forest, leafwise, models, split
 from ledgerveil.plans.ranking import with_totals
 from ledgerveil.session import durable_dir
 from ledgerveil.sources.tables import table
@@ -50,6 +50,43 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.model_metrics(test, "model", "y", "score")
 
 
+@query("train_leafwise")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Test metrics of leaf-wise boosted trees with class weights and early stopping."""
+    ready = models.prepare(_split(spark, sf), "is_fraud", _FEATURES, keep=["split"]).withColumn("is_val", F.col("split") == "val")
+    weighted = split.weight_column(ready.where("split <> 'test'"), "label")
+    m = leafwise.fit(weighted, _FEATURES, validation="is_val", settings=leafwise.Settings(trees=8, leaves=8, rate=0.4))
+    test = leafwise.LeafwiseModel(document=m.document()).transform(ready.where("split = 'test'"))
+    return evaluate.model_metrics(test.select(F.lit("leafwise").alias("model"), (F.col("label") == 1).alias("y"), "score"), "model", "y", "score")
+
+
+def _ensemble(spark: SparkSession, sf: str) -> tuple[DataFrame, PipelineModel, PipelineModel, list[str]]:
+    """(prepared rows with split, the fitted ensemble, its saved and loaded copy, names of the bases)."""
+    ready = models.prepare(_split(spark, sf), "is_fraud", _FEATURES, keep=["event_id", "split"])
+    small = leafwise.Settings(trees=4, leaves=6, rate=0.5)
+    bases = {"linear": ensemble.logistic_base(_FEATURES, "linear"), "trees": ensemble.leafwise_base(["value", "hour"], "trees", settings=small), "kinds": ensemble.logistic_base(["kind", "k"], "kinds")}
+    model, _ = ensemble.fit(ready.where("split <> 'test'"), bases, ["event_id"], folds=3)
+    root = durable_dir(spark, "registry")
+    models.save_model(model, root, "ensemble", "ensemble", "2026-01-01", {}, _FEATURES, spark)
+    return ready, model, models.load_model(root, "ensemble"), [*bases, "score"]
+
+
+@query("fitted_ensemble")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Held-out metrics of each base and of the ensemble fitted on out-of-fold scores."""
+    ready, _, loaded, names = _ensemble(spark, sf)
+    test = loaded.transform(ready.where("split = 'test'")).select((F.col("label") == 1).alias("y"), *names)
+    return evaluate.model_metrics(test.unpivot(["y"], names, "model", "score"), "model", "y", "score")
+
+
+@query("ensemble_copy", "SELECT event_id, 1 AS n_scored, true AS equals_fitted FROM events")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row scored by the ensemble and by its saved and loaded copy."""
+    ready, model, loaded, _ = _ensemble(spark, sf)
+    a, b = (m.transform(ready).select("event_id", F.col("score").alias(n)) for m, n in ((model, "fitted"), (loaded, "copy")))
+    return a.join(b, "event_id").groupBy("event_id").agg(F.count(F.lit(1)).cast("int").alias("n_scored"), F.bool_and(F.col("fitted") == F.col("copy")).alias("equals_fitted"))
+
+
 @query("train_and_validate")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """Cross-validation on the training part, then metrics on the test part (logistic model)."""

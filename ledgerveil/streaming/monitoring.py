@@ -6,6 +6,7 @@ import os
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,10 @@ def scored_rows(batch: DataFrame, model: PipelineModel, features: Sequence[str],
     """``keep`` columns with score and flagged: the batch scorer over cleaned features."""
     kept = {c: f"_kept_{i}" for i, c in enumerate(keep)}  # a column may be kept as it is and be a feature
     clean = batch.select(*[F.col(c).alias(k) for c, k in kept.items()], *[models.clean_value(f) for f in features])
-    return models.score(clean, model, "score", threshold).select(*[F.col(k).alias(c) for c, k in kept.items()], "score", F.col("score_label").alias("flagged"))
+    # a classifier leaves a probability vector, a fitted ensemble its score
+    scored = model.transform(clean.withColumn("weight", F.lit(1.0)))
+    p = vector_to_array("probability")[1] if "probability" in scored.columns else F.col("score")
+    return scored.withColumn("score", p).select(*[F.col(k).alias(c) for c, k in kept.items()], "score", (F.col("score") >= threshold).alias("flagged"))
 
 
 def round_sums(scored: DataFrame, bank: str, round_: str) -> DataFrame:
