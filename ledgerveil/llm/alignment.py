@@ -13,7 +13,9 @@ on the driver (their size is checked) and sent to the tasks; other columns of th
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,29 +34,75 @@ HOT_PAIRS = 1 << 20
 SECOND_BITS = 32
 
 
+# Fixed value: how byte-level BPE cuts a text before merging.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts of these characters only, whose classes all versions of Unicode agree on, and without longer runs, go to the quicker encoder.
+PLAIN = re.compile("[\t\n\r -~\u00a1-\u024f]*")
+LONGEST_RUN = 512
+BLANK_RUN = re.compile(rf"\s{{{LONGEST_RUN}}}")
+
+
+def byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+def ranks_of(data: bytes) -> dict[bytes, int] | None:
+    """Token bytes to ids of a byte-level BPE file, if merging by the lowest id gives the same tokens as its list of merges; else None.
+
+    It does if ids follow the list, and each merged token, built from its bytes by lower ids alone, ends in the very pair
+    that the list names: then no other pair of neighbours can ever form it.
+    """
+    model = json.loads(data)["model"]
+    at = byte_of()
+    ranks = {bytes(at[c] for c in t): k for t, k in model["vocab"].items() if all(c in at for c in t)}
+    if sorted(k for t, k in ranks.items() if len(t) == 1) != list(range(256)):
+        return None
+    for i, merge in enumerate(model["merges"]):
+        pair = [bytes(at[c] for c in t) for t in (merge.split(" ") if isinstance(merge, str) else merge)]
+        if ranks.get(pair[0] + pair[1]) != 256 + i:
+            return None
+        parts = [bytes([x]) for x in pair[0] + pair[1]]
+        while len(parts) > 2:
+            k = min(range(len(parts) - 1), key=lambda j: (ranks.get(parts[j] + parts[j + 1], 1 << 30), j))
+            if ranks.get(parts[k] + parts[k + 1], 1 << 30) >= 256 + i:
+                return None
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        if parts != pair:
+            return None
+    return {t: k for t, k in ranks.items() if k < 256 + len(model["merges"])}
+
+
 class ByteLevel:
-    """A byte-level BPE file of the ``tokenizers`` library."""
+    """A byte-level BPE file of the ``tokenizers`` library; plain texts are encoded by ``tiktoken`` from the same file where ``ranks_of`` shows that to be equal."""
 
-    def __init__(self, data: bytes) -> None:
+    def __init__(self, data: bytes, ranks: dict[bytes, int] | None = None) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_buffer(data)
         self.coder.encode_special_tokens = True
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        at = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+        self.quick = tiktoken.Encoding("file", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+        at = byte_of()
         self.tokens = [b""] * self.coder.get_vocab_size(with_added_tokens=True)
         for token, k in self.coder.get_vocab(with_added_tokens=True).items():
             self.tokens[k] = bytes(at[c] for c in token) if all(c in at for c in token) else token.encode()
 
+    def plain(self, text: str) -> bool:
+        return self.quick is not None and PLAIN.fullmatch(text) is not None and max(map(len, text.split()), default=0) < LONGEST_RUN and not BLANK_RUN.search(text)
+
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.coder.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        plain = [self.plain(t) for t in texts]
+        rest = iter(self.coder.encode_batch_fast([" " + t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
+        return [self.quick.encode_ordinary(" " + t) if p else next(rest).ids for t, p in zip(texts, plain, strict=True)]
 
 
 class Pieces:
     """A sentencepiece model, which puts the blank before the text itself."""
 
-    def __init__(self, data: bytes) -> None:
+    def __init__(self, data: bytes, ranks: None = None) -> None:
         import sentencepiece
 
         self.coder = sentencepiece.SentencePieceProcessor(model_proto=data)
@@ -72,18 +120,18 @@ class Side:
 
     made: dict = {}
 
-    def __init__(self, kind: type, data: bytes) -> None:
-        coder = kind(data)
+    def __init__(self, kind: type, data: bytes, ranks: dict[bytes, int] | None = None) -> None:
+        coder = kind(data, ranks)
         self.encode, self.parts = coder.encode, coder.tokens
         self.lengths = np.array([len(t) for t in self.parts], dtype=np.int64)
         self.names = {end: np.array([f"{k}{end}" for k in range(len(self.parts))], dtype=object) for end in ",|;"}
 
     @classmethod
-    def of(cls, kind: type, data: bytes) -> Side:
+    def of(cls, kind: type, data: bytes, ranks: dict[bytes, int] | None = None) -> Side:
         """Made once in a Python worker."""
-        key = kind.__name__, hashlib.sha256(data).digest()
+        key = kind.__name__, hashlib.sha256(data).digest(), ranks is None
         if key not in cls.made:
-            cls.made[key] = cls(kind, data)
+            cls.made[key] = cls(kind, data, ranks)
         return cls.made[key]
 
 
@@ -163,8 +211,9 @@ def tokenizer_file(path: str) -> bytes:
 
 def sides(docs: DataFrame, first: str, second: str) -> object:
     """A function that gives both sides in a task; the files travel as one broadcast."""
-    sent = docs.sparkSession.sparkContext.broadcast((tokenizer_file(first), tokenizer_file(second)))
-    return lambda: (Side.of(ByteLevel, sent.value[0]), Side.of(Pieces, sent.value[1]))
+    data = tokenizer_file(first)
+    sent = docs.sparkSession.sparkContext.broadcast((data, tokenizer_file(second), ranks_of(data)))
+    return lambda: (Side.of(ByteLevel, sent.value[0], sent.value[2]), Side.of(Pieces, sent.value[1]))
 
 
 def bounds(doc: np.ndarray, n: int) -> np.ndarray:

@@ -119,3 +119,31 @@ def test_texts_without_tokens(spark):
     aligned = alignment.digests(rows, *TOKENIZERS)
     got = alignment.with_counts(aligned, alignment.pair_counts(aligned)).collect()
     assert sorted((r.key, r.n_first, r.n_second, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in got) == [(i, 0, 0, 0, 0, 0, 0, "") for i in (1, 2, 3)]
+
+
+def test_quick_encoder_equals_the_file(texts):
+    """The two encoders of one file agree on plain texts, and the others are told apart."""
+    import random
+
+    data = alignment.tokenizer_file(TOKENIZERS[0])
+    ranks = alignment.ranks_of(data)
+    quick, slow = alignment.ByteLevel(data, ranks), alignment.ByteLevel(data)
+    assert ranks and quick.quick and not slow.quick
+    r = random.Random(1)
+    letters = "".join(chr(c) for c in [9, 10, 13, *range(32, 127), *range(0xA1, 0x250)])
+    some = ["".join(r.choice(letters) for _ in range(200)) for _ in range(300)] + ["".join(r.choice("ab 'stremvld\n1") for _ in range(300)) for _ in range(300)]
+    some += [t for t in texts.values() if t] + EXTRA + [" " * 511, "a" * 511, " " * 600, "a" * 600]
+    assert quick.encode(some) == slow.encode(some)
+    assert not any(quick.plain(t) for t in ("a" * 600, " " * 600, "\u65e5", "\x00", "\xa0", "\u0370"))
+
+
+def test_lists_that_lower_ids_would_not_follow():
+    """A token whose bytes merge to another pair first is not left to the quicker encoder."""
+    import json
+
+    at = {b: c for c, b in alignment.byte_of().items()}
+    vocab = {at[b]: b for b in range(256)}
+    good = {"model": {"vocab": vocab | {"ab": 256, "abc": 257}, "merges": [["a", "b"], ["ab", "c"]]}}
+    bad = {"model": {"vocab": vocab | {"ab": 256, "bc": 257, "abc": 258}, "merges": ["a b", "b c", "a bc"]}}
+    assert alignment.ranks_of(json.dumps(good).encode())[b"abc"] == 257
+    assert alignment.ranks_of(json.dumps(bad).encode()) is None
