@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerveil.plans.ranking import exact_quantiles, ordered_prefix, with_totals
+from ledgerveil.plans.ranking import exact_quantiles, ordered_prefix, with_hot_totals, with_totals
+from ledgerveil.session import materialize
 
 # --- fixed values -------------------------------------------------------------------
 NIGHT_HOURS_CARD = [0, 1, 2, 3, 4, 5, 22, 23]
@@ -105,54 +106,55 @@ def payment_features(df: DataFrame) -> DataFrame:
     )
 
 
-def velocity_features(
-    df: DataFrame, account: str, time: str, amount: str, chunk_days: int = 7
-) -> DataFrame:
+def velocity_features(df: DataFrame, account: str, time: str, amount: str) -> DataFrame:
     """Add velocity_1h, velocity_24h and the running amount_zscore of each row's account.
 
-    An account's history is cut into chunks of days. Rows of a chunk's last day are
-    also handed to the next chunk as look-back, so a very busy account is counted by
-    many tasks and every count is exact. The z-score uses all rows up to and including
-    the row's instant (population deviation), from running sums over distinct instants.
+    A sweep: an account's instants and, for each, the points just outside its look-back hour and day lie on one line, and
+    one running count over ranges of (account, time) reaches them all. A velocity is the difference of two counts, so no
+    account, the null account included, is held in one task. The z-score uses all rows up to and including the row's
+    instant (population deviation), from running sums over distinct instants on the same line.
     """
-    micros = F.unix_micros(F.col(time).cast("timestamp"))
-    span = F.lit(chunk_days * _DAY)
-    base = df.withColumn("_t", micros).withColumn("_chunk", F.floor(F.col("_t") / span))
-    carried = (F.col("_chunk") + 1) * span - F.col("_t") <= _DAY
-    copies = F.when(
-        carried,
-        F.array(
-            F.struct(F.col("_chunk").alias("c"), F.lit(False).alias("x")),
-            F.struct((F.col("_chunk") + 1).alias("c"), F.lit(True).alias("x")),
-        ),
-    ).otherwise(F.array(F.struct(F.col("_chunk").alias("c"), F.lit(False).alias("x"))))
-    spread = base.withColumn("_k", F.explode(copies)).withColumns(
-        {"_chunk": F.col("_k.c"), "_ctx": F.col("_k.x")}
-    ).drop("_k")
-    w = Window.partitionBy(account, "_chunk").orderBy("_t")
-    counted = (
-        spread.withColumns(
-            {
-                "velocity_1h": F.count(F.lit(1)).over(w.rangeBetween(-_HOUR, 0)),
-                "velocity_24h": F.count(F.lit(1)).over(w.rangeBetween(-_DAY, 0)),
-            }
-        )
-        .where(~F.col("_ctx"))
-        .drop("_ctx", "_chunk")
+    base = df.withColumn("_t", F.unix_micros(F.col(time).cast("timestamp")))
+    n = F.count(amount)
+    instants = base.groupBy(F.col(account).alias("_a"), "_t").agg(
+        F.count(F.lit(1)).alias("_m"), n.alias("_n"), F.coalesce(F.avg(amount), F.lit(0.0)).alias("_mean"), F.coalesce(F.var_pop(amount) * n, F.lit(0.0)).alias("_within")
     )
+    instants = materialize(instants, "instants")
     # amounts are taken relative to the account's own mean, so squares stay as small as the spread
-    centre = base.groupBy(account).agg(F.avg(amount).alias("_c"))
-    base = with_totals(base, centre, [account]).withColumn("_d", F.col(amount) - F.col("_c"))
-    instants = base.groupBy(account, "_t").agg(
-        F.sum("_d").alias("_s"), F.sum(F.col("_d") * F.col("_d")).alias("_q"), F.count("_d").alias("_n"), F.first("_c").alias("_c")
+    centre = instants.groupBy("_a").agg(F.try_divide(F.sum(F.col("_mean") * F.col("_n")), F.sum("_n")).alias("_c"), F.count(F.lit(1)).alias("_rows"))
+    placed = with_hot_totals(instants, centre, ["_a"], "_rows").withColumn("_d", F.coalesce(F.col("_mean") - F.col("_c"), F.lit(0.0)))
+    measures = ["_m", "_n", "_s", "_q"]
+    own = F.struct(
+        F.col("_t").alias("at"), F.col("_m"), F.col("_n"), (F.col("_d") * F.col("_n")).alias("_s"), (F.col("_within") + F.col("_n") * F.col("_d") * F.col("_d")).alias("_q"),
+        F.lit(True).alias("now"), F.lit(False).alias("hour"), F.lit(False).alias("day"),
+    )
+
+    def before(length: int, hour: bool) -> Column:
+        zero = F.lit(0).cast("long")
+        return F.struct(
+            (F.col("_t") - length - 1).alias("at"), zero.alias("_m"), zero.alias("_n"), F.lit(0.0).alias("_s"), F.lit(0.0).alias("_q"), F.lit(False).alias("now"), F.lit(hour).alias("hour"), F.lit(not hour).alias("day"),
+        )
+
+    points = placed.select("_a", F.explode(F.array(own, before(_HOUR, True), before(_DAY, False))).alias("p")).select("_a", "p.*")
+    line = points.groupBy("_a", "at").agg(*[F.sum(c).alias(c) for c in measures], *[F.bool_or(c).alias(c) for c in ("now", "hour", "day")])
+    run = ordered_prefix(line, ["_a"], "at", measures)
+    # what each point says about an instant: about its own, and about those an hour and a day later
+    said = F.array(
+        F.when(F.col("now"), F.struct(F.col("at").alias("_t"), F.lit(0).alias("of"))),
+        F.when(F.col("hour"), F.struct((F.col("at") + _HOUR + 1).alias("_t"), F.lit(1).alias("of"))),
+        F.when(F.col("day"), F.struct((F.col("at") + _DAY + 1).alias("_t"), F.lit(2).alias("of"))),
     )
-    run = ordered_prefix(instants, [account], "_t", ["_s", "_q", "_n"]).select(
-        account, "_t", "_c", "cum__s", "cum__q", "cum__n"
+    told = run.select("_a", *[f"cum_{m}" for m in measures], F.explode(F.array_compact(said)).alias("w")).select("_a", "w._t", "w.of", *[f"cum_{m}" for m in measures])
+    at = lambda c, of: F.max(F.when(F.col("of") == of, F.col(c)))
+    each = told.groupBy("_a", "_t").agg(
+        (at("cum__m", 0) - at("cum__m", 1)).alias("velocity_1h"), (at("cum__m", 0) - at("cum__m", 2)).alias("velocity_24h"),
+        *[at(f"cum_{m}", 0).alias(f"cum_{m}") for m in ("_n", "_s", "_q")],
     )
-    mean = F.col("cum__s") / F.col("cum__n")
-    square = F.col("cum__q") / F.col("cum__n")
+    each = with_totals(each, placed.select("_a", "_t", "_c"), ["_a", "_t"])
+    joined = with_totals(base.withColumn("_a", F.col(account)), each, ["_a", "_t"])  # null accounts are an account of their own
+    mean = F.try_divide(F.col("cum__s"), F.col("cum__n"))
+    square = F.try_divide(F.col("cum__q"), F.col("cum__n"))
     var = F.greatest(F.lit(0.0), square - mean * mean)
     spread = var > 1e-12 * square + 1e-24 * F.col("_c") * F.col("_c")  # beyond rounding of what was summed
     z = F.when(spread, (F.col(amount) - F.col("_c") - mean) / F.sqrt(var)).otherwise(F.lit(0.0))
-    joined = with_totals(counted, run, [account, "_t"])  # null accounts are an account of their own
-    return joined.withColumn("amount_zscore", z).drop("_t", "_c", "cum__s", "cum__q", "cum__n")
+    return joined.withColumn("amount_zscore", z).drop("_a", "_t", "_c", "cum__n", "cum__s", "cum__q")

@@ -10,11 +10,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerveil.functions import noise, vectors
 from ledgerveil.plans.ranking import exact_quantiles, ordered_prefix, value_counts, with_totals
+from ledgerveil.plans.selection import smallest
 from ledgerveil.session import materialize
 
 # clients per block, and the bytes a block's vectors may take in a task
@@ -49,30 +50,38 @@ def fedavg(df: DataFrame) -> DataFrame:
 # --- distance-based selection ---------------------------------------------------------
 
 
+def _apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of two blocks by one matrix product, around the first block's mean."""
+    centre = left.mean(axis=0)
+    a, b = left - centre, right - centre
+    return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - 2 * (a @ b.T), 0.0)
+
+
 def _block_scores(drop: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    """Distances of one block of clients to another: per client the summed squared
-    distances without its ``drop`` farthest peers there, and those farthest ones."""
+    """Distances of two blocks of clients, each pair once: for the clients of both, the summed squared
+    distances without the ``drop`` farthest peers in the other block, and those farthest ones."""
 
     columns = ["round", "client_id", "n_clients", "kept", "nearest", "far"]
 
+    def told(rnd: object, part: pd.DataFrame, d2: np.ndarray) -> pd.DataFrame:
+        d2 = np.sort(d2, axis=1)
+        cut = max(0, d2.shape[1] - drop)
+        near = d2[:, 0] if d2.shape[1] else np.full(len(part), np.inf)
+        return pd.DataFrame({"round": rnd, "client_id": part["client_id"].to_numpy(), "n_clients": part["n_clients"].to_numpy(), "kept": d2[:, :cut].sum(axis=1), "nearest": near, "far": list(d2[:, cut:])})
+
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rnd, i, j = key
-        left = pdf[pdf["side"] == "L"]
-        right = left if i == j else pdf[pdf["side"] == "R"]
+        left, right = pdf[pdf["b"] == i], pdf[pdf["b"] == j]
         if left.empty or right.empty:
             return pd.DataFrame(columns=columns)
-        other = np.vstack([np.asarray(v, dtype=np.float64) for v in right["weights"]])
-        ids = right["client_id"].to_numpy()
-        n = int(left["n_clients"].iloc[0])
-        rows = []
-        for cid, vec in zip(left["client_id"], left["weights"]):
-            diff = other - np.asarray(vec, dtype=np.float64)
-            d2 = np.einsum("ij,ij->i", diff, diff)[ids != cid]
-            d2.sort()
-            cut = max(0, len(d2) - drop)
-            near = float(d2[0]) if len(d2) else float("inf")
-            rows.append((rnd, cid, n, float(d2[:cut].sum()), near, d2[cut:].tolist()))
-        return pd.DataFrame(rows, columns=columns)
+        if i == j and left["client_id"].duplicated().any():
+            raise ValueError(f"round {rnd}: a client id occurs twice")
+        vectors_of = lambda part: np.vstack([np.asarray(v, dtype=np.float64) for v in part["weights"]])
+        if i == j:
+            d2, n = _apart(vectors_of(left), vectors_of(left)), len(left)
+            return told(rnd, left, d2[~np.eye(n, dtype=bool)].reshape(n, n - 1))
+        d2 = _apart(vectors_of(left), vectors_of(right))
+        return pd.concat([told(rnd, left, d2), told(rnd, right, d2.T)])
 
     return run
 
@@ -82,8 +91,9 @@ def krum_scores(df: DataFrame, byzantine: int, block_rows: int | None = None) ->
 
     score = sum of squared distances to the n - f - 2 nearest peers, i.e. to all peers
     but the f + 1 farthest. A round is cut into blocks of clients and each pair of
-    blocks is one task's work; a task hands on one sum and its f + 1 farthest peers per
-    client, never the distances themselves. Merging drops the overall f + 1 farthest.
+    blocks (i <= j) is one task's work, done once for both; a task hands on one sum and
+    the f + 1 farthest peers per client, never the distances themselves. Merging drops
+    the overall f + 1 farthest. A client id that occurs twice in a round raises.
     """
     drop = byzantine + 1
     if block_rows is None:
@@ -94,17 +104,11 @@ def krum_scores(df: DataFrame, byzantine: int, block_rows: int | None = None) ->
     placed = sized.withColumn("nb", nb).withColumn("b", F.pmod(F.xxhash64("client_id"), F.col("nb")).cast("int"))
     blocks = F.sequence(F.lit(0), F.col("nb") - 1)
 
-    def cell(side: str, i: Column, j: Column) -> Column:
-        return F.struct(F.lit(side).alias("side"), i.alias("i"), j.alias("j"))
-
     b = F.col("b")
-    cells = F.concat(
-        F.transform(blocks, lambda j: cell("L", b, j)),
-        F.transform(F.filter(blocks, lambda i: i != b), lambda i: cell("R", i, b)),
-    )
+    cells = F.transform(blocks, lambda k: F.struct(F.least(b, k).alias("i"), F.greatest(b, k).alias("j")))
     parts = (
-        placed.select("round", "client_id", "weights", "n_clients", F.explode(cells).alias("c"))
-        .select("round", "client_id", "weights", "n_clients", "c.side", "c.i", "c.j")
+        placed.select("round", "client_id", "weights", "n_clients", "b", F.explode(cells).alias("c"))
+        .select("round", "client_id", "weights", "n_clients", "b", "c.i", "c.j")
         .groupBy("round", "i", "j")
         .applyInPandas(
             _block_scores(drop),
@@ -131,10 +135,10 @@ def krum_select(df: DataFrame, byzantine: int, select: Column | int | None = Non
     need = 2 * f + 3 if min_clients is None else min_clients
     m = F.col("n_clients") - f - 1 if select is None else (F.lit(select) if isinstance(select, int) else select)
     m = F.least(m, F.col("n_clients"))
-    ranked = krum_scores(df, f).withColumn(
-        "rk", F.row_number().over(Window.partitionBy("round").orderBy("score", "client_id"))
-    )
-    return ranked.where((F.col("n_clients") < need) | (F.col("rk") <= m)).select("round", "client_id")
+    # small rounds want all their clients; the scores are read several times
+    wanted = F.when(F.col("n_clients") < need, F.col("n_clients")).otherwise(m)
+    scores = materialize(krum_scores(df, f).withColumn("wanted", wanted.cast("long")), "krum-scores")
+    return smallest(scores, ["round"], "score", "client_id", "wanted").select("round", "client_id")
 
 
 def multi_krum(df: DataFrame, byzantine: int = 0, select: int | None = None) -> DataFrame:
@@ -145,28 +149,67 @@ def multi_krum(df: DataFrame, byzantine: int = 0, select: int | None = None) ->
 # --- coordinate-wise statistics ---------------------------------------------------------
 
 
+#: Coordinates a block holds at most, and the bytes its matrix may take in a task.
+BLOCK_COORDS, MATRIX_BYTES = 1024, 64 << 20
+
+
+def by_blocks(df: DataFrame, statistic: Callable[[np.ndarray], np.ndarray]) -> tuple[DataFrame, DataFrame]:
+    """((round, coord, value) of all rounds that can be taken by blocks of coordinates, the rows of the others).
+
+    A client's vector is cut into blocks; one task has all clients of a round for a block, as a matrix, and ``statistic``
+    makes one value a column. The more clients, the fewer coordinates a block has, MATRIX_BYTES in all; a round with
+    more clients than MATRIX_BYTES hold of one coordinate is left to the caller.
+    """
+    most = MATRIX_BYTES // 8
+    sized = with_totals(df, round_sizes(df), ["round"])
+    width = F.least(F.lit(BLOCK_COORDS), F.floor(F.lit(most) / F.col("n_clients"))).cast("int")
+    small = sized.where(F.col("n_clients") <= most).withColumn("_width", width).where(F.size("weights") > 0)
+    starts = F.sequence(F.lit(0), F.floor((F.size("weights") - 1) / F.col("_width")).cast("int"))
+    cut = F.transform(starts, lambda b: F.struct((b * F.col("_width")).alias("start"), F.slice("weights", b * F.col("_width") + 1, F.col("_width")).alias("w")))
+    blocks = small.select("round", F.explode(cut).alias("c")).select("round", "c.start", F.col("c.w").alias("w"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        value = statistic(np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["w"]]))
+        return pd.DataFrame({"round": key[0], "coord": np.arange(key[1], key[1] + len(value), dtype=np.int32), "value": value})
+
+    done = blocks.groupBy("round", "start").applyInPandas(run, f"round {df.schema['round'].dataType.simpleString()}, coord int, value double")
+    return done, sized.where(F.col("n_clients") > most).drop("n_clients")
+
+
 def trimmed_mean(df: DataFrame, ratio: float = 0.1) -> DataFrame:
-    """Unweighted mean without the t lowest and highest values of each coordinate.
+    """Unweighted mean without the t lowest and highest values of each coordinate; rounds of at most 2t clients take the weighted mean.
 
-    Works on distinct values with counts, so a value's share of the kept positions is
-    arithmetic on its running count and no round has to fit into one task.
+    Rounds go by blocks of coordinates. For a round too large for that, a value's share of the kept positions is
+    arithmetic on its running count, and nothing has to fit into one task.
     """
     sizes = round_sizes(df)
     t = F.greatest(F.lit(1), F.floor(F.col("n_clients") * F.lit(float(ratio))))
-    sized = sizes.withColumn("t", t)
+    sized = materialize(sizes.withColumn("t", t), "round-sizes")
     tiny = sized.where(F.col("n_clients") <= 2 * F.col("t")).select("round")
     normal = sized.where(F.col("n_clients") > 2 * F.col("t"))
-    counts = value_counts(coordinates(df.join(normal.select("round"), "round", "left_semi")), ["round", "coord"], "w")
+
+    def mean(matrix: np.ndarray) -> np.ndarray:
+        cut = max(1, int(len(matrix) * ratio))
+        return np.partition(matrix, (cut, len(matrix) - cut - 1), axis=0)[cut : len(matrix) - cut].mean(axis=0)
+
+    trimmed, large = by_blocks(df.join(normal.select("round"), "round", "left_semi"), mean)
+    out = trimmed.unionByName(fedavg(df.join(tiny, "round", "left_semi")))
+    if normal.where(F.col("n_clients") > MATRIX_BYTES // 8).isEmpty():
+        return out
+    counts = value_counts(coordinates(large), ["round", "coord"], "w")
     run = with_totals(ordered_prefix(counts, ["round", "coord"], "w", ["m"]), normal, ["round"])
     kept = F.greatest(
         F.lit(0), F.least(F.col("cum_m"), F.col("n_clients") - F.col("t")) - F.greatest(F.col("cum_m") - F.col("m"), F.col("t"))
     )
-    trimmed = run.groupBy("round", "coord").agg((F.sum(F.col("w") * kept) / F.sum(kept)).alias("value"))
-    return trimmed.unionByName(fedavg(df.join(tiny, "round", "left_semi")))
+    return out.unionByName(run.groupBy("round", "coord").agg((F.sum(F.col("w") * kept) / F.sum(kept)).alias("value")))
 
 
 def coordinate_median(df: DataFrame) -> DataFrame:
-    return exact_quantiles(coordinates(df), ["round", "coord"], "w", {"value": 0.5})
+    """Median of each coordinate, by blocks; rounds too large for a block by exact quantiles over ranges."""
+    done, large = by_blocks(df, lambda matrix: np.median(matrix, axis=0))
+    if round_sizes(df).where(F.col("n_clients") > MATRIX_BYTES // 8).isEmpty():
+        return done
+    return done.unionByName(exact_quantiles(coordinates(large), ["round", "coord"], "w", {"value": 0.5}))
 
 
 def bulyan(df: DataFrame, byzantine: int = 0, ratio: float = 0.25) -> DataFrame:

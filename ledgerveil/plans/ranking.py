@@ -126,6 +126,30 @@ def with_totals(df: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFr
     return df.withColumn(ALL, F.lit(0)).join(totals.withColumn(ALL, F.lit(0)), ALL).drop(ALL)
 
 
+#: A key is hot with over 1 / HOT_SHARE of all rows; fewer than HOT_SHARE keys are, whatever the data.
+HOT_SHARE = 1000
+
+
+def with_hot_totals(df: DataFrame, totals: DataFrame, keys: Sequence[str], count: str) -> DataFrame:
+    """``with_totals`` for skewed keys: ``totals`` says in ``count`` how many rows of ``df`` each key has.
+
+    Totals of hot keys, fewer than HOT_SHARE rows, are sent out; the rows of all others are joined by a shuffle in which
+    no key has more than 1 / HOT_SHARE of the rows. ``totals`` is written once, ``df`` is read twice.
+    """
+    stored = materialize(totals, "totals")
+    whole = stored.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * HOT_SHARE > F.lit(whole)
+    few = F.broadcast(stored.where(hot))
+    sent = _join_keys(df, few, list(keys))
+    cond = None
+    names = stored.where(hot).select(*[F.col(k).alias(f"_h_{k}") for k in keys])
+    for k in keys:
+        part = df[k].eqNullSafe(names[f"_h_{k}"])
+        cond = part if cond is None else cond & part
+    rest = _join_keys(df.join(F.broadcast(names), cond, "left_anti"), stored.where(~hot), list(keys))
+    return sent.unionByName(rest.select(*sent.columns))
+
+
 def _join_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner equi-join that also matches null keys (groups of null are groups too)."""
     renamed = right.select(*[F.col(k).alias(f"_j_{k}") for k in keys], *[c for c in right.columns if c not in keys])

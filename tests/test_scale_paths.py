@@ -118,7 +118,7 @@ def test_velocity_chunks_equal_brute_force(spark):
     n = 800
     t = pd.to_datetime("2024-01-01") + pd.to_timedelta(np.sort(rng.integers(0, 12 * 86400, n)), unit="s")
     pdf = pd.DataFrame({"id": np.arange(n), "acct": np.where(rng.random(n) < 0.5, 0, rng.integers(1, 9, n)), "ts": t, "amt": np.round(rng.random(n) * 100, 2)})
-    got = features.velocity_features(spark.createDataFrame(pdf), "acct", "ts", "amt", chunk_days=1).toPandas().set_index("id")
+    got = features.velocity_features(spark.createDataFrame(pdf), "acct", "ts", "amt").toPandas().set_index("id")
     for i in rng.integers(0, n, 60):
         r = pdf.loc[i]
         same = pdf[pdf["acct"] == r["acct"]]
