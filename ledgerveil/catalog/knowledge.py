@@ -179,7 +179,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     "alert_summary",
     f"""{_ALERTS} SELECT 'total' AS kind, 'all' AS name, count(*) AS n FROM aa
       UNION ALL SELECT 'severity', s, (SELECT count(*) FROM aa WHERE severity = s) FROM unnest(['critical','high','medium','low','info']) t(s)
-      UNION ALL SELECT 'alert_type', s, (SELECT count(*) FROM aa WHERE alert_type = s) FROM unnest(['variant','zero_day','spike','correlation']) t(s)""",
+      UNION ALL SELECT 'alert_type', s, (SELECT count(*) FROM aa WHERE alert_type = s) FROM unnest(['variant','zero_day','spike','correlation']) t(s)
+      UNION ALL SELECT 'newest', alert_id, n FROM (SELECT alert_id, row_number() OVER (ORDER BY round DESC, alert_id) AS n FROM aa) WHERE n <= 5""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return alerts.summary(_alerts(spark, sf))
@@ -428,6 +429,28 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return reports.emergent_briefing(_store(spark, sf, (i, m)), _alerts(spark, sf, (i, m)))
 
 
+@query(
+    "briefing_details",
+    f"""{_ALERTS} SELECT 'EMERGENT-all' AS report_id, 2 AS ord, row_number() OVER (ORDER BY alert_id) AS position, alert_id, title FROM aa WHERE severity = 'critical'""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Every critical alert of the briefing, numbered."""
+    i, m = both(spark, sf)
+    rows = reports.emergent_details(_store(spark, sf, (i, m)), _alerts(spark, sf, (i, m))).where("ord = 2")
+    return rows.select("report_id", "ord", "position", *[F.get_json_object("data", f"$.{c}").alias(c) for c in ("alert_id", "title")])
+
+
+@query(
+    "bank_network_alerts",
+    f"""{_ALERTS} SELECT 'BANK-7' AS report_id, 4 AS ord, row_number() OVER (ORDER BY alert_id) AS position, alert_id, severity FROM aa WHERE affected_banks > 1 OR alert_type = 'correlation'""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Every network alert of one institution's report, numbered."""
+    i, m = both(spark, sf)
+    rows = reports.bank_details("7", central.bank_profiles(m), _store(spark, sf, (i, m)), _alerts(spark, sf, (i, m)), _when()).where("ord = 4")
+    return rows.select("report_id", "ord", "position", *[F.get_json_object("data", f"$.{c}").alias(c) for c in ("alert_id", "severity")])
+
+
 @query("compliance_report")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     i, m = both(spark, sf)

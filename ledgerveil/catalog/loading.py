@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ledgerveil.catalog.base import SCORED, TX, query, rounded, scored, transactions
 from ledgerveil.functions import hashing
-from ledgerveil.operators import models, profile, validate
+from ledgerveil.operators import audit, erasure, models, profile, validate
 from ledgerveil.operators.split import sample_fraction
 from ledgerveil.plans.ranking import with_totals
 from ledgerveil.session import durable_dir
@@ -71,8 +71,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return fraud.load_card_transactions(spark, folder)
 
 
-def _payments(spark: SparkSession, sf: str) -> DataFrame:
-    """events as mobile payments, read back through the loader."""
+def _payments_csv(spark: SparkSession, sf: str) -> str:
+    """events written as a file of mobile payments."""
     folder = durable_dir(spark, "payments")
     kinds = F.element_at(F.array(*[F.lit(k) for k in ("CASH_IN", "CASH_OUT", "DEBIT", "PAYMENT", "TRANSFER")]), (F.col("event_id") % 5 + 1).cast("int"))
     before = F.round(F.col("value") * (F.col("event_id") % 3), 2)
@@ -83,7 +83,24 @@ def _payments(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("M"), (F.col("user_id") % 17).cast("string")).alias("nameDest"), F.lit(0.0).alias("oldbalanceDest"),
         F.col("value").alias("newbalanceDest"), (F.col("event_type") == "error").cast("int").alias("isFraud"), F.lit(0).alias("isFlaggedFraud"),
     ).write.option("header", True).csv(os.path.join(folder, "PS_derived.csv"))
-    return fraud.load_mobile_payments(spark, folder)
+    return folder
+
+
+def _payments(spark: SparkSession, sf: str) -> DataFrame:
+    """events as mobile payments, read back through the loader."""
+    return fraud.load_mobile_payments(spark, _payments_csv(spark, sf))
+
+
+@query("load_all_datasets", "SELECT 'bank_account_fraud' AS dataset_source, count(*) AS n_rows FROM customer UNION ALL SELECT 'paysim', count(*) FROM events")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The data sets that exist, loaded by one call; the one whose folder is missing is left out."""
+    folders = {"bank_account_fraud": _bank_csv(spark, sf), "credit_card_fraud": durable_dir(spark, "missing"), "paysim": _payments_csv(spark, sf)}
+    loaded = fraud.load_all(spark, folders)
+    counts = [df.groupBy("dataset_source").agg(F.count(F.lit(1)).alias("n_rows")) for df in loaded.values()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
 
 
 _PAY = """pay AS (
@@ -241,6 +258,39 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return validate.erase_subjects(e.select("event_id", "user_id", "value"), asked, "user_id")
 
 
+def _erased(spark: SparkSession, sf: str) -> tuple[erasure.StoredTable, DataFrame, set, DataFrame]:
+    """Orders stored in eight files by customer, after the erasure of some customers: (table, audit events, first files, requests)."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice").repartitionByRange(8, "o_custkey")
+    stored = erasure.StoredTable.create(orders, os.path.join(durable_dir(spark, "erasure"), "orders"))
+    first = {r["file"] for r in stored.files().collect()}
+    asked = table(spark, sf, "customer").where("c_custkey <= 150 AND c_custkey % 25 = 7").select(F.col("c_custkey").alias("request"), F.col("c_custkey").alias("o_custkey"))
+    asked = asked.unionByName(spark.createDataFrame([(-1, -1), (-2, None)], asked.schema))  # unknown subjects
+    return stored, erasure.erase(stored, asked, "o_custkey", "request", "erasure-1", F.lit("2026-01-01 00:00:00")), first, asked
+
+
+@query("erasure_rewrite", "SELECT o_orderkey, o_custkey, round(o_totalprice, 2) AS o_totalprice FROM orders WHERE NOT (o_custkey <= 150 AND o_custkey % 25 = 7)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """What the stored table holds after its files with requested subjects were rewritten."""
+    stored, _, _, _ = _erased(spark, sf)
+    return rounded(stored.read(), 2)
+
+
+@query(
+    "erasure_answers",
+    """SELECT c_custkey AS request, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_rows, true AS chain_holds, true AS others_untouched FROM customer WHERE c_custkey <= 150 AND c_custkey % 25 = 7
+      UNION ALL SELECT unnest([-1, -2]), 0, true, true""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """One audit event a request, the chain intact, and files without a requested subject still in place."""
+    stored, events, first, asked = _erased(spark, sf)
+    now = {r["file"] for r in stored.files().collect()}
+    rows = stored.read(0).select("o_custkey", erasure.file_of(stored).alias("file")).join(asked.select("o_custkey").distinct(), "o_custkey", "left_semi")
+    touched = {r["file"] for r in rows.select("file").distinct().collect()}
+    untouched = first - touched <= now and not touched & now and 0 < len(touched) < len(first)
+    said = F.from_json("details", "request string, rows long, files long")
+    return events.select(said["request"].cast("long").alias("request"), said["rows"].alias("n_rows"), F.lit(audit.verify(events).isEmpty()).alias("chain_holds"), F.lit(untouched).alias("others_untouched"))
+
+
 @query(
     "consent_filter",
     """WITH c AS (SELECT c_custkey AS o_custkey, c_acctbal > 0 AS given, TIMESTAMP '1996-01-01' + to_days((c_custkey % 400)::INT) AS given_at,

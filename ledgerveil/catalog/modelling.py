@@ -63,7 +63,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _ensemble(spark: SparkSession, sf: str) -> tuple[DataFrame, PipelineModel, PipelineModel, list[str]]:
     """(prepared rows with split, the fitted ensemble, its saved and loaded copy, names of the bases)."""
     ready = models.prepare(_split(spark, sf), "is_fraud", _FEATURES, keep=["event_id", "split"])
-    small = leafwise.Settings(trees=4, leaves=6, rate=0.5)
+    small = leafwise.Settings(trees=3, leaves=5, rate=0.5, bins=32)
     bases = {"linear": ensemble.logistic_base(_FEATURES, "linear"), "trees": ensemble.leafwise_base(["value", "hour"], "trees", settings=small), "kinds": ensemble.logistic_base(["kind", "k"], "kinds")}
     model, _ = ensemble.fit(ready.where("split <> 'test'"), bases, ["event_id"], folds=3)
     root = durable_dir(spark, "registry")
@@ -105,7 +105,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("isolation_forest")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     df = _matrix(spark, sf)
-    trees = forest.fit(df, _FEATURES, trees=50)
+    trees = forest.fit(df, _FEATURES, trees=50, key=["event_id"])
     return forest.scaled(forest.anomaly_scores(df, trees, _FEATURES)).select("event_id", "is_fraud", "score")
 
 

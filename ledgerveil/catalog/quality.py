@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ledgerveil.catalog.base import query, rounded
 from ledgerveil.functions import binning, hashing, masking, pii
-from ledgerveil.operators import audit, certify, profile, transform
+from ledgerveil.operators import audit, certify, profile, sketches, transform
 from ledgerveil.plans.ranking import with_totals
-from ledgerveil.session import durable_dir
+from ledgerveil.session import durable_dir, materialize
 from ledgerveil.sources.tables import table
 
 _KEY = "demonstration-key"
@@ -227,11 +227,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
       c AS (SELECT len(list_filter(b, lambda x: x < l_extendedprice)) AS k FROM lineitem, q) SELECT 'bin_' || k AS bucket, count(*) AS n FROM c GROUP BY 1""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    from ledgerveil.plans.ranking import exact_quantiles
-
+    """Deciles through the plan that generalises a numeric column."""
     line = table(spark, sf, "lineitem").select("l_extendedprice")
-    cuts = exact_quantiles(line, [], "l_extendedprice", {f"q{i}": i / 10 for i in range(1, 10)}).first()  # nine numbers
-    return line.select(binning.quantile_label("l_extendedprice", list(cuts)).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    out, _ = transform.apply_plan(line, {"l_extendedprice": ("financial", "generalize")}, _KEY)
+    return out.groupBy(F.col("l_extendedprice").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("pseudonym_map", "SELECT c_name AS value, 'PSEUDO_C_NAME_' || printf('%06d', row_number() OVER (ORDER BY md5('42:' || c_name), c_name) - 1) AS pseudonym FROM (SELECT DISTINCT c_name FROM customer)")
@@ -276,6 +275,42 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(profile.uniqueness(table(spark, sf, "orders").select(*[c for c, _ in _ORDER_COLS])), 8)
 
 
+_SKETCHED = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"]
+
+
+def _sketched(spark: SparkSession, sf: str) -> tuple[DataFrame, sketches.SketchStore]:
+    """(line items, their sketches by year of shipping and for lines without a date)."""
+    line = table(spark, sf, "lineitem").select(*_SKETCHED, F.year("l_shipdate").alias("y"))
+    store = sketches.SketchStore(spark, durable_dir(spark, "sketches"))
+    years = [r["y"] for r in line.select("y").distinct().collect()]  # one name a partition
+    for y in years:
+        store.add(line.where(F.col("y").eqNullSafe(y)).drop("y"), str(y))
+    return line.drop("y"), store
+
+
+@query("sketched_uniqueness", "SELECT unnest(['l_orderkey', 'l_partkey', 'l_quantity', 'l_extendedprice', 'l_returnflag', 'l_linestatus']) AS column_name, count(*) AS total_count, true AS within_error FROM lineitem")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct counts from sketches of partitions, merged, against the exact profile."""
+    line, store = _sketched(spark, sf)
+    exact = profile.uniqueness(line).select("column_name", "total_count", "unique_count")
+    merged = store.distinct().select("column_name", "n_distinct", "error")
+    close = F.abs(F.col("n_distinct") - F.col("unique_count")) <= F.greatest(F.col("error") * F.col("unique_count"), F.lit(0.5))
+    return exact.join(merged, "column_name").select("column_name", "total_count", close.alias("within_error"))
+
+
+@query("sketched_quantiles", "SELECT column_name, probability, true AS within_error FROM (SELECT unnest(['l_quantity', 'l_extendedprice']) AS column_name), (SELECT unnest([0.1, 0.25, 0.5, 0.9, 0.99]) AS probability)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantiles from merged sketches: the ranks of the answers in the whole table against the asked ones."""
+    line, store = _sketched(spark, sf)
+    found = store.quantiles([0.1, 0.25, 0.5, 0.9, 0.99]).where(F.col("column_name").isin("l_quantity", "l_extendedprice"))
+    long = line.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in ("l_quantity", "l_extendedprice")])).alias("c")).select("c.*")
+    met = long.join(F.broadcast(found), "column_name").groupBy("column_name", "probability").agg(
+        F.avg((F.col("v") < F.col("value")).cast("int")).alias("below"), F.avg((F.col("v") <= F.col("value")).cast("int")).alias("until"), F.max("rank_error").alias("error")
+    )
+    inside = (F.col("probability") >= F.col("below") - F.col("error")) & (F.col("probability") <= F.col("until") + F.col("error"))
+    return met.select("column_name", "probability", inside.alias("within_error"))
+
+
 @query("k_anonymity", "SELECT min(n) >= 5 AS passed, min(n) AS actual_k FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey, c_mktsegment)")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return profile.k_anonymity(table(spark, sf, "customer"), ["c_nationkey", "c_mktsegment"])
@@ -350,6 +385,26 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return with_totals(shown, events.agg(F.count(F.lit(1)).alias("audit_events")), [])
 
 
+@query(
+    "run_events",
+    f"""{DETECT_SQL}, b AS (SELECT * FROM r WHERE rn = 1), n AS (SELECT count(*) AS k FROM b)
+      SELECT event_type, resource, n FROM (
+        SELECT 'pii_detected' AS event_type, column_name AS resource, count(*) AS n FROM b GROUP BY ALL
+        UNION ALL SELECT unnest(['pii_scan_started', 'pii_scan_completed', 'transformation_started', 'transformation_completed', 'certification_requested']), 'contacts', 1
+        UNION ALL SELECT 'data_export', 'contacts', 1 UNION ALL SELECT 'chain issues', 'contacts', 0)""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Kinds of audit events of a whole run with its export, and the issues of their chain; the verdict itself is left out."""
+    df = contact_table(spark, sf)
+    clean, log, matches = certify.sanitise(df, _KEY)
+    place, certificate, _ = certify.release_certified(clean, durable_dir(spark, "release"), "2026-01-01T00:00:00")
+    exports = clean.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(place).alias("destination"), F.lit("parquet").alias("format"), "n_rows")
+    events = materialize(certify.run_events(df, "contacts", matches, log, certificate, "2026-01-01T00:00:00", exports=exports), "events")
+    counts = events.where(~F.col("event_type").isin("certification_granted", "certification_denied", "error")).groupBy("event_type", "resource").agg(F.count(F.lit(1)).alias("n"))
+    issues = audit.verify(events).agg(F.lit("chain issues").alias("event_type"), F.lit("contacts").alias("resource"), F.count(F.lit(1)).alias("n"))
+    return counts.unionByName(issues)
+
+
 @query("certificate_text")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return certify.certificate_text(certify.certify(table(spark, sf, "supplier")), "2026-01-01T00:00:00")

@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,6 +100,82 @@ def counts_by_type(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).orderBy("event_type")
 
 
+# --- what happened, as rows for link() ----------------------------------------------------------
+# Each constructor turns the rows of ``facts`` into events of one kind; ``step`` and the order within it give the sequence.
+
+
+def happened(facts: DataFrame, step: int, event_type: Column | str, resource: Column | str, action: Column, details: list[str], order: list[str] | None = None) -> DataFrame:
+    """(step, within, event_type, resource, action, details): one event a row, its details a JSON object of the named columns."""
+    text = lambda v: F.lit(v) if isinstance(v, str) else v
+    within = F.concat_ws("/", *[F.col(c).cast("string") for c in order]) if order else F.lit("")
+    body = F.to_json(F.struct(*details), {"ignoreNullFields": "false"})
+    return facts.select(F.lit(step).alias("step"), within.alias("within"), text(event_type).alias("event_type"), text(resource).alias("resource"), action.alias("action"), body.alias("details"))
+
+
+def scan_started(sizes: DataFrame, dataset: str, step: int = 1) -> DataFrame:
+    """``sizes``: n_columns, n_rows."""
+    return happened(sizes, step, "pii_scan_started", dataset, F.format_string("scan of %d columns and %d rows begins", "n_columns", "n_rows"), ["n_columns", "n_rows"])
+
+
+def scan_completed(summary: DataFrame, dataset: str, step: int = 2) -> DataFrame:
+    """``summary``: total_columns, columns_with_pii, passed."""
+    return happened(summary, step, "pii_scan_completed", dataset, F.format_string("%d of %d columns hold personal data", "columns_with_pii", "total_columns"), ["total_columns", "columns_with_pii", "passed"])
+
+
+def detected(matches: DataFrame, step: int = 3) -> DataFrame:
+    """One event a match, on the column; ``matches``: column_name, pii_type, sensitivity, confidence."""
+    action = F.concat(F.col("pii_type"), F.lit(" found, sensitivity "), F.col("sensitivity"))
+    return happened(matches, step, "pii_detected", F.col("column_name"), action, ["pii_type", "sensitivity", "confidence"], ["column_name", "pii_type"])
+
+
+def transformation_started(plan_size: DataFrame, dataset: str, step: int = 4) -> DataFrame:
+    """``plan_size``: n_columns."""
+    return happened(plan_size, step, "transformation_started", dataset, F.format_string("treatment of %d columns begins", "n_columns"), ["n_columns"])
+
+
+def transformation_completed(log: DataFrame, dataset: str, step: int = 5) -> DataFrame:
+    """``log`` as the transformation gives it: one row a column, so its list fits into one event."""
+    treated = F.sort_array(F.collect_list(F.struct("column_name", "transformation_type", "rows_transformed", "success"))).alias("columns")
+    done = log.agg(F.count(F.lit(1)).alias("n_columns"), F.count_if("success").alias("n_treated"), treated)
+    return happened(done, step, "transformation_completed", dataset, F.format_string("%d of %d columns treated", "n_treated", "n_columns"), ["n_columns", "n_treated", "columns"])
+
+
+def certification_requested(sizes: DataFrame, dataset: str, step: int = 6) -> DataFrame:
+    return happened(sizes, step, "certification_requested", dataset, F.format_string("certificate asked for %d rows", "n_rows"), ["n_columns", "n_rows"])
+
+
+def certified(certificate: DataFrame, dataset: str, step: int = 7) -> DataFrame:
+    """Granted or denied, with score and gates."""
+    kind = F.when(F.col("certified"), "certification_granted").otherwise("certification_denied")
+    told = certificate.withColumn("gates", F.array(*[F.col(f"gate{i}_passed") for i in range(1, 6)]))
+    return happened(told, step, kind, dataset, F.concat(F.lit("level "), F.col("certification_level")), ["certified", "certification_level", "certification_score", "gates"])
+
+
+def accessed(reads: DataFrame, resource: str, step: int = 8) -> DataFrame:
+    """``reads``: accessor, purpose."""
+    return happened(reads, step, "data_access", resource, F.concat(F.lit("read for "), F.col("purpose")), ["accessor", "purpose"], ["accessor", "purpose"])
+
+
+def exported(exports: DataFrame, resource: str, step: int = 9) -> DataFrame:
+    """``exports``: destination, format, n_rows."""
+    return happened(exports, step, "data_export", resource, F.format_string("%d rows to %s", "n_rows", "destination"), ["destination", "format", "n_rows"], ["destination"])
+
+
+def failed(errors: DataFrame, step: int = 10) -> DataFrame:
+    """``errors``: resource, error_type, message."""
+    return happened(errors, step, "error", F.col("resource"), F.concat(F.col("error_type"), F.lit(": "), F.col("message")), ["error_type", "message"], ["resource", "error_type", "message"])
+
+
+def chained(parts: list[DataFrame], session_id: str, ts: str, actor: str = "system", heads: DataFrame | None = None) -> DataFrame:
+    """Events of one session, numbered by step and the order within it, and linked."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    seq = F.row_number().over(Window.partitionBy("session_id").orderBy("step", "within", "details"))
+    named = rows.withColumns({"session_id": F.lit(session_id), "ts": F.lit(ts), "actor": F.lit(actor)})
+    return link(named.withColumn("seq", seq.cast("bigint")).drop("step", "within"), heads)
+
+
 def events_of_type(events: DataFrame, event_type: str) -> DataFrame:
     if event_type not in EVENT_TYPES:
         raise ValueError(f"unknown event type {event_type}")

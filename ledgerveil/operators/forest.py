@@ -64,26 +64,33 @@ def _coprime(n: int) -> int:
     return next(k for k in range(max(1, int(n * 0.618)), n + 2) if math.gcd(k, n) == 1)
 
 
-def fit(df: DataFrame, features: Sequence[str], trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> DataFrame:
+def fit(df: DataFrame, features: Sequence[str], trees: int = TREES, sample: int = SAMPLE, seed: int = 42, key: Sequence[str] | None = None) -> DataFrame:
     """One row per tree, grown on at most ``sample`` rows drawn at random for it.
 
     Each row draws how many trees it goes to, at a mean of 1.3 * sample * trees / rows, and where a stride through the
     trees starts, so no tree gets it twice. The rate alone follows the table's size: small and large tables take one
-    path, and about 1.3 * sample rows reach a tree. With the same seed and the same partitions the draw is the same.
+    path, and about 1.3 * sample rows reach a tree. With ``key``, columns that tell rows apart, the draw is a hash of them and the
+    forest does not depend on partitions; without, it is the same for the same seed and the same partitions.
     """
     feats = list(features)
-    base = df.select(*[clean_value(f) for f in feats])
+    bits = 1 << 31
+    if key:
+        uniform = lambda s: F.pmod(F.xxhash64(F.lit(s), *key), F.lit(bits)) / bits
+        place = F.xxhash64(F.lit(seed + 2), *key)
+    else:
+        uniform, place = F.rand, F.monotonically_increasing_id()
+    base = df.select(*[clean_value(f) for f in feats], uniform(seed).alias("_u"), uniform(seed + 1).alias("_v"), place.alias("_h"))
     mean = min(1.0, 1.3 * sample / max(base.count(), 1)) * trees
-    offers = F.floor(F.lit(mean)) + (F.rand(seed) < F.lit(mean - math.floor(mean))).cast("long")
-    drawn = base.select("*", offers.alias("_n"), F.floor(F.rand(seed + 1) * trees).alias("_t")).where("_n > 0")
+    offers = F.floor(F.lit(mean)) + (F.col("_u") < F.lit(mean - math.floor(mean))).cast("long")
+    drawn = base.select("*", offers.alias("_n"), F.floor(F.col("_v") * trees).alias("_t")).where("_n > 0")
     drawn = drawn.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
     tree = F.pmod(F.col("_t") + F.col("_k") * F.lit(_coprime(trees)), F.lit(trees)).cast("int")
-    offered = drawn.withColumn("tree", tree).drop("_n", "_t", "_k")
+    offered = drawn.withColumn("tree", tree).drop("_n", "_t", "_k", "_u", "_v")
     limit = math.ceil(math.log2(max(sample, 2)))
 
     def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng(seed * 100_003 + int(key[0]))
-        x = pdf[feats].to_numpy(float)
+        x = pdf.sort_values("_h", kind="stable")[feats].to_numpy(float)
         if len(x) > sample:
             x = x[rng.permutation(len(x))[:sample]]
         f, c, le, r, s = _grow(x, limit, rng)

@@ -54,10 +54,13 @@ def _costs(ledger: DataFrame, account: str, orders: Sequence[float]) -> DataFram
 def running_epsilon(
     ledger: DataFrame, account: str = "account", delta: float = 1e-5, orders: Sequence[float] = tuple(ORDERS)
 ) -> DataFrame:
-    """(account, seq, epsilon) after each operation."""
-    run = ordered_prefix(_costs(ledger, account, orders), [account, "ord"], "seq", ["cost"])
-    eps = to_epsilon(F.col("cum_cost"), F.col("ord"), delta)
-    return run.groupBy(account, "seq").agg(F.min(eps).alias("epsilon"))
+    """(account, seq, epsilon) after each operation; the orders are measures of one running sum, not rows of their own."""
+    cost = {
+        f"c{i}": step_cost(F.lit(float(a)), F.col("sigma"), F.col("sensitivity"), F.col("sampling_rate")) * F.col("n_steps") for i, a in enumerate(orders)
+    }
+    run = ordered_prefix(ledger.select(account, "seq", *[c.alias(n) for n, c in cost.items()]), [account], "seq", list(cost))
+    eps = [to_epsilon(F.col(f"cum_c{i}"), F.lit(float(a)), delta) for i, a in enumerate(orders)]
+    return run.select(account, "seq", (F.least(*eps) if len(eps) > 1 else eps[0]).alias("epsilon"))
 
 
 def spent(

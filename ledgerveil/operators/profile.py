@@ -191,6 +191,8 @@ def detection_report(matches: DataFrame) -> DataFrame:
 
 def _stacked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column_name, value) rows for several columns, without a join."""
+    if not columns:
+        return df.select(F.lit("").alias("column_name"), F.lit("").alias("value")).where(F.lit(False))
     pairs = F.array(
         *[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns]
     )

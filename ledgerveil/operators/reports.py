@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerveil.operators import alerts as al
 from ledgerveil.operators import library as lib
 from ledgerveil.plans.ranking import with_totals
+from ledgerveil.plans.selection import ordered_rank
 
 COLUMNS = ["report_id", "report_type", "generated_for", "ord", "title", "content", "data", "severity"]
 
@@ -33,18 +34,63 @@ def _stack(parts: list[DataFrame]) -> DataFrame:
 
 
 def _counted(df: DataFrame, order: Column, top: int | None) -> DataFrame:
-    """(n, data): how many rows, and their JSON array in falling order, cut to ``top`` rows if the caller asks for it."""
+    """(n, data): how many rows a list has, and the first ``top`` of them in falling order as a JSON array if the caller asks for them.
+
+    The whole list is a table of its own, see ``details``; no list is collected.
+    """
+    n = df.agg(F.count(F.lit(1)).alias("n"))
+    if top is None:
+        return n.withColumn("data", F.to_json(F.struct(F.col("n").alias("rows"))))
     cols = df.columns
-    rows = F.sort_array(F.collect_list(F.struct(order.alias("_o"), *cols)), asc=False)
-    shown = F.transform(rows if top is None else F.slice(rows, 1, top), lambda r: F.struct(*[r[c].alias(c) for c in cols]))
-    return df.agg(F.count(F.lit(1)).alias("n"), F.to_json(shown).alias("data"))
+    first = df.withColumn("_o", order).orderBy(F.desc("_o"), *cols).limit(top)
+    rows = F.sort_array(F.collect_list(F.struct("_o", *cols)), asc=False)
+    return with_totals(n, first.agg(F.to_json(F.transform(rows, lambda r: F.struct(*[r[c].alias(c) for c in cols]))).alias("data")), [])
+
+
+def details(report_id: str, lists: dict[int, tuple[DataFrame, list[Column]]]) -> DataFrame:
+    """(report_id, ord, position, data): every row of a report's lists as JSON, numbered from 1 in its section.
+
+    ``lists``: section number to rows and what they are ordered by. Rows are numbered by ranges, however long a list is.
+    """
+    parts = []
+    for ord_, (df, order) in lists.items():
+        keyed = df.select(F.lit(ord_).alias("ord"), *[o.alias(f"_o{i}") for i, o in enumerate(order)], F.to_json(F.struct(*df.columns)).alias("data"))
+        ranked = ordered_rank(keyed, ["ord"], [*[f"_o{i}" for i in range(len(order))], "data"], "position")
+        parts.append(ranked.select(F.lit(report_id).alias("report_id"), "ord", F.col("position").cast("long").alias("position"), "data"))
+    return _stack(parts)
+
+
+def global_details(ranking: DataFrame, store: DataFrame, alert_rows: DataFrame, risks: DataFrame, as_of: Column) -> DataFrame:
+    """The lists of the global report: attack vectors, emergent threats, active alerts, institutions by risk."""
+    fresh = lib.emergent(store, as_of).select("pattern_id", "name", "severity", "novelty")
+    return details("GLOBAL-all", {
+        3: (ranking, [-F.col("mean_importance")]), 4: (fresh, [-F.col("novelty"), F.col("pattern_id")]),
+        5: (alert_rows.select("alert_id", "alert_type", "severity", "title"), [F.col("alert_id")]), 6: (risks, [-F.col("risk_score")]),
+    })
+
+
+def bank_details(bank_id: object, profiles: DataFrame, store: DataFrame, alert_rows: DataFrame, as_of: Column) -> DataFrame:
+    """The lists of an institution's report: confirmed threats, emerging threats, network alerts; none for an unknown institution."""
+    fresh = lib.emergent(store, as_of).select("name", "description", "severity", "confidence", "first_seen", "novelty")
+    facts = lib.fact_based(store).select("pattern_id", "name", "severity", "confidence")
+    wide = al.relevant_to_banks(alert_rows).select("alert_id", "alert_type", "severity", "title")
+    rows = details(f"BANK-{bank_id}", {2: (facts, [-F.col("confidence"), F.col("pattern_id")]), 3: (fresh, [-F.col("novelty"), F.col("name")]), 4: (wide, [F.col("alert_id")])})
+    known = profiles.where(F.col("bank_id") == F.lit(bank_id)).select(F.lit(f"BANK-{bank_id}").alias("report_id"))
+    return rows.join(F.broadcast(known), "report_id", "left_semi")  # one row
+
+
+def emergent_details(store: DataFrame, alert_rows: DataFrame) -> DataFrame:
+    """The lists of the briefing: zero-day patterns, critical alerts."""
+    zero = store.where(F.col("pattern_type") == "zero_day").select("pattern_id", "name", "severity", "confidence")
+    hot = alert_rows.where(F.col("severity") == "critical").select("alert_id", "alert_type", "title")
+    return details("EMERGENT-all", {1: (zero, [-F.col("confidence"), F.col("pattern_id")]), 2: (hot, [F.col("alert_id")])})
 
 
 def global_report(
     stats: DataFrame, trends: DataFrame, ranking: DataFrame, store: DataFrame, alert_rows: DataFrame, risks: DataFrame, as_of: Column,
     top: int | None = None,
 ) -> DataFrame:
-    """Six sections over all institutions; ``top`` cuts the lists in them."""
+    """Six sections over all institutions; ``top`` puts the first rows of their lists into them."""
     fresh = lib.emergent(store, as_of).select("pattern_id", "name", "severity", "novelty")
     facts = lib.fact_based(store).agg(F.count(F.lit(1)).alias("facts"))
     threat = with_totals(_counted(fresh, F.col("novelty"), top), facts, [])
@@ -85,7 +131,7 @@ def global_report(
 
 
 def bank_report(bank_id: object, profiles: DataFrame, store: DataFrame, alert_rows: DataFrame, as_of: Column, top: int | None = None) -> DataFrame:
-    """Sections for one institution; empty if it is unknown. ``top`` cuts the lists in them."""
+    """Sections for one institution; empty if it is unknown. ``top`` puts the first rows of their lists into them."""
     t = str(bank_id)
     own = profiles.where(F.col("bank_id") == F.lit(bank_id))
     fresh = lib.emergent(store, as_of).select("name", "description", "severity", "confidence", "first_seen", "novelty")
@@ -129,7 +175,7 @@ def bank_report(bank_id: object, profiles: DataFrame, store: DataFrame, alert_ro
 
 
 def emergent_briefing(store: DataFrame, alert_rows: DataFrame, top: int | None = None) -> DataFrame:
-    """Zero-day patterns and critical alerts, sections only when there is something to say. ``top`` cuts the lists."""
+    """Zero-day patterns and critical alerts, sections only when there is something to say. ``top`` puts the first rows of the lists into them."""
     zero = store.where(F.col("pattern_type") == "zero_day").select("pattern_id", "name", "severity", "confidence")
     hot = alert_rows.where(F.col("severity") == "critical").select("alert_id", "alert_type", "title")
     return _stack(

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ledgerveil.functions import binning, hashing, masking, noise, pii
 from ledgerveil.operators.profile import treatment_of
-from ledgerveil.plans.ranking import hash_rank
+from ledgerveil.plans.ranking import exact_quantiles, hash_rank
 from ledgerveil.plans.sizing import join_small
 
 _AGE_WORD = re.compile(r"(^|[^a-z])age($|[^a-z])", re.IGNORECASE)
@@ -58,16 +58,28 @@ def _numeric_only(dt: T.DataType, expr: Column, column: str) -> Column:
     return expr
 
 
+def deciles(df: DataFrame, column: str) -> list[float]:
+    """The nine inner deciles of a column, exact and interpolated; none without values."""
+    cuts = exact_quantiles(df.select(F.col(column).cast("double").alias("v")), [], "v", {f"q{i}": p for i, p in enumerate(_DECILES)}).first()
+    return [v for v in cuts or [] if v is not None]
+
+
+def _takes_deciles(df: DataFrame, column: str, pii_type: str) -> bool:
+    """Whether a generalised column is cut at its own deciles, rather than at fixed bands."""
+    fixed = pii_type in ("age", "income", "zip_code", "date_of_birth", "gps_coordinates") or _AGE_WORD.search(column) or "income" in column.lower()
+    return is_numeric(df.schema[column].dataType) and not fixed
+
+
 def _column_facts(df: DataFrame, plan: Mapping[str, tuple[str, str]]) -> dict[str, object]:
-    """Deciles and ranges the plan needs, from one aggregate (a few numbers per column)."""
+    """Deciles and ranges the plan needs (a few numbers per column)."""
     aggs = []
-    for c, (_, how) in plan.items():
-        if is_numeric(df.schema[c].dataType):
-            if how == "generalize":
-                aggs.append(F.percentile_approx(c, _DECILES, 10_000).alias(f"q_{c}"))
-            if how == "noise":
-                aggs += [F.min(c).cast("double").alias(f"lo_{c}"), F.max(c).cast("double").alias(f"hi_{c}")]
-    return df.agg(*aggs).first().asDict() if aggs else {}
+    facts: dict[str, object] = {}
+    for c, (pii_type, how) in plan.items():
+        if how == "generalize" and _takes_deciles(df, c, pii_type):
+            facts[f"q_{c}"] = deciles(df, c)
+        if how == "noise" and is_numeric(df.schema[c].dataType):
+            aggs += [F.min(c).cast("double").alias(f"lo_{c}"), F.max(c).cast("double").alias(f"hi_{c}")]
+    return facts | (df.agg(*aggs).first().asDict() if aggs else {})
 
 
 def apply_plan(
