@@ -19,7 +19,7 @@ HEADLINE = [
     "fedavg", "multi_krum", "trimmed_mean", "coordinate_median", "bulyan", "ledger_running_epsilon", "clipped_gradient_sum",
     "mining_run", "alert_summary", "bank_profiles", "explain_predictions", "feature_ranks", "nearest_documents",
     "batch_scoring", "isolation_forest", "train_boosted", "stacked_scores", "anomalies_after_ingest", "text_retrieval",
-    "rule_windows_stream", "velocity_stream",
+    "rule_windows_stream", "velocity_stream", "indexed_documents", "train_leafwise", "rule_alerts_stream", "sketched_uniqueness",
 ]
 
 

@@ -96,9 +96,13 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return robust.robust_aggregate(client_vectors(spark, sf), "dp_fedavg", clip=1.0, noise_multiplier=0.1, seed=7)
 
 
-@query("packed_median")
+@query(
+    "packed_median",
+    f"WITH {VECTORS}, m AS (SELECT round, coord, round(median(w), 6) AS v FROM co GROUP BY 1, 2) SELECT round, list(v ORDER BY coord) AS weights FROM m GROUP BY 1",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return robust.pack(robust.coordinate_median(client_vectors(spark, sf)))
+    packed = robust.pack(robust.coordinate_median(client_vectors(spark, sf)))
+    return packed.select("round", F.transform("weights", lambda v: F.round(v, 6) + F.lit(0.0)).alias("weights"))
 
 
 @query("outlier_resistance")
