@@ -112,15 +112,16 @@ def clipped_gradient_sum(
 
 def private_step(
     df: DataFrame, features: Sequence[str], label: str, weights: Sequence[float],
-    clip: float, noise_multiplier: float, learning_rate: float, rng: np.random.Generator,
+    clip: float, noise_multiplier: float, learning_rate: float, rng: np.random.Generator, batch_size: float,
 ) -> list[float]:
-    """One noisy gradient step; only the d summed coordinates reach the driver."""
+    """One noisy gradient step; only the d summed coordinates reach the driver.
+
+    ``batch_size`` is the expected one. How many rows the sample really had is not released: an empty sample takes a step
+    of noise like any other.
+    """
     row = clipped_gradient_sum(df, features, label, weights, clip).first()
-    n = row["n"]
-    if not n:
-        return list(weights)
-    total = np.array([row[f"g{i}"] for i in range(len(features))])
-    noisy = (total + rng.normal(0.0, noise_multiplier * clip, len(features))) / n
+    total = np.array([row[f"g{i}"] or 0.0 for i in range(len(features))])
+    noisy = (total + rng.normal(0.0, noise_multiplier * clip, len(features))) / max(batch_size, 1.0)
     return [float(w) for w in np.asarray(weights) - learning_rate * noisy]
 
 
@@ -136,9 +137,10 @@ def train_private(
     weights = [0.0] * len(features)
     slim = df.select(*features, label).persist()
     try:
+        expected = min(sampling_rate, 1.0) * slim.count()  # the table's size is public, a sample's is not
         for i in range(steps):
             batch = slim if sampling_rate >= 1 else slim.sample(sampling_rate, seed + i)
-            weights = private_step(batch, features, label, weights, clip, noise_multiplier, learning_rate, rng)
+            weights = private_step(batch, features, label, weights, clip, noise_multiplier, learning_rate, rng, expected)
     finally:
         slim.unpersist()
     return weights, {"sigma": noise_multiplier, "sampling_rate": sampling_rate, "n_steps": steps, "sensitivity": 1.0}

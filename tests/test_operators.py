@@ -80,6 +80,15 @@ def test_forest_does_not_follow_partitions(spark):
     assert one == many and len(one) == 5
 
 
+def test_private_step_does_not_tell_the_sample_size(spark):
+    """The same sum over samples of different size gives the same step; an empty sample still takes a noisy one."""
+    step = lambda df: privacy.private_step(df, ["x"], "y", [0.2], 1.0, 0.5, 0.1, np.random.default_rng(3), 10.0)
+    one = spark.createDataFrame([(1.0, 1.0)], "x double, y double")
+    padded = one.unionByName(spark.createDataFrame([(0.0, 1.0)] * 40, "x double, y double"))  # rows of no gradient
+    assert step(one) == pytest.approx(step(padded))
+    assert step(one.limit(0)) != [0.2]
+
+
 def test_strict_words():
     assert profile.name_match("business_unit")[0] == "ssn"
     assert profile.name_match("business_unit", strict_words=True) is None
