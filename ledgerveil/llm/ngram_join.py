@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerveil.llm.components import components
-from ledgerveil.llm.text import bit_set, map_arrow, parted, spaced_words, with_bit, written
+from ledgerveil.llm.text import bit_set, map_arrow, numbered, parted, spaced_words, with_bit, written
 from ledgerveil.session import materialize
 
 SHINGLE = 5
@@ -279,7 +279,10 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
 
 def first_of_group(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that are the smallest key of their component."""
+    names = docs.columns
+    docs, of = numbered(docs)
+    key, text = of[key], of[text]
     lost = join(docs, key=key, text=text).where(F.col("component_id") < F.col(key)).select(key).distinct()
     lost = materialize(lost, "join-lost")
     some, others = parted(docs, F.xxhash64(key), lost.select(F.xxhash64(key).alias("h")), "h")
-    return some.join(lost.hint("merge"), key, "left_anti").select(*docs.columns).unionAll(others.select(*docs.columns))
+    return some.join(lost.hint("merge"), key, "left_anti").select(*docs.columns).unionAll(others.select(*docs.columns)).toDF(*names)

@@ -25,6 +25,12 @@ def bucket_of(key: str, divisor: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(divisor)).cast("int"), F.lit(0))
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns in0, in1, ... in their order, and which is which: no column of the input clashes with those an operator adds."""
+    names = {c: f"in{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """Have the session hand rows to Python in Arrow batches of ``PART_ROWS``: whole texts are long, and two tasks share a worker's memory."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", PART_ROWS)

@@ -97,7 +97,7 @@ def test_lines(docs, texts):
     few = {i: t for i, t in texts.items() if t is None or len(t) < 100_000}
     part = docs.where(F.col("doc_id").isin(list(few)))
     got = fuzzy_lines.dedup(part)
-    assert got.columns == [*docs.columns, "n_removed"]
+    assert got.columns == [*(c for c in docs.columns if c != "n_removed"), "n_removed"]
     gone = brute_lines(few)
     rows = got.select("doc_id", "text", "n_removed").collect()
     assert len(rows) == part.count()
@@ -121,3 +121,14 @@ def test_components_of_chains_stars_and_loops(spark):
     got = {x.node: x.root for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert len({got[i] for i in ids[:151]}) == 1 and len({got[i] for i in ids[200:300]}) == 1
     assert got[ids[0]] != got[ids[200]] and ids[310] not in got
+
+
+def test_columns_of_any_name_come_through(spark, docs, empty):
+    from tests.llm.conftest import CLASHING
+
+    for df in (docs, empty):
+        lines, kept = fuzzy_lines.dedup(df), ngram_join.first_of_group(df)
+        assert sorted(lines.columns) == sorted(df.columns) and kept.columns == df.columns
+        for out, own in ((lines, [c for c in CLASHING if c != "n_removed"]), (kept, CLASHING)):
+            assert all([r[c] for c in own] == [f"own {c}" for c in own] for r in out.select(*own).collect())
+        assert lines.count() == df.count() and lines.schema["n_removed"].dataType.simpleString() == "bigint"
