@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerveil.llm import fuzzy_lines, ngram_join, pfair, toxicity, wumanber
-from ledgerveil.llm.text import bucket_of
+from ledgerveil.llm.text import bucket_of, numbered
 from ledgerveil.session import durable_dir
 from ledgerveil.sources.tables import table
 
@@ -24,8 +24,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated and near-repeated lines; a document left with blank lines only goes."""
-    out = fuzzy_lines.dedup(docs, removed="_removed")
-    emptied = (F.col("_removed") > 0) & ~F.col("text").rlike(r"\S")
+    count = next(f"removed{i}" for i in range(len(docs.columns) + 1) if f"removed{i}" not in docs.columns)
+    out = fuzzy_lines.dedup(docs, removed=count)
+    emptied = (F.col(count) > 0) & ~F.col("text").rlike(r"\S")
     return out.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -40,11 +41,17 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the order of the mix, with mix_slot and mix_position; targets follow the square root of source sizes."""
-    place = pfair.mix(docs, pfair.tempered(docs)).select("doc_id", F.col("slot").alias("mix_slot"), F.col("position").alias("mix_position"))
-    place = place.groupBy("doc_id").agg(F.min("mix_slot").alias("mix_slot"), F.min("mix_position").alias("mix_position"))
-    on = docs["doc_id"].eqNullSafe(place["doc_id"])
-    return docs.join(place, on, "left").select(docs["*"], "mix_slot", "mix_position").orderBy("mix_position")
+    """Documents in the order of the mix, with mix_slot and mix_position; targets follow the square root of source sizes.
+
+    Input columns of these two names give way to the new ones; null and repeated ids have a place like any other.
+    """
+    names = docs.columns
+    docs, of = numbered(docs)
+    as_source = docs.select(F.col(of["doc_id"]).alias("doc_id"), F.col(of["source"]).alias("source"))
+    place = pfair.mix(as_source, pfair.tempered(as_source)).groupBy("doc_id").agg(F.min("slot").alias("slot"), F.min("position").alias("position"))
+    out = docs.join(place, docs[of["doc_id"]].eqNullSafe(place["doc_id"]), "left").orderBy("position")
+    added = {"mix_slot": "slot", "mix_position": "position"}
+    return out.select(*[F.col(of[c]).alias(c) for c in names if c not in added], *[F.col(p).alias(c) for c, p in added.items()])
 
 
 STAGES = [
