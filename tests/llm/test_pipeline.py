@@ -53,3 +53,13 @@ def grams(text, sizes=None):
     w = wumanber.words(text)
     for n in sizes or ({min(10, len(w))} if w else ()):
         yield from (tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+
+
+def test_mixing_with_columns_of_any_name(spark, docs, empty):
+    """Rows stay whole whatever the columns are called; null ids are placed, an empty table gives no rows."""
+    own = [c for c in docs.columns if c != "mix_slot"]
+    for df in (docs, empty):
+        out = corpus_pipeline.mix(spark, df.select(*df.columns), "")
+        assert out.columns == [*own, "mix_slot", "mix_position"]
+        assert sorted(map(str, out.select(*own).collect())) == sorted(map(str, df.select(*own).collect()))
+        assert out.where("mix_slot IS NULL").count() == 0
