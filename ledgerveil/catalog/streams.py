@@ -18,7 +18,8 @@ from ledgerveil.streaming import jobs, monitoring, rules, state
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return jobs.read_parquet_stream(spark, sf, table(spark, sf, name).schema, f"{name}.parquet")
+    """A table's files as a stream. The pattern stands for the table itself, be it one file or a folder of files."""
+    return jobs.read_parquet_stream(spark, f"{sf}/{name}.parque[t]", table(spark, sf, name).schema)
 
 
 _WINDOWS = """wn AS (SELECT make_timestamp(({step} * (epoch_us(ts) // {step}) - {step} * unnest(range(0, {k})))::BIGINT) AS window_start, {actor} AS actor FROM events {where}),
