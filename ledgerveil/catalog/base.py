@@ -47,6 +47,11 @@ def rounded(df: DataFrame, digits: int = 6, only: list[str] | None = None) -> Da
     return df.select(*cols)
 
 
+def round_signed(v: Column, digits: int = 6) -> Column:
+    """Rounded like SQL twins do it: a negative value that rounds to zero stays -0.0, which counts inside arrays."""
+    return F.when(v < 0, -F.round(-v, digits)).otherwise(F.round(v, digits))
+
+
 # --- transactions of institutions over rounds -------------------------------------------------
 # institution = customer nation, round = month of the order, fraud = returned line
 

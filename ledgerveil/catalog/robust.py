@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerveil.catalog.base import VECTORS, metrics, query, rounded, KN, client_vectors
+from ledgerveil.catalog.base import VECTORS, metrics, query, round_signed, rounded, KN, client_vectors
 from ledgerveil.functions import vectors
 from ledgerveil.operators import robust
 
@@ -102,7 +102,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     packed = robust.pack(robust.coordinate_median(client_vectors(spark, sf)))
-    return packed.select("round", F.transform("weights", lambda v: F.round(v, 6) + F.lit(0.0)).alias("weights"))
+    return packed.select("round", F.transform("weights", lambda v: round_signed(v)).alias("weights"))
 
 
 @query("outlier_resistance")

@@ -2,6 +2,7 @@
 
 import shutil
 
+import duckdb
 import pytest
 
 from ledgerveil.catalog import ORACLES, QUERIES
@@ -24,3 +25,14 @@ def test_stream_of_a_table(spark, sf, tmp_path, name, table, as_folder):
         got = QUERIES[name](spark, str(tmp_path))
     want = duck(sf).execute(ORACLES[name]).fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want) and want
+
+
+def test_packed_medians_keep_the_sign_of_zero(spark, tmp_path):
+    """A median just below zero rounds to -0.0 in SQL; inside an array that is another value than 0.0."""
+    rows = [(i, [-3e-7, 3e-7, 0.5, -0.25], 0) for i in range(3)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    (got,) = QUERIES["packed_median"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    ((_, want),) = con.execute(ORACLES["packed_median"]).fetchall()
+    assert list(map(repr, got["weights"])) == list(map(repr, want)) == ["-0.0", "0.0", "0.5", "-0.25"]
