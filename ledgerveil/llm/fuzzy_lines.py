@@ -1,8 +1,8 @@
 """Near-duplicate lines across documents, with SQL functions only.
 
-Distinct lines get a MinHash signature over character shingles. Lines that agree in a band are compared to two
-pivots of their bucket by exact Jaccard similarity. Verified links go through a distributed union-find, and one line
-per component stays: the first by (document, line number).
+Distinct lines get a MinHash signature over character shingles. Lines that agree in a band are compared by exact
+Jaccard similarity, first to two pivots of their bucket, then to each other where that can still join components.
+Verified links go through a distributed union-find, and one line per component stays: the first by (document, line number).
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from ledgerveil.llm.text import bit_set, numbered, parted, with_bit, written
 SHINGLE = 8
 PERCENT = 75
 BANDS, ROWS = 5, 3
+#: Lines of a bucket that meet in one task.
+BLOCK = 512
 
 
 def normal(line: Column) -> Column:
@@ -61,27 +63,74 @@ def bands(lines: DataFrame) -> DataFrame:
     return signed.select("h", F.array(*keys).alias("keys"))
 
 
+def _overlaps(pairs: DataFrame, lines: DataFrame, purpose: str) -> DataFrame:
+    """(a, b, i, s): how many shingles two lines share, and the sum of their set sizes."""
+    bits = bit_set(pairs.select(F.col("a").alias("h")).unionAll(pairs.select("b")), "h")
+    lines = written(with_bit(lines, "h", bits).where("_in").select("h", "line"), f"{purpose}-few")
+    left = pairs.join(lines, pairs["a"] == lines["h"]).select("a", "b", F.col("line").alias("x"))
+    both = left.join(lines, left["b"] == lines["h"]).select("a", "b", "x", F.col("line").alias("y"))
+    # nested lambdas, so that each set and the intersection are made once a pair and not once a mention
+    sets = F.array(F.struct(shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y")))
+    sized = F.transform(sets, lambda t: F.struct(F.size(F.array_intersect(t["x"], t["y"])).alias("i"), (F.size(t["x"]) + F.size(t["y"])).alias("s")))
+    return written(both.select("a", "b", F.explode(sized).alias("t")).select("a", "b", "t.i", "t.s"), purpose)
+
+
+def _linked(met: DataFrame) -> DataFrame:
+    return met.where(100 * F.col("i") >= PERCENT * (F.col("s") - F.col("i"))).select("a", "b")
+
+
+def _others(keyed: DataFrame, wide: DataFrame, met: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket's lines other than its pivots that may still be links of different components.
+
+    The Jaccard distance obeys the triangle inequality: lines whose distances to a pivot differ by more than a link's
+    distance are no link. Buckets are cut into blocks, and each two blocks meet in a task of their own.
+    """
+    apart = met.select("a", "b", (1 - F.col("i") / (F.col("s") - F.col("i"))).alias("d"))
+    apart = apart.unionAll(apart.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    rest = keyed.join(wide, "key").where("o <> p AND o <> q")
+    mask = F.col("mask")
+    rest = rest.select("key", "n", *[F.col(c).bitwiseXOR(mask).alias(c) for c in ("o", "p", "q")])
+    for c in ("p", "q"):
+        to = apart.select(F.col("a").alias("o"), F.col("b").alias(c), F.col("d").alias(f"d{c}"))
+        rest = rest.join(to, ["o", c])
+    rest = rest.join(roots.withColumnRenamed("node", "o"), "o", "left").select("key", "n", "o", "dp", "dq", F.coalesce("root", "o").alias("root"))
+    # a bucket of one component has no more to say
+    mixed = rest.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    rest = rest.join(mixed, "key", "left_semi").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rest = rest.withColumn("at", F.pmod(F.xxhash64("o"), F.col("nb")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda k: F.struct(F.least("at", k).alias("i"), F.greatest("at", k).alias("j")))
+    placed = rest.select("key", "o", "dp", "dq", "root", "at", F.explode(cells).alias("c")).select("key", "c.i", "c.j", "o", "dp", "dq", "root", "at")
+    x, y = placed.where("at = i").alias("x"), placed.where("at = j").alias("y")
+    near = 1 - PERCENT / 100 + 1e-9
+    on = " AND ".join(f"x.{c} = y.{c}" for c in ("key", "i", "j")) + f" AND x.root <> y.root AND (x.i <> x.j OR x.o < y.o) AND abs(x.dp - y.dp) <= {near} AND abs(x.dq - y.dq) <= {near}"
+    return x.join(y, F.expr(on)).select(F.least("x.o", "y.o").alias("a"), F.greatest("x.o", "y.o").alias("b")).distinct()
+
+
 def similar(lines: DataFrame, banded: DataFrame) -> DataFrame:
-    """Verified links (a, b) between distinct lines (h, line).
+    """(node, root): components of the verified links between distinct lines (h, line) that agree in a band.
 
-    A bucket is a star around its first and last line in an order of the band's own, so a bucket of n lines makes
-    2 n comparisons, and a line meets other pivots in other bands.
+    First a bucket is a star around its first and last line in an order of the band's own: 2 n comparisons for n lines,
+    and other pivots in other bands. Buckets of up to three lines are done then. In the others every two lines that are
+    in different components by then, and that their distances to the pivots allow to be a link, are compared too: no
+    candidate is left out, whatever a bucket's size.
     """
     keyed = banded.select("h", F.posexplode("keys").alias("band", "key"))
     mask = F.element_at(F.array(*[F.lit(_mask(100 + b)) for b in range(BANDS)]), F.col("band") + 1)
     keyed = keyed.select("key", F.col("h").bitwiseXOR(mask).alias("o"), mask.alias("mask"))
-    ends = keyed.groupBy("key").agg(F.min("o").alias("p"), F.max("o").alias("q")).where("p <> q")
-    met = keyed.join(ends, "key").select(F.col("o").bitwiseXOR(F.col("mask")).alias("a"), F.explode(F.array("p", "q")).alias("b"), "mask")
+    ends = keyed.groupBy("key").agg(F.min("o").alias("p"), F.max("o").alias("q"), F.count(F.lit(1)).alias("n")).where("p <> q")
+    met = keyed.join(ends.drop("n"), "key").select(F.col("o").bitwiseXOR(F.col("mask")).alias("a"), F.explode(F.array("p", "q")).alias("b"), "mask")
     pairs = met.select("a", F.col("b").bitwiseXOR(F.col("mask")).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = written(pairs, "line-pairs")
-    bits = bit_set(pairs.select(F.col("a").alias("h")).unionAll(pairs.select("b")), "h")
-    lines = written(with_bit(lines, "h", bits).where("_in").select("h", "line"), "line-few")
-    left = pairs.join(lines, pairs["a"] == lines["h"]).select("a", "b", F.col("line").alias("x"))
-    both = left.join(lines, left["b"] == lines["h"]).select("a", "b", "x", F.col("line").alias("y"))
-    # nested lambdas, so that each set and the intersection are made once a pair and not once a mention
-    sets = F.array(F.struct(shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y")))
-    sized = F.transform(sets, lambda t: F.struct(F.size(F.array_intersect(t["x"], t["y"])).alias("i"), (F.size(t["x"]) + F.size(t["y"])).alias("s")))
-    return both.where(F.exists(sized, lambda t: 100 * t["i"] >= PERCENT * (t["s"] - t["i"]))).select("a", "b")
+    met = _overlaps(written(pairs, "line-pairs"), lines, "line-stars")
+    roots = components(_linked(met), "line-links")
+    others = written(_others(keyed, ends.where("n > 3"), met, roots), "line-others")
+    if others.isEmpty():
+        return roots
+    more = _linked(_overlaps(others, lines, "line-rest"))
+    name = roots.select("node", "root")
+    for c in ("a", "b"):
+        more = more.join(name.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+    joined = components(more, "line-joined").select(F.col("node").alias("old"), F.col("root").alias("new"))
+    return roots.join(joined, roots["root"] == joined["old"], "full").select(F.coalesce("node", "old").alias("node"), F.coalesce("new", "root").alias("root"))
 
 
 def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -98,8 +147,7 @@ def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
             break
     once = tagged.groupBy("h").agg(F.first("line").alias("line"))  # both sides of the join read one shuffle of it
     found = written(once.join(bands(once), "h", "left"), "lines")
-    links = similar(found.select("h", "line"), found.where("keys IS NOT NULL").select("h", "keys"))
-    roots = components(links, "line-links")
+    roots = similar(found.select("h", "line"), found.where("keys IS NOT NULL").select("h", "keys"))
     seen = seen.select("id", "rid", "at", "h").join(roots.withColumnRenamed("node", "h"), "h", "left")
     seen = seen.select("id", "rid", "at", F.coalesce("root", "h").alias("c"))
     first = seen.groupBy("c").agg(F.min(F.struct("id", "rid", "at")).alias("first"), F.max(F.struct("id", "rid", "at")).alias("last")).where("first <> last")
