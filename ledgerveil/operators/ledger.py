@@ -10,12 +10,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerveil.functions.noise import gaussian_sigma
 from ledgerveil.operators import privacy
-from ledgerveil.plans.ranking import ordered_prefix
+from ledgerveil.session import materialize
 
 # --- fixed values: orders tracked ----------------------------------------------------
 ORDERS = [
@@ -54,10 +54,28 @@ def _costs(ledger: DataFrame, account: str, orders: Sequence[float]) -> DataFram
 def running_epsilon(
     ledger: DataFrame, account: str = "account", delta: float = 1e-5, orders: Sequence[float] = tuple(ORDERS)
 ) -> DataFrame:
-    """(account, seq, epsilon) after each operation."""
-    run = ordered_prefix(_costs(ledger, account, orders), [account, "ord"], "seq", ["cost"])
-    eps = to_epsilon(F.col("cum_cost"), F.col("ord"), delta)
-    return run.groupBy(account, "seq").agg(F.min(eps).alias("epsilon"))
+    """(account, seq, epsilon) after each operation.
+
+    Operations are dealt out by ranges of (account, seq) and only they are shuffled; the costs of all orders are worked
+    out behind the last shuffle. An account that a range's end cuts, at most one a partition, takes its earlier sums along.
+    """
+    rows = ledger.select(account, "seq", "sigma", "sensitivity", "sampling_rate", "n_steps")
+    placed = materialize(rows.repartitionByRange(account, "seq").withColumn("_b", F.spark_partition_id()), "prefix")
+    costs = [(step_cost(F.lit(float(a)), F.col("sigma"), F.col("sensitivity"), F.col("sampling_rate")) * F.col("n_steps")).alias(f"_c{i}") for i, a in enumerate(orders)]
+    names = [f"_c{i}" for i in range(len(orders))]
+
+    cut = placed.groupBy(account).agg(F.min("_b").alias("_x"), F.max("_b").alias("_y")).where("_x <> _y").select(F.col(account).alias("_account"))
+    cut = placed.join(F.broadcast(cut), F.col(account).eqNullSafe(F.col("_account")), "left_semi")
+    sums = cut.select(account, "_b", *costs).groupBy(account, "_b").agg(*[F.sum(c).alias(c) for c in names])
+    before = Window.partitionBy(account).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = sums.select(F.col(account).alias("_account"), F.col("_b").alias("_at"), *[F.sum(c).over(before).alias(f"_o{c}") for c in names])
+
+    dealt = placed.repartition(account, "_b").sortWithinPartitions(account, "_b", "seq")
+    inner = Window.partitionBy(account, "_b").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    run = dealt.select(account, "_b", "seq", *costs).select(account, "_b", "seq", *[F.sum(c).over(inner).alias(c) for c in names])
+    run = run.join(F.broadcast(earlier), F.col(account).eqNullSafe(F.col("_account")) & (F.col("_b") == F.col("_at")), "left")
+    eps = [to_epsilon(F.col(c) + F.coalesce(F.col(f"_o{c}"), F.lit(0.0)), F.lit(float(a)), delta) for c, a in zip(names, orders, strict=True)]
+    return run.select(account, "seq", (F.least(*eps) if len(eps) > 1 else eps[0]).alias("epsilon"))
 
 
 def spent(
