@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerveil.plans.ranking import exact_quantiles, hash_rank, seeded_order, with_totals
-from ledgerveil.plans.sizing import bounded_rows
+from ledgerveil.plans.sizing import BROADCAST_ROWS, bounded_rows
+from ledgerveil.session import materialize
 
 
 def _check(train: float, val: float, test: float) -> None:
@@ -160,5 +161,10 @@ def imbalance_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def weight_column(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """Attach the balanced weight of each row's label."""
-    return with_totals(df, class_weights(df, label).select(label, F.col("weight").alias(name)), [label])
+    """Attach the balanced weight of each row's label.
+
+    A label may hold most rows, so its weight is sent to them; a shuffle by label would put them into one task.
+    """
+    weights = materialize(class_weights(df, label).select(label, F.col("weight").alias(name)), "class-weights")
+    few = weights.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return with_totals(df, F.broadcast(weights) if few else weights, [label])

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
 SPREAD_BYTES = 4 << 30
+#: Estimated bytes a partition of a redistributed input holds at most.
+PART_BYTES = 64 << 20
 
 
 class SizeExceeded(ValueError):
@@ -39,4 +41,5 @@ def spread(df: DataFrame, limit: int = SPREAD_BYTES) -> DataFrame:
     if df.isStreaming:
         return df
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= limit else df
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+    return df.repartition(parts) if size <= limit else df
