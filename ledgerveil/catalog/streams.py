@@ -75,12 +75,23 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.unusual_hours(table(spark, sf, "events"), "ts", F.col("event_type") == "signup").select("event_id", "user_id")
 
 
-def _in_turn(df: DataFrame, parts: list[Column], purpose: str) -> str:
-    """A folder with a file for each condition, written one after the other: a stream reads them in this order."""
+#: Rows a file of a stream's input holds, about.
+FILE_ROWS = 500_000
+
+
+def _in_turn(df: DataFrame, parts: list[Column], purpose: str) -> tuple[str, int]:
+    """(a folder with the rows of each condition, written one after the other, how many files each was written as).
+
+    A stream that takes so many files a trigger reads the parts in this order; the more rows, the more files. ``df`` is
+    worked out once.
+    """
     folder = durable_dir(df.sparkSession, purpose)
+    rows = materialize(df, f"{purpose}-rows")
+    n = max(1, rows.count() // FILE_ROWS // len(parts))
     for part in parts:
-        df.where(part).coalesce(1).write.mode("append").parquet(folder)
-    return folder
+        some = rows.where(part)
+        (some.repartition(n) if n > 1 else some.coalesce(1)).write.mode("append").parquet(folder)
+    return folder, n
 
 
 def _dealt(key: Column, n: int) -> list[Column]:
@@ -91,9 +102,9 @@ def _dealt(key: Column, n: int) -> list[Column]:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """Files arrive one a trigger, each with rows of every institution; totals are kept as state."""
     rows = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("bank_id"), F.lit(1).alias("n_rows"), (F.col("l_returnflag") == "R").cast("int").alias("n_fraud"))
-    src = _in_turn(rows, _dealt(F.col("l_orderkey"), 3), "uploads-in")
+    src, n = _in_turn(rows, _dealt(F.col("l_orderkey"), 3), "uploads-in")
     sums = ["n_rows", "n_fraud"]
-    totals = state.running_totals(jobs.read_parquet_stream(spark, src, rows.schema, files_per_trigger=1), "bank_id", sums)
+    totals = state.running_totals(jobs.read_parquet_stream(spark, src, rows.schema, files_per_trigger=n), "bank_id", sums)
     out, cp = durable_dir(spark, "uploads"), durable_dir(spark, "uploads-checkpoint")
     jobs.each_batch(totals, jobs.batch_writer(lambda b: b, out), cp, "update").awaitTermination()
     latest = state.latest_totals(spark.read.parquet(out), "bank_id", sums)
@@ -104,12 +115,12 @@ def _monitored(spark: SparkSession, sf: str) -> tuple[DataFrame, monitoring.Batc
     """(batch scores, streamed rows, streamed rounds): a saved model, two files a trigger, and a batch that is replayed."""
     matrix, model, features = saved_model(spark, sf)
     rows = matrix.withColumns({"bank": F.pmod(F.col("event_id"), F.lit(20)), "round": F.lit(1) + F.pmod(F.col("event_id"), F.lit(7))})
-    src = _in_turn(rows, _dealt(F.col("event_id"), 6), "monitor-in")
+    src, n = _in_turn(rows, _dealt(F.col("event_id"), 6), "monitor-in")
     root, cp = durable_dir(spark, "monitor"), durable_dir(spark, "monitor-checkpoint")
     work, scored, rounds = monitoring.monitor(spark, root, model, features, "event_id", "bank", "round")
     work = monitoring.interrupted(work, 1)
     for _ in range(2):  # the first run ends in the interruption, the second replays its batch and goes on
-        run = jobs.each_batch(jobs.read_parquet_stream(spark, src, rows.schema, files_per_trigger=2), work, cp)
+        run = jobs.each_batch(jobs.read_parquet_stream(spark, src, rows.schema, files_per_trigger=2 * n), work, cp)
         try:
             run.awaitTermination()
         except StreamingQueryException:
@@ -182,10 +193,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     expected = parts.groupBy("round").agg(F.count(F.lit(1)).alias("n_expected"))
     month = F.make_timestamp(F.expr("(round - 1) div 12"), F.pmod(F.col("round") - 1, F.lit(12)) + 1, F.lit(1), F.lit(0), F.lit(0), F.lit(0))
     reports = materialize(parts.join(expected, "round").withColumn("event_time", month), "reports")
-    src = _in_turn(reports, _dealt(F.concat_ws("/", "bank_id", "part", "round"), 3), "spikes-in")
+    src, n = _in_turn(reports, _dealt(F.concat_ws("/", "bank_id", "part", "round"), 3), "spikes-in")
     out, cp = durable_dir(spark, "spikes"), durable_dir(spark, "spikes-checkpoint")
     # reports of all years are mixed in the files, so that none is late
-    whole = state.whole_rounds(jobs.read_parquet_stream(spark, src, reports.schema, files_per_trigger=1), delay="3650 days")
+    whole = state.whole_rounds(jobs.read_parquet_stream(spark, src, reports.schema, files_per_trigger=n), delay="3650 days")
     jobs.each_batch(whole, jobs.batch_writer(alerts.fraud_rate_spikes, out), cp).awaitTermination()
     return rounded(spark.read.parquet(out).select("round", "alert_id", "severity", "confidence"))
 
@@ -224,8 +235,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     """The same rules on a stream of three files, one a trigger; a window is written once the watermark has passed it."""
     events = _fast_events(spark, sf)
     day = F.dayofmonth(F.col("ts").cast("timestamp"))
-    src = _in_turn(events, [day <= 10, (day > 10) & (day <= 20), day > 20], "rules-in")
-    found = rules.rule_alerts(jobs.read_parquet_stream(spark, src, events.schema, files_per_trigger=1), rules.rule_table(spark), "t", "actor", "event", "weight", "10 minutes")
+    src, n = _in_turn(events, [day <= 10, (day > 10) & (day <= 20), day > 20], "rules-in")
+    found = rules.rule_alerts(jobs.read_parquet_stream(spark, src, events.schema, files_per_trigger=n), rules.rule_table(spark), "t", "actor", "event", "weight", "10 minutes")
     out, cp = durable_dir(spark, "rules"), durable_dir(spark, "rules-checkpoint")
     jobs.to_parquet(found, out, cp).awaitTermination()
     return _alert_rows(spark.read.schema(found.schema).parquet(out))
@@ -250,8 +261,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     }
     streams = {}
     for name, df in sources.items():
-        src = _in_turn(df, [F.lit(True), F.lit(True)], f"compliance-{name}")  # the second file replays the first
-        streams[name] = jobs.read_parquet_stream(spark, src, df.schema, files_per_trigger=1)
+        src, n = _in_turn(df, [F.lit(True), F.lit(True)], f"compliance-{name}")  # the second file replays the first
+        streams[name] = jobs.read_parquet_stream(spark, src, df.schema, files_per_trigger=n)
     found = rules.once(jobs.compliance_alerts(**streams, as_of=as_of).withColumn("event_time", as_of))
     out, cp = durable_dir(spark, "compliance"), durable_dir(spark, "compliance-checkpoint")
     jobs.to_parquet(found, out, cp).awaitTermination()

@@ -40,21 +40,11 @@ def partial_sums(df: DataFrame, keys: Sequence[str], sums: Sequence[str], latest
 def running_totals(df: DataFrame, key: str, sums: Sequence[str]) -> DataFrame:
     """(key, sums..., version): a key's totals over the whole stream so far, each time they change.
 
-    The greatest version of a key is its present total; ``latest_totals`` reads it from a sink.
+    The greatest version of a key (how many rows it has had) is its present total; ``latest_totals`` reads it from a sink.
+    Rows are summed within a partition before the shuffle.
     """
-    kind = df.schema[key].dataType.simpleString()
-    totals = ", ".join(f"{s} long" for s in sums) + ", version long"
-
-    def add(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = list(state.get) if state.exists else [0] * (len(sums) + 1)
-        for pdf in batches:
-            for i, s in enumerate(sums):
-                now[i] += int(pdf[s].sum())
-        now[-1] += 1
-        state.update(tuple(now))
-        yield pd.DataFrame([(*name, *now)], columns=[key, *sums, "version"])
-
-    return partial_sums(df, [key], sums).groupBy(key).applyInPandasWithState(add, f"{key} {kind}, {totals}", totals, "update", GroupStateTimeout.NoTimeout)
+    totals = [F.coalesce(F.sum(F.col(s).cast("long")), F.lit(0).cast("long")).alias(s) for s in sums]
+    return df.groupBy(key).agg(*totals, F.count(F.lit(1)).alias("version"))
 
 
 def latest_totals(written: DataFrame, key: str, sums: Sequence[str]) -> DataFrame:
