@@ -82,12 +82,13 @@ FILE_ROWS = 500_000
 def _in_turn(df: DataFrame, parts: list[Column], purpose: str) -> tuple[str, int]:
     """(a folder with the rows of each condition, written one after the other, how many files each was written as).
 
-    A stream that takes so many files a trigger reads the parts in this order; the more rows, the more files. ``df`` is
-    worked out once.
+    A stream that takes so many files a trigger reads the parts in this order; the more rows, the more files. All parts
+    have equally many, none empty, so that no trigger mixes two of them. ``df`` is worked out once.
     """
     folder = durable_dir(df.sparkSession, purpose)
     rows = materialize(df, f"{purpose}-rows")
-    n = max(1, rows.count() // FILE_ROWS // len(parts))
+    sizes = rows.agg(*[F.count_if(part) for part in parts]).first()
+    n = max(1, min(sum(sizes) // FILE_ROWS // len(parts), min(sizes) // 64))
     for part in parts:
         some = rows.where(part)
         (some.repartition(n) if n > 1 else some.coalesce(1)).write.mode("append").parquet(folder)

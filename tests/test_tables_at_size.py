@@ -74,6 +74,8 @@ def test_streams_are_fed_by_several_files(spark, sf, tmp_path, monkeypatch):
     folder, n = streams._in_turn(spark.range(6000), [F.col("id") < 3000, F.col("id") >= 3000], "in")
     assert n == 10 and len(spark.read.parquet(folder).inputFiles()) == 2 * n
     assert spark.read.parquet(folder).count() == 6000
+    folder, n = streams._in_turn(spark.range(6000), [F.col("id") < 100, F.col("id") >= 100], "in")
+    assert n == 1 and len(spark.read.parquet(folder).inputFiles()) == 2
     for name in ("upload_stream", "compliance_alerts_stream"):
         ok, note = compare(spark, duck(sf), name, sf)
         assert ok, note
