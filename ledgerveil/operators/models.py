@@ -65,7 +65,7 @@ def logistic(features: Sequence[str], weight: str | None = "weight", reg: float
 def train(df: DataFrame, estimator: Estimator | Callable[[], Estimator], label: str = "label") -> PipelineModel:
     """Fit an estimator (or one from a factory) on rows weighted by class balance."""
     est = estimator() if callable(estimator) and not isinstance(estimator, Estimator) else estimator
-    weighted = weight_column(spread(df), label).persist()
+    weighted = spread(weight_column(df, label)).persist()  # labels are counted before rows are dealt out anew
     try:
         return est.fit(weighted)
     finally:
