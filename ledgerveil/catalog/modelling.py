@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerveil.catalog.base import SCORED, query, rounded, scored
 from ledgerveil.operators import ensemble, evaluate, forest, leafwise, models, split
 from ledgerveil.plans.ranking import with_totals
-from ledgerveil.session import durable_dir
+from ledgerveil.session import durable_dir, materialize
 from ledgerveil.sources.tables import table
 
 _FEATURES = ["value", "hour", "kind", "k"]
@@ -29,7 +29,8 @@ def _matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _split(spark: SparkSession, sf: str) -> DataFrame:
-    return split.stratified_split(_matrix(spark, sf), "is_fraud", ["event_id"])
+    """The matrix with its split, written once: ranks, fits and metrics read it many times."""
+    return materialize(split.stratified_split(_matrix(spark, sf), "is_fraud", ["event_id"]), "split")
 
 
 def saved_model(spark: SparkSession, sf: str) -> tuple[DataFrame, PipelineModel, list[str]]:
@@ -57,7 +58,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     weighted = split.weight_column(ready.where("split <> 'test'"), "label")
     m = leafwise.fit(weighted, _FEATURES, validation="is_val", settings=leafwise.Settings(trees=8, leaves=8, rate=0.4))
     test = leafwise.LeafwiseModel(document=m.document()).transform(ready.where("split = 'test'"))
-    return evaluate.model_metrics(test.select(F.lit("leafwise").alias("model"), (F.col("label") == 1).alias("y"), "score"), "model", "y", "score")
+    told = materialize(test.select(F.lit("leafwise").alias("model"), (F.col("label") == 1).alias("y"), "score"), "scored")
+    return evaluate.model_metrics(told, "model", "y", "score")
 
 
 def _ensemble(spark: SparkSession, sf: str) -> tuple[DataFrame, PipelineModel, PipelineModel, list[str]]:
@@ -75,7 +77,7 @@ def _ensemble(spark: SparkSession, sf: str) -> tuple[DataFrame, PipelineModel, P
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """Held-out metrics of each base and of the ensemble fitted on out-of-fold scores."""
     ready, _, loaded, names = _ensemble(spark, sf)
-    test = loaded.transform(ready.where("split = 'test'")).select((F.col("label") == 1).alias("y"), *names)
+    test = materialize(loaded.transform(ready.where("split = 'test'")).select((F.col("label") == 1).alias("y"), *names), "scored")
     return evaluate.model_metrics(test.unpivot(["y"], names, "model", "score"), "model", "y", "score")
 
 

@@ -4,7 +4,8 @@ Features are cut into quantile bins of a bounded sample. A tree grows from the l
 is one row of sums for each (leaf, feature, bin), made by one aggregate over all rows, so that the driver only sees leaves
 x features x bins sums. Gradients and hessians are summed as whole numbers (FRACTION of one), which makes sums, gains and
 splits independent of the order of rows. An aggregate covers the children of all leaves that may be split next, the
-smaller child of each; the larger one is the difference to its parent.
+smaller child of each; the larger one is the difference to its parent. Rows with equal bins, label and weight have equal
+gradients for ever, so they are folded into one cell with their number before the first tree: every later pass reads cells.
 """
 
 from __future__ import annotations
@@ -31,8 +32,6 @@ from ledgerveil.session import materialize
 SAMPLE = 100_000
 #: Gradients are summed in these parts of one.
 FRACTION = 1 << 20
-#: Trees whose leaves are worked out again before the rows' margins are written.
-TREES_A_WRITE = 8
 
 
 @dataclass
@@ -91,11 +90,17 @@ class Booster:
 
 def quantile_cuts(df: DataFrame, features: Sequence[str], bins: int, sample: int = SAMPLE) -> list[list[float]]:
     """Distinct cut points of each feature, at most ``bins`` - 1, between values of the sample; equal for any partitioning."""
-    some = df.select(*features).orderBy(F.xxhash64(*features), *features).limit(sample)
-    shares = [i / bins for i in range(1, bins)]
-    row = some.agg(*[F.percentile(f, F.array(*[F.lit(s) for s in shares])).alias(f) for f in features]).first()
-    low = some.agg(*[F.min(f).alias(f) for f in features]).first()
-    return [sorted({v for v in row[f] or [] if v > low[f]}) for f in features]
+    hashed = F.xxhash64(*features)
+    rows = df.select(*features)
+    n = rows.count()
+    if n > 4 * sample:
+        # hashes are uniform: the smallest ones are below twice the sample's share, unless few values make up most rows
+        low = rows.where(hashed < -(1 << 63) + (1 << 64) * 2 * sample // n)
+        rows = low if low.limit(sample).count() == sample else rows
+    some = rows.orderBy(hashed, *features).limit(sample)
+    shares = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+    row = some.agg(*[F.struct(F.percentile(f, shares).alias("at"), F.min(f).alias("low")).alias(f) for f in features]).first()
+    return [sorted({v for v in row[f]["at"] or [] if v > row[f]["low"]}) for f in features]
 
 
 def _binned(df: DataFrame, features: Sequence[str], cuts: list[list[float]]) -> DataFrame:
@@ -110,9 +115,9 @@ def _binned(df: DataFrame, features: Sequence[str], cuts: list[list[float]]) ->
 def _histograms(rows: DataFrame, tree: Node, wanted: set[int], n_features: int, g: Column, h: Column) -> dict[int, np.ndarray]:
     """{leaf number: sums (features, bins, 3) of gradient, hessian and rows} by one aggregate."""
     leaf = tree.route([F.col(f"b{i}") for i in range(n_features)], "number")
-    each = rows.select(leaf.alias("leaf"), g.alias("g"), h.alias("h"), *[f"b{i}" for i in range(n_features)]).where(F.col("leaf").isin(sorted(wanted)))
+    each = rows.select(leaf.alias("leaf"), (g * F.col("n")).alias("g"), (h * F.col("n")).alias("h"), "n", *[f"b{i}" for i in range(n_features)]).where(F.col("leaf").isin(sorted(wanted)))
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f"b{i}").alias("bin")) for i in range(n_features)])).alias("c")
-    sums = each.select("leaf", "g", "h", cells).groupBy("leaf", "c.feature", "c.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("n")).collect()
+    sums = each.select("leaf", "g", "h", "n", cells).groupBy("leaf", "c.feature", "c.bin").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")]).collect()
     out: dict[int, dict] = {}
     for r in sums:
         out.setdefault(r["leaf"], {})[r["feature"], r["bin"]] = (r["g"], r["h"], r["n"])
@@ -148,7 +153,7 @@ def best_split(hist: dict, n_features: int, s: Settings) -> tuple[float, int, in
 
 
 def grow(rows: DataFrame, n_features: int, g: Column, h: Column, s: Settings, gains: list[float]) -> Node:
-    """One tree, best leaf first; adds each feature's gain to ``gains``."""
+    """One tree, best leaf first; adds each feature's gain to ``gains``. ``rows`` are cells of n rows each."""
     root = Node(0)
     hists = {0: _histograms(rows, root, {0}, n_features, g, h).get(0, {})}
     value = lambda t: -s.rate * (t[0] / FRACTION) / (t[1] / FRACTION + s.penalty)
@@ -206,27 +211,24 @@ def fit(df: DataFrame, features: Sequence[str], label: str = "label", weight: st
     some = df.select(*[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)], F.col(label).cast("double").alias("y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"), train.alias("train"))
     names = [f"x{i}" for i in range(n)]
     cuts = quantile_cuts(some.where("train"), names, s.bins)
-    state = materialize(_binned(some, names, cuts).select(*[f"b{i}" for i in range(n)], "y", "w", "train"), "leafwise")
+    state = materialize(_binned(some, names, cuts).groupBy(*[f"b{i}" for i in range(n)], "y", "w", "train").agg(F.count(F.lit(1)).alias("n")), "leafwise")
     whole = lambda c: F.round(c * FRACTION).cast("long")
-    sums = state.where("train").agg(F.sum(whole(F.col("w") * F.col("y"))).alias("p"), F.sum(whole(F.col("w"))).alias("w")).first()
+    sums = state.where("train").agg(F.sum(whole(F.col("w") * F.col("y")) * F.col("n")).alias("p"), F.sum(whole(F.col("w")) * F.col("n")).alias("w")).first()
     share = min(max((sums["p"] or 0) / max(sums["w"] or 1, 1), 1e-6), 1 - 1e-6)
     out = Booster(list(features), cuts, math.log(share / (1 - share)), gains=[0.0] * n)
-    margin: Column = F.lit(out.base)
+    state, margin = state.withColumn("margin", F.lit(out.base)), F.col("margin")
     bins = [F.col(f"b{i}") for i in range(n)]
     best = math.inf
-    for k in range(s.trees):
+    for _ in range(s.trees):
         p = 1 / (1 + F.exp(-margin))
         g, h = whole(F.col("w") * (p - F.col("y"))), whole(F.col("w") * p * (1 - p))
         tree = grow(state.where("train"), n, g, h, s, out.gains)
         out.trees.append(tree)
-        margin = margin + tree.route(bins)
-        if (k + 1) % TREES_A_WRITE == 0:
-            state = materialize(state.withColumn("margin", margin), "leafwise")
-            margin = F.col("margin")
+        state = materialize(state.withColumn("margin", margin + tree.route(bins)), "leafwise")
         if validation:
             q = F.least(F.greatest(1 / (1 + F.exp(-margin)), F.lit(1e-12)), F.lit(1 - 1e-12))
-            loss = state.where("NOT train").agg(F.sum(whole(-F.when(F.col("y") > 0.5, F.log(q)).otherwise(F.log(1 - q)))).alias("l"), F.count(F.lit(1)).alias("n")).first()
-            out.losses.append((loss["l"] or 0) / FRACTION / max(loss["n"], 1))
+            loss = state.where("NOT train").agg(F.sum(whole(-F.when(F.col("y") > 0.5, F.log(q)).otherwise(F.log(1 - q))) * F.col("n")).alias("l"), F.sum("n").alias("n")).first()
+            out.losses.append((loss["l"] or 0) / FRACTION / max(loss["n"] or 0, 1))
             best = min(best, out.losses[-1])
             if len(out.losses) - 1 - out.losses.index(best) >= s.patience:
                 break

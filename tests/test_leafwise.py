@@ -115,3 +115,33 @@ def test_degenerate_tables(spark):
     assert one.trees and one.trees[0].left is None or one.base > 10
     none = leafwise.fit(frame(spark, x, y, w, 2).where("label > 9"), list("abcd"), settings=SETTINGS)
     assert none.trees[0].left is None
+
+
+def test_passes_read_cells_and_not_rows(spark, monkeypatch):
+    """Forty copies of a table make the same cells; the trees are those of the copies, and of weights by hand."""
+    x, y, w = data(150, 3)
+    x[:, 0] = np.round(x[:, 0])
+    settings = leafwise.Settings(trees=2, leaves=4, bins=16, rate=0.3, least_rows=5)
+    seen, plain_histograms = [], leafwise._histograms
+
+    def counted(rows, *args):
+        seen.append(rows.count())
+        return plain_histograms(rows, *args)
+
+    monkeypatch.setattr(leafwise, "_histograms", counted)
+    many = [np.concatenate([a] * 40) for a in (x, y, w)]
+    model = leafwise.fit(frame(spark, *many, 8), list("abcd"), settings=settings)
+    assert 0 < max(seen) <= 150
+    want, gains, _ = plain(*many, settings)
+    assert [t.splits() for t in model.trees] == want and np.allclose(model.gains, gains)
+
+
+@pytest.mark.parametrize("same", [0.0, 0.9])
+def test_cuts_of_a_sample_are_those_of_the_smallest_hashes(spark, same):
+    """Also when one value makes up most rows, so that the hashes below the threshold are too few."""
+    r = np.random.default_rng(5)
+    v = np.where(r.random(2000) < same, 1.0, r.normal(size=2000))
+    df = spark.createDataFrame([(float(a),) for a in v], "a double").repartition(4)
+    some = df.orderBy(F.xxhash64("a"), "a").limit(100)
+    q = some.agg(F.percentile("a", F.array(*[F.lit(i / 16) for i in range(1, 16)])).alias("q"), F.min("a").alias("low")).first()
+    assert leafwise.quantile_cuts(df, ["a"], 16, sample=100) == [sorted({c for c in q["q"] if c > q["low"]})]
