@@ -24,6 +24,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerveil.plans.sizing import lowest_hashed
 from ledgerveil.session import durable_dir, materialize
 
 #: Centroids are fitted on so many documents at most, those of the smallest hashed ids.
@@ -63,6 +64,13 @@ def unit(vectors: Sequence) -> np.ndarray:
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
 
+def _units(vectors: DataFrame) -> DataFrame:
+    """w, of length one; zero vectors go. The length is bound to a lambda variable, so that it is worked out once a vector and not once a component."""
+    length = F.sqrt(F.aggregate(F.col("w"), F.lit(0.0), lambda a, x: a + x * x))
+    made = F.transform(F.array(F.struct("w", length.alias("n"))), lambda t: F.when(t["n"] > 0, F.transform(t["w"], lambda x: x / t["n"])))
+    return vectors.select(F.get(made, F.lit(0)).alias("w")).where("w IS NOT NULL")
+
+
 def fit_centroids(docs: DataFrame, doc_id: str, vector: str, cells: int | None = None, sample: int = SAMPLE, seed: int = 7) -> np.ndarray:
     """Centroids of the sample's unit vectors; about the square root of the number of documents, MOST_CELLS at most."""
     width = docs.where(F.size(vector) > 0).groupBy(F.size(vector).alias("width")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("width")).first()
@@ -70,9 +78,9 @@ def fit_centroids(docs: DataFrame, doc_id: str, vector: str, cells: int | None =
         return np.zeros((0, 0))
     known = docs.where(F.size(vector) == width["width"])
     cells = min(cells or max(1, math.isqrt(width["n"])), MOST_CELLS)
-    length = F.sqrt(F.aggregate(F.col("w"), F.lit(0.0), lambda a, x: a + x * x))
-    some = known.orderBy(F.xxhash64(doc_id), doc_id).limit(sample).select(F.col(vector).cast("array<double>").alias("w")).where(length > 0)
-    some = materialize(some.select(F.transform("w", lambda x: x / length).alias("w")).distinct(), "sample")  # copies count once
+    some = _units(lowest_hashed(known, [doc_id], sample, width["n"]).select(F.col(vector).cast("array<double>").alias("w")))
+    # copies count once; the fit runs over all cores
+    some = materialize(some.distinct().repartition(docs.sparkSession.sparkContext.defaultParallelism), "sample")
     found = some.count()
     if min(found, cells) < 2:
         return unit([r["w"] for r in some.limit(1).collect()]) if found else np.zeros((0, 0))

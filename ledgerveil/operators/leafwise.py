@@ -26,6 +26,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerveil.plans.sizing import lowest_hashed
 from ledgerveil.session import materialize
 
 #: Bins are cut at quantiles of so many rows at most, those of the smallest hashed values.
@@ -90,14 +91,8 @@ class Booster:
 
 def quantile_cuts(df: DataFrame, features: Sequence[str], bins: int, sample: int = SAMPLE) -> list[list[float]]:
     """Distinct cut points of each feature, at most ``bins`` - 1, between values of the sample; equal for any partitioning."""
-    hashed = F.xxhash64(*features)
     rows = df.select(*features)
-    n = rows.count()
-    if n > 4 * sample:
-        # hashes are uniform: the smallest ones are below twice the sample's share, unless few values make up most rows
-        low = rows.where(hashed < -(1 << 63) + (1 << 64) * 2 * sample // n)
-        rows = low if low.limit(sample).count() == sample else rows
-    some = rows.orderBy(hashed, *features).limit(sample)
+    some = lowest_hashed(rows, features, sample, rows.count())
     shares = F.array(*[F.lit(i / bins) for i in range(1, bins)])
     row = some.agg(*[F.struct(F.percentile(f, shares).alias("at"), F.min(f).alias("low")).alias(f) for f in features]).first()
     return [sorted({v for v in row[f]["at"] or [] if v > row[f]["low"]}) for f in features]

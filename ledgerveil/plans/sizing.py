@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -31,6 +33,19 @@ def join_small(
     return big.join(F.broadcast(small) if n <= max_rows else small, on, how)
 
 
+def lowest_hashed(df: DataFrame, cols: Sequence[str], size: int, n: int) -> DataFrame:
+    """The ``size`` rows of smallest hash of ``cols``, of ``n`` rows.
+
+    Hashes are uniform, so the rows below twice the wanted share of all hashes are enough to order; where a few values
+    make up most rows and these are too few, all rows are ordered.
+    """
+    hashed = F.xxhash64(*cols)
+    if n > 4 * size:
+        low = df.where(hashed < -(1 << 63) + (1 << 64) * 2 * size // n)
+        df = low if low.limit(size).count() == size else df
+    return df.orderBy(hashed, *cols).limit(size)
+
+
 def spread(df: DataFrame, limit: int = SPREAD_BYTES) -> DataFrame:
     """Redistribute a small input over all cores before CPU-heavy row work.
 

@@ -1,10 +1,13 @@
 """Inverted-file index against a full scan: equal answers with cells left shut."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerveil.operators import cells
+from ledgerveil.plans.sizing import lowest_hashed
 
 DIMENSION = 12
 
@@ -108,3 +111,22 @@ def test_fewer_documents_than_asked_and_none(spark, tmp_path):
     assert pairs(cells.search(same, query_frame(spark, [("a", [1.0] * DIMENSION)]), "doc_id", "v", 3)[0]) == [("a", 0, 1), ("a", 1, 2), ("a", 2, 3)]
     none = cells.build(frame(spark, []).where("v IS NULL"), "doc_id", "v", path=str(tmp_path / "none"))
     assert pairs(cells.search(none, query_frame(spark, [("a", [1.0] * DIMENSION)]), "doc_id", "v", 3)[0]) == []
+
+
+def test_a_length_is_worked_out_once_a_vector(spark):
+    """A component that worked it out anew would take 16 million steps a vector here; the fit gets a partition for each core."""
+    wide = 4000
+    rows = [(i, [float(i + j) for j in range(wide)]) for i in range(60)] + [(60, [0.0] * wide)]
+    vectors = spark.createDataFrame(rows, "id int, w array<double>").repartition(1)
+    start = time.monotonic()
+    got = np.array([r["w"] for r in cells._units(vectors.select("w")).collect()])
+    assert time.monotonic() - start < 20
+    assert got.shape == (60, wide) and np.allclose(np.linalg.norm(got, axis=1), 1.0)
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_lowest_hashed_is_the_head_of_the_whole_order(spark, same):
+    ids = [7 if same and i % 20 else i for i in range(3000)]
+    df = spark.createDataFrame([(i,) for i in ids], "id long").repartition(8)
+    want = [r["id"] for r in df.orderBy(F.xxhash64("id"), "id").limit(50).collect()]
+    assert [r["id"] for r in lowest_hashed(df, ["id"], 50, 3000).collect()] == want
