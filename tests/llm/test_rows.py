@@ -364,3 +364,21 @@ def test_bucket(spark):
 
 def test_pattern_needs_no_table_row():
     assert re.search("op9", " ".join(QUERIES))
+
+
+def test_cross_entropy_in_many_batches(spark, monkeypatch):
+    """Counts packed by batch and bucket: the same losses for any cut, and fewer rows are shuffled than there are word pairs."""
+    r = random.Random(9)
+    texts = [" ".join(r.choice(("the", "of", f"w{r.randrange(5000)}")) for _ in range(r.randrange(120))) for _ in range(300)]
+    df = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (None, texts[1]), (300, None)], "doc_id long, text string")
+    got = []
+    for batch, bucket in ((1 << 24, 1 << 24), (4000, 9000), (30_000, 700)):
+        monkeypatch.setattr(cross_entropy, "BATCH_BYTES", batch)
+        monkeypatch.setattr(cross_entropy, "BUCKET_BYTES", bucket)
+        rows = cross_entropy.score(df, df.where("doc_id % 3 = 0")).collect()
+        assert len(rows) == 303
+        got.append(sorted([(-1 if x.doc_id is None else x.doc_id, x.n_tokens, round(x.target_loss or 0, 9), round(x.background_loss or 0, 9)) for x in rows]))
+    assert got[0] == got[1] == got[2]
+    docs = df.selectExpr("doc_id AS key", "text", "pmod(doc_id, 7) AS batch").where("text IS NOT NULL AND batch IS NOT NULL")
+    sent = cross_entropy.asked(docs.repartition(3, "batch").sortWithinPartitions("batch"), 5)
+    assert sent.count() == 7 * 5 and sent.agg({"pairs": "sum"}).first()[0] > 200 * 35
