@@ -2,9 +2,10 @@
 
 1. Equal word sequences are one class; everything after works on classes.
 2. Classes that share a pair of minhashes are compared to two pivots; verified ones form groups of similar documents.
-3. The matrix holds (token, group): each group's token union, restricted to the prefix tokens that every similar
-   pair must share. A class meets only groups other than its own, and a group is one row per token however large it is.
-   How many tokens they share bounds the overlap of the query with every member; groups below the bound stay shut.
+3. The matrix holds (token, group): each group's token union, restricted to the short prefixes of which a similar set that
+   is no smaller has a token in its own prefix. A class meets only groups other than its own, and a group is one row per token
+   however large it is. How many tokens they share, and how many come behind the first, bounds the overlap of the query with
+   every member; groups below the bound stay shut.
 4. A qualifying group is opened in blocks: the whole token union of a block bounds the overlap again; only blocks whose
    bound reaches the threshold are compared member by member.
 5. All verified links go through a distributed union-find.
@@ -193,19 +194,32 @@ def opened(pairs: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def least_met(n: Column, low: Column, high: Column) -> Column:
-    """Prefix tokens that a set of ``n`` shares at least with a similar set of ``low`` to ``high`` tokens.
+    """What the number of tokens that the prefix of a set of ``n`` shares with the short prefixes of similar sets of ``low``
+    to ``high`` tokens, but no more than n, always exceeds.
 
-    Similar sets of a and b tokens share o = ceil(75 (a + b) / 175). Whichever prefix ends first, the common tokens
-    behind it lie in that set's own rest of ceil(0.75 size) - 1. Below a the bound grows with b, above it falls, so the
-    ends of the range are enough.
+    Similar sets of a <= n tokens share 3 (a + n) / 7. Whichever prefix ends first, the common tokens behind it lie in that
+    set's own rest, of less than 6 a / 7 or 3 n / 4. Below 7 n / 8 the bound grows with a, above it falls, so the ends of the
+    range are enough.
     """
-    def bound(b: Column) -> Column:
-        o = F.ceil((n + b) * PERCENT / (100 + PERCENT) - 1e-6)
-        return o - F.ceil(F.greatest(n, b) * PERCENT / 100 - 1e-6) + 1
+    def bound(a: Column) -> Column:
+        return (a + n) * PERCENT / (100 + PERCENT) - F.greatest(a * 2 * PERCENT / (100 + PERCENT), n * PERCENT / 100)
 
-    small = F.least(F.greatest(low, F.ceil(n * PERCENT / 100 - 1e-6)), high)
-    large = F.greatest(F.least(high, F.floor(n * 100 / PERCENT + 1e-6)), low)
-    return F.greatest(F.lit(1), F.least(bound(small), bound(large)))
+    return F.least(bound(F.least(F.greatest(low, n * PERCENT / 100), high)), bound(F.greatest(F.least(high, n), low))) - 1e-6
+
+
+def meetings(sets: DataFrame) -> DataFrame:
+    """(c, h, n, low, high, left): a row for each prefix token of a set that is in the short prefix of a set of another group.
+
+    ``sets`` has (c, g: group, n, prefix). Of two similar sets the smaller, of a tokens, has the first common token among its
+    first a / 7 + 1: the 6 a / 7 tokens that they share at least lie behind it. So only these are in the matrix, and sets that
+    have a passage in common and more than a seventh of their own do not meet on it, as frequent tokens come last. low and high
+    are sizes of the group's sets, left how many tokens the pair can share from this one on.
+    """
+    cells = sets.select("c", "g", "n", F.posexplode("prefix").alias("at", "token")).repartition("token")
+    short = cells.where(F.col("at") * (100 + PERCENT) <= F.col("n") * (100 - PERCENT))
+    matrix = short.groupBy("token", F.col("g").alias("h")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("at")).alias("far"))
+    close = (F.col("g") != F.col("h")) & (100 * F.col("high") >= PERCENT * F.col("n")) & (F.col("low") <= F.col("n"))
+    return cells.join(matrix, "token").where(close).select("c", "h", "n", "low", "high", F.least("far", F.col("n") - F.col("at")).alias("left"))
 
 
 def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -246,13 +260,12 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
     told = with_bit(base.where("n > 0 AND id IS NOT NULL").select("c", "id", "n", "prefix"), "c", bit_set(moved, "c"))
     alone = told.where("NOT _in").select("c", "n", "prefix", F.col("c").alias("g"))  # one row, a group of its own
     one = told.where("_in").join(grouped, ["c", "id"]).select("c", "n", "prefix", "g").unionAll(alone)
-    cells = one.select("c", "g", "n", F.explode("prefix").alias("token")).repartition("token")
-    matrix = cells.groupBy("token", F.col("g").alias("h")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    close = (F.col("g") != F.col("h")) & (100 * F.col("high") >= PERCENT * F.col("n")) & (100 * F.col("n") >= PERCENT * F.col("low"))
-    met = cells.join(matrix, "token").where(close).groupBy(F.col("c").alias("q"), "h").agg(
-        F.count("*").alias("m"), F.first("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")
+    met = meetings(one).groupBy(F.col("c").alias("q"), "h").agg(
+        F.count("*").alias("m"), F.first("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("left").alias("left")
     )
-    met = written(met.where(F.col("m") >= least_met(F.col("n"), F.col("low"), F.col("high"))).select("q", "h"), "join-met")
+    smallest = F.greatest("low", F.col("n") * PERCENT / 100)
+    met = met.where((F.col("m") > least_met(F.col("n"), F.col("low"), F.col("high"))) & (F.col("left") >= (smallest + F.col("n")) * PERCENT / (100 + PERCENT) - 1e-6))
+    met = written(met.select("q", "h"), "join-met")
 
     count_g = grouped.groupBy("g").agg(F.count("*").alias("_n"))
     blocks = grouped.join(count_g, "g").select("c", F.col("g").alias("h"), F.xxhash64("g", F.pmod(F.xxhash64("c"), F.ceil(F.col("_n") / BLOCK))).alias("block"))
