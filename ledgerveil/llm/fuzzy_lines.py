@@ -1,7 +1,8 @@
 """Near-duplicate lines across documents, with SQL functions only.
 
 Distinct lines get a MinHash signature over character shingles. Lines that agree in a band are compared by exact
-Jaccard similarity, first to two pivots of their bucket, then to each other where that can still join components.
+Jaccard similarity, first to two pivots of their bucket, then to each other where that can still join components;
+sketches of the sets rule out, without error, most pairs that are no link before their texts are brought together.
 Verified links go through a distributed union-find, and one line per component stays: the first by (document, line number).
 """
 
@@ -20,6 +21,8 @@ PERCENT = 75
 BANDS, ROWS = 5, 3
 #: Lines of a bucket that meet in one task.
 BLOCK = 512
+#: Longs of a line's sketch; a power of two.
+WORDS = 16
 
 
 def normal(line: Column) -> Column:
@@ -63,46 +66,64 @@ def bands(lines: DataFrame) -> DataFrame:
     return signed.select("h", F.array(*keys).alias("keys"))
 
 
-def _overlaps(pairs: DataFrame, lines: DataFrame, purpose: str) -> DataFrame:
-    """(a, b, i, s): how many shingles two lines share, and the sum of their set sizes."""
-    bits = bit_set(pairs.select(F.col("a").alias("h")).unionAll(pairs.select("b")), "h")
-    lines = written(with_bit(lines, "h", bits).where("_in").select("h", "line"), f"{purpose}-few")
-    left = pairs.join(lines, pairs["a"] == lines["h"]).select("a", "b", F.col("line").alias("x"))
-    both = left.join(lines, left["b"] == lines["h"]).select("a", "b", "x", F.col("line").alias("y"))
+def _sketch(sets: Column) -> Column:
+    """``WORDS`` longs: per cell of 64 * ``WORDS``, whether the number of shingles hashed to it is odd.
+
+    The bits in which two lines differ are at most the shingles that one line has and the other has not.
+    """
+    def word(w: int) -> Column:
+        bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+        mine = F.filter(sets, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(WORDS - 1)) == w)
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x)))
+
+    return F.array(*[word(w) for w in range(WORDS)])
+
+
+def _sketched(lines: DataFrame, wanted: DataFrame, purpose: str) -> DataFrame:
+    """(h, line, n: set size, bits: sketch) for the lines that may be in ``wanted`` (h)."""
+    some = with_bit(lines, "h", bit_set(wanted, "h")).where("_in").select("h", "line")
+    # nested lambdas, so that the set is made once a line and not once a mention
+    told = F.transform(F.array(shingles(F.col("line"))), lambda s: F.struct(F.size(s).alias("n"), _sketch(s).alias("bits")))
+    return written(some.select("h", "line", F.inline(told)), purpose)
+
+
+def _may_link(x: str, y: str) -> str:
+    """Whether two lines' sizes and sketches allow a link: linked sets differ in at most (x + y) (100 - P) / (100 + P) shingles."""
+    odd = [f"bit_count({x}.bits[{w}] ^ {y}.bits[{w}])" for w in range(WORDS)]
+    most = f"({100 - PERCENT} * ({x}.n + {y}.n))"
+    sized = f"100 * {x}.n >= {PERCENT} * {y}.n AND 100 * {y}.n >= {PERCENT} * {x}.n"
+    return f"{sized} AND " + " AND ".join(f"{100 + PERCENT} * ({' + '.join(odd[:k])}) <= {most}" for k in (WORDS // 4, WORDS))
+
+
+def _links(pairs: DataFrame, lines: DataFrame, purpose: str) -> DataFrame:
+    """The (a, b) of ``pairs`` whose whole shingle sets, of ``lines`` (h, line), reach the similarity of a link."""
+    text = lines.select("h", "line")
+    left = pairs.join(text, pairs["a"] == text["h"]).select("a", "b", F.col("line").alias("x"))
+    both = left.join(text, left["b"] == text["h"]).select("a", "b", "x", F.col("line").alias("y"))
     # nested lambdas, so that each set and the intersection are made once a pair and not once a mention
     sets = F.array(F.struct(shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y")))
     sized = F.transform(sets, lambda t: F.struct(F.size(F.array_intersect(t["x"], t["y"])).alias("i"), (F.size(t["x"]) + F.size(t["y"])).alias("s")))
-    return written(both.select("a", "b", F.explode(sized).alias("t")).select("a", "b", "t.i", "t.s"), purpose)
-
-
-def _linked(met: DataFrame) -> DataFrame:
-    return met.where(100 * F.col("i") >= PERCENT * (F.col("s") - F.col("i"))).select("a", "b")
+    met = both.select("a", "b", F.explode(sized).alias("t")).where(100 * F.col("t.i") >= PERCENT * (F.col("t.s") - F.col("t.i")))
+    return written(met.select("a", "b"), purpose)
 
 
-def _others(keyed: DataFrame, wide: DataFrame, met: DataFrame, roots: DataFrame) -> DataFrame:
+def _others(keyed: DataFrame, wide: DataFrame, lines: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs (a, b) of a bucket's lines other than its pivots that may still be links of different components.
 
-    The Jaccard distance obeys the triangle inequality: lines whose distances to a pivot differ by more than a link's
-    distance are no link. Buckets are cut into blocks, and each two blocks meet in a task of their own.
+    Buckets are cut into blocks, and each two blocks meet in a task of their own; of the lines that meet there, those
+    come out whose sizes and sketches allow a link.
     """
-    apart = met.select("a", "b", (1 - F.col("i") / (F.col("s") - F.col("i"))).alias("d"))
-    apart = apart.unionAll(apart.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-    rest = keyed.join(wide, "key").where("o <> p AND o <> q")
-    mask = F.col("mask")
-    rest = rest.select("key", "n", *[F.col(c).bitwiseXOR(mask).alias(c) for c in ("o", "p", "q")])
-    for c in ("p", "q"):
-        to = apart.select(F.col("a").alias("o"), F.col("b").alias(c), F.col("d").alias(f"d{c}"))
-        rest = rest.join(to, ["o", c])
-    rest = rest.join(roots.withColumnRenamed("node", "o"), "o", "left").select("key", "n", "o", "dp", "dq", F.coalesce("root", "o").alias("root"))
+    rest = keyed.join(wide, "key").where("o <> p AND o <> q").select("key", "n", F.col("o").bitwiseXOR(F.col("mask")).alias("o"))
+    rest = rest.join(roots.withColumnRenamed("node", "o"), "o", "left").select("key", F.col("n").alias("all"), "o", F.coalesce("root", "o").alias("root"))
     # a bucket of one component has no more to say
     mixed = rest.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    rest = rest.join(mixed, "key", "left_semi").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rest = rest.join(mixed, "key", "left_semi").withColumn("nb", F.ceil(F.col("all") / BLOCK).cast("int"))
     rest = rest.withColumn("at", F.pmod(F.xxhash64("o"), F.col("nb")).cast("int"))
+    rest = rest.join(lines.select(F.col("h").alias("o"), "n", "bits"), "o")
     cells = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda k: F.struct(F.least("at", k).alias("i"), F.greatest("at", k).alias("j")))
-    placed = rest.select("key", "o", "dp", "dq", "root", "at", F.explode(cells).alias("c")).select("key", "c.i", "c.j", "o", "dp", "dq", "root", "at")
+    placed = rest.select("key", "o", "n", "bits", "root", "at", F.explode(cells).alias("c")).select("key", "c.i", "c.j", "o", "n", "bits", "root", "at")
     x, y = placed.where("at = i").alias("x"), placed.where("at = j").alias("y")
-    near = 1 - PERCENT / 100 + 1e-9
-    on = " AND ".join(f"x.{c} = y.{c}" for c in ("key", "i", "j")) + f" AND x.root <> y.root AND (x.i <> x.j OR x.o < y.o) AND abs(x.dp - y.dp) <= {near} AND abs(x.dq - y.dq) <= {near}"
+    on = " AND ".join(f"x.{c} = y.{c}" for c in ("key", "i", "j")) + f" AND x.root <> y.root AND (x.i <> x.j OR x.o < y.o) AND {_may_link('x', 'y')}"
     return x.join(y, F.expr(on)).select(F.least("x.o", "y.o").alias("a"), F.greatest("x.o", "y.o").alias("b")).distinct()
 
 
@@ -111,7 +132,7 @@ def similar(lines: DataFrame, banded: DataFrame) -> DataFrame:
 
     First a bucket is a star around its first and last line in an order of the band's own: 2 n comparisons for n lines,
     and other pivots in other bands. Buckets of up to three lines are done then. In the others every two lines that are
-    in different components by then, and that their distances to the pivots allow to be a link, are compared too: no
+    in different components by then, and that their sketches allow to be a link, are compared too: no
     candidate is left out, whatever a bucket's size.
     """
     keyed = banded.select("h", F.posexplode("keys").alias("band", "key"))
@@ -120,12 +141,15 @@ def similar(lines: DataFrame, banded: DataFrame) -> DataFrame:
     ends = keyed.groupBy("key").agg(F.min("o").alias("p"), F.max("o").alias("q"), F.count(F.lit(1)).alias("n")).where("p <> q")
     met = keyed.join(ends.drop("n"), "key").select(F.col("o").bitwiseXOR(F.col("mask")).alias("a"), F.explode(F.array("p", "q")).alias("b"), "mask")
     pairs = met.select("a", F.col("b").bitwiseXOR(F.col("mask")).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    met = _overlaps(written(pairs, "line-pairs"), lines, "line-stars")
-    roots = components(_linked(met), "line-links")
-    others = written(_others(keyed, ends.where("n > 3"), met, roots), "line-others")
+    pairs = written(pairs, "line-pairs")
+    few = _sketched(lines, pairs.select(F.col("a").alias("h")).unionAll(pairs.select("b")), "line-sketches")
+    x, y = few.select("h", "n", "bits").alias("x"), few.select("h", "n", "bits").alias("y")
+    near = pairs.join(x, F.expr("a = x.h")).join(y, F.expr(f"b = y.h AND {_may_link('x', 'y')}")).select("a", "b")
+    roots = components(_links(written(near, "line-near"), few, "line-stars"), "line-links")
+    others = written(_others(keyed, ends.where("n > 3"), few, roots), "line-others")
     if others.isEmpty():
         return roots
-    more = _linked(_overlaps(others, lines, "line-rest"))
+    more = _links(others, few, "line-rest")
     name = roots.select("node", "root")
     for c in ("a", "b"):
         more = more.join(name.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")

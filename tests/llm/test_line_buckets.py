@@ -43,3 +43,49 @@ def test_chain_through_a_star(spark):
     for i, p in enumerate(plain):
         groups.setdefault(p, set()).add(root.get(i, i))
     assert all(len(g) == 1 for g in groups.values()) and len(set.union(*groups.values())) == len(groups)
+
+
+def edited(r, line, edits):
+    letters = list(line)
+    for _ in range(edits):
+        letters[r.randrange(len(letters))] = chr(r.randrange(0x4E00, 0x9000))
+    return "".join(letters)
+
+
+def similar_enough(x, y):
+    x, y = ({t[i : i + 8] for i in range(len(t) - 7)} for t in (x, y))
+    return 100 * len(x & y) >= 75 * len(x | y)
+
+
+def test_unlike_lines_of_a_bucket_are_not_brought_together(spark, monkeypatch):
+    """Copies of a line that are too far from each other: the pairs whose texts are compared do not grow with their square."""
+    r = random.Random(9)
+    base = edited(r, "a" * 300, 300)
+    texts = [edited(r, base, 16) for _ in range(200)]
+    seen = {}
+
+    def counted(df, purpose, plain=fuzzy_lines.written):
+        out = plain(df, purpose)
+        seen[purpose] = out.count()
+        return out
+
+    monkeypatch.setattr(fuzzy_lines, "written", counted)
+    lines = spark.createDataFrame(list(enumerate(texts)), "h long, line string")
+    banded = lines.select("h", F.array(*[F.lit(b) for b in range(fuzzy_lines.BANDS)]).cast("array<bigint>").alias("keys"))
+    root = {row["node"]: row["root"] for row in fuzzy_lines.similar(lines, banded).collect()}
+    linked = [(i, j) for j in range(200) for i in range(j) if similar_enough(texts[i], texts[j])]
+    assert all(root[i] == root[j] for i, j in linked)
+    assert seen["line-others"] <= 400 + 2 * len(linked)
+
+
+def test_sketches_rule_out_no_link(spark):
+    r = random.Random(11)
+    pairs = []
+    for k in range(150):
+        base = edited(r, "a" * r.choice([8, 20, 90, 400]), 400 if k % 2 else 3)
+        pairs.append((2 * k, base, edited(r, base, r.randrange(1 + len(base) // 30)) + "#" * r.randrange(4)))
+    lines = spark.createDataFrame([row for k, x, y in pairs for row in ((k, x), (k + 1, y))], "h long, line string")
+    few = fuzzy_lines._sketched(lines, lines.select("h"), "sketches")
+    met = few.alias("x").join(few.alias("y"), F.expr(f"x.h % 2 = 0 AND y.h = x.h + 1 AND {fuzzy_lines._may_link('x', 'y')}")).select("x.h").collect()
+    linked = {k for k, x, y in pairs if similar_enough(x, y)}
+    assert len(linked) > 30 and linked <= {row["h"] for row in met}
