@@ -2,7 +2,7 @@
 
 Distinct lines get a MinHash signature over character shingles. Lines that agree in a band are compared by exact
 Jaccard similarity, first to two pivots of their bucket, then to each other where that can still join components;
-sketches of the sets rule out, without error, most pairs that are no link before their texts are brought together.
+there sketches of the sets rule out, without error, most pairs that are no link before their texts are brought together.
 Verified links go through a distributed union-find, and one line per component stays: the first by (document, line number).
 """
 
@@ -107,19 +107,42 @@ def _links(pairs: DataFrame, lines: DataFrame, purpose: str) -> DataFrame:
     return written(met.select("a", "b"), purpose)
 
 
-def _others(keyed: DataFrame, wide: DataFrame, lines: DataFrame, roots: DataFrame) -> DataFrame:
+def _renamed(links: DataFrame, roots: DataFrame, purpose: str) -> DataFrame:
+    """``roots`` (node, root) after ``links`` (a, b), which may hold nodes that had none."""
+    for c in ("a", "b"):
+        links = links.join(roots.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+    joined = components(links, purpose).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    both = roots.join(joined, roots["root"] == joined["old"], "full")
+    return written(both.select(F.coalesce("node", "old").alias("node"), F.coalesce("new", "root").alias("root")), purpose)
+
+
+def _mixed(rest: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rest`` (key, o, ...) with ``root``, less the buckets of one component, which have no more to say."""
+    rest = rest.join(roots.withColumnRenamed("node", "o"), "o", "left").withColumn("root", F.coalesce("root", "o"))
+    mixed = rest.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    return rest.join(mixed, "key", "left_semi")
+
+
+def _middles(rest: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a star around each bucket's line whose sketch is nearest to those of its two pivots."""
+    ends = rest.where("o = p OR o = q").select("key", F.col("bits").alias("end"))
+    odd = " + ".join(f"bit_count(bits[{w}] ^ end[{w}])" for w in range(WORDS))
+    apart = rest.join(ends, "key").groupBy("key", "o").agg(F.sum(F.expr(odd)).alias("d"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    inner = apart.join(rest.where("o <> p AND o <> q").select("key", "o"), ["key", "o"], "left_semi")
+    middle = inner.groupBy("key").agg(F.min_by(F.struct("o", "n", "bits"), F.struct("d", "o")).alias("m")).select("key", "m.*")
+    x, y = middle.alias("x"), rest.alias("y")
+    star = x.join(y, F.expr(f"x.key = y.key AND x.o <> y.o AND {_may_link('x', 'y')}"))
+    return star.select(F.least("x.o", "y.o").alias("a"), F.greatest("x.o", "y.o").alias("b")).distinct()
+
+
+def _others(rest: DataFrame) -> DataFrame:
     """Pairs (a, b) of a bucket's lines other than its pivots that may still be links of different components.
 
     Buckets are cut into blocks, and each two blocks meet in a task of their own; of the lines that meet there, those
     come out whose sizes and sketches allow a link.
     """
-    rest = keyed.join(wide, "key").where("o <> p AND o <> q").select("key", "n", F.col("o").bitwiseXOR(F.col("mask")).alias("o"))
-    rest = rest.join(roots.withColumnRenamed("node", "o"), "o", "left").select("key", F.col("n").alias("all"), "o", F.coalesce("root", "o").alias("root"))
-    # a bucket of one component has no more to say
-    mixed = rest.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    rest = rest.join(mixed, "key", "left_semi").withColumn("nb", F.ceil(F.col("all") / BLOCK).cast("int"))
+    rest = rest.where("o <> p AND o <> q").withColumn("nb", F.ceil(F.col("all") / BLOCK).cast("int"))
     rest = rest.withColumn("at", F.pmod(F.xxhash64("o"), F.col("nb")).cast("int"))
-    rest = rest.join(lines.select(F.col("h").alias("o"), "n", "bits"), "o")
     cells = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda k: F.struct(F.least("at", k).alias("i"), F.greatest("at", k).alias("j")))
     placed = rest.select("key", "o", "n", "bits", "root", "at", F.explode(cells).alias("c")).select("key", "c.i", "c.j", "o", "n", "bits", "root", "at")
     x, y = placed.where("at = i").alias("x"), placed.where("at = j").alias("y")
@@ -131,30 +154,33 @@ def similar(lines: DataFrame, banded: DataFrame) -> DataFrame:
     """(node, root): components of the verified links between distinct lines (h, line) that agree in a band.
 
     First a bucket is a star around its first and last line in an order of the band's own: 2 n comparisons for n lines,
-    and other pivots in other bands. Buckets of up to three lines are done then. In the others every two lines that are
-    in different components by then, and that their sketches allow to be a link, are compared too: no
+    and other pivots in other bands. Buckets of up to three lines are done then. In the others, if their lines are in
+    different components by then, a third star stands around the line nearest to both pivots, and every two lines that
+    are in different components after that, and that their sketches allow to be a link, are compared too: no
     candidate is left out, whatever a bucket's size.
     """
     keyed = banded.select("h", F.posexplode("keys").alias("band", "key"))
     mask = F.element_at(F.array(*[F.lit(_mask(100 + b)) for b in range(BANDS)]), F.col("band") + 1)
     keyed = keyed.select("key", F.col("h").bitwiseXOR(mask).alias("o"), mask.alias("mask"))
-    ends = keyed.groupBy("key").agg(F.min("o").alias("p"), F.max("o").alias("q"), F.count(F.lit(1)).alias("n")).where("p <> q")
-    met = keyed.join(ends.drop("n"), "key").select(F.col("o").bitwiseXOR(F.col("mask")).alias("a"), F.explode(F.array("p", "q")).alias("b"), "mask")
+    ends = keyed.groupBy("key").agg(F.min("o").alias("p"), F.max("o").alias("q"), F.count(F.lit(1)).alias("all")).where("p <> q")
+    met = keyed.join(ends.drop("all"), "key").select(F.col("o").bitwiseXOR(F.col("mask")).alias("a"), F.explode(F.array("p", "q")).alias("b"), "mask")
     pairs = met.select("a", F.col("b").bitwiseXOR(F.col("mask")).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = written(pairs, "line-pairs")
-    few = _sketched(lines, pairs.select(F.col("a").alias("h")).unionAll(pairs.select("b")), "line-sketches")
-    x, y = few.select("h", "n", "bits").alias("x"), few.select("h", "n", "bits").alias("y")
-    near = pairs.join(x, F.expr("a = x.h")).join(y, F.expr(f"b = y.h AND {_may_link('x', 'y')}")).select("a", "b")
-    roots = components(_links(written(near, "line-near"), few, "line-stars"), "line-links")
-    others = written(_others(keyed, ends.where("n > 3"), few, roots), "line-others")
+    bits = bit_set(pairs.select(F.col("a").alias("h")).unionAll(pairs.select("b")), "h")
+    few = written(with_bit(lines, "h", bits).where("_in").select("h", "line"), "line-few")
+    roots = components(_links(pairs, few, "line-stars"), "line-links")
+
+    wide = keyed.join(ends.where("all > 3"), "key").select("key", "all", *[F.col(c).bitwiseXOR(F.col("mask")).alias(c) for c in ("o", "p", "q")])
+    rest = written(_mixed(wide, roots).drop("root"), "line-wide")
+    if rest.isEmpty():
+        return roots
+    few = _sketched(few, rest.select(F.col("o").alias("h")), "line-sketches")
+    rest = rest.join(few.select(F.col("h").alias("o"), "n", "bits"), "o")
+    roots = _renamed(_links(written(_middles(rest), "line-middles"), few, "line-thirds"), roots, "line-roots")
+    others = written(_others(_mixed(rest, roots)), "line-others")
     if others.isEmpty():
         return roots
-    more = _links(others, few, "line-rest")
-    name = roots.select("node", "root")
-    for c in ("a", "b"):
-        more = more.join(name.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
-    joined = components(more, "line-joined").select(F.col("node").alias("old"), F.col("root").alias("new"))
-    return roots.join(joined, roots["root"] == joined["old"], "full").select(F.coalesce("node", "old").alias("node"), F.coalesce("new", "root").alias("root"))
+    return _renamed(_links(others, few, "line-rest"), roots, "line-joined")
 
 
 def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
